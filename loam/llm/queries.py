@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import quality
+from loam.llm import mixing, quality
 from loam.sources.tables import table
 
 
@@ -21,9 +21,57 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_quality": op7_quality}
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _, spans = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixing.taken_words(placed, spans).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_mix": op1_mix, "op7_quality": op7_quality}
 
 ORACLE = {
+    "op1_mix": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '-')) AS d1, md5(coalesce(text, '')) AS d2
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS z, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ix FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(ix % 3 + 1)::INT]::DOUBLE AS wt, 2.0 * z AS cap, 1.5 * sum(z) OVER () AS budget FROM s),
+r AS (
+  SELECT *, row_number() OVER o AS rn,
+         (budget - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(wt) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lam
+  FROM w WINDOW o AS (ORDER BY cap / wt, ix)),
+lam AS (SELECT min_by(lam, rn) AS lam FROM r WHERE lam <= cap / wt),
+t AS (
+  SELECT r.source, z, least(cap, coalesce(lam.lam * wt, cap))::DOUBLE AS target,
+         greatest(ceil(z / 256.0), 1)::BIGINT AS blocks, md5(coalesce(r.source, '-')) AS k
+  FROM r, lam),
+q AS (
+  SELECT *, CASE WHEN z > 0 THEN floor(floor(target + 0.5) / z) ELSE 0 END::BIGINT AS passes,
+         [2147483647, 2147483629, 2147483587, 2147483579][(('0x' || k[1:2])::BIGINT % 4 + 1)::INT]::BIGINT % blocks AS mul,
+         ('0x' || k[3:9])::BIGINT % blocks AS ad
+  FROM t),
+p AS (
+  SELECT *, (floor(target + 0.5) - passes * z)::BIGINT AS rest, (mul * (blocks - 1) + ad) % blocks AS short_at,
+         blocks * 256 - z AS short_by
+  FROM q),
+placed AS (
+  SELECT d.doc_id, d.size, p.*, coalesce(sum(d.size) OVER (
+           PARTITION BY d.source ORDER BY d1, d2, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
+         row_number() OVER () AS rid
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+b AS (SELECT *, unnest(range(pos // 256, (pos + size - 1) // 256 + 1)) AS b FROM placed WHERE size > 0),
+c AS (
+  SELECT *, (mul * b + ad) % blocks AS j,
+         CASE WHEN b = blocks - 1 THEN 256 - short_by ELSE 256 END AS len FROM b),
+e AS (
+  SELECT rid, passes * (least((b + 1) * 256, pos + size) - greatest(b * 256, pos))
+         + greatest(0, least(b * 256 + greatest(least(rest - (j * 256 - CASE WHEN j > short_at THEN short_by ELSE 0 END), len), 0),
+                             pos + size) - greatest(b * 256, pos)) AS n
+  FROM c),
+g AS (SELECT rid, sum(n)::BIGINT AS taken FROM e GROUP BY rid)
+SELECT doc_id, size, z AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN g USING (rid)""",
     "op7_quality": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
