@@ -29,3 +29,17 @@ def keep(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Most rows of a kept table that may be broadcast; every caller's rows are a few short columns.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a count shows that it is small; otherwise left for a shuffled join.
+
+    Call it on kept tables, whose count is read from file footers.
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
