@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import mixing, quality
+from loam.llm import mixing, quality, urlfilter
 from loam.sources.tables import table
 
 
@@ -26,9 +26,51 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(placed, spans).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_mix": op1_mix, "op7_quality": op7_quality}
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_day", F.col("page_id") * 7919 % 365)
+    out = urlfilter.url_filter(captures, urlfilter.entries_from_pages(pages))
+    return out.select("page_id", "host", "fetch_day", "n_active", "listed", "category")
+
+
+QUERIES = {"op1_mix": op1_mix, "op3_url_filter": op3_url_filter, "op7_quality": op7_quality}
 
 ORACLE = {
+    "op3_url_filter": r"""
+WITH p AS (
+  SELECT page_id, page_id * 7919 % 365 AS fetch_day,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)', 1) AS seg
+  FROM pages),
+n AS (
+  SELECT DISTINCT 'h' AS kind, host AS name FROM p
+  UNION SELECT 's', array_to_string(string_split(host, '.')[-3:], '.') FROM p
+  UNION SELECT 'p', host || '/' || seg FROM p),
+a AS (SELECT *, ('0x' || md5(name)[1:2])::BIGINT AS a FROM n WHERE name <> ''),
+entries AS (
+  SELECT 'd:' || name AS key, a % 90 AS day, 'add' AS action, 'spam' AS category FROM a WHERE kind = 'h' AND a % 4 = 0
+  UNION ALL SELECT 'd:' || name, a % 60 + 120, 'remove', 'spam' FROM a WHERE kind = 'h' AND a % 4 = 0
+  UNION ALL SELECT 'd:' || name, 240, 'add', 'malware' FROM a WHERE kind = 'h' AND a % 8 = 0
+  UNION ALL SELECT 'd:' || name, 30, 'add', 'adult' FROM a WHERE kind = 's' AND a % 16 = 1
+  UNION ALL SELECT 'd:' || name, 200, 'remove', 'adult' FROM a WHERE kind = 's' AND a % 16 = 1
+  UNION ALL SELECT 'p:' || name, a, 'add', 'tracker' FROM a WHERE kind = 'p' AND a % 8 = 2),
+best AS (
+  SELECT key, day, max((action, category)) AS e FROM entries GROUP BY key, day),
+iv AS (
+  SELECT * FROM (
+    SELECT key, day AS from_day, lead(day) OVER (PARTITION BY key ORDER BY day) AS to_day, e[1] AS action, e[2] AS category FROM best)
+  WHERE action = 'add'),
+k AS (
+  SELECT page_id, fetch_day, host, 'd:' || array_to_string(l[i:], '.') AS key, len(l) - i + 1 AS depth
+  FROM (SELECT *, string_split(host, '.') AS l, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM p)
+  UNION ALL
+  SELECT page_id, fetch_day, host, 'p:' || host || '/' || seg, len(string_split(host, '.')) + 1 FROM p),
+hits AS (
+  SELECT page_id, count(*) AS n_active, max_by(category, (depth, category)) AS category
+  FROM k JOIN iv ON k.key = iv.key AND fetch_day >= from_day AND (to_day IS NULL OR fetch_day < to_day)
+  GROUP BY page_id)
+SELECT p.page_id, host, fetch_day, coalesce(n_active, 0)::BIGINT AS n_active, n_active IS NOT NULL AS listed, category
+FROM p LEFT JOIN hits USING (page_id)""",
     "op1_mix": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
