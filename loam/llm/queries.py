@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import mixing, quality, urlfilter
+from loam.llm import mixing, pii, quality, urlfilter
 from loam.sources.tables import table
 
 
@@ -33,7 +33,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "fetch_day", "n_active", "listed", "category")
 
 
-QUERIES = {"op1_mix": op1_mix, "op3_url_filter": op3_url_filter, "op7_quality": op7_quality}
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(spans, ",")
+    base = F.transform("pii.base", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
+    terms = F.transform("pii.terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["stop"]))
+    count = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in pii.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.concat(base, terms)).alias("spans"),
+        F.size("pii.terms").cast("long").alias("n_term"),
+    )
+
+
+QUERIES = {"op1_mix": op1_mix, "op3_url_filter": op3_url_filter, "op6_pii": op6_pii, "op7_quality": op7_quality}
 
 ORACLE = {
     "op3_url_filter": r"""
