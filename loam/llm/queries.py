@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import mixing, pii, quality, urlfilter
+from loam.llm import chat, mixing, pii, quality, secrets, urlfilter
 from loam.sources.tables import table
 
 
@@ -33,6 +33,26 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "fetch_day", "n_active", "listed", "category")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
+    )
+    chats = chat.format_chats(chat.linear_replies(rows.unionByName(extra)))
+    return chats.select(F.col("tree").alias("conv_id"), chat.digest("formatted", "loss").alias("d")).select("conv_id", "d.*")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("findings", lambda s: s["kind"] != "cnn")
+    count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("findings")).alias("spans"), count("cnn"),
+    )
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda spans: F.array_join(spans, ",")
@@ -48,9 +68,28 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mix": op1_mix, "op3_url_filter": op3_url_filter, "op6_pii": op6_pii, "op7_quality": op7_quality}
+QUERIES = {
+    "op1_mix": op1_mix,
+    "op3_url_filter": op3_url_filter,
+    "op4_chat": op4_chat,
+    "op5_secrets": op5_secrets,
+    "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
+}
 
 ORACLE = {
+    "op4_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(regexp_replace(role, '([\\#<:])', '\\\1', 'g')) + 2
+           + length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + 8)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id""",
     "op3_url_filter": r"""
 WITH p AS (
   SELECT page_id, page_id * 7919 % 365 AS fetch_day,
