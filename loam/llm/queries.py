@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, mixing, pii, quality, secrets, urlfilter
+from loam.llm import chat, decontam, langid, mixing, pii, quality, secrets, urlfilter
 from loam.sources.tables import table
 
 
@@ -33,6 +33,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "fetch_day", "n_active", "listed", "category")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
@@ -68,13 +74,22 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs.where(~F.col("held_out")))
+    found = langid.identify(docs.select("doc_id", "text", "held_out"), model)
+    return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_chat": op4_chat,
     "op5_secrets": op5_secrets,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_language": op8_language,
 }
 
 ORACLE = {
