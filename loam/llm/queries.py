@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, decontam, langid, mixing, pii, quality, secrets, urlfilter
+from loam.llm import chat, decontam, jaccard, langid, mixing, pii, quality, secrets, urlfilter
 from loam.sources.tables import table
 
 
@@ -81,6 +81,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
@@ -90,6 +94,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE = {
