@@ -118,9 +118,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "jaccard-sets",
     )
     whole = sets.where("keys IS NOT NULL AND n_shared = n").select("doc_id", F.pandas_udf(_fingerprint, "binary")("keys").alias("fp"))
-    # a class's members, keyed by its smallest id; sets with a key of their own are classes of one
-    classes = keep(whole.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.collect_list("doc_id").alias("members")).where("m > 1"), "jaccard-classes")
-    copies = keep(classes.select("rep", F.explode("members").alias("doc_id")).where("doc_id <> rep"), "jaccard-copies")
+    # equal sets share all their keys; the others of a class are named by a join, so that none is gathered
+    whole = keep(whole, "jaccard-whole")
+    firsts = whole.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("fp", "rep")
+    copies = keep(whole.join(firsts, "fp").where("doc_id <> rep").select("rep", "doc_id"), "jaccard-copies")
     reps = sets.where("keys IS NOT NULL").join(small_side(copies), "doc_id", "left_anti").select("doc_id", "n", "n_shared", "keys")
     reps = keep(reps, "jaccard-reps")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, decontam, jaccard, langid, mixing, pii, quality, secrets, urlfilter
+from loam.llm import chat, decontam, jaccard, langid, mixing, pii, quality, repeats, secrets, urlfilter
 from loam.sources.tables import table
 
 
@@ -81,6 +81,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    r = F.col("repeats")
+    return found.select("doc_id", r["n_bytes"].alias("n_bytes"), r["n_removed"].alias("n_removed"), F.size(r["removed"]).cast("long").alias("n_spans"), r["kept_sha256"].alias("kept_sha256"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
+    "op9_repeats": op9_repeats,
     "op10_jaccard": op10_jaccard,
 }
 

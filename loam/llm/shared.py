@@ -7,8 +7,8 @@ documents of a stretch is shared and common whatever the rest of the corpus says
 per stretch without owners, so a key that a third of all documents hold costs each stretch one entry.
 
 ``shared_keys`` returns a row per document: its number of keys and its shared keys in a global order,
-rare first: by the number of documents that hold the key, keys that were common in any stretch last,
-ties by key. Keys that no other document holds come before all of them and are not returned.
+rare first: by the number of documents that hold the key, keys that were common in any stretch last
+(from place ``n_rare`` on), ties by key. Keys that no other document holds come before all of them and are not returned.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ COMMON = np.uint32(0xFFFFFFFF)
 Keyer = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
-def _pack(keys: np.ndarray) -> bytes:
+def pack(keys: np.ndarray) -> bytes:
     """Sorted keys as seven byte planes, the highest first, which compress well."""
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 6::-1].T).tobytes()
 
 
-def _unpack(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(blob, dtype=np.uint8).reshape(7, -1)
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     out[:, 6::-1] = planes.T
@@ -80,7 +80,8 @@ def _stretch(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, shift: int) -
     by_doc = np.argsort(hot_owner, kind="stable")
     own_hot = np.split(sorted_keys[hot][by_doc], np.cumsum(np.bincount(hot_owner, minlength=len(ids)))[:-1]) if len(ids) else []
     for doc_id, count, own in zip(ids.tolist(), n.tolist(), own_hot, strict=True):
-        for name, v in zip(STAGE.names, (doc_id, doc_id, count, _pack(own), None, None), strict=True):
+        slot = doc_id % (1 << (BITS - shift))
+        for name, v in zip(STAGE.names, (slot, doc_id, count, pack(own), None, None), strict=True):
             rows[name].append(v)
 
     send = np.concatenate([np.flatnonzero(~hot), first[times >= HOT]])
@@ -92,7 +93,7 @@ def _stretch(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, shift: int) -
     for a, b in zip(cuts, [*cuts[1:], len(sent)], strict=True):
         used, at = np.unique(owners[a:b], return_inverse=True)
         docs = ids[used[used < len(ids)]]
-        for name, v in zip(STAGE.names, (int(ranges[a]), None, None, _pack(sent[a:b]), at.astype("<u2").tobytes(), docs.tobytes()), strict=True):
+        for name, v in zip(STAGE.names, (int(ranges[a]), None, None, pack(sent[a:b]), at.astype("<u2").tobytes(), docs.tobytes()), strict=True):
             rows[name].append(v)
     return pa.RecordBatch.from_pydict(rows, schema=STAGE)
 
@@ -127,7 +128,7 @@ def _resolve(group: pa.Table) -> pa.Table:
             continue
         ids = np.frombuffer(docs, dtype=np.int64)
         index = np.frombuffer(at, dtype="<u2")
-        keys.append(_unpack(blob))
+        keys.append(unpack(blob))
         owned.append(index < len(ids))
         owners.append(np.concatenate([ids, [0]])[index])
     if keys:
@@ -144,23 +145,24 @@ def _resolve(group: pa.Table) -> pa.Table:
         k, o, df = k[order], o[order], df[order]
         cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else []
         for a, b in zip(cuts, [*cuts[1:], len(o)], strict=True):
-            for name, v in zip(ANSWER.names, (int(o[a]), None, _pack(k[a:b]), df[a:b].astype("<u4").tobytes()), strict=True):
+            for name, v in zip(ANSWER.names, (int(o[a]), None, pack(k[a:b]), df[a:b].astype("<u4").tobytes()), strict=True):
                 out[name].append(v)
     return pa.Table.from_pydict(out, schema=ANSWER)
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, order_keys = [], []
+        keys, rare = [], []
         for blobs, dfs in zip(batch.column("keys").to_pylist(), batch.column("df").to_pylist(), strict=True):
-            k = np.concatenate([_unpack(x) for x in blobs]) if blobs else np.zeros(0, dtype=np.uint64)
+            k = np.concatenate([unpack(x) for x in blobs]) if blobs else np.zeros(0, dtype=np.uint64)
             df = np.concatenate([np.frombuffer(x, dtype="<u4") for x in dfs]) if dfs else np.zeros(0, dtype=np.uint32)
             k, at = np.unique(k, return_index=True)
-            order_keys.append(np.lexsort((k, df[at])))
-            keys.append(k[order_keys[-1]].astype(np.int64))
+            keys.append(k[np.lexsort((k, df[at]))].astype(np.int64))
+            rare.append(int((df[at] < COMMON).sum()))
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "keys"])
+        columns = [batch.column("doc_id"), batch.column("n"), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "n_rare", "keys"])
 
 
 def key_ranges(docs: DataFrame) -> int:
@@ -170,9 +172,9 @@ def key_ranges(docs: DataFrame) -> int:
 
 
 def shared_keys(docs: DataFrame, keyer: Keyer) -> DataFrame:
-    """doc_id, n (its keys), keys (those shared, in global order) of every document (doc_id, text) with an id."""
+    """doc_id, n (its keys), n_rare, keys (those shared, in global order) of every document (doc_id, text) with an id."""
     packed = docs.select("doc_id", "text").mapInArrow(_emit(keyer, key_ranges(docs)), "slot long, doc_id long, n long, keys binary, at binary, docs binary")
     # documents and key ranges meet in the same exchange; a slot of either kind is small
     answers = packed.groupBy("slot").applyInArrow(_resolve, "doc_id long, n long, keys binary, df binary")
     per_doc = answers.groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list("keys").alias("keys"), F.collect_list("df").alias("df"))
-    return per_doc.mapInArrow(_ordered, "doc_id long, n long, keys array<long>")
+    return per_doc.mapInArrow(_ordered, "doc_id long, n long, n_rare long, keys array<long>")
