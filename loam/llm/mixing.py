@@ -195,7 +195,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", block: int
         deal.withColumn("first", start - F.col("at"))
         .withColumn("n", stop - start)
         .where("n > 0")
-        .select("ix", (F.col("pass_no") * F.col("blocks") + F.col("pos")).alias("unit"), "doc_id", "source", "at", "pass_no", "first", "n")
+        .select("ix", (F.col("pass_no") * F.col("blocks") + F.col("pos")).alias("unit"), "doc_id", "source", "d2", "at", "pass_no", "first", "n")
     )
     leaves = shard_counts(per, n_shards, n_units or 0, seed)
     ends = F.sum("n").over(Window.partitionBy("ix").orderBy("shard"))
@@ -203,7 +203,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", block: int
     dealt = dealt.select("ix", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("unit"))
     slot = F.xxhash64(F.lit(seed), "shard", "ix", "unit")
     spans = deal.join(dealt, ["ix", "unit"]).withColumn("slot", slot)
-    return placed, per, spans.select("shard", "slot", "source", "ix", "doc_id", "at", "pass_no", "first", "n")
+    return placed, per, spans.select("shard", "slot", "source", "ix", "doc_id", "d2", "at", "pass_no", "first", "n")
 
 
 def taken_words(placed: DataFrame, spans: DataFrame) -> DataFrame:
@@ -212,3 +212,23 @@ def taken_words(placed: DataFrame, spans: DataFrame) -> DataFrame:
     took = took.withColumn("holds", F.lit(True))
     docs = placed.withColumn("holds", F.col("size") > 0)
     return docs.join(took, ["ix", "at", "holds"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+
+
+def mixed_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix with its words: shard, slot, source, doc_id, pass_no, first_word, n_words, text.
+
+    A document's words are split once; white space inside a span stays as it was.
+    """
+    _, _, spans = mix(docs, **options)
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    part = F.struct("shard", "slot", "source", "pass_no", F.col("first").alias("first_word"), F.col("n").alias("n_words"))
+    per_doc = spans.groupBy(ident.alias("_id"), F.col("d2").alias("_d2")).agg(F.collect_list(part).alias("_parts"))
+    bodies = docs.select("doc_id", "text", ident.alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_d2")).dropDuplicates(["_id", "_d2"])
+    pieces = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    cut = let(
+        pieces,
+        lambda w: F.transform(
+            "_parts", lambda p: p.withField("text", F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), ""))
+        ),
+    )
+    return bodies.join(per_doc.hint("merge"), ["_id", "_d2"]).select("doc_id", F.inline(cut))
