@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from loam.registry import base
+from loam.registry import records as _records  # noqa: F401  registers
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE
 FLAGSHIP = "ret3_bm25_top5"
