@@ -51,19 +51,18 @@ def branches(messages: DataFrame, per_tree: int = 1) -> DataFrame:
         ),
         "chat-paths",
     )
-    while not seg.where("top IS NOT NULL").isEmpty():
-        above = seg.select("k", F.col("node").alias("top"), F.col("top").alias("up"), F.col("path").alias("before"), F.col("score").alias("more"))
-        joined = seg.join(above, ["k", "top"], "left")
+    whole, rising = seg.where("top IS NULL"), seg.where("top IS NOT NULL")
+    while not rising.isEmpty():
+        above = whole.unionAll(rising).select("k", F.col("node").alias("top"), F.col("top").alias("up"), F.col("path").alias("before"), F.col("score").alias("more"))
         seg = keep(
-            joined.select(
-                "tree", "k", "node", F.col("up").alias("top"),
-                F.when(F.col("before").isNotNull(), F.concat("before", "path")).otherwise(F.col("path")).alias("path"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+            rising.join(above, ["k", "top"]).select(
+                "tree", "k", "node", F.col("up").alias("top"), F.concat("before", "path").alias("path"), (F.col("score") + F.col("more")).alias("score")
             ),
             "chat-paths",
-        )
+        )
+        whole, rising = whole.unionAll(seg.where("top IS NULL")), seg.where("top IS NOT NULL")
     inner = m.where("parent IS NOT NULL").select("k", F.col("parent").alias("node")).distinct()
-    leaves = seg.join(inner, ["k", "node"], "left_anti")
+    leaves = whole.join(inner, ["k", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("k").orderBy(F.col("score").desc(), "path"))
     return leaves.withColumn("branch", rank).where(F.col("branch") <= per_tree).select("tree", "k", "branch", "path")
 
