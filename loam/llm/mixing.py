@@ -202,7 +202,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", block: int
     dealt = leaves.withColumn("end", ends).where("n > 0")
     dealt = dealt.select("ix", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("unit"))
     slot = F.xxhash64(F.lit(seed), "shard", "ix", "unit")
-    spans = deal.join(dealt, ["ix", "unit"]).withColumn("slot", slot)
+    # the leaves' size is unknown to the planner, and grows with the corpus: never to be broadcast
+    spans = deal.join(dealt.hint("merge"), ["ix", "unit"]).withColumn("slot", slot)
     return placed, per, spans.select("shard", "slot", "source", "ix", "doc_id", "d2", "at", "pass_no", "first", "n")
 
 
