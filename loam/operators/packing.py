@@ -44,9 +44,7 @@ def rank_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     terms = queries.select("query", "id", F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 1).alias("ts"))
     pairs = chunks.join(terms, "id")
     low = F.lower("text")
-    count = lambda t: (F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)
     tf = pairs.select("query", "id", "chunk", "n_words", F.explode("ts").alias("t"), low.alias("low"))
-    _ = count
     tf = tf.select("query", "id", "chunk", "n_words", "t", ((F.length("low") - F.length(F.replace("low", "t", F.lit("")))) / F.length("t")).alias("tf"))
     tf = tf.groupBy("query", "id", "chunk", "n_words", "t").agg(F.max("tf").alias("tf"))
     n = chunks.groupBy("id").agg(F.count("*").alias("n"), F.avg("n_words").alias("avg_words"))

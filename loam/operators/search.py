@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import scoring
+from loam.functions.binding import let
 from loam.functions import text as T
 from loam.plans.materialize import small_side
 
@@ -72,19 +73,17 @@ def hash_embedding(rows: DataFrame, dims: int = 384, id_: str = "id", text: str
 
     Features, once each per text: words 1.0, 3-grams of words of four letters or more 0.45, word pairs 1.35.
     """
-    w = T.search_terms(F.col(text))
-    one = F.transform(w, lambda x: F.struct(F.concat(F.lit("w:"), x).alias("f"), F.lit(1.0).alias("v")))
-    grams = F.flatten(
-        F.transform(
-            F.filter(w, lambda x: F.length(x) >= 4),
-            lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.struct(F.concat(F.lit("t:"), F.substring(x, i, F.lit(3))).alias("f"), F.lit(0.45).alias("v"))),
-        )
-    )
-    pairs = F.when(
-        F.size(w) > 1,
-        F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.struct(F.concat(F.lit("b:"), F.get(w, i), F.lit(" "), F.get(w, i + 1)).alias("f"), F.lit(1.35).alias("v"))),
-    ).otherwise(F.array().cast("array<struct<f:string,v:double>>"))
-    feats = rows.select(F.col(id_).alias("id"), F.explode(F.array_distinct(F.concat(one, grams, pairs))).alias("x")).select("id", "x.f", "x.v")
+    none = F.array().cast("array<struct<f:string,v:double>>")
+    feature = lambda f, v: F.struct(f.alias("f"), F.lit(v).alias("v"))
+
+    def features(w: Column) -> Column:
+        one = F.transform(w, lambda x: feature(F.concat(F.lit("w:"), x), 1.0))
+        parts = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: feature(F.concat(F.lit("t:"), F.substring(x, i, F.lit(3))), 0.45))
+        grams = F.flatten(F.transform(F.filter(F.array_distinct(w), lambda x: F.length(x) >= 4), parts))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: feature(F.concat(F.lit("b:"), F.get(w, i), F.lit(" "), F.get(w, i + 1)), 1.35))
+        return F.array_distinct(F.concat(one, grams, F.when(F.size(w) > 1, pairs).otherwise(none)))
+
+    feats = rows.select(F.col(id_).alias("id"), F.explode(let(T.search_terms(F.col(text)), features)).alias("x")).select("id", "x.f", "x.v")
     digest = F.sha2("f", 256)
     bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims
     sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
@@ -117,26 +116,33 @@ def boost_linked(hits: DataFrame, linked: DataFrame) -> DataFrame:
 
 def pair_score(query: Column, text: Column) -> Column:
     """Reranking score of a pair: keyword places, phrase, shared identifiers, length."""
-    q, c = T.rerank_tokens(query), T.rerank_tokens(text)
-    place = F.transform(q, lambda w: F.array_position(c, w))
-    keyword = F.aggregate(place, F.lit(0.0), lambda a, p: a + F.when(p > 0, F.exp(-(p - 1) / 50.0)).otherwise(0.0))
-    keyword = F.when(F.size(q) > 0, F.least(F.lit(1.0), keyword / F.size(q))).otherwise(0.0)
-    low = F.lower(text)
-    long = F.filter(F.split(F.lower(F.trim(query)), r"\s+"), lambda w: F.length(w) > 2)
-    n = F.size(long) - 1
-    hits = F.when(n > 0, F.size(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.contains(low, F.concat_ws(" ", F.get(long, i), F.get(long, i + 1)))))).otherwise(0)
-    share = hits / F.greatest(n, F.lit(1))
-    phrase = (
-        F.when(F.contains(low, F.lower(F.trim(query))), 0.3)
-        .when((n >= 2) & F.contains(low, F.array_join(long, " ")), 0.2)
-        .when((n >= 2) & (share > 0.5), 0.15 * share)
-        .otherwise(0.0)
-    )
-    a = F.transform(T.key_entities(query, 1000), F.lower)
-    b = F.transform(T.key_entities(text, 1000), F.lower)
-    entity = F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(a)) * 0.25).otherwise(0.0)
-    size = F.least(F.lit(1.0), F.size(c) / 20.0)
-    return F.least(F.lit(1.0), keyword * 0.4 + phrase * 0.3 + entity * 0.25 + size * 0.05)
+
+    def keyword(q: Column, c: Column) -> Column:
+        places = F.transform(q, lambda w: F.array_position(c, w))
+        total = F.aggregate(places, F.lit(0.0), lambda a, p: a + F.when(p > 0, F.exp(-(p - 1) / 50.0)).otherwise(0.0))
+        found = F.when(F.size(q) > 0, F.least(F.lit(1.0), total / F.size(q))).otherwise(0.0)
+        return found * 0.4 + F.least(F.lit(1.0), F.size(c) / 20.0) * 0.05
+
+    def phrase(low: Column, asked: Column) -> Column:
+        long = F.filter(F.split(asked, r"\s+"), lambda w: F.length(w) > 2)
+
+        def of(ws: Column) -> Column:
+            n = F.size(ws) - 1
+            pairs = F.zip_with(F.slice(ws, 1, F.greatest(n, F.lit(0))), F.slice(ws, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+            share = F.size(F.filter(pairs, lambda p: F.contains(low, p))) / F.greatest(n, F.lit(1))
+            whole = F.when(F.contains(low, asked), 0.3).when((n >= 2) & F.contains(low, F.array_join(ws, " ")), 0.2)
+            return whole.when((n >= 2) & (share > 0.5), 0.15 * share).otherwise(0.0)
+
+        return let(long, of)
+
+    def entities(a: Column, b: Column) -> Column:
+        return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(a)) * 0.25).otherwise(0.0)
+
+    names = lambda t: F.transform(T.key_entities(t, 1000), F.lower)
+    words = let(T.rerank_tokens(query), lambda q: let(T.rerank_tokens(text), lambda c: keyword(q, c)))
+    said = let(F.lower(text), lambda low: let(F.lower(F.trim(query)), lambda asked: phrase(low, asked)))
+    named = let(names(query), lambda a: let(names(text), lambda b: entities(a, b)))
+    return F.least(F.lit(1.0), words + said * 0.3 + named * 0.25)
 
 
 def rerank(hits: DataFrame, k: int = 5, at_least: float = 0.05) -> DataFrame:
@@ -165,11 +171,9 @@ SYNONYMS = {
 
 def expand_queries(queries: DataFrame, per_term: int = 2, most: int = 30) -> DataFrame:
     """query, terms: each query's own terms, then up to ``per_term`` synonyms of those not negated."""
-    spark = queries.sparkSession
     table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v[:per_term]]))])
     own = T.query_terms(F.col("text"))
     more = F.flatten(F.transform(F.array_except(own, T.negated_terms(F.col("text"))), lambda w: F.coalesce(table[w], F.array().cast("array<string>"))))
-    _ = spark
     return queries.select("query", F.slice(F.array_distinct(F.concat(own, more)), 1, most).alias("terms"))
 
 

@@ -116,7 +116,7 @@ def snk3_delete_cascade(t):
     return left.groupBy("source").agg(F.count("*").alias("edges"))
 
 
-@query("""SELECT user_id, min(epoch_ms(ts)) // 1000 AS created_s, max(epoch_ms(ts)) // 1000 AS updated_s, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id""")
+@query("""SELECT user_id, min(epoch_us(ts)) // 1000000 AS created_s, max(epoch_us(ts)) // 1000000 AS updated_s, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY user_id""")
 def snk4_session_upsert(t):
     rows = t.events.select("user_id", F.col("ts").alias("created_at"), F.struct("ts", "event_id").alias("updated_at"), F.col("event_type").alias("state"))
     stored, batch = rows.where("updated_at.event_id % 2 = 0"), rows.where("updated_at.event_id % 2 = 1")
