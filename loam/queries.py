@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loam.registry import base
-from loam.registry import jobs, records, search, streams, text  # noqa: F401  register themselves
+from loam.registry import jobs, pipelines, records, search, streams, text  # noqa: F401  register themselves
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
