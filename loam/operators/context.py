@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loam.functions import detect, scoring
 from loam.functions import text as T
 from loam.operators import packing, search
+from loam.plans.materialize import keep, small_side
 from loam.schemas import risk_of, risk_rank
 
 
@@ -72,7 +73,7 @@ def lineage(ids: DataFrame, log: DataFrame, n: int = 5) -> DataFrame:
 
 def pack(queries: DataFrame, records: DataFrame, now: Column, window_tokens: int = 8_000, k: int = 8) -> DataFrame:
     """One row a query: task, budget, ids kept, tokens used, ids evicted and the evidence spans chosen."""
-    hits = recall(queries, records, now, k).select("query", "id", "score")
+    hits = keep(recall(queries, records, now, k).select("query", "id", "score"), "recalled")
     details = hits.join(records.select("id", "kind", "confidence", "text"), "id").withColumn("tokens", T.token_estimate(F.col("text")))
     tasks = queries.select("query", detect.task_type(F.col("text")).alias("task")).withColumn("budget", packing.token_budget(F.col("task"), F.lit(window_tokens)))
     fitted = packing.enforce_budget(details.join(tasks, "query"), F.col("budget"))
@@ -100,7 +101,7 @@ def operational_details(records: DataFrame, n: int = 5) -> DataFrame:
 
 def tune(cases: DataFrame, policies: DataFrame) -> DataFrame:
     """policy, value of the best of a policy grid (policy, k) over cases (query, rank, hit, tokens): mean recall less token and overflow costs."""
-    pairs = cases.crossJoin(F.broadcast(policies.limit(1000)))  # a grid of settings
+    pairs = cases.crossJoin(small_side(policies, 1000))  # a grid of settings
     used = pairs.where(F.col("rank") <= F.col("k")).groupBy("policy", "query").agg(F.max("hit").alias("hit"), F.sum("tokens").alias("tokens"))
     value = F.avg("hit") - 0.0005 * F.avg("tokens") - 0.2 * F.avg((F.col("tokens") > 1000).cast("double"))
     scored = used.groupBy("policy").agg(value.alias("value"))

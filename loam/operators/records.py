@@ -30,9 +30,10 @@ def resolve_prefixes(prefixes: DataFrame, ids: DataFrame, at_least: int = 1) ->
 
     Every id offers its own prefixes of the lengths asked for, so the match is an equi-join.
     """
-    lengths = prefixes.select(F.length("prefix").alias("n")).where(F.col("n") >= at_least).distinct()
-    cut = ids.select(F.col("id").cast("string").alias("id")).crossJoin(F.broadcast(lengths.limit(64)))  # ids have at most 64 characters
-    cut = cut.where(F.length("id") >= F.col("n")).select(F.expr("substring(id, 1, n)").alias("prefix"), "id")
+    lengths = [r.n for r in prefixes.select(F.length("prefix").alias("n")).where(F.col("n") >= at_least).distinct().collect()]  # no more than an id has characters
+    ids = ids.select(F.col("id").cast("string").alias("id"))
+    cut = ids.select("id", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).where(F.length("id") >= F.col("n"))
+    cut = cut.select(F.expr("substring(id, 1, n)").alias("prefix"), "id")
     found = cut.join(prefixes.select("prefix").distinct(), "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("matches"), F.min("id").alias("one"))
     status = F.when(F.col("matches").isNull(), "missing").when(F.col("matches") > 1, "ambiguous").otherwise("ok")
     return prefixes.join(found, "prefix", "left").select("prefix", status.alias("status"), F.when(F.col("matches") == 1, F.col("one")).alias("id"))

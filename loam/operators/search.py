@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loam.functions import scoring
 from loam.functions.binding import let
 from loam.functions import text as T
-from loam.plans.materialize import small_side
+from loam.plans.materialize import keep, small_side
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -50,13 +50,16 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """query, id, similarity, rank by exact cosine: every query (query, vec) against all rows (id, vec)."""
-    pairs = rows.crossJoin(F.broadcast(queries.select("query", F.col("vec").alias("q")).limit(10_000)))  # a stated, bounded query set
-    scored = pairs.select("query", "id", scoring.cosine(F.col("q"), F.col("vec")).alias("similarity")).where("similarity IS NOT NULL")
-    if threshold is not None:
-        scored = scored.where(F.col("similarity") >= threshold)
-    return top_k(scored, k, "similarity")
+def knn(queries: DataFrame, rows: DataFrame, k: int | None, threshold: float | None = None) -> DataFrame:
+    """query, id, similarity, rank by exact cosine of every query (query, vec) against all rows (id, vec) of its length.
+
+    Blocks of queries meet blocks of rows as matrices; each block pair returns its own best ``k`` of a
+    query, which are merged. With a ``threshold`` and no ``k`` all hits at or above it come back.
+    """
+    from loam.plans.blocks import nearest
+
+    best = nearest(queries, rows, k, threshold)
+    return top_k(best, k if k is not None else 1 << 30, "similarity")
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
@@ -104,7 +107,8 @@ def mentions(rows: DataFrame, phrases: DataFrame, row_id: str, phrase_id: str) -
     words = rows.select(row_id, F.explode(F.array_distinct(inner(F.col("text")))).alias("key"))
     pairs = words.join(small_side(keyed.where("key <> ''").select(phrase_id, "key")), "key").select(row_id, phrase_id)
     found = pairs.join(rows, row_id).join(phrases, phrase_id).where(F.contains("text", "phrase")).select(row_id, phrase_id)
-    rest = rows.crossJoin(F.broadcast(keyed.where("key IS NULL OR key = ''").select(phrase_id, "phrase").limit(1000))).where(F.contains("text", "phrase")).select(row_id, phrase_id)
+    short = keep(keyed.where("key IS NULL OR key = ''").select(phrase_id, "phrase"), "short-phrases")  # one or two words: tried on every row
+    rest = rows.join(small_side(short), F.contains("text", "phrase")).select(row_id, phrase_id)
     return found.unionAll(rest)
 
 

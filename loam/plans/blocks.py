@@ -39,3 +39,31 @@ def similar_pairs(rows: DataFrame, threshold: float, block: int = 2048) -> DataF
 
     agent = dict(rows.dtypes)["agent"]
     return sent.groupBy("x", "y").applyInPandas(compare, f"a long, b long, similarity double, agent_a {agent}, agent_b {agent}")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int | None, threshold: float | None, block: int = 2048) -> DataFrame:
+    """query, id, similarity: of every pair of a block of queries and a block of rows the best ``k`` hits of each query."""
+    nq, nr = (max(1, -(-df.count() // block)) for df in (queries, rows))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    ask = queries.select(part("query", nq).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("y"), F.col("query").alias("key"), F.col("vec").cast("array<double>").alias("vec"), F.lit(True).alias("asks"))
+    have = rows.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("x"), part("id", nr).alias("y"), F.col("id").alias("key"), F.col("vec").cast("array<double>").alias("vec"), F.lit(False).alias("asks"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        q, r = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        for dims in sorted({len(v) for v in q["vec"]}):
+            a, b = q[q["vec"].map(len) == dims], r[r["vec"].map(len) == dims]
+            if not dims or not len(b):
+                continue
+            u, v = (np.stack(z["vec"].to_list()).astype(float) for z in (a, b))
+            u, v = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0) for m in (u, v))
+            sims, ids = np.clip(u @ v.T, -1, 1), b["key"].to_numpy()
+            for i, key in enumerate(a["key"]):
+                row = sims[i]
+                at = np.flatnonzero(row >= threshold) if threshold is not None else np.arange(len(row))
+                if k is not None and len(at) > k:
+                    at = at[np.lexsort((ids[at], -np.round(row[at], 9)))[:k]]
+                out.append(pd.DataFrame({"query": key, "id": ids[at], "similarity": row[at]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query": [], "id": [], "similarity": []}).astype({"query": "int64", "id": "int64"})
+
+    return ask.unionByName(have).groupBy("x", "y").applyInPandas(compare, "query long, id long, similarity double")

@@ -16,13 +16,18 @@ RISK = case_sql(KIND_RISK, "kind")
 RANK = case_sql(RISK_ORDER, f"({RISK})")
 
 # BM25 over documents for the benchmark passages, shared by several oracles.
-BM25_SQL = """terms AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 1)) AS term FROM documents),
-lens AS (SELECT id, count(*) AS len FROM terms GROUP BY id), tf AS (SELECT term, id, count(*) AS tf FROM terms GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len) FROM lens) / (SELECT count(*) FROM documents)::DOUBLE AS avg_len),
-q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 1)) AS term FROM benchmark),
-scored AS (SELECT query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
- FROM q JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (id), n GROUP BY query, id),
-lexical AS (SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM scored))"""
+def bm25_sql(text: str, p: str = "") -> str:
+    """Common table expressions ending in ``{p}lexical`` (query, id, score, rank) over a text expression of ``documents``."""
+    return f"""{p}terms AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS term FROM documents),
+{p}lens AS (SELECT id, count(*) AS len FROM {p}terms GROUP BY id), {p}tf AS (SELECT term, id, count(*) AS tf FROM {p}terms GROUP BY ALL),
+{p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term), {p}n AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len) FROM {p}lens) / (SELECT count(*) FROM documents)::DOUBLE AS avg_len),
+{p}q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)) AS term FROM benchmark),
+{p}scored AS (SELECT query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) AS score
+ FROM {p}q JOIN {p}tf USING (term) JOIN {p}df USING (term) JOIN {p}lens USING (id), {p}n GROUP BY query, id),
+{p}lexical AS (SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM {p}scored))"""
+
+
+BM25_SQL = bm25_sql("text")
 
 
 def bm25(t, k):
@@ -100,16 +105,14 @@ def win1_semantic_rank(t):
     return knn(t, 3).select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {BM25_SQL}, sem AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY (id * 31 + query * 17) % 1009, id) AS rank FROM (SELECT DISTINCT item_id AS query FROM benchmark), (SELECT doc_id AS id FROM documents WHERE doc_id % 7 = 0)),
+@query(f"""WITH {BM25_SQL}, {bm25_sql('left(text, 300)', 'h')},
 f AS (SELECT coalesce(l.query, s.query) AS query, coalesce(l.id, s.id) AS id, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) AS score
-FROM (SELECT * FROM lexical WHERE rank <= 50) l FULL JOIN (SELECT * FROM sem WHERE rank <= 50) s ON l.query = s.query AND l.id = s.id)
+FROM (SELECT * FROM lexical WHERE rank <= 50) l FULL JOIN (SELECT * FROM hlexical WHERE rank <= 50) s ON l.query = s.query AND l.id = s.id)
 SELECT query, id, rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10""")
 def ret6_rank_fusion(t):
-    ids = t.documents.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
-    pairs = ids.crossJoin(F.broadcast(t.benchmark.select(F.col("item_id").alias("query")).distinct().limit(10_000)))  # a stated, bounded query set
-    w = Window.partitionBy("query").orderBy((F.col("id") * 31 + F.col("query") * 17) % 1009, "id")
-    sem = pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 50")
-    return search.fuse(bm25(t, 50), sem, 10).select("query", "id", F.col("rank").cast("long").alias("rank"))
+    heads = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("text"))
+    second = search.bm25(t.benchmark.select(F.col("item_id").alias("query"), "text"), heads, 50)
+    return search.fuse(bm25(t, 50), second, 10).select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -145,7 +148,7 @@ def ded1_exact(t):
 def ded2_near_vectors(t):
     e = t.embeddings
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
-    hits = search.knn(queries, e.where("label <> 9").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 1 << 30, 0.3)
+    hits = search.knn(queries, e.where("label <> 9").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), None, 0.3)
     return hits.where("id <> query").select("query", "id", S.half_up(F.col("similarity"), 6).alias("similarity"))
 
 
