@@ -26,18 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.bytehash import MASK56, Prefix, mix
-from loam.llm.shared import BITS, key_ranges, pack, shared_keys, unpack
-from loam.plans.materialize import keep, small_side
+from loam.llm.bytehash import MASK56, Prefix, mix, runs
+from loam.llm.shared import BITS, binary, key_ranges, pack, shared_keys, squeeze, unpack, unsqueeze
+from loam.plans.materialize import keep
 
 SPAN = 50
 GRAM = 20
-PIECE = 8_000_000
+PIECE = 1_000_000
 PLACE = np.uint64((1 << 24) - 1)
-STRETCH_BYTES = 6_000_000
+STRETCH_BYTES = 4_000_000
 
 
 class Scanned:
@@ -114,21 +115,24 @@ def _later(group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, d > least
 
 
-def _mark_rows(out: dict, docs: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray, ranges: int | None) -> None:
-    """Appends, per document, its marked intervals: sorted and merged."""
-    if not len(owner):
-        return
+def _merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Owners, and for each the union of its intervals as a binary of (start, stop) pairs."""
     order = np.lexsort((start, owner))
-    owner, start, stop = owner[order], start[order], stop[order]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True):
-        s, e = start[a:b], np.maximum.accumulate(stop[a:b])
-        new = np.concatenate([[True], s[1:] > e[:-1]])
-        merged = np.stack([s[new], e[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(s) - 1]])]], axis=1).astype("<i4").tobytes()
-        doc_id, th = docs[owner[a]].tolist()
-        row = (doc_id, th, merged) if ranges is None else (doc_id % ranges, MARKED, None, None, merged, docs[owner[a]].tobytes(), None)
-        for name, v in zip(out, row, strict=True):
-            out[name].append(v)
+    owner, start, stop = owner[order].astype(np.int64), start[order], stop[order]
+    far = owner << 40  # keeps owners apart in one running maximum
+    reach = np.maximum.accumulate(stop + far)
+    new = np.concatenate([[True], start[1:] + far[1:] > reach[:-1]])
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(owner)]]) - 1
+    pairs = np.stack([start[first], reach[last] - far[last]], axis=1).astype("<i4")
+    own, counts = np.unique(owner[first], return_counts=True)
+    return own, binary(pairs.ravel(), counts * 2)
+
+
+def _gather(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the slices [begin, begin + size), one after another."""
+    base = np.cumsum(size) - size
+    return np.arange(int(size.sum())) - np.repeat(base, size) + np.repeat(begin, size)
 
 
 class _Stretch:
@@ -150,8 +154,7 @@ class _Stretch:
             last = np.concatenate([new[1:], [len(s.at)]]) - 1
             key, doc = s.grams[s.anchor[new]] & MASK56, s.doc[new]
             kind = np.full(len(new), -1, dtype=np.int8)
-            cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+            for a, b in runs(doc):
                 own, few = shared[doc[a]], int(rare[doc[a]])
                 for part, code in ((own[:few], RUNS), (own[few:], WINDOWS)):
                     if len(part):
@@ -163,7 +166,7 @@ class _Stretch:
             if len(begin):
                 shift = s.shift[new[run]]
                 self.runs.append((key[run], s.prefix.of(begin, end), doc[run] + base, begin + shift, end - begin))
-                flat = np.arange(int((end - begin).sum())) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
+                flat = _gather(begin, end - begin)
                 self.blobs.append(s.raw[flat])
                 self.size += len(flat)
             win = np.repeat(kind == WINDOWS, last - new + 1)
@@ -187,13 +190,12 @@ class _Stretch:
             stay = order[~later]
             stay = stay[np.argsort(key[stay], kind="stable")]
             part = key[stay] >> np.uint64(self.shift)
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            for a, b in runs(part):
                 rows = stay[a:b]
                 used, at = np.unique(owner[rows], return_inverse=True)
-                text = b"".join(blob[offset[r] : offset[r] + size[r]].tobytes() for r in rows)
-                place = begin[rows].astype("<i4").tobytes() + size[rows].astype("<i4").tobytes()
-                for name, v in zip(STAGE.names, (int(part[a]), RUNS, pack(key[rows]), at.astype("<u4").tobytes(), place, docs[used].tobytes(), text), strict=True):
+                text = blob[_gather(offset[rows], size[rows])].tobytes()
+                place = squeeze(np.concatenate([begin[rows], size[rows]]).astype("<i4"))
+                for name, v in zip(STAGE.names, (int(part[a]), RUNS, squeeze(pack(key[rows])), squeeze(at.astype("<u4")), place, squeeze(docs[used].ravel()), squeeze(text)), strict=True):
                     out[name].append(v)
         if self.windows:
             key, owner, begin = (np.concatenate(x) for x in zip(*self.windows, strict=True))
@@ -202,28 +204,36 @@ class _Stretch:
             marks.append((owner[gone], begin[gone], begin[gone] + SPAN))
             stay = order[~later]  # by key
             part = key[stay] >> np.uint64(self.shift)
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+            for a, b in runs(part):
                 rows = stay[a:b]
                 used, at = np.unique(owner[rows], return_inverse=True)
-                row = (int(part[a]) + ranges, WINDOWS, pack(key[rows]), at.astype("<u4").tobytes(), begin[rows].astype("<i4").tobytes(), docs[used].tobytes(), None)
+                row = (int(part[a]) + ranges, WINDOWS, squeeze(pack(key[rows])), squeeze(at.astype("<u4")), squeeze(begin[rows].astype("<i4")), squeeze(docs[used].ravel()), None)
                 for name, v in zip(STAGE.names, row, strict=True):
                     out[name].append(v)
-        if marks:
-            _mark_rows(out, docs, *(np.concatenate(x) for x in zip(*marks, strict=True)), ranges)
-        return pa.RecordBatch.from_pydict(out, schema=STAGE)
+        sent = pa.RecordBatch.from_pydict(out, schema=STAGE)
+        owner, begin, stop = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, dtype=np.int64),) * 3
+        if not len(owner):
+            return sent
+        own, blobs = _merged(owner, begin, stop)
+        none = pa.nulls(len(own), pa.binary())
+        names = binary(docs[own].ravel(), np.full(len(own), 2))
+        settled = [pa.array(docs[own, 0] % ranges), pa.array(np.full(len(own), MARKED, dtype=np.int32)), none, none, blobs, names, none]
+        return pa.Table.from_batches([sent, pa.RecordBatch.from_arrays(settled, schema=STAGE)]).combine_chunks().to_batches()[0]
 
 
 def _emit(shift: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Stretch(shift)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 shared = part.column("keys")
                 own = [shared[i].values.to_numpy(zero_copy_only=False).astype(np.uint64) if shared[i].is_valid else np.zeros(0, dtype=np.uint64) for i in range(part.num_rows)]
                 numbers = [part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "th", "n_rare")]
+                for i, gone in enumerate(part.column("copies").to_pylist()):
+                    if gone and numbers[1][i] in gone:  # settled as a whole
+                        texts[i] = b""
                 held.add(numbers[0], numbers[1], texts, own, numbers[2])
                 if held.size >= STRETCH_BYTES:
                     yield held.flush()
@@ -236,22 +246,21 @@ def _emit(shift: int):
 
 def _meet(group: pa.Table) -> pa.Table:
     """One slot: marks pass; equal windows of different documents meet, the later ones are marked."""
-    out: dict[str, list] = {name: [] for name in MARKS.names}
-    docs, runs, windows, count = [], [], [], 0
-    for kind, keys, at, place, table, text in zip(*(group.column(c).to_pylist() for c in ("kind", "keys", "at", "place", "docs", "bytes")), strict=True):
-        own = np.frombuffer(table, dtype=np.int64).reshape(-1, 2)
-        if kind == MARKED:
-            for name, v in zip(MARKS.names, (*own[0].tolist(), place), strict=True):
-                out[name].append(v)
-            continue
+    settled = group.filter(pc.equal(group["kind"], MARKED)).select(["docs", "place"]).combine_chunks()
+    named = np.frombuffer(b"".join(settled["docs"].to_pylist()), dtype=np.int64).reshape(-1, 2)
+    out = [pa.Table.from_arrays([pa.array(named[:, 0]), pa.array(named[:, 1]), settled["place"]], schema=MARKS)]
+    docs, blocks, windows, count = [], [], [], 0
+    sent = group.filter(pc.not_equal(group["kind"], MARKED))
+    for kind, keys, at, place, table, text in zip(*(sent.column(c).to_pylist() for c in ("kind", "keys", "at", "place", "docs", "bytes")), strict=True):
+        own = unsqueeze(table, "<i8").reshape(-1, 2)
         docs.append(own)
-        owner = np.frombuffer(at, dtype="<u4").astype(np.int64) + count
+        owner = unsqueeze(at, "<u4").astype(np.int64) + count
         count += len(own)
-        numbers = np.frombuffer(place, dtype="<i4").astype(np.int64)
+        numbers = unsqueeze(place, "<i4").astype(np.int64)
         if kind == RUNS:
-            runs.append((unpack(keys), owner, numbers[: len(owner)], numbers[len(owner) :], np.frombuffer(text, dtype=np.uint8)))
+            blocks.append((unpack(unsqueeze(keys)), owner, numbers[: len(owner)], numbers[len(owner) :], np.frombuffer(unsqueeze(text), dtype=np.uint8)))
         else:
-            windows.append((unpack(keys), owner, numbers))
+            windows.append((unpack(unsqueeze(keys)), owner, numbers))
     marks = []
     docs = np.concatenate(docs) if docs else np.zeros((0, 2), dtype=np.int64)
     if windows:
@@ -259,8 +268,8 @@ def _meet(group: pa.Table) -> pa.Table:
         order, later = _later(key, docs[owner, 0])
         gone = order[later]
         marks.append((owner[gone], begin[gone], begin[gone] + SPAN))
-    if runs:
-        key, owner, begin, size, blob = (np.concatenate(x) for x in zip(*runs, strict=True))
+    if blocks:
+        key, owner, begin, size, blob = (np.concatenate(x) for x in zip(*blocks, strict=True))
         offset = np.cumsum(size) - size
         order = np.argsort(key, kind="stable")
         edges = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
@@ -272,8 +281,7 @@ def _meet(group: pa.Table) -> pa.Table:
             rows = order[edges[a] : edges[b]]
             own = size[rows]
             base = np.cumsum(own) - own
-            flat = np.arange(int(own.sum())) - np.repeat(base, own) + np.repeat(offset[rows], own)
-            prefix = Prefix(blob[flat])
+            prefix = Prefix(blob[_gather(offset[rows], own)])
             count = own - SPAN + 1
             row = np.repeat(np.arange(len(rows)), count)
             step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -283,20 +291,23 @@ def _meet(group: pa.Table) -> pa.Table:
             start = begin[rows[row[gone]]] + step[gone]
             marks.append((owner[rows[row[gone]]], start, start + SPAN))
             a = b
-    if marks:
-        _mark_rows(out, docs, *(np.concatenate(x) for x in zip(*marks, strict=True)), None)
-    return pa.Table.from_pydict(out, schema=MARKS)
+    owner, begin, stop = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, dtype=np.int64),) * 3
+    if len(owner):
+        own, blobs = _merged(owner, begin, stop)
+        out.append(pa.Table.from_arrays([pa.array(docs[own, 0]), pa.array(docs[own, 1]), blobs], schema=MARKS))
+    return pa.concat_tables(out).combine_chunks()
 
 
-def _cut(text: pd.Series, marks: pd.Series, copy: pd.Series) -> pd.DataFrame:
+def _cut(text: pd.Series, th: pd.Series, marks: pd.Series) -> pd.DataFrame:
     rows = []
-    for t, blobs, whole in zip(text, marks, copy, strict=True):
+    for t, own, entries in zip(text, th, marks, strict=True):
         raw = (t or "").encode()
+        mine = [e["marks"] for e in (entries if entries is not None else ()) if e["th"] == own]
         spans = []
-        if whole and len(raw) >= SPAN:
+        if any(m is None for m in mine) and len(raw) >= SPAN:  # a copy of an earlier text
             spans = [(0, len(raw))]
-        elif blobs is not None and len(blobs):
-            for s, e in sorted(tuple(x) for m in blobs for x in np.frombuffer(m, dtype="<i4").reshape(-1, 2).tolist()):
+        else:
+            for s, e in sorted(tuple(x) for m in mine if m is not None for x in np.frombuffer(m, dtype="<i4").reshape(-1, 2).tolist()):
                 if spans and s <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
                 else:
@@ -324,14 +335,16 @@ def repeated_passages(docs: DataFrame, out: str = "repeats") -> DataFrame:
     shift = key_ranges(docs)
     shared = shared_keys(docs, anchor_keys).where(F.size("keys") > 0).select("doc_id", "n_rare", "keys")
     shared = keep(shared, "repeat-anchors")
+    whole = copies.groupBy("doc_id").agg(F.collect_set("th").alias("copies"))
+    shared = shared.join(whole.hint("merge"), "doc_id", "left")
+    # both joins read one exchange of the texts
     spread = named.repartition("doc_id")
-    looked = spread.join(shared.hint("merge"), "doc_id").join(small_side(copies), ["doc_id", "th"], "left_anti")
-    packed = looked.select("doc_id", "th", "text", "n_rare", "keys").mapInArrow(_emit(shift), STAGE_DDL)
+    looked = spread.join(shared.hint("merge"), "doc_id")
+    packed = looked.select("doc_id", "th", "text", "n_rare", "keys", "copies").mapInArrow(_emit(shift), STAGE_DDL)
     marks = packed.groupBy("slot").applyInArrow(_meet, "doc_id long, th long, marks binary")
-    marks = marks.groupBy("doc_id", "th").agg(F.collect_list("marks").alias("marks"))
+    marks = marks.unionAll(copies.select("doc_id", "th", F.lit(None).cast("binary")))
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("th", "marks")).alias("marks"))
+    joined = spread.join(marks.hint("merge"), "doc_id", "left").select("doc_id", "th", "text", "marks")
+    nameless = docs.where("doc_id IS NULL").select("doc_id", th.alias("th"), "text", F.lit(None).cast("array<struct<th:bigint,marks:binary>>").alias("marks"))
     cut = F.pandas_udf(_cut, REPORT)
-    whole = small_side(copies.withColumn("copy", F.lit(True)))
-    joined = spread.join(marks.hint("merge"), ["doc_id", "th"], "left").join(whole, ["doc_id", "th"], "left")
-    nameless = docs.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"), F.lit(None).cast("boolean").alias("copy"))
-    every = joined.select("doc_id", "text", "marks", "copy").unionAll(nameless)
-    return every.select("doc_id", "text", cut("text", "marks", F.coalesce("copy", F.lit(False))).alias(out))
+    return joined.unionAll(nameless).select("doc_id", "text", cut("text", "th", "marks").alias(out))

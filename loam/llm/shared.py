@@ -2,7 +2,7 @@
 
 A document is a set of 56-bit keys (hashed shingles, hashed anchors). A plain row per key would cost
 four times the key, so each task sorts the keys of a stretch of documents and ships, per key range,
-one packed row: keys as bytes, the owner of each as a short index. A key held by ``HOT`` or more
+one packed row: keys as compressed steps, the owner of each as a short index. A key held by ``HOT`` or more
 documents of a stretch is shared and common whatever the rest of the corpus says: it is sent once
 per stretch without owners, so a key that a third of all documents hold costs each stretch one entry.
 
@@ -17,15 +17,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm.bytehash import runs
+
 HOT = 8
 BITS = 56
 #: Keys of one stretch, text of one chunk and text for one key range, at most (a single longer document excepted).
-STRETCH_KEYS = 2_000_000
-CHUNK_BYTES = 2_000_000
-RANGE_BYTES = 24_000_000
+STRETCH_KEYS = 800_000
+CHUNK_BYTES = 1_000_000
+RANGE_BYTES = 16_000_000
 COMMON = np.uint32(0xFFFFFFFF)
 
 #: Takes UTF-8 texts, returns (keys, document index of each), grouped by document, no key twice in one.
@@ -33,15 +36,38 @@ Keyer = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as seven byte planes, the highest first, which compress well."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 6::-1].T).tobytes()
+    """Ascending keys as seven byte planes of their steps."""
+    steps = np.diff(keys.astype("<u8"), prepend=np.uint64(0)) if len(keys) else keys.astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, 6::-1].T).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(blob, dtype=np.uint8).reshape(7, -1)
     out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     out[:, 6::-1] = planes.T
-    return out.view("<u8").ravel()
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
+def squeeze(values: np.ndarray | bytes) -> bytes:
+    """Numbers as compressed byte planes; bytes as they are, compressed."""
+    raw = values
+    if not isinstance(values, bytes):
+        raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes() if len(values) else b""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unsqueeze(blob: bytes, dtype: str | None = None):
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    if dtype is None:
+        return raw
+    kind = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """``counts`` consecutive values to each entry of a binary column."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
 STAGE = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("at", pa.binary()), ("docs", pa.binary())])
@@ -52,16 +78,17 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
     """Documents with an id, in chunks of bounded text."""
     ids, texts, size = [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if doc_id is None:
-                continue
-            raw = (text or "").encode()
-            ids.append(doc_id)
-            texts.append(raw)
-            size += len(raw)
-            if size >= CHUNK_BYTES or len(ids) >= 4000:
-                yield np.array(ids, dtype=np.int64), texts
-                ids, texts, size = [], [], 0
+        for a in range(0, batch.num_rows, 128):
+            part = batch.slice(a, 128)
+            for doc_id, raw in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if doc_id is None:
+                    continue
+                ids.append(doc_id)
+                texts.append(raw or b"")
+                size += len(raw or b"")
+                if size >= CHUNK_BYTES or len(ids) >= 4000:
+                    yield np.array(ids, dtype=np.int64), texts
+                    ids, texts, size = [], [], 0
     if ids:
         yield np.array(ids, dtype=np.int64), texts
 
@@ -73,29 +100,29 @@ def _stretch(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, shift: int) -
     first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
     times = np.diff(np.concatenate([first, [len(keys)]]))
     hot = np.repeat(times >= HOT, times)
-    n = np.bincount(owner, minlength=len(ids))
+    common = _documents(ids, np.bincount(owner, minlength=len(ids)), sorted_owner[hot], sorted_keys[hot], shift)
     rows: dict[str, list] = {name: [] for name in STAGE.names}
 
-    hot_owner = sorted_owner[hot]
-    by_doc = np.argsort(hot_owner, kind="stable")
-    own_hot = np.split(sorted_keys[hot][by_doc], np.cumsum(np.bincount(hot_owner, minlength=len(ids)))[:-1]) if len(ids) else []
-    for doc_id, count, own in zip(ids.tolist(), n.tolist(), own_hot, strict=True):
-        slot = doc_id % (1 << (BITS - shift))
-        for name, v in zip(STAGE.names, (slot, doc_id, count, pack(own), None, None), strict=True):
-            rows[name].append(v)
-
     send = np.concatenate([np.flatnonzero(~hot), first[times >= HOT]])
     send.sort()
     owners = np.where(hot[send], len(ids), sorted_owner[send]).astype(np.uint16)
     sent = sorted_keys[send]
     ranges = sent >> np.uint64(shift)
-    cuts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(sent) else []
-    for a, b in zip(cuts, [*cuts[1:], len(sent)], strict=True):
+    for a, b in runs(ranges):
         used, at = np.unique(owners[a:b], return_inverse=True)
         docs = ids[used[used < len(ids)]]
-        for name, v in zip(STAGE.names, (int(ranges[a]), None, None, pack(sent[a:b]), at.astype("<u2").tobytes(), docs.tobytes()), strict=True):
+        for name, v in zip(STAGE.names, (int(ranges[a]), None, None, squeeze(pack(sent[a:b])), squeeze(at.astype("<u2")), squeeze(docs)), strict=True):
             rows[name].append(v)
-    return pa.RecordBatch.from_pydict(rows, schema=STAGE)
+    return pa.Table.from_batches([common, pa.RecordBatch.from_pydict(rows, schema=STAGE)]).combine_chunks().to_batches()[0]
+
+
+def _documents(ids: np.ndarray, n: np.ndarray, owner: np.ndarray, keys: np.ndarray, shift: int) -> pa.RecordBatch:
+    """A row per document with its own common keys."""
+    order = np.argsort(owner, kind="stable")
+    blobs = binary(keys[order], np.bincount(owner, minlength=len(ids)))
+    none = pa.nulls(len(ids), pa.binary())
+    slots = pa.array(ids % (1 << (BITS - shift)))
+    return pa.RecordBatch.from_arrays([slots, pa.array(ids), pa.array(n.astype(np.int64)), blobs, none, none], schema=STAGE)
 
 
 def _emit(keyer: Keyer, shift: int):
@@ -119,16 +146,14 @@ def _emit(keyer: Keyer, shift: int):
 
 def _resolve(group: pa.Table) -> pa.Table:
     """All packed rows of one slot: documents pass with their common keys; keys held twice go back to their owners."""
-    out: dict[str, list] = {name: [] for name in ANSWER.names}
+    plain = group.filter(pc.is_null(group["at"])).select(["doc_id", "n", "keys"]).combine_chunks()
+    sizes = pc.binary_length(plain["keys"]).to_numpy(zero_copy_only=False) // 8
+    parts = [pa.Table.from_arrays([*plain.columns, binary(np.full(sizes.sum(), COMMON, dtype="<u4"), sizes)], schema=ANSWER)]
     keys, owners, owned = [], [], []
-    for doc_id, n, blob, at, docs in zip(*(group.column(c).to_pylist() for c in ("doc_id", "n", "keys", "at", "docs")), strict=True):
-        if at is None:
-            for name, v in zip(ANSWER.names, (doc_id, n, blob, np.full(len(blob) // 7, COMMON, dtype="<u4").tobytes()), strict=True):
-                out[name].append(v)
-            continue
-        ids = np.frombuffer(docs, dtype=np.int64)
-        index = np.frombuffer(at, dtype="<u2")
-        keys.append(unpack(blob))
+    packed = group.filter(pc.is_valid(group["at"]))
+    for blob, at, docs in zip(*(packed.column(c).to_pylist() for c in ("keys", "at", "docs")), strict=True):
+        ids, index = unsqueeze(docs, "<i8"), unsqueeze(at, "<u2")
+        keys.append(unpack(unsqueeze(blob)))
         owned.append(index < len(ids))
         owners.append(np.concatenate([ids, [0]])[index])
     if keys:
@@ -143,26 +168,39 @@ def _resolve(group: pa.Table) -> pa.Table:
         k, o, df = k[back], o[back], df[back]
         order = np.argsort(o, kind="stable")
         k, o, df = k[order], o[order], df[order]
-        cuts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else []
-        for a, b in zip(cuts, [*cuts[1:], len(o)], strict=True):
-            for name, v in zip(ANSWER.names, (int(o[a]), None, pack(k[a:b]), df[a:b].astype("<u4").tobytes()), strict=True):
-                out[name].append(v)
-    return pa.Table.from_pydict(out, schema=ANSWER)
+        if len(o):
+            cuts = np.array(runs(o))
+            counts = cuts[:, 1] - cuts[:, 0]
+            ids = pa.array(o[cuts[:, 0]])
+            parts.append(pa.Table.from_arrays([ids, pa.nulls(len(ids), pa.int64()), binary(k.astype("<u8"), counts), binary(df.astype("<u4"), counts)], schema=ANSWER))
+    return pa.concat_tables(parts).combine_chunks()
+
+
+def _numbers(lists: pa.ListArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of lists of binaries, and the row of each."""
+    blobs = lists.flatten()
+    sizes = pc.binary_length(blobs).to_numpy(zero_copy_only=False) // np.dtype(dtype).itemsize
+    rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return np.frombuffer(b"".join(blobs.to_pylist()), dtype=dtype), np.repeat(rows, sizes)
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, rare = [], []
-        for blobs, dfs in zip(batch.column("keys").to_pylist(), batch.column("df").to_pylist(), strict=True):
-            k = np.concatenate([unpack(x) for x in blobs]) if blobs else np.zeros(0, dtype=np.uint64)
-            df = np.concatenate([np.frombuffer(x, dtype="<u4") for x in dfs]) if dfs else np.zeros(0, dtype=np.uint32)
-            k, at = np.unique(k, return_index=True)
-            keys.append(k[np.lexsort((k, df[at]))].astype(np.int64))
-            rare.append(int((df[at] < COMMON).sum()))
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64))
-        offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-        columns = [batch.column("doc_id"), batch.column("n"), pa.array(rare, pa.int64()), pa.ListArray.from_arrays(offsets, flat)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "n_rare", "keys"])
+    for whole in batches:
+        for a in range(0, whole.num_rows, 1000):
+            batch = whole.slice(a, 1000)
+            keys, row = _numbers(batch.column("keys"), "<u8")
+            df, _ = _numbers(batch.column("df"), "<u4")
+            order = np.lexsort((keys, df, row))
+            keys, row, df = keys[order], row[order], df[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])]) if len(keys) else np.zeros(0, dtype=bool)
+            # rows of one document share keys: each counts once
+            n = batch.column("n").to_numpy(zero_copy_only=False) - np.bincount(row[~new], minlength=batch.num_rows)
+            counts = np.bincount(row[new], minlength=batch.num_rows)
+            rare = np.bincount(row[new & (df < COMMON)], minlength=batch.num_rows)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(keys[new].astype(np.int64)))
+            columns = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int64)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "n_rare", "keys"])
 
 
 def key_ranges(docs: DataFrame) -> int:
