@@ -41,3 +41,11 @@ class Prefix:
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of [begin, end); slices of different length are told apart by their length."""
         return mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64) * M1)
+
+
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """[begin, end) of every stretch of equal neighbours."""
+    if not len(values):
+        return []
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])).tolist()
+    return list(zip(cuts, [*cuts[1:], len(values)], strict=True))
