@@ -177,7 +177,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int | None
     """Fit on the sampled rows of ``docs``; the caller has left out what must not be learned from."""
     n = docs.count() if n is None else n
     below = int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 30))
-    digest = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 30) - 1))
+    # over all columns: copies of one text are sampled each by itself, so the sample stays near its bound
+    digest = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]).bitwiseAND(F.lit((1 << 30) - 1))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (digest < below)).select(text, lang).collect()
     return fit([r[0] for r in rows], [r[1] for r in rows])
 
