@@ -121,6 +121,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # equal sets share all their keys; the others of a class are named by a join, so that none is gathered
     whole = keep(whole, "jaccard-whole")
     firsts = whole.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("fp", "rep")
+    firsts = small_side(keep(firsts, "jaccard-firsts"))
     copies = keep(whole.join(firsts, "fp").where("doc_id <> rep").select("rep", "doc_id"), "jaccard-copies")
     reps = sets.where("keys IS NOT NULL").join(small_side(copies), "doc_id", "left_anti").select("doc_id", "n", "n_shared", "keys")
     reps = keep(reps, "jaccard-reps")
@@ -129,16 +130,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prefix = reps.where(first > 0).select("doc_id", "n", (F.col("n") - F.col("n_shared")).alias("u"), F.posexplode(F.slice("keys", 1, first.cast("int"))).alias("i", "key"))
     prefix = prefix.select("key", "doc_id", "n", (F.col("i") + F.col("u")).alias("at"))
 
-    def possible(x: str, y: str) -> Column:
-        """Length and positional filters on two sides' (n, at)."""
-        n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.at"), F.col(f"{y}.at")
-        most = F.least(i, j) + F.least(n - i, m - j)
-        return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
-
-    hubs = prefix.groupBy("key").agg(F.min(F.struct("doc_id", "n", "at")).alias("h"), F.count("*").alias("m")).where("m > 1").select("key", "h.*")
+    def possible(n: str, m: str, i: str, j: str) -> Column:
+        """Length and positional filters: what two sets of n and m can share if their first common shingle has places i and j.
+
+        A linked pair's first common shingle passes, so rows of a join on shingles may be cut by it at once.
+        """
+        n, m = F.col(n), F.col(m)
+        return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - F.col(i), m - F.col(j)) >= 4 * (n + m))
+
+    def candidates(joined: DataFrame) -> DataFrame:
+        """a < b of joined pairs (x, y), each once, by the place of their first common shingle."""
+        sides = [F.struct(F.col(f"{s}.doc_id").alias("id"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.at").alias("at")) for s in "xy"]
+        pairs = joined.select(F.least(*sides).alias("a"), F.greatest(*sides).alias("b"))
+        firsts = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(
+            F.first("a.n").alias("n"), F.first("b.n").alias("m"), F.min(F.struct(F.col("a.at").alias("i"), F.col("b.at").alias("j"))).alias("p")
+        )
+        return firsts.where(possible("n", "m", "p.i", "p.j")).select("a", "b")
+
+    # the hub of a shingle is the document that has it earliest, which the positional filter lets most others meet
+    hubs = prefix.groupBy("key").agg(F.min(F.struct("at", "doc_id", "n")).alias("h"), F.count("*").alias("m")).where("m > 1").select("key", "h.*")
     star = prefix.alias("x").join(hubs.alias("y").hint("merge"), F.col("x.key") == F.col("y.key"))
-    star = star.where((F.col("x.doc_id") > F.col("y.doc_id")) & possible("x", "y")).select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
-    tried = keep(_verified(star, reps), "jaccard-star")
+    star = star.where((F.col("x.doc_id") != F.col("y.doc_id")) & possible("x.n", "y.n", "x.at", "y.at"))
+    tried = keep(_verified(candidates(star), reps), "jaccard-star")
     label = components(tried.where("linked").select("a", "b"))
 
     named = prefix.join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -146,8 +159,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_rows = keep(named.join(mixed, "key", "left_semi"), "jaccard-open")
     cross = open_rows.alias("x").join(open_rows.alias("y").hint("merge"), F.col("x.key") == F.col("y.key"))
-    cross = cross.where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y"))
-    cross = cross.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    apart = (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    cross = cross.where(apart & possible("x.n", "y.n", "x.at", "y.at"))
+    cross = candidates(cross).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = keep(_verified(cross, reps), "jaccard-cross")
     links = tried.where("linked").select("a", "b").unionAll(rest.where("linked").select("a", "b"))
     links = links.unionAll(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
