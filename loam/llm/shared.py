@@ -13,6 +13,8 @@ rare first: by the number of documents that hold the key, keys that were common
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,15 +28,22 @@ from loam.llm.bytehash import runs
 HOT = 8
 BITS = 56
 #: Keys of one stretch, text of one chunk and text for one key range, at most (a single longer document excepted).
-STRETCH_KEYS = 800_000
-CHUNK_BYTES = 1_000_000
-RANGE_BYTES = 16_000_000
+STRETCH_KEYS = 400_000
+CHUNK_BYTES = 500_000
+RANGE_BYTES = 8_000_000
 COMMON = np.uint32(0xFFFFFFFF)
 
 #: Takes UTF-8 texts, returns (keys, document index of each), grouped by document, no key twice in one.
 Keyer = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers live on between stages, beside each other and the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack(keys: np.ndarray) -> bytes:
     """Ascending keys as seven byte planes of their steps."""
     steps = np.diff(keys.astype("<u8"), prepend=np.uint64(0)) if len(keys) else keys.astype("<u8")
@@ -140,6 +149,8 @@ def _emit(keyer: Keyer, shift: int):
                 ids, keys, owner, count, docs = [], [], [], 0, 0
         if ids:
             yield _stretch(np.concatenate(ids), np.concatenate(keys), np.concatenate(owner), shift)
+        ids, keys, owner = [], [], []
+        give_back()
 
     return emit
 
@@ -173,6 +184,8 @@ def _resolve(group: pa.Table) -> pa.Table:
             counts = cuts[:, 1] - cuts[:, 0]
             ids = pa.array(o[cuts[:, 0]])
             parts.append(pa.Table.from_arrays([ids, pa.nulls(len(ids), pa.int64()), binary(k.astype("<u8"), counts), binary(df.astype("<u4"), counts)], schema=ANSWER))
+    keys = owners = owned = None
+    give_back()
     return pa.concat_tables(parts).combine_chunks()
 
 
@@ -201,6 +214,7 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = pa.ListArray.from_arrays(offsets, pa.array(keys[new].astype(np.int64)))
             columns = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int64)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "n_rare", "keys"])
+    give_back()
 
 
 def key_ranges(docs: DataFrame) -> int:
