@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bytehash import MASK56, Prefix, mix, runs
-from loam.llm.shared import BITS, binary, key_ranges, pack, shared_keys, squeeze, unpack, unsqueeze
-from loam.plans.materialize import keep
+from loam.llm.shared import BITS, binary, give_back, key_ranges, pack, shared_keys, squeeze, unpack, unsqueeze
+from loam.plans.materialize import keep, small_side
 
 SPAN = 50
 GRAM = 20
-PIECE = 1_000_000
+PIECE = 500_000
 PLACE = np.uint64((1 << 24) - 1)
-STRETCH_BYTES = 4_000_000
+STRETCH_BYTES = 2_000_000
 
 
 class Scanned:
@@ -240,6 +240,8 @@ def _emit(shift: int):
                     held = _Stretch(shift)
         if held.docs:
             yield held.flush()
+        held = None
+        give_back()
 
     return emit
 
@@ -295,6 +297,7 @@ def _meet(group: pa.Table) -> pa.Table:
     if len(owner):
         own, blobs = _merged(owner, begin, stop)
         out.append(pa.Table.from_arrays([pa.array(docs[own, 0]), pa.array(docs[own, 1]), blobs], schema=MARKS))
+    give_back()
     return pa.concat_tables(out).combine_chunks()
 
 
@@ -331,6 +334,7 @@ def repeated_passages(docs: DataFrame, out: str = "repeats") -> DataFrame:
     named = docs.where("doc_id IS NOT NULL").withColumn("th", th)
     digests = keep(named.select("doc_id", "th", F.sha2("text", 256).alias("sha")).where("sha IS NOT NULL"), "repeat-digests")
     firsts = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    firsts = small_side(keep(firsts, "repeat-firsts"))  # kept, so that the join may split a digest with many copies
     copies = keep(digests.join(firsts, "sha").where("doc_id > first").select("doc_id", "th").distinct(), "repeat-copies")
     shift = key_ranges(docs)
     shared = shared_keys(docs, anchor_keys).where(F.size("keys") > 0).select("doc_id", "n_rare", "keys")
