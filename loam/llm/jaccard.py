@@ -163,11 +163,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cross = cross.where(apart & possible("x.n", "y.n", "x.at", "y.at"))
     cross = candidates(cross).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = keep(_verified(cross, reps), "jaccard-cross")
-    links = tried.where("linked").select("a", "b").unionAll(rest.where("linked").select("a", "b"))
-    links = links.unionAll(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    final = components(links)
-    out = sets.join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # what the second round links are components of the first
+    by = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    met = rest.where("linked").join(by("a"), "a", "left").join(by("b"), "b", "left")
+    joined = components(met.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
+    out = sets.select("doc_id", "n").join(small_side(copies), "doc_id", "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    out = out.join(small_side(label), "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+    out = out.join(small_side(joined), "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
