@@ -1,7 +1,7 @@
 """URL filters by a temporal list join (native).
 
-A list is a log of dated entries (key, day, action, category): an ``add`` lists the key from that
-day, a ``remove`` ends it. Entries become validity intervals [from_day, to_day); a capture is
+A list is a log of dated entries (key, day, action, category): an ``add`` lists the key in the
+category from that day, a ``remove`` ends it; the categories of a key do not touch each other. Entries become validity intervals [from_day, to_day); a capture is
 evaluated against the intervals that hold on the day it was fetched. Keys are ``d:`` plus a host or
 one of its parent domains and ``p:`` plus host and first path segment.
 
@@ -9,8 +9,9 @@ Captures are reduced to distinct (host, segment, day) probes before the join, so
 of all captures costs as many probes as it has days and segments.
 
 Defined results: a null or unparsable url has no keys and is never listed; entries with a null key
-or day are ignored; of entries for one key and day the last action by name wins (``remove`` after
-``add``); an empty list lists nothing; repeated captures are evaluated alike.
+or day are ignored; of entries for one key, category and day the last action by name wins (``remove``
+after ``add``); a null category is one of its own; an empty list lists nothing; repeated captures are
+evaluated alike.
 """
 
 from __future__ import annotations
@@ -29,12 +30,10 @@ def segment_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """key, from_day, to_day (null: open), category: one row for each stretch in which the key is listed."""
-    log = entries.where("key IS NOT NULL AND day IS NOT NULL").groupBy("key", "day").agg(
-        F.max_by(F.struct("action", "category"), F.struct("action", "category")).alias("e")
-    )
-    upto = F.lead("day").over(Window.partitionBy("key").orderBy("day"))
-    log = log.select("key", F.col("day").alias("from_day"), upto.alias("to_day"), "e.action", "e.category")
+    """key, from_day, to_day (null: open), category: one row for each stretch in which the key is listed in the category."""
+    log = entries.where("key IS NOT NULL AND day IS NOT NULL").groupBy("key", "category", "day").agg(F.max("action").alias("action"))
+    upto = F.lead("day").over(Window.partitionBy("key", "category").orderBy("day"))
+    log = log.select("key", F.col("day").alias("from_day"), upto.alias("to_day"), "action", "category")
     return log.where("action = 'add'").drop("action")
 
 
@@ -49,7 +48,7 @@ def _keys(host: Column, segment: Column) -> Column:
 
 
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
-    """``captures`` with host, n_active (listed keys that apply), listed and the category of the most specific one."""
+    """``captures`` with host, n_active (entries that apply, by key and category), listed and the category of the most specific one."""
     named = captures.withColumn("host", host_of(F.col(url))).withColumn("_seg", segment_of(F.col(url))).withColumn("_day", F.col(day))
     probes = named.where("host <> '' AND _day IS NOT NULL").select("host", "_seg", "_day").distinct()
     keyed = probes.select("host", "_seg", "_day", F.inline(_keys(F.col("host"), F.col("_seg"))))

@@ -218,6 +218,21 @@ def test_url_intervals(spark):
                    7: (False, None), 8: (False, None), 9: (False, None)}
 
 
+def test_url_categories_of_a_key_overlap(spark):
+    log = [("d:x.example", 10, "add", "spam"), ("d:x.example", 50, "add", "malware"), ("d:x.example", 60, "remove", "spam"),
+           ("d:y.example", 5, "add", "adult"), ("d:y.example", 5, "add", "tracker"), ("d:y.example", 9, "remove", "adult")]
+    entries = spark.createDataFrame(log, "key string, day long, action string, category string")
+    urls = [(d, "http://x.example/", d) for d in (9, 10, 50, 59, 60, 99)] + [(100 + d, "http://y.example/", d) for d in (5, 9)]
+    caps = spark.createDataFrame(urls, "id long, url string, fetch_day long")
+    got = {r.id: (r.n_active, r.category) for r in urlfilter.url_filter(caps, entries).collect()}
+    for i, url, day in urls:
+        key, active = "d:" + url.split("/")[2], set()
+        for k, d, action, category in log:
+            if k == key and d <= day:
+                (active.add if action == "add" else active.discard)(category)
+        assert got[i] == (len(active), max(active, default=None)), (i, got[i], active)
+
+
 def test_cascade_order_changes_no_verdict(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     features = quality.lazy_features(F.col("text"))
