@@ -5,8 +5,9 @@ language. The script of its first letter narrows the languages to those seen in
 training rows. Viterbi over a document's words, with a penalty for each switch, labels spans of mixed
 text; the prediction is the language with the most letters, the score its share of all letters.
 
-Training: n-gram counts from about ``SAMPLE_DOCS`` labelled documents chosen by digest. Null labels
-are not learned from.
+Training: n-gram counts, made in tasks, from about ``SAMPLE_DOCS`` labelled documents with letters, chosen
+by digest. All languages get the same share of the sample; what a smaller one leaves goes to the others, and each
+keeps at least one document. Null labels are not learned from.
 
 Defined results: a text that is null or without letters is ``und`` with score 0; without training rows
 everything is ``und``; ties go to the language first in code-point order; repeated rows get the same
@@ -96,18 +97,22 @@ class Model:
         return self.scores[0][np.fromiter((cache[w] for w in words), dtype=np.int64, count=len(words))]
 
 
-def fit(texts: list[str], labels: list[str]) -> Model | None:
-    langs = sorted(set(labels))
-    if not langs:
-        return None
-    counts = np.full((BUCKETS, len(langs)), 0.05)
-    letters = np.zeros((len(NAMES), len(langs)))
-    for text, lang in zip(texts, labels, strict=True):
+def counted(texts: Iterator[str]) -> np.ndarray:
+    """Counts of the n-gram buckets, then of the letters by script."""
+    counts = np.zeros(BUCKETS + len(NAMES), dtype=np.int64)
+    for text in texts:
         words = WORD.findall((text or "").lower())
         if words:
-            at = langs.index(lang)
-            counts[:, at] += np.bincount(grams(words)[0].ravel(), minlength=BUCKETS)
-            letters[:, at] += np.bincount(script_ids(words), weights=[len(w) for w in words], minlength=len(NAMES))
+            counts[:BUCKETS] += np.bincount(grams(words)[0].ravel(), minlength=BUCKETS)
+            counts[BUCKETS:] += np.bincount(script_ids(words), weights=[len(w) for w in words], minlength=len(NAMES)).astype(np.int64)
+    return counts
+
+
+def fit(langs: list[str], seen: np.ndarray) -> Model | None:
+    """Model of ``langs`` (sorted) from their counts (bucket or script, language)."""
+    if not langs:
+        return None
+    counts, letters = seen[:BUCKETS] + 0.05, seen[BUCKETS:].astype(float)
     table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
     return Model(langs, table, letters > 1e-3 * np.maximum(letters.sum(axis=0), 1))
 
@@ -173,14 +178,47 @@ def label_texts(texts: list[str | None], model: Model | None, spans: bool = Fals
     return pd.DataFrame({"lang": lang, "score": score, "spans": runs}) if spans else pd.DataFrame({"lang": lang, "score": score})
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", n: int | None = None) -> Model | None:
+def fair_share(sizes: list[int], total: int) -> int:
+    """The greatest k for which the sum of min(size, k) is at most ``total``; 1 at least."""
+    k, left = 0, total
+    for i, size in enumerate(sorted(sizes)):
+        k = left // (len(sizes) - i)
+        if size > k:
+            return max(k, 1)
+        left -= size
+    return max(k, *sizes, 1)
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """Fit on the sampled rows of ``docs``; the caller has left out what must not be learned from."""
-    n = docs.count() if n is None else n
-    below = int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 30))
     # over all columns: copies of one text are sampled each by itself, so the sample stays near its bound
     digest = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]).bitwiseAND(F.lit((1 << 30) - 1))
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (digest < below)).select(text, lang).collect()
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), digest.alias("digest"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("digest").alias("least")).collect()
+    langs = sorted(r["lang"] for r in sizes)
+    seen = np.zeros((BUCKETS + len(NAMES), len(langs)), dtype=np.int64)
+    if not langs:
+        return None
+    k = fair_share([r["n"] for r in sizes], SAMPLE_DOCS)
+    upto = {r["lang"]: max(r["least"], int(min(1.0, k / r["n"]) * (1 << 30)) - 1) for r in sizes}
+    bound = F.create_map(*[F.lit(x) for pair in upto.items() for x in pair])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = {}
+        for pdf in batches:
+            for name, own in pdf.groupby("lang")["text"]:
+                sums[name] = sums.get(name, 0) + counted(own)
+        for name, counts in sums.items():
+            at = np.flatnonzero(counts)
+            yield pd.DataFrame({"lang": name, "bucket": at, "n": counts[at]})
+
+    sample = rows.where(F.col("digest") <= bound[F.col("lang")]).select("lang", "text")
+    sums = sample.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    column = {name: i for i, name in enumerate(langs)}
+    at = np.fromiter((column[x] for x in sums["lang"].to_pylist()), dtype=np.int64, count=sums.num_rows)
+    seen[sums["bucket"].to_numpy(), at] = sums["n"].to_numpy()
+    return fit(langs, seen)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language", spans: bool = False) -> DataFrame:

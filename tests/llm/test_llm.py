@@ -208,6 +208,19 @@ def test_language_held_out_and_mixed(spark):
     assert abs(spans.spans[0][0]["stop"] - len(de)) < 60 and {s["lang"] for s in spans.spans[0]} >= {"de", "en"}
 
 
+def test_language_sample_keeps_rare_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 60)
+    rows = [(i, f"plain words about nothing {i}", None) for i in range(3000)]
+    rows += [(10_000 + i, f"the house stands near the river {i}", "en") for i in range(1000)]
+    rows += [(20_000 + i, f"das Haus steht nahe am Fluss {i}", "de") for i in range(5)]
+    rows += [(-1, "la maison est pr\u00e8s de la rivi\u00e8re", "fr")] * 200
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en", "fr"]
+    found = langid.label_texts(["das Haus steht nahe am Fluss", "the house stands near the river", "la maison est pr\u00e8s de la rivi\u00e8re"], model)
+    assert list(found.lang) == ["de", "en", "fr"]
+    assert [langid.fair_share(s, 60) for s in ([5, 1000, 200], [10, 20], [70] * 100)] == [27, 50, 1]
+
+
 def test_url_intervals(spark):
     log = [("d:x.example", 10, "add", "spam"), ("d:x.example", 20, "remove", "spam"), ("d:x.example", 30, "add", "adult"), (None, 1, "add", "z")]
     entries = spark.createDataFrame(log, "key string, day long, action string, category string")
