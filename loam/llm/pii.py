@@ -156,13 +156,15 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def _chain(spans: Column, text: Column) -> Column:
-    """The text with each span's label in its place; of spans that overlap the first by start (then longest) stays."""
+    """The text with each span's label in its place; of spans that overlap the first by start (then longest) is
+    replaced whole, the others from where it ends."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("end"), s["label"].alias("label"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
-        put = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["label"])
-        return F.when(s["start"] < a["at"], a).otherwise(F.struct((-s["end"]).alias("at"), put.alias("out")))
+        between = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        put = F.concat(a["out"], between, s["label"])
+        return F.when(-s["end"] <= a["at"], a).otherwise(F.struct((-s["end"]).alias("at"), put.alias("out")))
 
     return let(F.aggregate(ordered, begin, step), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
 

@@ -169,6 +169,16 @@ def test_pii_terms_follow_the_corpus(spark):
     assert {d: t for d, t in clean.items() if d >= 100} == {d: t for d, t in rows if d >= 100}
 
 
+def test_sanitise_leaves_nothing_of_overlapping_spans(spark):
+    rows = [(1, "call +49 30 1234 5678 9bob@x.com now"), (2, "4111 1111 1111 1111@x.com"), (3, "+1 4111 1111 1111 1111 4111@y.org 1.2.3.4@z.net end")]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, t in rows:
+        inside = {i for _, a, b in _base_pii(t) for i in range(a, b)}
+        plain = "".join(c for i, c in enumerate(t) if i not in inside)
+        assert re.sub(r"\[(EMAIL|IP|CARD|PHONE)\]", "", got[d]) == plain, got[d]
+    assert got[1] == "call [PHONE][EMAIL] now"
+
+
 def test_secrets_base_and_network(spark):
     rng = random.Random(4)
     hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
