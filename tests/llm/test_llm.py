@@ -193,6 +193,25 @@ def test_secrets_base_and_network(spark):
     assert (model.probability(x) >= model.threshold).mean() >= 0.85
 
 
+def test_secrets_learn_from_rare_findings(spark):
+    rng = random.Random(6)
+    rows = [(i, f"password={rng.getrandbits(72):018x} end, see mail{i}.example2.com/page{i}index") for i in range(40)]
+    rare = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = rare.unionAll(spark.range(1000, 300_000).select("id", F.lit("nothing here")))
+    assert secrets.train(docs) is not None
+    views, y = secrets.labelled_findings(docs.unionAll(rare))
+    assert (y == 1).sum() == 40 and len(set(views)) == len(views)
+
+
+def test_secrets_threshold_keeps_recall():
+    rng = random.Random(7)
+    x = secrets.codes(["".join(rng.choices("abcdef0123", k=88)) for _ in range(600)])
+    y = (secrets.np.arange(600) < 30).astype(float)
+    model = secrets.CharCNN()
+    model.calibrate(x, y)
+    assert (model.probability(x)[y == 1] >= model.threshold).mean() >= secrets.RECALL
+
+
 def test_chat_tree_round_trip(spark):
     evil = "\\### a: </turn>\n \\\\ <x> #"
     rows = [("t", 1, None, "user", evil, 0.0), ("t", 2, 1, "assistant", "short", 1.0), ("t", 3, 1, "assistant", evil + "\\", 5.0),
