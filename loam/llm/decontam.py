@@ -1,138 +1,211 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are lower-case word sequences. Seeds are the ``SEED``-word windows that a document shares with a
-benchmark item, found by a rolling (Karp-Rabin) hash and compared exactly. Runs of seeds on one
-diagonal are the maximal matches; tiling marks the longest match again and again, each token of
-either side once, and cuts the rest of matches that overlap what is marked. An item leaks into a
-document if its tiles cover ``COVER`` of its tokens, in whatever order the passages stand.
+Texts are lower-case word sequences, words and windows of words are known by 64-bit rolling
+(Karp-Rabin) hashes. A document meets a benchmark item if they share a seed, a window of ``SEED``
+words. Of such a pair, tiling takes the words of the document that lie in shared seeds and marks the
+longest match of unmarked words again and again, each word of either side once; the length of the
+longest match is found by bisection, as a length that matches has all smaller ones match. No list of
+pairs of places is made, so a word repeated 20,000 times costs no more than any other. An item leaks
+into a document if its tiles cover ``COVER`` of its words, in whatever order the passages stand; what
+leaks by hash is compared word by word.
 
 The benchmark is the query set: it is read in blocks of at most ``BLOCK_ITEMS`` items and
-``BLOCK_CHARS`` characters, and every block is run against all documents, without a shuffle.
+``BLOCK_CHARS`` characters, and every block is run against all documents, without a shuffle. A
+task holds ``BLOCKS_AT_ONCE`` blocks; between groups of so many the rows are written to the shared folder.
 
-Defined results: null texts have no tokens and never match; an item shorter than a seed matches as a
-whole; items without tokens match nothing; repeated items count as one each; ties between matches go
-to the earlier place in the item, then in the document; empty tables give empty results; further
-columns are left as they are.
+Defined results: null texts have no words and never match; an item shorter than a seed leaks only
+into a document that consists of it; items without words match nothing; repeated items count as one
+each; ties between matches go to the earlier place in the item, then in the document; repeated
+documents get the same result; empty tables give empty results; further columns pass, one named like
+the added column as ``<name>_input``.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.binding import aside, spare
+from loam.llm.bytehash import M1, Prefix, mix, powers, runs
+from loam.plans.materialize import keep
+
 SEED = 5
 COVER = 0.5
 BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 4_000_000
+BLOCKS_AT_ONCE = 4
+#: Documents and characters that are looked up together.
+CHUNK_DOCS = 500
+CHUNK_CHARS = 1_000_000
 TOKEN = re.compile(r"\w+")
-BASE = np.uint64(0x100000001B3)
 
 
-def _hashes(ids: np.ndarray, width: int) -> np.ndarray:
-    """Polynomial hash of every window of ``width`` ids."""
-    n = len(ids) - width + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(width if n > 0 else 0):
-        out = out * BASE + ids[k : k + n].astype(np.uint64) + np.uint64(1)
-    return out
+def tokens(text: str | None) -> list[str]:
+    return TOKEN.findall((text or "").lower())
 
 
-@dataclass
-class Block:
-    """Benchmark items as token ids, with the places of every seed."""
-
-    item_ids: list
-    words: dict[str, int]
-    items: list[np.ndarray]
-    seeds: dict[int, np.ndarray]  # seed width -> sorted seed hashes
-    places: dict[tuple[int, int], list[tuple[int, int]]]  # width, hash -> (item, place)
-
-    @classmethod
-    def of(cls, rows: list[tuple]) -> Block:
-        words: dict[str, int] = {}
-        items, ids, places = [], [], defaultdict(list)
-        for item_id, text in rows:
-            tokens = TOKEN.findall((text or "").lower())
-            if not tokens:
-                continue
-            at = np.array([words.setdefault(t, len(words)) for t in tokens], dtype=np.int64)
-            width = min(SEED, len(at))
-            for j, h in enumerate(_hashes(at, width).tolist()):
-                places[width, h].append((len(items), j))
-            items.append(at)
-            ids.append(item_id)
-        seeds = {w: np.array(sorted(h for v, h in places if v == w), dtype=np.uint64) for w in {w for w, _ in places}}
-        return cls(ids, words, items, seeds, dict(places))
-
-    def tilings(self, text: str | None) -> list[tuple]:
-        """(item_id, coverage, n_tiles) of every item that shares a seed with the text."""
-        get = self.words.get
-        doc = np.array([get(t, -1) for t in TOKEN.findall((text or "").lower())], dtype=np.int64)
-        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        known = doc >= 0
-        for width, seeds in self.seeds.items():
-            if len(doc) < width:
-                continue
-            ok = np.lib.stride_tricks.sliding_window_view(known, width).all(axis=1)
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            h = _hashes(doc, width)[at]
-            near = np.minimum(np.searchsorted(seeds, h), len(seeds) - 1)
-            for i, x in zip(*(v[seeds[near] == h].tolist() for v in (at, h)), strict=True):
-                for item, j in self.places[width, x]:
-                    if np.array_equal(self.items[item][j : j + width], doc[i : i + width]):
-                        pairs[item].append((j, i))
-        out = []
-        for item, seeds in pairs.items():
-            p = self.items[item]
-            tiles = greedy_tiles(seeds, min(SEED, len(p)))
-            out.append((self.item_ids[item], sum(t[2] for t in tiles) / len(p), len(tiles)))
-        return out
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of every word."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    raw = np.frombuffer("\n".join(words).encode("utf-8", "surrogatepass") + b"\n", dtype=np.uint8)
+    end = np.flatnonzero(raw == 10)
+    return Prefix(raw).of(np.concatenate([[0], end[:-1] + 1]), end)
+
+
+class Rolling:
+    """Hash of every window of a sequence of word hashes, whatever its width."""
+
+    def __init__(self, words: np.ndarray):
+        up, self.down = powers(len(words) + 1)
+        self.sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(mix(words) * up[: len(words)], dtype=np.uint64, out=self.sums[1:])
+
+    def windows(self, at: np.ndarray, width: int) -> np.ndarray:
+        return mix((self.sums[at + width] - self.sums[at]) * self.down[at] * M1)
+
+
+def _starts(free: np.ndarray, width: int) -> np.ndarray:
+    """Places from which ``width`` entries are free."""
+    if len(free) < width:
+        return np.zeros(0, dtype=np.int64)
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    return np.flatnonzero(taken[width:] == taken[:-width])
 
 
-def greedy_tiles(seeds: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in document, length) from seed matches of ``width`` tokens."""
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for j, i in seeds:
-        diagonals[i - j].append(j)
-    heap: list[tuple[int, int, int]] = []
-    for d, at in diagonals.items():
-        at.sort()
-        begin = last = at[0]
-        for j in [*at[1:], None]:
-            if j is not None and j <= last + 1:
-                last = j
+def greedy_tiles(item: np.ndarray, doc: np.ndarray, width: int = SEED) -> list[tuple[int, int, int]]:
+    """Tiles (place in item, place in document, length) of two sequences of word hashes, longest first."""
+    a, b = Rolling(item), Rolling(doc)
+    free_a, free_b = np.ones(len(item), dtype=bool), np.ones(len(doc), dtype=bool)
+    tiles: list[tuple[int, int, int]] = []
+
+    def common(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Free windows of this size on both sides, as far as the other side has them."""
+        at_a, at_b = _starts(free_a, size), _starts(free_b, size)
+        ha, hb = a.windows(at_a, size), b.windows(at_b, size)
+        in_a, in_b = np.isin(ha, hb), np.isin(hb, ha)
+        return at_a[in_a], ha[in_a], at_b[in_b], hb[in_b]
+
+    longest = min(len(item), len(doc))
+    while longest >= width:
+        low, high = width - 1, longest
+        while low < high:
+            middle = (low + high + 1) // 2
+            if len(common(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        longest = low
+        if longest < width:
+            break
+        at_a, ha, at_b, hb = common(longest)
+        order = np.argsort(hb, kind="stable")
+        hb, at_b = hb[order], at_b[order]
+        for j, h in zip(at_a.tolist(), ha, strict=True):
+            if not free_a[j : j + longest].all():
                 continue
-            heap.append((-(last - begin + width), begin, begin + d))
-            begin = last = j
-    heapq.heapify(heap)
-    marked_item: set[int] = set()
-    marked_doc: set[int] = set()
-    tiles = []
-    while heap:
-        size, j, i = heapq.heappop(heap)
-        free = [k for k in range(-size) if j + k not in marked_item and i + k not in marked_doc]
-        if len(free) == -size:
-            tiles.append((j, i, -size))
-            marked_item.update(range(j, j - size))
-            marked_doc.update(range(i, i - size))
-            continue
-        runs = np.split(np.array(free), np.flatnonzero(np.diff(free) > 1) + 1) if free else []
-        for run in runs:
-            if len(run) >= width:
-                heapq.heappush(heap, (-len(run), j + int(run[0]), i + int(run[0])))
+            for i in at_b[np.searchsorted(hb, h) : np.searchsorted(hb, h, side="right")].tolist():
+                if free_b[i : i + longest].all():
+                    tiles.append((j, i, longest))
+                    free_a[j : j + longest] = False
+                    free_b[i : i + longest] = False
+                    break
+        longest = min(longest, *(max((e - s for s, e in runs(free) if free[s]), default=0) for free in (free_a, free_b)))
     return tiles
 
 
+class Block:
+    """Benchmark items as word hashes, with the sorted hashes of all their seeds; short items by the hash of the whole."""
+
+    def __init__(self, rows: list[tuple]):
+        words = [tokens(text) for _, text in rows]
+        self.rows = [r for r, w in zip(rows, words, strict=True) if w]
+        words = [w for w in words if w]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(sizes)])
+        self.words = word_hashes([x for w in words for x in w])
+        rolling = Rolling(self.words)
+        at = np.arange(max(0, len(self.words) - SEED + 1))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        inside = owner[at] == owner[np.minimum(at + SEED - 1, len(owner) - 1)] if len(at) else np.zeros(0, dtype=bool)
+        seed, of = rolling.windows(at[inside], SEED), owner[at[inside]]
+        order = np.argsort(seed, kind="stable")
+        self.seed, self.of = seed[order], of[order].astype(np.int32)
+        self.short: dict[tuple, list[int]] = {}
+        for k in np.flatnonzero(sizes < SEED).tolist():
+            self.short.setdefault(tuple(words[k]), []).append(k)
+
+    def item(self, k: int) -> np.ndarray:
+        return self.words[self.begins[k] : self.begins[k + 1]]
+
+    def tilings(self, texts: list[str | None], cover: float) -> list[list[tuple]]:
+        """(item_id, coverage, n_tiles) of every item that leaks into each text."""
+        found = [tokens(t) for t in texts]
+        sizes = np.array([len(w) for w in found], dtype=np.int64)
+        out: list[list[tuple]] = [[] for _ in texts]
+        for d, w in enumerate(found):
+            if 0 < len(w) < SEED:
+                out[d] += [(self.rows[k][0], 1.0, 1) for k in self.short.get(tuple(w), [])]
+        doc = word_hashes([x for w in found for x in w])
+        if len(doc) < SEED or not len(self.seed):
+            return out
+        owner, begins = np.repeat(np.arange(len(texts)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(len(doc) - SEED + 1)
+        at = at[owner[at] == owner[at + SEED - 1]]
+        h = Rolling(doc).windows(at, SEED)
+        hit = self.seed[np.minimum(np.searchsorted(self.seed, h), len(self.seed) - 1)] == h
+        at, h = at[hit], h[hit]
+        for a, b in runs(owner[at]):
+            d = int(owner[at[a]])
+            own, begin = found[d], int(begins[d])
+            # the items of each different seed of the document; a shared place covers SEED words of an item at most
+            seeds = np.unique(h[a:b])
+            lo = np.searchsorted(self.seed, seeds)
+            held = np.searchsorted(self.seed, seeds, side="right") - lo
+            places = np.arange(int(held.sum())) + np.repeat(lo - np.cumsum(held) + held, held)
+            items, times = np.unique(self.of[places], return_counts=True)
+            for k in items[SEED * times >= cover * (self.begins[items + 1] - self.begins[items])].tolist():
+                item = self.item(k)
+                tiles = greedy_tiles(item, doc[begin : begin + len(own)]) if len(own) <= 4 * SEED else self._near(item, at[a:b] - begin, h[a:b], doc[begin : begin + len(own)])
+                if sum(t[2] for t in tiles) < cover * len(item):
+                    continue
+                words = tokens(self.rows[k][1])
+                tiles = [t for t in tiles if words[t[0] : t[0] + t[2]] == own[t[1] : t[1] + t[2]]]
+                share = sum(t[2] for t in tiles) / len(item)
+                if share >= cover:
+                    out[d].append((self.rows[k][0], share, len(tiles)))
+        return out
+
+    def _near(self, item: np.ndarray, at: np.ndarray, h: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
+        """Tiles of an item over the words of the document that lie in seeds the two share.
+
+        Stretches between them are left out; a gap keeps matches from running across.
+        """
+        own = Rolling(item).windows(np.arange(len(item) - SEED + 1), SEED)
+        mine = at[np.isin(h, own)]
+        covered = np.zeros(len(doc) + 1, dtype=np.int64)
+        np.add.at(covered, mine, 1)
+        np.add.at(covered, mine + SEED, -1)
+        covered = np.cumsum(covered)[:-1] > 0
+        places = np.flatnonzero(covered)
+        cut = np.flatnonzero(np.diff(places) > 1) + 1
+        parts = np.split(places, cut)
+        gap = np.zeros(1, dtype=np.int64) - 1
+        where = np.concatenate([x for p in parts for x in (p, gap)])
+        # a gap is a word that no text has: its hash is unlike the others of this pair
+        filler = np.uint64(1)
+        known = set(item.tolist()) | set(doc[places].tolist())
+        while int(filler) in known:
+            filler += np.uint64(1)
+        squeezed = np.where(where < 0, filler, doc[np.maximum(where, 0)])
+        return [(j, int(where[i]), n) for j, i, n in greedy_tiles(item, squeezed)]
+
+
 def blocks(benchmark: DataFrame, text: str = "text") -> Iterator[list[tuple]]:
     """The query set in bounded blocks, read one after another."""
     rows, chars = [], 0
@@ -150,19 +223,31 @@ MATCHES = "array<struct<item_id:long,coverage:double,n_tiles:int>>"
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks", cover: float = COVER) -> DataFrame:
-    """``docs`` with ``out``: the items whose tiles cover at least ``cover`` of their tokens."""
-    spark, found = docs.sparkSession, F.array().cast(MATCHES)
-    for rows in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(rows)  # bounded by BLOCK_ITEMS and BLOCK_CHARS
-        found = F.concat(found, F.pandas_udf(_leaks(sent, cover), MATCHES)(F.col(text)))
-    return docs.withColumn(out, found)
+    """``docs`` with ``out``: the items whose tiles cover at least ``cover`` of their words."""
+    docs = aside(docs, out).withColumn(out, F.array().cast(MATCHES))
+    for i, rows in enumerate(blocks(benchmark)):
+        if i and i % BLOCKS_AT_ONCE == 0:
+            docs = keep(docs, "leaks")
+        sent = docs.sparkSession.sparkContext.broadcast(rows)  # bounded by BLOCK_ITEMS and BLOCK_CHARS
+        docs = docs.withColumn(out, F.concat(F.col(out), F.pandas_udf(_leaks(sent, cover), MATCHES)(F.col(text))))
+    return docs
 
 
 def _leaks(sent, cover: float):
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = Block.of(sent.value)
+        block = Block(sent.value)
         for s in batches:
-            yield pd.Series([[{"item_id": a, "coverage": b, "n_tiles": c} for a, b, c in block.tilings(t) if b >= cover] for t in s])
+            found: list[list[tuple]] = []
+            part: list[str | None] = []
+            size = 0
+            for t in s:
+                part.append(t)
+                size += len(t or "")
+                if len(part) >= CHUNK_DOCS or size >= CHUNK_CHARS:
+                    found += block.tilings(part, cover)
+                    part, size = [], 0
+            found += block.tilings(part, cover)
+            yield pd.Series([[{"item_id": a, "coverage": b, "n_tiles": c} for a, b, c in own] for own in found])
 
     leaks.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return leaks
@@ -170,4 +255,5 @@ def _leaks(sent, cover: float):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", cover: float = COVER) -> DataFrame:
     """The documents into which no item leaks."""
-    return with_leaks(docs, benchmark, text, "_leaks", cover).where(F.size("_leaks") == 0).drop("_leaks")
+    leaks = spare(docs, "_leaks")
+    return with_leaks(docs, benchmark, text, leaks, cover).where(F.size(leaks) == 0).drop(leaks)
