@@ -11,7 +11,8 @@ keeps at least one document. Null labels are not learned from.
 
 Defined results: a text that is null or without letters is ``und`` with score 0; without training rows
 everything is ``und``; ties go to the language first in code-point order; repeated rows get the same
-result; an empty table gives an empty result; further columns are left as they are.
+result; texts may be of any length; an empty table gives an empty result; further columns pass, one
+named like the added column as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -25,11 +26,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions.binding import aside
+
 SAMPLE_DOCS = 6_000
 BUCKETS = 1 << 17
 SWITCH = 12.0
 CACHED_WORDS = 200_000
+#: Letters, and number signs such as superscripts and fractions, which are taken out again.
 WORD = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"\S+")
 #: First code points of script ranges; those not named are "other". Fixed values of the Unicode standard.
 SCRIPTS = (
     (0x0041, "latin"), (0x0250, "other"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -43,6 +48,23 @@ NAMES = sorted({n for _, n in SCRIPTS})
 SCRIPT_OF = np.array([NAMES.index(n) for _, n in SCRIPTS])
 
 
+def _blanked(word: str) -> str:
+    return "".join(c if c.isalpha() else " " for c in word)
+
+
+def words_in(text: str | None) -> list[str]:
+    """Runs of letters, in lower case."""
+    found = WORD.findall(text or "")
+    if not all(map(str.isalpha, found)):
+        found = [x for w in found for x in _blanked(w).split()]
+    return "\n".join(found).lower().split("\n") if found else []
+
+
+def word_spans(text: str | None) -> list[tuple[int, int]]:
+    """Where the words stand in the text."""
+    return [(m.start() + x.start(), m.start() + x.end()) for m in WORD.finditer(text or "") for x in LETTERS.finditer(_blanked(m[0]))]
+
+
 def script_ids(words: list[str]) -> np.ndarray:
     first = np.array([ord(w[0]) for w in words])
     return SCRIPT_OF[np.maximum(np.searchsorted(STARTS, first, side="right") - 1, 0)]
@@ -78,9 +100,6 @@ class Model:
         may = np.where(may.any(axis=1, keepdims=True), may, True)
         return np.where(may, sums, sums.min() - 1e3).astype(np.float32)
 
-    def __getstate__(self):
-        return {"langs": self.langs, "table": self.table, "scripts": self.scripts, "cache": {}, "scores": []}
-
     def rows(self, words: list[str]) -> np.ndarray:
         """Scores of words in order; each different word is scored once while it is cached."""
         cache = self.cache
@@ -101,7 +120,7 @@ def counted(texts: Iterator[str]) -> np.ndarray:
     """Counts of the n-gram buckets, then of the letters by script."""
     counts = np.zeros(BUCKETS + len(NAMES), dtype=np.int64)
     for text in texts:
-        words = WORD.findall((text or "").lower())
+        words = words_in(text)
         if words:
             counts[:BUCKETS] += np.bincount(grams(words)[0].ravel(), minlength=BUCKETS)
             counts[BUCKETS:] += np.bincount(script_ids(words), weights=[len(w) for w in words], minlength=len(NAMES)).astype(np.int64)
@@ -153,7 +172,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) ->
 
 def label_texts(texts: list[str | None], model: Model | None, spans: bool = False) -> pd.DataFrame:
     """lang, score and, if asked for, spans (lang, start, stop in code points) of each text."""
-    found = [WORD.findall((t or "").lower()) for t in texts]
+    found = [words_in(t) for t in texts]
     lengths = np.array([len(w) for w in found], dtype=np.int64)
     words = [w for ws in found for w in ws]
     lang, score, runs = ["und"] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
@@ -172,7 +191,7 @@ def label_texts(texts: list[str | None], model: Model | None, spans: bool = Fals
             for i in np.flatnonzero(lengths):
                 own = labels[begins[i] : begins[i] + lengths[i]]
                 cut = np.flatnonzero(np.diff(own)) + 1
-                at = [m.span() for m in WORD.finditer((texts[i] or "").lower())]
+                at = word_spans(texts[i])
                 for a, b in zip([0, *cut], [*cut, len(own)], strict=True):
                     runs[i].append({"lang": model.langs[own[a]], "start": at[a][0], "stop": at[b - 1][1]})
     return pd.DataFrame({"lang": lang, "score": score, "spans": runs}) if spans else pd.DataFrame({"lang": lang, "score": score})
@@ -224,14 +243,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
 def identify(docs: DataFrame, model: Model | None, text: str = "text", out: str = "language", spans: bool = False) -> DataFrame:
     """``docs`` with ``out``: struct of lang, score and, if asked for, spans."""
     kind = "struct<lang:string,score:double" + (",spans:array<struct<lang:string,start:int,stop:int>>>" if spans else ">")
+    # buckets and languages bound its size; plain arrays, as executors need no copy of this package
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.scripts) if model else None)
 
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Model(*sent.value) if sent.value else None
         for s in batches:
             parts = [label_texts(list(s.iloc[i : i + 1000]), model, spans) for i in range(0, len(s), 1000)]
             yield pd.concat(parts, ignore_index=True) if parts else label_texts([], model, spans)
 
     labelled.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return docs.withColumn(out, F.pandas_udf(labelled, kind)(F.col(text)))
+    return aside(docs, out).withColumn(out, F.pandas_udf(labelled, kind)(F.col(text)))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,8 +1,9 @@
 """URL filters by a temporal list join (native).
 
 A list is a log of dated entries (key, day, action, category): an ``add`` lists the key in the
-category from that day, a ``remove`` ends it; the categories of a key do not touch each other. Entries become validity intervals [from_day, to_day); a capture is
-evaluated against the intervals that hold on the day it was fetched. Keys are ``d:`` plus a host or
+category from that day, a ``remove`` ends it; the categories of a key do not touch each other. Entries
+become validity intervals [from_day, to_day); a capture is evaluated against the intervals that hold
+on the day it was fetched. Keys are ``d:`` plus a host or
 one of its parent domains and ``p:`` plus host and first path segment.
 
 Captures are reduced to distinct (host, segment, day) probes before the join, so a host with a third
@@ -10,8 +11,9 @@ of all captures costs as many probes as it has days and segments.
 
 Defined results: a null or unparsable url has no keys and is never listed; entries with a null key
 or day are ignored; of entries for one key, category and day the last action by name wins (``remove``
-after ``add``); a null category is one of its own; an empty list lists nothing; repeated captures are
-evaluated alike.
+after ``add``); a null category is one of its own; an empty list lists nothing; an empty table of captures stays
+empty; repeated captures are evaluated alike; urls may be of any length; further columns pass, one
+named like an added column as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.binding import aside, spare
+
 
 def host_of(url: Column) -> Column:
     found = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -49,15 +53,18 @@ def _keys(host: Column, segment: Column) -> Column:
 
 def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``captures`` with host, n_active (entries that apply, by key and category), listed and the category of the most specific one."""
-    named = captures.withColumn("host", host_of(F.col(url))).withColumn("_seg", segment_of(F.col(url))).withColumn("_day", F.col(day))
-    probes = named.where("host <> '' AND _day IS NOT NULL").select("host", "_seg", "_day").distinct()
-    keyed = probes.select("host", "_seg", "_day", F.inline(_keys(F.col("host"), F.col("_seg"))))
-    held = intervals(entries)
-    hits = keyed.join(held, "key").where((F.col("_day") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("_day") < F.col("to_day"))))
-    verdicts = hits.groupBy("host", "_seg", "_day").agg(
+    added = ("host", "n_active", "listed", "category")
+    captures = aside(captures, *added)
+    url, day = (f"{c}_input" if c in added else c for c in (url, day))
+    seg, at = spare(captures, "_seg"), spare(captures, "_day")
+    named = captures.withColumn("host", host_of(F.col(url))).withColumn(seg, segment_of(F.col(url))).withColumn(at, F.col(day))
+    probes = named.select("host", F.col(seg).alias("seg"), F.col(at).alias("at")).where("host <> '' AND at IS NOT NULL").distinct()
+    keyed = probes.select("host", "seg", "at", F.inline(_keys(F.col("host"), F.col("seg"))))
+    hits = keyed.join(intervals(entries), "key").where((F.col("at") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("at") < F.col("to_day"))))
+    verdicts = hits.groupBy("host", F.col("seg").alias(seg), F.col("at").alias(at)).agg(
         F.count("*").alias("n_active"), F.max_by("category", F.struct("depth", "category")).alias("category")
     )
-    out = named.join(verdicts, ["host", "_seg", "_day"], "left").drop("_seg", "_day")
+    out = named.join(verdicts, ["host", seg, at], "left").drop(seg, at)
     return out.withColumn("n_active", F.coalesce("n_active", F.lit(0)).cast("long")).withColumn("listed", F.col("n_active") > 0)
 
 
