@@ -9,7 +9,8 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 BASE = 0x100000001B3
 MASK64 = (1 << 64) - 1
 MASK56 = np.uint64((1 << 56) - 1)
-_TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Random values of the bytes, for two independent hashes.
+_TABLES = [np.random.default_rng(k).integers(1, 1 << 63, 256, dtype=np.uint64) for k in (11, 12)]
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -31,12 +32,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prefix:
-    """Hash of any slice of a byte buffer from running sums."""
+    """Hash of any slice of a byte buffer from running sums; ``which`` tells two independent ones apart."""
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, which: int = 0):
         up, self.down = powers(len(raw) + 1)
         self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[raw] * up[: len(raw)], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(_TABLES[which][raw] * up[: len(raw)], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of [begin, end); slices of different length are told apart by their length."""

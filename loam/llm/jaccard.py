@@ -13,7 +13,9 @@ g (g - 1) / 2 links inside a large group of near copies.
 
 Defined results: with fewer than five words the whole sequence is one shingle; null or blank texts
 have an empty set and link with nothing; rows of one doc_id are one document (the union of their
-sets); rows without a doc_id are left out; an empty table gives an empty result.
+sets) and stay or go together; rows without a doc_id are left out here and stay in
+``drop_near_duplicates``; an empty table gives an empty result; columns beyond doc_id and text are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations

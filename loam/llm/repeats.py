@@ -8,20 +8,24 @@ chooses, settle those first, and derive all other positions from them.
    anchors, so a document needs to be looked at only where its anchors occur in other documents too
    (``shared_keys``, one packed shuffle). Exact copies of whole texts are settled by their digest.
 2. The runs of windows around a shared anchor meet by anchor, as bytes; all their windows are hashed
-   and compared there. Runs around an anchor that is common anywhere are taken apart into windows that
-   meet by window hash instead, so no anchor, however frequent, gathers its occurrences in one task.
+   there, and those with equal hashes compared as bytes. Runs around an anchor that is common in a
+   stretch of documents or in the whole corpus are taken apart into windows that meet by window hash
+   instead, so no anchor, however frequent, gathers its occurrences in one task. Such a window goes
+   with a second, independent hash in place of its bytes: 56 and 64 bits have to agree.
    Each task first settles what its own documents decide and sends only the first holder of a run.
 3. A window is marked if its smallest holder is an earlier document; marks are joined to the texts.
 
 Defined results: null text is empty; texts under 50 bytes keep all; repeats inside one document stay;
 rows of one doc_id never remove each other's bytes; rows without a doc_id are not compared and stay
-whole; an empty table gives an empty result.
+whole; texts may be of any length; an empty table gives an empty result; columns beyond doc_id and
+text are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -69,6 +73,10 @@ class Scanned:
         self.doc = np.array([p[0] for p in pieces])[piece]
         self.shift = (np.array([p[1] for p in pieces]) - begins)[piece]  # from place in the buffer to place in the text
 
+    @cached_property
+    def other(self) -> Prefix:
+        return Prefix(self.raw, 1)
+
 
 def scan(texts: list[bytes]) -> Iterator[Scanned]:
     """Texts in buffers of bounded size; a longer text in pieces that overlap by a window less a byte."""
@@ -106,13 +114,36 @@ MARKS = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("marks", pa.bina
 RUNS, WINDOWS, MARKED = 0, 1, 2
 
 
-def _later(group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by group, and which rows in that order have a smaller document in their group."""
+def _later(group: np.ndarray, doc: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by group, and which rows in that order have a smaller document in their group.
+
+    Rows of a group agree in ``check``; where they don't, group and check together make the group.
+    """
     order = np.lexsort((doc, group))
-    g, d = group[order], doc[order]
+    g, d, c = group[order], doc[order], check[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.concatenate([first, [len(g)]]))
+    if (c != np.repeat(c[first], times)).any():
+        exact = np.unique(np.stack([group.astype(np.uint64), check.astype(np.uint64)], axis=1), axis=0, return_inverse=True)[1].ravel()
+        return _later(exact.astype(np.uint64), doc, np.zeros(len(doc), dtype=np.uint64))
+    return order, d > np.repeat(d[first], times)
+
+
+def _as_bytes(blob: np.ndarray, at: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the windows of a buffer that begin at ``at``: those of equal hash are compared as bytes."""
+    none = np.zeros(len(at), dtype=np.uint64)
+    order, later = _later(hashes, doc, none)
+    g = hashes[order]
     first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, dtype=np.int64)
-    least = np.repeat(d[first], np.diff(np.concatenate([first, [len(g)]])))
-    return order, d > least
+    lead = np.repeat(order[first], np.diff(np.concatenate([first, [len(g)]])))[later]
+    gone = order[later]
+    eight = np.lib.stride_tricks.as_strided(blob, shape=(max(0, len(blob) - 7), 8), strides=(1, 1))
+    for k in (*range(0, SPAN - 8, 8), SPAN - 8):
+        if not np.array_equal(eight[at[gone] + k].view(np.uint64), eight[at[lead] + k].view(np.uint64)):
+            windows = np.lib.stride_tricks.sliding_window_view(blob, SPAN)[at]
+            exact = np.unique(windows, axis=0, return_inverse=True)[1].ravel()
+            return _later(exact.astype(np.uint64), doc, none)
+    return order, later
 
 
 def _merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -165,15 +196,15 @@ class _Stretch:
             begin, end = s.at[new[run]], s.at[last[run]] + SPAN
             if len(begin):
                 shift = s.shift[new[run]]
-                self.runs.append((key[run], s.prefix.of(begin, end), doc[run] + base, begin + shift, end - begin))
+                self.runs.append((key[run], s.prefix.of(begin, end), s.other.of(begin, end), doc[run] + base, begin + shift, end - begin))
                 flat = _gather(begin, end - begin)
                 self.blobs.append(s.raw[flat])
                 self.size += len(flat)
             win = np.repeat(kind == WINDOWS, last - new + 1)
             if win.any():
                 at = s.at[win]
-                self.windows.append((s.prefix.of(at, at + SPAN) & MASK56, s.doc[win] + base, at + s.shift[win]))
-                self.size += 16 * len(at)
+                self.windows.append((s.prefix.of(at, at + SPAN) & MASK56, s.other.of(at, at + SPAN), s.doc[win] + base, at + s.shift[win]))
+                self.size += 24 * len(at)
 
     def flush(self) -> pa.RecordBatch:
         out: dict[str, list] = {name: [] for name in STAGE.names}
@@ -181,10 +212,10 @@ class _Stretch:
         ranges = 1 << (BITS - self.shift)
         marks = []
         if self.runs:
-            key, whole, owner, begin, size = (np.concatenate(x) for x in zip(*self.runs, strict=True))
+            key, whole, check, owner, begin, size = (np.concatenate(x) for x in zip(*self.runs, strict=True))
             blob = np.concatenate(self.blobs)
             offset = np.cumsum(size) - size
-            order, later = _later(key ^ mix(whole), docs[owner, 0])
+            order, later = _later(key ^ mix(whole), docs[owner, 0], check)
             gone = order[later]
             marks.append((owner[gone], begin[gone], begin[gone] + size[gone]))
             stay = order[~later]
@@ -198,16 +229,17 @@ class _Stretch:
                 for name, v in zip(STAGE.names, (int(part[a]), RUNS, squeeze(pack(key[rows])), squeeze(at.astype("<u4")), place, squeeze(docs[used].ravel()), squeeze(text)), strict=True):
                     out[name].append(v)
         if self.windows:
-            key, owner, begin = (np.concatenate(x) for x in zip(*self.windows, strict=True))
-            order, later = _later(key, docs[owner, 0])
+            key, check, owner, begin = (np.concatenate(x) for x in zip(*self.windows, strict=True))
+            order, later = _later(key, docs[owner, 0], check)
             gone = order[later]
             marks.append((owner[gone], begin[gone], begin[gone] + SPAN))
-            stay = order[~later]  # by key
+            stay = order[~later]
+            stay = stay[np.argsort(key[stay], kind="stable")]
             part = key[stay] >> np.uint64(self.shift)
             for a, b in runs(part):
                 rows = stay[a:b]
                 used, at = np.unique(owner[rows], return_inverse=True)
-                row = (int(part[a]) + ranges, WINDOWS, squeeze(pack(key[rows])), squeeze(at.astype("<u4")), squeeze(begin[rows].astype("<i4")), squeeze(docs[used].ravel()), None)
+                row = (int(part[a]) + ranges, WINDOWS, squeeze(pack(key[rows])), squeeze(at.astype("<u4")), squeeze(begin[rows].astype("<i4")), squeeze(docs[used].ravel()), check[rows].astype("<u8").tobytes())
                 for name, v in zip(STAGE.names, row, strict=True):
                     out[name].append(v)
         sent = pa.RecordBatch.from_pydict(out, schema=STAGE)
@@ -262,12 +294,12 @@ def _meet(group: pa.Table) -> pa.Table:
         if kind == RUNS:
             blocks.append((unpack(unsqueeze(keys)), owner, numbers[: len(owner)], numbers[len(owner) :], np.frombuffer(unsqueeze(text), dtype=np.uint8)))
         else:
-            windows.append((unpack(unsqueeze(keys)), owner, numbers))
+            windows.append((unpack(unsqueeze(keys)), np.frombuffer(text, dtype="<u8"), owner, numbers))
     marks = []
     docs = np.concatenate(docs) if docs else np.zeros((0, 2), dtype=np.int64)
     if windows:
-        key, owner, begin = (np.concatenate(x) for x in zip(*windows, strict=True))
-        order, later = _later(key, docs[owner, 0])
+        key, check, owner, begin = (np.concatenate(x) for x in zip(*windows, strict=True))
+        order, later = _later(key, docs[owner, 0], check)
         gone = order[later]
         marks.append((owner[gone], begin[gone], begin[gone] + SPAN))
     if blocks:
@@ -283,12 +315,13 @@ def _meet(group: pa.Table) -> pa.Table:
             rows = order[edges[a] : edges[b]]
             own = size[rows]
             base = np.cumsum(own) - own
-            prefix = Prefix(blob[_gather(offset[rows], own)])
+            part = blob[_gather(offset[rows], own)]
+            prefix = Prefix(part)
             count = own - SPAN + 1
             row = np.repeat(np.arange(len(rows)), count)
             step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             at = base[row] + step
-            got, later = _later(prefix.of(at, at + SPAN), docs[owner[rows[row]], 0])
+            got, later = _as_bytes(part, at, prefix.of(at, at + SPAN), docs[owner[rows[row]], 0])
             gone = got[later]
             start = begin[rows[row[gone]]] + step[gone]
             marks.append((owner[rows[row[gone]]], start, start + SPAN))
@@ -337,7 +370,7 @@ def repeated_passages(docs: DataFrame, out: str = "repeats") -> DataFrame:
     firsts = small_side(keep(firsts, "repeat-firsts"))  # kept, so that the join may split a digest with many copies
     copies = keep(digests.join(firsts, "sha").where("doc_id > first").select("doc_id", "th").distinct(), "repeat-copies")
     shift = key_ranges(docs)
-    shared = shared_keys(docs, anchor_keys).where(F.size("keys") > 0).select("doc_id", "n_rare", "keys")
+    shared = shared_keys(docs, anchor_keys, shift).where(F.size("keys") > 0).select("doc_id", "n_rare", "keys")
     shared = keep(shared, "repeat-anchors")
     whole = copies.groupBy("doc_id").agg(F.collect_set("th").alias("copies"))
     shared = shared.join(whole.hint("merge"), "doc_id", "left")

@@ -5,9 +5,10 @@ four times the key, so each task sorts the keys of a stretch of documents and sh
 one packed row: keys as compressed steps, the owner of each as a short index. A key held by ``HOT`` or more
 documents of a stretch is shared and common whatever the rest of the corpus says: it is sent once
 per stretch without owners, so a key that a third of all documents hold costs each stretch one entry.
+A key that ``MANY`` documents of the whole corpus hold is common as well, however thinly it is spread.
 
 ``shared_keys`` returns a row per document: its number of keys and its shared keys in a global order,
-rare first: by the number of documents that hold the key, keys that were common in any stretch last
+rare first: by the number of documents that hold the key, common keys last
 (from place ``n_rare`` on), ties by key. Keys that no other document holds come before all of them and are not returned.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from loam.llm.bytehash import runs
 
 HOT = 8
+MANY = 1000
 BITS = 56
 #: Keys of one stretch, text of one chunk and text for one key range, at most (a single longer document excepted).
 STRETCH_KEYS = 400_000
@@ -174,7 +176,7 @@ def _resolve(group: pa.Table) -> pa.Table:
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         times = np.diff(np.concatenate([first, [len(k)]]))
         common = np.logical_or.reduceat(~w, first)
-        df = np.repeat(np.where(common, COMMON, times).astype(np.uint32), times)
+        df = np.repeat(np.where(common | (times >= MANY), COMMON, times).astype(np.uint32), times)
         back = w & (df > 1)
         k, o, df = k[back], o[back], df[back]
         order = np.argsort(o, kind="stable")
@@ -223,9 +225,9 @@ def key_ranges(docs: DataFrame) -> int:
     return BITS - max(6, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
 
 
-def shared_keys(docs: DataFrame, keyer: Keyer) -> DataFrame:
+def shared_keys(docs: DataFrame, keyer: Keyer, shift: int | None = None) -> DataFrame:
     """doc_id, n (its keys), n_rare, keys (those shared, in global order) of every document (doc_id, text) with an id."""
-    packed = docs.select("doc_id", "text").mapInArrow(_emit(keyer, key_ranges(docs)), "slot long, doc_id long, n long, keys binary, at binary, docs binary")
+    packed = docs.select("doc_id", "text").mapInArrow(_emit(keyer, key_ranges(docs) if shift is None else shift), "slot long, doc_id long, n long, keys binary, at binary, docs binary")
     # documents and key ranges meet in the same exchange; a slot of either kind is small
     answers = packed.groupBy("slot").applyInArrow(_resolve, "doc_id long, n long, keys binary, df binary")
     per_doc = answers.groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list("keys").alias("keys"), F.collect_list("df").alias("df"))
