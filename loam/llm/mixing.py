@@ -7,7 +7,9 @@ The block instances of all sources are then dealt to output shards: a binary tre
 draws at each node how many instances of each source go left, which is a multivariate
 hypergeometric draw, so each shard's counts are those of a uniform shuffle while every total stays
 exact. The leaves' counts are consecutive ranges of each source's permuted instances, hence
-disjoint. Each shard is shuffled by itself, by its rows' ``slot``.
+disjoint. Each shard is shuffled by itself: its rows are sorted by their random ``slot`` in one task, as
+a shard has ``SHARD_WORDS`` words whatever the size of the corpus. Sources are what weights are given to,
+up to some thousands: a node of the tree holds a count for each.
 
 Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in
 order; repeated rows are separate documents; an empty table gives an empty mix; columns beyond
@@ -25,8 +27,10 @@ from loam.plans.prefix_sums import running_offset
 
 BLOCK_WORDS = 256
 SHARD_WORDS = 1_000_000
-#: Multipliers of the block permutation: primes above any block count, so x -> a x + c is a bijection mod n.
+#: Multipliers of the block permutation: primes above the block count, so x -> a x + c is a bijection mod n; the last
+#: one serves sources of more blocks than the others.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+LARGE_PRIME = (1 << 61) - 1
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -71,6 +75,7 @@ def _plan(per: DataFrame, block: int) -> DataFrame:
     key = F.md5(F.coalesce(F.col("source"), F.lit("-")))
     number = lambda a, b: F.conv(F.substring(key, a, b), 16, 10).cast("long")
     prime = F.element_at(F.array(*[F.lit(x) for x in PRIMES]), (number(1, 2) % len(PRIMES) + 1).cast("int"))
+    prime = F.when(F.col("blocks") < min(PRIMES), prime).otherwise(F.lit(LARGE_PRIME))
     last = F.col("source_size") - (F.col("blocks") - 1) * block
     return (
         per.withColumn("blocks", n)
@@ -78,13 +83,20 @@ def _plan(per: DataFrame, block: int) -> DataFrame:
         .withColumn("rest", F.col("quota") - F.col("passes") * F.col("source_size"))
         .withColumn("mul", prime % F.col("blocks"))
         .withColumn("add", number(3, 7) % F.col("blocks"))
-        .withColumn("short_at", (F.col("mul") * (F.col("blocks") - 1) + F.col("add")) % F.col("blocks"))
+        .withColumn("short_at", _permuted(F.col("blocks") - 1))
         .withColumn("short_by", F.lit(block) - last)
         .withColumn("partial", _blocks_for(F.col("rest"), F.col("short_at"), F.col("short_by"), block))
         .withColumn("units", F.when(F.col("source_size") > 0, F.col("passes") * F.col("blocks") + F.col("partial")).otherwise(0).cast("long"))
     )
 
 
+def _permuted(block: Column) -> Column:
+    """(mul * block + add) mod blocks, in two steps so that nothing overflows below 2**40 blocks."""
+    a, n, half = F.col("mul"), F.col("blocks"), F.lit(1 << 20)
+    high = (a * F.floor(block / half).cast("long")) % n
+    return (high * half + a * (block % half) + F.col("add")) % n
+
+
 def _blocks_for(rest: Column, short_at: Column, short_by: Column, block: int) -> Column:
     """Blocks that the partial pass touches; the short block makes it one more at most."""
     plain = F.ceil(rest / block).cast("long")
@@ -184,7 +196,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", block: int
     )
     block_no = F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)))
     deal = deal.withColumn("block", block_no).withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
-    pos = (F.col("mul") * F.col("block") + F.col("add")) % F.col("blocks")
+    pos = _permuted(F.col("block"))
     length = F.when(F.col("block") == F.col("blocks") - 1, F.lit(block) - F.col("short_by")).otherwise(F.lit(block))
     begun = F.col("pos") * block - F.when(F.col("pos") > F.col("short_at"), F.col("short_by")).otherwise(0)
     allowed = F.when(F.col("pass_no") < F.col("passes"), length).otherwise(F.greatest(F.least(F.col("rest") - begun, length), F.lit(0)))
@@ -218,7 +230,8 @@ def taken_words(placed: DataFrame, spans: DataFrame) -> DataFrame:
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix with its words: shard, slot, source, doc_id, pass_no, first_word, n_words, text.
 
-    A document's words are split once; white space inside a span stays as it was.
+    A document's words are split once; white space inside a span stays as it was. The rows of a shard
+    come together, shuffled by slot.
     """
     _, _, spans = mix(docs, **options)
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
@@ -232,4 +245,6 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
             "_parts", lambda p: p.withField("text", F.array_join(F.slice(w, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), ""))
         ),
     )
-    return bodies.join(per_doc.hint("merge"), ["_id", "_d2"]).select("doc_id", F.inline(cut))
+    spread = bodies.join(per_doc.hint("merge"), ["_id", "_d2"]).select("doc_id", F.inline(cut))
+    order = ["shard", "slot", "doc_id", "first_word", "pass_no"]
+    return spread.repartition("shard").sortWithinPartitions(*order).select("shard", "slot", "doc_id", "source", "pass_no", "first_word", "n_words", "text")
