@@ -120,7 +120,8 @@ def revealing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
     pairs = keep(pairs.where(F.col("contexts") >= SUPPORT), "pii-pairs")
     terms = small_side(keep(pairs.select("term").distinct(), "pii-terms"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_LETTER))).alias("term"))
-    n_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join: tasks combine their own counts, and the join makes a row a term
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     n = docs.agg(F.count("*").alias("n"))
     scored = pairs.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(n))  # n is a single row
     ic = F.log2(F.col("n") / F.col("n_e"))
