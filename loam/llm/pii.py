@@ -12,8 +12,8 @@ A term reveals as much of e as PMI(e, t) / IC(e). From ``GENERALISE`` on it is g
 all documents, for the terms that have such a pair.
 
 Defined results: a null text is empty and has no spans; repeated rows get the same spans; term
-spans never overlap base spans; an empty table gives an empty result; further columns pass through,
-also those named like the columns added here, which are held in the struct ``pii``.
+spans never overlap base spans; texts may be of any length; an empty table gives an empty result;
+further columns pass, one named like the added column as ``<name>_input``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.functions.binding import let
+from loam.functions.binding import aside, let, spare
 from loam.plans.materialize import keep, small_side
 
 CONTEXT = 120
@@ -129,12 +129,14 @@ def revealing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
     return scored.withColumn("share", pmi / ic).where((F.col("share") >= GENERALISE) & (ic > 0)).select("entity", "term", "share")
 
 
-def _doc_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _doc_key(df: DataFrame, ident: str = "_id", th: str = "_th") -> DataFrame:
+    return df.withColumn(ident, F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``pii``: struct of base (spans) and terms (spans with their share)."""
+def find_pii(docs: DataFrame, out: str = "pii") -> DataFrame:
+    """``docs`` with ``out``: struct of base (spans) and terms (spans with their share)."""
+    docs = aside(docs, out)
+    ident, th, kept = (spare(docs, c) for c in ("_id", "_th", "_terms"))
     body = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select("doc_id", "text")
     held = keep(
@@ -148,12 +150,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     shared = F.transform(located(F.col("text"), pattern, "term"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.col("share").alias("share")))
     apart = lambda s: ~F.exists("spans", lambda b: (s["start"] < b["stop"]) & (b["start"] < s["stop"]))
     placed = held.join(wanted, ["doc_id", "th"]).select("doc_id", "th", F.explode(F.filter(shared, apart)).alias("t"))
-    terms = placed.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("t")).alias("_terms"))
-    terms = small_side(keep(terms.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_terms"), "pii-placed"), 20_000)
-    out = _doc_key(docs).join(terms, ["_id", "_th"], "left")
+    terms = placed.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list("t")).alias("terms"))
+    terms = small_side(keep(terms.select(F.col("doc_id").alias(ident), F.col("th").alias(th), F.col("terms").alias(kept)), "pii-placed"), 20_000)
+    named = _doc_key(docs, ident, th).join(terms, [ident, th], "left")
     empty = F.array().cast("array<struct<start:int,stop:int,share:double>>")
-    pii = F.struct(base_spans(body).alias("base"), F.coalesce("_terms", empty).alias("terms"))
-    return out.withColumn("pii", pii).drop("_id", "_th", "_terms")
+    found = F.struct(base_spans(body).alias("base"), F.coalesce(kept, empty).alias("terms"))
+    return named.withColumn(out, found).drop(ident, th, kept)
 
 
 def _chain(spans: Column, text: Column) -> Column:
@@ -172,10 +174,11 @@ def _chain(spans: Column, text: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced; rows without spans are unchanged."""
-    found = find_pii(docs)
-    pii = F.col("pii")
+    out = spare(docs, "_pii")
+    found = find_pii(docs, out)
+    pii = F.col(out)
     label = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"))
     term = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["share"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("label"))
     spans = F.concat(F.transform(pii["base"], label), F.transform(pii["terms"], term))
     text = F.when(F.size(pii["base"]) + F.size(pii["terms"]) > 0, _chain(spans, F.col("text"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("pii")
+    return found.withColumn("text", text).drop(out)
