@@ -76,17 +76,19 @@ def hash_embedding(rows: DataFrame, dims: int = 384, id_: str = "id", text: str
 
     Features, once each per text: words 1.0, 3-grams of words of four letters or more 0.45, word pairs 1.35.
     """
-    none = F.array().cast("array<struct<f:string,v:double>>")
-    feature = lambda f, v: F.struct(f.alias("f"), F.lit(v).alias("v"))
 
     def features(w: Column) -> Column:
-        one = F.transform(w, lambda x: feature(F.concat(F.lit("w:"), x), 1.0))
-        parts = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: feature(F.concat(F.lit("t:"), F.substring(x, i, F.lit(3))), 0.45))
-        grams = F.flatten(F.transform(F.filter(F.array_distinct(w), lambda x: F.length(x) >= 4), parts))
-        pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: feature(F.concat(F.lit("b:"), F.get(w, i), F.lit(" "), F.get(w, i + 1)), 1.35))
-        return F.array_distinct(F.concat(one, grams, F.when(F.size(w) > 1, pairs).otherwise(none)))
-
-    feats = rows.select(F.col(id_).alias("id"), F.explode(let(T.search_terms(F.col(text)), features)).alias("x")).select("id", "x.f", "x.v")
+        """Strings, as those are told apart by hashing: the first letter gives the weight."""
+        own = F.array_distinct(w)
+        parts = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.concat(F.lit("t:"), F.substring(x, i, F.lit(3))))
+        grams = F.flatten(F.transform(F.filter(own, lambda x: F.length(x) >= 4), parts))
+        pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.lit("b:"), F.get(w, i), F.lit(" "), F.get(w, i + 1)))
+        one = F.transform(own, lambda x: F.concat(F.lit("w:"), x))
+        return F.array_distinct(F.concat(one, grams, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))))
+
+    feats = rows.select(F.col(id_).alias("id"), F.explode(let(T.search_terms(F.col(text)), features)).alias("f"))
+    kind = F.substring("f", 1, 1)
+    feats = feats.withColumn("v", F.when(kind == "w", 1.0).when(kind == "t", 0.45).otherwise(1.35))
     digest = F.sha2("f", 256)
     bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims
     sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)

@@ -11,7 +11,7 @@ from loam.functions import text as T
 from loam.operators import content, governance, graph, lifecycle, mining
 from loam.operators import records as R
 from loam.registry.base import query
-from loam.registry.text import LINE_SQL, P, PATTERN_SQL, PHRASES, W, esc, first_sql, log_lines, phrased
+from loam.registry.text import LINE_SQL, MINIFIED, P, PATTERN_SQL, PHRASES, W, esc, first_sql, log_lines, phrased
 from loam.schemas import EDGE_RELATIONS, KIND_RISK, RISK_ORDER, ROLE_PERMISSIONS, case_sql, pick
 
 RISK = case_sql(KIND_RISK, "kind")
@@ -62,14 +62,14 @@ def gov6_apply_proposals(t):
     return governance.apply_proposals(t.documents.select(d.alias("id"), "text"), p).select("id", F.sha2("text", 256).alias("h"))
 
 
-@query("SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN event_type = 'error' THEN 'note ' || value ELSE NULL END AS note FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN event_type = 'error' THEN 'note ' || value ELSE NULL END AS note FROM events")
 def gov7_reject(t):
-    rows = t.events.where("event_id % 10 = 0").select("event_id", "user_id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("note"))
-    changes = t.events.where("event_type = 'error' AND event_id % 10 = 0").select("event_id", F.lit("rejected").alias("status"), F.concat(F.lit("note "), F.col("value").cast("string")).alias("note"))
+    rows = t.events.select("event_id", "user_id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("note"))
+    changes = t.events.where("event_type = 'error'").select("event_id", F.lit("rejected").alias("status"), F.concat(F.lit("note "), F.col("value").cast("string")).alias("note"))
     return R.update_rows(rows, changes, "event_id")
 
 
-VOTES_SQL = """v AS (SELECT event_id % 40 AS proposal, user_id AS u, max_by(CASE event_type WHEN 'view' THEN 'approved' WHEN 'click' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'abstain' END, (ts, event_id)) AS decision FROM events WHERE event_id % 7 = 0 GROUP BY 1, 2)"""
+VOTES_SQL = """v AS (SELECT event_id // 7 AS proposal, user_id AS u, max_by(CASE event_type WHEN 'view' THEN 'approved' WHEN 'click' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'abstain' END, (ts, event_id)) AS decision FROM events GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {VOTES_SQL}, t AS (SELECT proposal, count(*) FILTER (decision = 'approved') AS a, count(*) FILTER (decision = 'rejected') AS r,
@@ -80,16 +80,16 @@ SELECT proposal, a AS approvals, r AS rejections, floor(pct + 0.5)::BIGINT AS pe
 a + r >= CASE WHEN risk IN ('low', 'medium') THEN 1 ELSE 2 END AND pct >= CASE risk WHEN 'high' THEN 66 WHEN 'critical' THEN 75 ELSE 50 END AND missing = '' AND (a + r = 0 OR a > r) AS can_approve FROM q""")
 def gov8_votes(t):
     decision = F.when(F.col("event_type").isin("view", "click"), "approved").when(F.col("event_type") == "error", "rejected").otherwise("abstain")
-    votes = t.events.where("event_id % 7 = 0").select((F.col("event_id") % 40).alias("proposal"), F.col("user_id").alias("user"), decision.alias("decision"), F.struct("ts", "event_id").alias("at"))
+    votes = t.events.select(F.floor(F.col("event_id") / 7).alias("proposal"), F.col("user_id").alias("user"), decision.alias("decision"), F.struct("ts", "event_id").alias("at"))
     roles = t.events.select(F.col("user_id").alias("user"), pick(tuple(ROLE_PERMISSIONS), F.col("user_id") % 4).alias("role")).distinct()
     proposals = votes.select("proposal").distinct().withColumn("risk", pick(tuple(RISK_ORDER), F.col("proposal") % 4))
     return governance.evaluate_votes(votes, roles, proposals)
 
 
-@query("""WITH v AS (SELECT event_id % 40 AS proposal, user_id, event_type, ts, event_id FROM events WHERE event_id % 7 = 0)
+@query("""WITH v AS (SELECT event_id // 7 AS proposal, user_id, event_type, ts, event_id FROM events)
 SELECT proposal, count(*) FILTER (d = 'view') AS views, count(*) AS voters FROM (SELECT proposal, user_id, max_by(event_type, (ts, event_id)) AS d FROM v GROUP BY ALL) GROUP BY proposal""")
 def agg9_vote_tally(t):
-    votes = t.events.where("event_id % 7 = 0").select((F.col("event_id") % 40).alias("proposal"), F.col("user_id").alias("user"), F.col("event_type").alias("decision"), F.struct("ts", "event_id").alias("at"))
+    votes = t.events.select(F.floor(F.col("event_id") / 7).alias("proposal"), F.col("user_id").alias("user"), F.col("event_type").alias("decision"), F.struct("ts", "event_id").alias("at"))
     return governance.latest_votes(votes).groupBy("proposal").agg(F.count(F.when(F.col("decision") == "view", 1)).alias("views"), F.count("*").alias("voters"))
 
 
@@ -100,9 +100,9 @@ def gov9_role_registry(t):
     return R.not_stored(kept, t.events.where("user_id % 5 = 0").select("user_id"), ["user_id"]).select("user_id", "role")
 
 
-@query("""SELECT event_id, CASE WHEN props LIKE '%"k": 1%' THEN 'violation' ELSE 'ok' END AS audit FROM events WHERE event_id % 3 = 0""")
+@query("""SELECT event_id, CASE WHEN props LIKE '%"k": 1%' THEN 'violation' ELSE 'ok' END AS audit FROM events""")
 def gov11_violation_audit(t):
-    rows = R.constrain(t.events.where("event_id % 3 = 0"), {"props": ~F.contains("props", F.lit('"k": 1'))})
+    rows = R.constrain(t.events, {"props": ~F.contains("props", F.lit('"k": 1'))})
     return rows.select("event_id", F.when(F.size("violations") > 0, "violation").otherwise("ok").alias("audit"))
 
 
@@ -120,20 +120,20 @@ def lif2_supersede(t):
     return out.select("id", "status", "superseded_by")
 
 
-STALE_SQL = """l AS (SELECT DISTINCT l_orderkey AS id, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 10 = 0),
+STALE_SQL = """l AS (SELECT DISTINCT l_orderkey AS id, l_partkey, l_suppkey FROM lineitem),
 r AS (SELECT id, 'missing_file' AS reason FROM l WHERE l_suppkey % 10 = 3 UNION SELECT id, 'missing_symbol' FROM l WHERE l_partkey % 10 = 3
-UNION SELECT id, 'fingerprint_mismatch' FROM l WHERE l_partkey % 10 = 7 UNION SELECT o_orderkey, 'low_confidence' FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice < 50000)"""
+UNION SELECT id, 'fingerprint_mismatch' FROM l WHERE l_partkey % 10 = 7 UNION SELECT o_orderkey, 'low_confidence' FROM orders WHERE o_totalprice < 50000)"""
 
 
 @query(f"""WITH {STALE_SQL}, g AS (SELECT id, list_sort(list(reason)) AS rs FROM r GROUP BY id)
 SELECT id, CASE WHEN list_has_any(rs, ['missing_file', 'missing_symbol']) THEN 3 WHEN list_contains(rs, 'fingerprint_mismatch') THEN 2 ELSE 1 END AS severity, array_to_string(rs, ',') AS reasons,
 CASE WHEN list_has_any(rs, ['missing_file', 'missing_symbol']) THEN 'update_link' ELSE 'review' END AS action FROM g""")
 def lif3_stale_report(t):
-    links = t.lineitem.where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey").distinct()
+    links = t.lineitem.select(F.col("l_orderkey").alias("id"), "l_partkey", "l_suppkey").distinct()
     suppliers = t.supplier.where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("l_suppkey"))
     parts = t.part.where("p_partkey % 10 <> 3").select(F.col("p_partkey").alias("l_partkey"))
     reason = lambda rows, name: rows.select("id", F.lit(name).alias("reason"))
-    low = t.orders.where("o_orderkey % 10 = 0 AND o_totalprice < 50000").select(F.col("o_orderkey").alias("id"))
+    low = t.orders.where("o_totalprice < 50000").select(F.col("o_orderkey").alias("id"))
     rows = reason(links.join(suppliers, "l_suppkey", "left_anti"), "missing_file").unionAll(reason(links.join(parts, "l_partkey", "left_anti"), "missing_symbol"))
     return lifecycle.stale_report(rows.unionAll(reason(links.where("l_partkey % 10 = 7"), "fingerprint_mismatch")).unionAll(reason(low, "low_confidence")))
 
@@ -180,17 +180,17 @@ def lif8_observations(t):
     return seen.groupBy("user_id").agg(F.count("*").alias("observations"), F.unix_micros(F.min("ts").cast("timestamp")).alias("first_us"))
 
 
-EDGE_SQL = "e AS (SELECT DISTINCT l_orderkey AS s, l_suppkey + 5000000 AS t FROM lineitem WHERE l_orderkey % 7 = 0), b AS (SELECT s AS a, t AS b, 'out' AS d FROM e UNION ALL SELECT t, s, 'in' FROM e)"
+EDGE_SQL = "e AS (SELECT DISTINCT l_orderkey AS s, l_suppkey + 5000000 AS t FROM lineitem), b AS (SELECT s AS a, t AS b, 'out' AS d FROM e UNION ALL SELECT t, s, 'in' FROM e)"
 
 
 def edge_table(t):
-    return t.lineitem.where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("source"), (F.col("l_suppkey") + 5000000).alias("target")).distinct()
+    return t.lineitem.select(F.col("l_orderkey").alias("source"), (F.col("l_suppkey") + 5000000).alias("target")).distinct()
 
 
-@query(f"""WITH {EDGE_SQL}, q AS (SELECT DISTINCT s AS start FROM e WHERE s % 70 = 0), one AS (SELECT start, b.b AS node, d FROM q JOIN b ON b.a = start)
+@query(f"""WITH {EDGE_SQL}, q AS (SELECT DISTINCT s AS start FROM e WHERE s % 100 = 0), one AS (SELECT start, b.b AS node, d FROM q JOIN b ON b.a = start)
 SELECT DISTINCT start, node, 1 AS depth, d AS direction FROM one UNION ALL SELECT DISTINCT start, b.b, 2, b.d FROM one JOIN b ON b.a = node AND b.b <> start""")
 def grf1_reach(t):
-    starts = t.lineitem.where("l_orderkey % 70 = 0").select(F.col("l_orderkey").alias("start")).distinct()
+    starts = t.lineitem.where("l_orderkey % 100 = 0").select(F.col("l_orderkey").alias("start")).distinct()
     return graph.reach(starts, edge_table(t), 2)
 
 
@@ -371,9 +371,13 @@ def cmp11_safety_fallback(t):
     return rows.select("doc_id", content.safe_display(F.col("x"), F.concat("y", "y"))["reason"].alias("reason"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '[library code: path:dist/, ' || ceil(length(html) / 4.0)::BIGINT || ' tokens]' END AS shown FROM pages WHERE page_id % 3 = 0""")
+@query(f"""WITH p AS (SELECT page_id, html, replace(lower(CASE WHEN page_id % 3 = 0 THEN 'app\\dist\\page.html' ELSE url END), chr(92), '/') AS path FROM pages),
+r AS (SELECT page_id, html, CASE {' '.join(f"WHEN contains(path, '{x}') THEN 'path:{x}'" for x in D.LIBRARY_PATHS)}
+WHEN regexp_matches(left(html, 2000), '{esc(D.GENERATED)}') THEN 'generated_marker' WHEN {MINIFIED.format('html')} THEN 'minified_shape' END AS reason FROM p)
+SELECT page_id, '[library code: ' || reason || ', ' || ceil(length(html) / 4.0)::BIGINT || ' tokens]' AS shown FROM r""")
 def cmp12_library_display(t):
-    return t.pages.where("page_id % 3 = 0").select("page_id", content.library_display(F.lit("app/dist/page.html"), F.col("html")).alias("shown"))
+    path = F.when(F.col("page_id") % 3 == 0, F.lit("app\\dist\\page.html")).otherwise(F.col("url"))
+    return t.pages.select("page_id", content.library_display(path, F.col("html")).alias("shown"))
 
 
 @query("""SELECT CASE WHEN n_chars < 1500 THEN 'short' ELSE 'long' END AS scenario, count(*) AS records, sum(ceil(length(text) / 4.0))::BIGINT AS raw_tokens FROM documents GROUP BY 1""")
@@ -390,18 +394,18 @@ def min1_failure_hits(t):
     return phrased(t).select("doc_id", F.inline(D.failure_hits(F.col("x")))).select("doc_id", "type")
 
 
-@query(f"""{P}, l AS (SELECT doc_id % 10 AS session, doc_id AS pos, x AS line FROM p), n AS (SELECT *, string_agg(line, ' ') OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS near FROM l)
+@query(f"""{P}, l AS (SELECT doc_id // 10 AS session, doc_id AS pos, x AS line FROM p), n AS (SELECT *, string_agg(line, ' ') OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS near FROM l)
 SELECT session, pos AS "at", regexp_matches(near, '{esc(D.CORRECTION)}') AS corrected FROM n""")
 def win5_correction_ahead(t):
     w = Window.partitionBy("session").orderBy("at").rowsBetween(0, 2)
-    rows = phrased(t).select((F.col("doc_id") % 10).alias("session"), F.col("doc_id").alias("at"), F.col("x").alias("line"))
+    rows = phrased(t).select(F.floor(F.col("doc_id") / 10).alias("session"), F.col("doc_id").alias("at"), F.col("x").alias("line"))
     return rows.select("session", "at", F.concat_ws(" ", F.collect_list("line").over(w)).rlike(D.CORRECTION).alias("corrected"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, left(text, 30) AS line FROM conversations) SELECT conv_id, turn, string_agg(line, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS context FROM l""")
+@query("""WITH l AS (SELECT conv_id, turn, text AS line FROM conversations) SELECT conv_id, turn, string_agg(line, '|') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS context FROM l""")
 def win4_context(t):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, 5)
-    return t.conversations.select("conv_id", "turn", F.concat_ws("|", F.collect_list(F.substring("text", 1, 30)).over(w)).alias("context"))
+    return t.conversations.select("conv_id", "turn", F.concat_ws("|", F.collect_list("text").over(w)).alias("context"))
 
 
 @query("""WITH c AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS at, event_type <> 'error' AS ok FROM events)
@@ -428,7 +432,7 @@ def agg24_first_failures(t):
 
 @query()
 def min7_mining_summary(t):
-    lines = phrased(t).select((F.col("doc_id") % 20).alias("session"), F.col("doc_id").alias("at"), F.col("x").alias("line"))
+    lines = phrased(t).select(F.floor(F.col("doc_id") / 20).alias("session"), F.col("doc_id").alias("at"), F.col("x").alias("line"))
     return mining.mine(lines)
 
 

@@ -43,17 +43,17 @@ def ret11_recall_with_links(t):
 
 
 @query("""WITH h AS (SELECT conv_id AS id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations WHERE role <> 'system' GROUP BY conv_id HAVING count(*) > 2)
-SELECT id, length(text) AS n FROM h WHERE id % 3 = 0""")
+SELECT id, length(text) AS n FROM h""")
 def ret14_session_history(t):
     turns = t.conversations.where("role <> 'system'").groupBy(F.col("conv_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("ts"))
     rows = turns.where(F.size("ts") > 2).select("id", F.array_join(F.transform("ts", lambda x: x["text"]), " ").alias("text"))
-    return rows.where("id % 3 = 0").select("id", F.length("text").cast("long").alias("n"))
+    return rows.select("id", F.length("text").cast("long").alias("n"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_filter(string_split(lower(text), ''), lambda c: c >= 'a' AND c <= 'z' AND length(c) = 1 AND ascii(c) BETWEEN 97 AND 122) AS cs FROM documents WHERE doc_id % 10 = 0)
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(lower(text), ''), lambda c: c >= 'a' AND c <= 'z' AND length(c) = 1 AND ascii(c) BETWEEN 97 AND 122) AS cs FROM documents)
 SELECT doc_id, floor(CASE WHEN len(cs) > 0 THEN len(list_filter(cs, lambda c: c = 'e')) / len(cs)::DOUBLE ELSE 0 END * 1e4 + 0.5) / 1e4 AS e FROM l""")
 def ret15_registered_embedder(t):
-    rows = udfs.embed(t.documents.where("doc_id % 10 = 0").select("doc_id", "text"), "letters")
+    rows = udfs.embed(t.documents.select("doc_id", "text"), "letters")
     return rows.select("doc_id", S.half_up(F.get("vec", F.lit(4)), 4).alias("e"))
 
 
@@ -74,11 +74,11 @@ def udtf1_chunks(t):
     return t.spark.sql("SELECT doc_id, c.index, c.start, c.stop, c.words FROM loam_texts, LATERAL text_chunks(text, 150) c")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) || '!' ELSE left(text, 20) END AS shown FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || '!' ELSE text END AS shown FROM documents")
 def udf3_renderers(t):
     udfs.register_renderer("loud", lambda x: F.concat(x, F.lit("!")))
     kind = F.when(F.col("doc_id") % 2 == 0, "loud").otherwise("plain")
-    return t.documents.select("doc_id", udfs.render(kind, F.substring("text", 1, 20)).alias("shown"))
+    return t.documents.select("doc_id", udfs.render(kind, F.col("text")).alias("shown"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'v:' || value ELSE props END AS payload FROM events")
@@ -314,11 +314,11 @@ def min8_apply_learnings(t):
     return mining.corrections(rows).groupBy(F.when(F.col("risk") == "low", "record").otherwise("proposal").alias("target"), "kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT user_id AS session, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed FROM events WHERE event_id % 2 = 0 GROUP BY user_id""")
+@query("""SELECT user_id AS session, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id""")
 def src12_tool_calls(t):
     use = F.concat(F.lit('{"type":"tool_use","name":"Bash","input":{"command":"c'), F.col("event_id"), F.lit('"}}'))
     result = F.concat(F.lit('{"type":"tool_result","is_error":'), (F.col("event_type") == "error").cast("string"), F.lit(',"content":"r"}'))
-    rows = t.events.where("event_id % 2 = 0").select(F.col("user_id").alias("session"), "event_id", F.posexplode(F.array(use, result)).alias("p", "value"))
+    rows = t.events.select(F.col("user_id").alias("session"), "event_id", F.posexplode(F.array(use, result)).alias("p", "value"))
     raw = rows.select("session", (F.col("event_id") * 2 + F.col("p")).alias("at"), "value")
     calls = transcripts.tool_calls(raw)
     return calls.groupBy("session").agg(F.count("*").alias("calls"), F.count(F.when(~F.col("success"), 1)).alias("failed"))

@@ -70,7 +70,7 @@ def ret2_embedding_expansion(t):
     return q.join(search.expand_queries(q), "query").select("query", F.concat_ws(" ", "text", F.array_join(F.slice("terms", 1, 5), " ")).alias("embed_text"))
 
 
-@query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 1) AS w FROM documents WHERE doc_id % 5 = 0),
+@query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 1) AS w FROM documents),
 f AS (SELECT DISTINCT id, 'w:' || x AS f, 1.0 AS v FROM (SELECT id, unnest(w) AS x FROM w)
 UNION SELECT DISTINCT id, 't:' || substr(x, i, 3), 0.45 FROM (SELECT id, x, unnest(range(1, length(x) - 1)) AS i FROM (SELECT id, unnest(w) AS x FROM w) WHERE length(x) >= 4)
 UNION SELECT DISTINCT id, 'b:' || w[i] || ' ' || w[i + 1], 1.35 FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)),
@@ -78,8 +78,8 @@ s AS (SELECT id, ('0x' || sha256(f)[1:8])::BIGINT % 384 AS bucket, sum(CASE WHEN
 n AS (SELECT id, sqrt(sum(v * v)) AS n FROM s GROUP BY id)
 SELECT id, bucket, floor(CASE WHEN n > 0 THEN v / n ELSE 0 END * 1e5 + 0.5) / 1e5 AS weight FROM s JOIN n USING (id)""")
 def ret4_hash_embedding(t):
-    out = search.hash_embedding(t.documents.where("doc_id % 5 = 0"), id_="doc_id")
-    return out.select("id", "bucket", S.half_up("weight" if False else F.col("weight"), 5).alias("weight"))
+    out = search.hash_embedding(t.documents, id_="doc_id")
+    return out.select("id", "bucket", S.half_up(F.col("weight"), 5).alias("weight"))
 
 
 COS = "list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[])"
@@ -132,11 +132,11 @@ def ret12_search_with_records(t):
     return bm25(t, 3).join(t.documents.select(F.col("doc_id").alias("id"), "lang"), "id").select("query", "id", "lang", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""{W} SELECT id, text, kind, list_sort(list(l)) [1:5].array_to_string(',') AS related FROM records JOIN (SELECT DISTINCT l_orderkey % 1000 AS id, l_suppkey AS l FROM lineitem) USING (id) WHERE id % 13 = 0 GROUP BY ALL""")
+@query(f"""{W} SELECT id, text, kind, list_sort(list(l)) [1:5].array_to_string(',') AS related FROM records JOIN (SELECT DISTINCT l_orderkey % 1000 AS id, l_suppkey AS l FROM lineitem) USING (id) GROUP BY ALL""")
 def ret16_full_record(t):
     links = t.lineitem.select((F.col("l_orderkey") % 1000).alias("id"), F.col("l_suppkey").alias("l")).groupBy("id").agg(F.array_sort(F.collect_set("l")).alias("ls"))
     related = F.array_join(F.transform(F.slice("ls", 1, 5), lambda x: x.cast("string")), ",")
-    return t.records.where("id % 13 = 0").join(links, "id").select("id", "text", "kind", related.alias("related"))
+    return t.records.join(links, "id").select("id", "text", "kind", related.alias("related"))
 
 
 @query("""SELECT doc_id AS id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, sha256(trim(text, ' ' || chr(10))) ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")

@@ -14,7 +14,7 @@ from loam.schemas import KIND_RISK, RECORDS_SQL, case_sql, pick, risk_of
 W = f"WITH {RECORDS_SQL}"
 RISK = case_sql(KIND_RISK, "kind")
 
-# Binding: a fixed phrase in front of the head of a text, chosen by id, so that detectors have hits and misses.
+# Binding: the whole text with a fixed phrase, chosen by id, behind it (x) or before it (y), so that detectors have hits and misses.
 PHRASES = (
     "please implement the api endpoint", "review this pull request", "debug the crash error", "plan the roadmap", "refactor and clean up",
     "explain the readme", "quick question about lunch", "deploy to production with the new password", "buy or sell the portfolio",
@@ -26,12 +26,16 @@ PHRASES = (
     "the decision is to adopt parquet", "you must not use tabs", "what about the open question?", "nothing special at all",
 )
 PHRASE_SQL = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + f"][(doc_id % {len(PHRASES)} + 1)::INT]"
-P = f"WITH p AS (SELECT doc_id, {PHRASE_SQL} AS x, {PHRASE_SQL} || chr(10) || left(text, 80) AS y FROM documents)"
+P = f"WITH p AS (SELECT doc_id, text || chr(10) || {PHRASE_SQL} AS x, {PHRASE_SQL} || chr(10) || text AS y FROM documents)"
+
+
+#: Over 40 % of the lines are longer than 500 characters.
+MINIFIED = "len(list_filter(string_split({0}, chr(10)), lambda l: length(l) > 500)) > 0.4 * len(list_filter(string_split({0}, chr(10)), lambda l: l <> ''))"
 
 
 def phrased(t):
-    x = pick(PHRASES, F.col("doc_id") % len(PHRASES))
-    return t.documents.select("doc_id", x.alias("x"), F.concat(x, F.lit("\n"), F.substring("text", 1, 80)).alias("y"))
+    phrase = pick(PHRASES, F.col("doc_id") % len(PHRASES))
+    return t.documents.select("doc_id", F.concat("text", F.lit("\n"), phrase).alias("x"), F.concat(phrase, F.lit("\n"), "text").alias("y"))
 
 
 def esc(pattern: str) -> str:
@@ -63,13 +67,14 @@ def str4_fingerprint(t):
     return t.documents.select("doc_id", T.djb2(F.col("text")).alias("fp"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(left(text, 200)), '[^a-z0-9]+'), lambda x: length(x) > 2), ' ') AS toks FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2), ' ') AS toks FROM documents")
 def str5_tokens(t):
-    toks = F.filter(F.split(F.lower(F.substring("text", 1, 200)), r"[^a-z0-9]+"), lambda w: F.length(w) > 2)
-    return t.documents.where("lang = 'en'").select("doc_id", F.array_join(toks, " ").alias("toks"))
+    toks = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda w: F.length(w) > 2)
+    return t.documents.select("doc_id", F.array_join(toks, " ").alias("toks"))
 
 
-@query(f"""{P} SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(x), '[^a-z0-9_-]+'), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)})))), ' ') AS terms FROM p""")
+@query(f"""{P}, l AS (SELECT doc_id, list_filter(string_split_regex(lower(x), '[^a-z0-9_-]+'), lambda w: length(w) >= 3 AND w NOT IN ({', '.join(repr(w) for w in T.STOP_WORDS)})) AS l FROM p)
+SELECT doc_id, array_to_string(list_sort(list_filter(l, lambda w, i: list_position(l, w) = i)[1:20]), ' ') AS terms FROM l""")
 def str5_query_terms(t):
     return phrased(t).select("doc_id", F.array_join(F.array_sort(T.query_terms(F.col("x"))), " ").alias("terms"))
 
@@ -203,9 +208,9 @@ def str24_negated_terms(t):
     return phrased(t).select("doc_id", F.array_join(F.array_sort(T.negated_terms(F.col("x"))), ",").alias("negated"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || left(text, 40), chr(10) ORDER BY turn) AS summary FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS summary FROM conversations GROUP BY conv_id")
 def str25_session_summary(t):
-    part = F.struct("turn", F.concat("role", F.lit(": "), F.substring("text", 1, 40)).alias("s"))
+    part = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s"))
     rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("ps"))
     return rows.select("conv_id", F.array_join(F.transform("ps", lambda p: p["s"]), "\n").alias("summary"))
 
@@ -226,7 +231,7 @@ def flt13_specific_query(t):
     return t.conversations.where("role = 'user'").select("conv_id", "turn", ok.alias("specific"))
 
 
-@query(f"""{P} SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'path:vendor/' WHEN regexp_matches(left(y, 2000), '{esc(D.GENERATED)}') THEN 'generated_marker' END AS reason FROM p""")
+@query(f"""{P} SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'path:vendor/' WHEN regexp_matches(left(y, 2000), '{esc(D.GENERATED)}') THEN 'generated_marker' WHEN {MINIFIED.format('y')} THEN 'minified_shape' END AS reason FROM p""")
 def flt14_library_text(t):
     path = F.when(F.col("doc_id") % 9 == 0, F.lit("a\\Vendor\\x.js"))
     return phrased(t).select("doc_id", D.library_reason(path, F.col("y")).alias("reason"))
