@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import detect
 from loam.functions import text as T
+from loam.functions.binding import let
 
 MIN_TYPE_SCORE = 0.35
 
@@ -17,40 +18,152 @@ def lines_of(rows: DataFrame, n: int | None = None) -> DataFrame:
     return rows.select("id", F.posexplode(parts).alias("at", "line"))
 
 
-# Shapes of lines by type: share of a text's lines that have it decides.
-LINE_SHAPES = {
-    "diff": r"^(diff --git |@@ |\+\+\+ |--- |[+-](?![+-]))",
-    "log": r"(?i)^\s*\[?\d{4}-\d{2}-\d{2}|^\s*(ERROR|WARN|INFO|DEBUG|TRACE|FATAL)\b|\b(ERROR|WARN|INFO|DEBUG)\b",
-    "code": r"^\s*(import |from \S+ import |export |def |class |function |const |let |var |public |private |return\b|if \(|for \(|[})];?\s*$|//|#include)",
-    "config": r"^\s*(\[[\w.-]+\]|[\w.-]+\s*[:=]\s*\S.*)$",
-}
+# What lines and texts of each type look like, and what it counts for.
+DIFF_MARKS = r"^diff --git|^@@\s+-\d+,\d+\s+\+\d+,\d+\s+@@|^---\s|^\+\+\+\s"
+DIFF_CHANGE = r"^[+-](?!\+\+|--)"
+#: The first pattern that a trimmed line has decides.
+CODE_LINES = (
+    (r"^(pub\s+)?(async\s+)?(function|class|def\s|fn\s|interface|enum|type|struct|impl|module|namespace)\s+\w", 3.0),
+    (r"^(import\s+|export\s+(default\s+)?(async\s+)?(function|class|const|let|var|interface|type|enum))", 3.0),
+    (r"\b(const|let|var)\s+\w+\s*(:\s*\w+)?\s*=", 1.5),
+    (r"^[A-Za-z_$][\w$-]*\s*:\s*[^,]+,?$", 0.75),
+    (r"^(if|else if|for|while|switch|try|catch|finally)\b", 1.0),
+    (r"[{};]\s*$", 1.0),
+    (r"^(return|throw|await|yield)\s", 1.0),
+)
+#: All of them count.
+CODE_SIGNALS = ((r"\bnew\s+[A-Z]\w*\s*\(", 2.0), (r"=>", 1.0), (r"\bprocess\.env\.[A-Z0-9_]+\b", 1.0), (r"\basync\s+function\b|\bPromise<|\):\s*Promise\b", 1.0))
+LINE_COMMENT, CODE_PUNCTUATION = (r"^\s*//\s+\w", 0.35), r"[{}();=]"
+FENCED, FENCED_SCRIPT = (r"(?m)^```[\s\S]*```$", 0.5), (r"(?im)^\s*```(?:ts|tsx|js|jsx|typescript|javascript)\b", 0.7)
+DENSITIES, SIGNALS = ((1.5, 0.7), (0.8, 0.5), (0.4, 0.2)), ((6.0, 0.45), (3.0, 0.25))
+STRONG_CODE = r"\b(const|let|var)\s+\w+\s*=|\basync\s+function\b|\bnew\s+[A-Z]\w*\s*\("
+SENTENCE = r"[.!?]\s+[A-Z]"
+STAMP = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}|\[\d{4}-\d{2}-\d{2}|\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})"
+LEVEL_WORD = r"(?i)\b(ERROR|WARN|INFO|DEBUG|TRACE|FATAL|CRITICAL)\b"
+DOCKER = r"(?m)^(FROM|RUN|COPY|ENV|EXPOSE|CMD|ENTRYPOINT|WORKDIR|ADD|VOLUME|USER|ARG|LABEL)\s"
+SETTING = r"^[A-Za-z_][\w.-]*\s*[=:]\s*"
+FIRST_LINES = ((r"^\[.*\]\s*$", 0.5), (r"^[A-Z_][A-Z0-9_]*=", 0.4))
+PROSE_WORDS = (
+    r"(?i)\b(the|a|an|is|was|are|were|been|have|has|had|will|would|should|could|may|might|can|shall|we|our|us|they|their|them|I|you|he|she|it|this|that"
+    r"|these|those|and|or|but|because|however|therefore|although|while|since|also|just|very|really|quite|maybe|perhaps|actually|basically|probably)\b"
+)
+CODE_WORDS = r"\b(function|const|let|var|import|export|class|interface|type|enum|return|await|async|throw|catch|try|yield)\b"
+BULLET, HEADER = r"(?m)^(\s*[-*+\u2022]|\s*\d+[.)]\s)", r"(?m)^#{1,4}\s+\w+"
+TYPES = ("diff", "code", "log", "json", "config")
+
+
+def _sum(items: Column, weight) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda a, x: a + weight(x))
+
+
+def _graded(value: Column, steps, otherwise: float = 0.0) -> Column:
+    """What the first step counts for that the value reaches."""
+    out = F.when(value >= steps[0][0], steps[0][1])
+    for least, worth in steps[1:]:
+        out = out.when(value >= least, worth)
+    return out.otherwise(otherwise)
+
+
+def _when(flag: Column, worth: float) -> Column:
+    return F.when(flag, worth).otherwise(0.0)
+
+
+def _diff_score(lines: Column) -> Column:
+    filled = lambda x: F.length(F.trim(x)) > 0
+    marks = _sum(lines, lambda x: F.when(x.rlike(DIFF_MARKS), 3.0).when(x.rlike(DIFF_CHANGE), 1.0).otherwise(0.0))
+    plain = F.filter(lines, lambda x: ~x.rlike(DIFF_MARKS) & ~x.rlike(r"^[+-]"))
+    other = let(plain, lambda p: F.size(F.filter(p, lambda x: filled(x) & ~x.startswith(" "))) - 0.5 * F.size(F.filter(p, lambda x: x.startswith(" "))))
+    return F.least(F.lit(1.0), marks / 6 * let(other, lambda o: F.when(o > 10, 0.5).when(o > 5, 0.7).otherwise(1.0)))
+
+
+def _code_score(text: Column, lines: Column, sentences: Column, words: Column) -> Column:
+    def weight(x: Column) -> Column:
+        out = F.when(x.rlike(CODE_LINES[0][0]), CODE_LINES[0][1])
+        for pattern, worth in CODE_LINES[1:]:
+            out = out.when(x.rlike(pattern), worth)
+        return out.otherwise(0.0)
+
+    filled = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    signal = lambda x: sum((_when(x.rlike(p), w) for p, w in CODE_SIGNALS), F.lit(0.0))
+    both = let(filled, lambda f: F.struct((_sum(f, weight) / F.greatest(F.size(f), F.lit(1))).alias("density"), _sum(f, signal).alias("signals")))
+    punctuated = F.exists(lines, lambda x: x.rlike(CODE_PUNCTUATION))
+    comments = F.when(punctuated, _sum(lines, lambda x: _when(x.rlike(LINE_COMMENT[0]), LINE_COMMENT[1]))).otherwise(0.0)
+    score = _when(text.rlike(FENCED[0]), FENCED[1]) + _when(text.rlike(FENCED_SCRIPT[0]), FENCED_SCRIPT[1])
+    score = score + let(both, lambda b: _graded(b["density"], DENSITIES) + let(b["signals"] + comments, lambda x: _graded(x, SIGNALS)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score - _when(sentences / F.greatest(F.lit(1.0), words / 15.0) > 0.15, 0.2)))
+
+
+def _log_score(lines: Column) -> Column:
+    trimmed = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+
+    def of(ls: Column) -> Column:
+        stamped = _sum(ls, lambda x: F.when(x.rlike(STAMP), F.when(x.rlike(LEVEL_WORD), 2.0).otherwise(1.0)).otherwise(0.0))
+        bare = F.size(F.filter(ls, lambda x: ~x.rlike(STAMP) & x.rlike(LEVEL_WORD)))
+        return F.least(F.lit(1.0), (stamped + let(bare, lambda k: F.when(k >= 3, 0.5 * k).otherwise(0.0))) / 8)
+
+    return let(trimmed, of)
+
+
+def _json_score(text: Column) -> Column:
+    trimmed = F.trim(text)
+    shaped = (trimmed.startswith("{") & trimmed.endswith("}")) | (trimmed.startswith("[") & trimmed.endswith("]"))
+    return F.when(shaped, F.when(F.try_parse_json(trimmed).isNotNull(), 1.0).otherwise(0.6)).otherwise(0.0)
 
 
-def type_scores(text: Column) -> dict[str, Column]:
-    """Score in [0, 1] of each content type, from the first 80 lines."""
-    lines = F.filter(F.slice(F.split(text, "\n"), 1, 80), lambda x: F.length(F.trim(x)) > 0)
-    share = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p))) / F.greatest(F.size(lines), F.lit(1))
-    out = {name: share(p) for name, p in LINE_SHAPES.items()}
-    trimmed = F.trim(text)
-    jsonish = (trimmed.startswith("{") & trimmed.endswith("}")) | (trimmed.startswith("[") & trimmed.endswith("]"))
-    out["json"] = F.when(jsonish & F.try_parse_json(trimmed).isNotNull(), 1.0).otherwise(0.0)
-    return out
+def _config_score(text: Column, lines: Column) -> Column:
+    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    score = _when(text.rlike(DOCKER), 0.8) + sum((_when(first.rlike(p), w) for p, w in FIRST_LINES), F.lit(0.0))
+    score = score + _when(first.rlike(r"^[\w-]+:\s") & ~F.contains(text, F.lit("{")) & ~F.contains(text, F.lit(";")), 0.3)
+    kept = F.filter(lines, lambda x: x != "")
+    share = let(kept, lambda k: F.when(F.size(k) > 0, F.size(F.filter(k, lambda x: x.rlike(SETTING))) / F.size(k)).otherwise(0.0))
+    return F.least(F.lit(1.0), score + _when(share > 0.6, 0.5))
 
 
-def content_type(text: Column) -> Column:
-    """diff, json, log, code, config, or prose where no other type scores enough; ties in that order."""
-    scores = type_scores(text)
-    order = ("diff", "json", "log", "code", "config")
-    best = F.greatest(*[scores[k] for k in order])
-    out = F.when(best < MIN_TYPE_SCORE, "prose")
-    for k in order:
+def _prose_score(text: Column, sentences: Column, words: Column) -> Column:
+    density = sentences / F.greatest(F.lit(1.0), words / 12.0)
+    said = let(F.regexp_count(text, F.lit(PROSE_WORDS)) / words, lambda x: F.when(x > 0.06, 0.25).when(x > 0.03, 0.1).otherwise(0.0))
+    score = 0.3 + F.when(density > 0.2, 0.3).when(density > 0.08, 0.15).otherwise(0.0) + said
+    score = score + _when(F.regexp_count(text, F.lit(BULLET)) >= 3, 0.1) + _when(F.regexp_count(text, F.lit(HEADER)) >= 2, 0.15)
+    score = score - _when(F.regexp_count(text, F.lit(CODE_WORDS)) / words > 0.03, 0.15)
+    return F.when(words < 20, 0.3).otherwise(F.greatest(F.lit(0.25), F.least(F.lit(1.0), score)))
+
+
+def type_scores(text: Column) -> Column:
+    """struct of the score in [0, 1] of each content type and of prose; lines and words are cut once."""
+
+    def of(lines: Column, sentences: Column, words: Column) -> Column:
+        head = lambda n: F.slice(lines, 1, n)
+        return F.struct(
+            _diff_score(head(25)).alias("diff"), _code_score(text, head(80), sentences, words).alias("code"), _log_score(head(40)).alias("log"),
+            _json_score(text).alias("json"), _config_score(text, lines).alias("config"), _prose_score(text, sentences, words).alias("prose"),
+        )
+
+    words = F.size(T.words(text)).cast("double")
+    return let(F.split(text, "\n"), lambda ls: let(F.struct(F.regexp_count(text, F.lit(SENTENCE)).alias("s"), words.alias("w")), lambda x: of(ls, x["s"], x["w"])))
+
+
+def _best(scores: Column) -> Column:
+    """The type that beats prose and scores enough; of equals the first."""
+    best = F.greatest(*[F.when(scores[k] >= MIN_TYPE_SCORE, scores[k]).otherwise(0.0) for k in TYPES])
+    out = F.when(best <= scores["prose"], "prose")
+    for k in TYPES:
         out = out.when(scores[k] == best, k)
     return out
 
 
+def content_type(text: Column) -> Column:
+    """diff, code, log, json, config, or prose where no other type scores both enough and more than prose."""
+    return let(type_scores(text), _best)
+
+
 def content_type_for_kind(text: Column, kind: Column) -> Column:
-    """Records of code context lean to code where the text looks like it at all."""
-    return F.when((kind == "code_context") & (type_scores(text)["code"] >= 0.15), "code").otherwise(content_type(text))
+    """Records of code context that would be prose lean to code where something in the text marks it."""
+
+    def of(scores: Column) -> Column:
+        marked = (scores["code"] >= MIN_TYPE_SCORE - 0.1) | text.rlike(FENCED_SCRIPT[0]) | text.rlike(STRONG_CODE)
+        return let(_best(scores), lambda t: F.when((t == "prose") & (kind == "code_context") & (scores["code"] >= 0.2) & marked, "code").otherwise(t))
+
+    return let(type_scores(text), of)
 
 
 LEVEL_RANK = {"error": 0, "warn": 1, "info": 2, "other": 3, "debug": 4}
@@ -65,14 +178,106 @@ def log_groups(rows: DataFrame) -> DataFrame:
     return ranked.groupBy("id", "level", "pattern").agg(F.count("*").alias("n"), F.transform(first, lambda x: x["line"]).alias("examples"))
 
 
-def compress_logs(rows: DataFrame) -> DataFrame:
-    """id, text: each log as its patterns with counts, worst level first, debug left out."""
-    from loam.schemas import lookup
+# Marks and words of shown logs.
+LOG_MARKS = {"error": "\u274c ", "warn": "\u26a0\ufe0f ", "info": "\u2139\ufe0f  "}
+MORE = "  \u2514\u2500 +%d similar %s occurrences"
+SUMMARY = "\n\u2500\u2500 Compression summary: %s \u2014 %d total lines"
+HYGIENE = " \u2026 [Truncated for Context Hygiene]"
+LEADING_STAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\s*"
+SERVICE, ERROR_NAME = r"\]\s+([\w.-]+)\s+", r"\b([A-Z][A-Za-z0-9_]*(?:Error|Exception))\b"
+AFTER_ERROR, AFTER_LEVEL = r"(?s)\b(?:Error|Exception):\s*(.+)$", r"(?i)\b(?:ERROR|FATAL|CRITICAL)\]\s+[\w.-]+\s+(.+)$"
+IDS = r"(?i)\b(requestId|sessionId|userId|traceId|spanId|correlationId)=[\w-]+"
+SHORT_LINES, SHORT_ERRORS, SIGNATURES, REQUESTS, MESSAGE = 80, 2, 8, 6, 72
+
+
+def _log_lines(text: Column) -> Column:
+    """Array of the filled lines of a log: line, level, pattern."""
+    trimmed = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(trimmed, lambda x: F.struct(x.alias("line"), T.log_level(x).alias("level"), T.log_pattern(x).alias("pattern")))
+
+
+def _nonempty(*choices: Column) -> Column:
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in choices])
+
+
+def _signed(x: Column) -> Column:
+    """Service and error signature of an error line."""
+    service = _nonempty(F.regexp_extract(x["line"], SERVICE, 1), F.lit("unknown-service"))
+    message = _nonempty(F.regexp_extract(x["line"], AFTER_ERROR, 1), F.regexp_extract(x["line"], AFTER_LEVEL, 1), x["pattern"])
+    compact = F.substring(F.trim(F.regexp_replace(F.regexp_replace(message, IDS, ""), r"\s+", " ")), 1, MESSAGE)
+    return F.concat(service, F.lit(": "), _nonempty(F.regexp_extract(x["line"], ERROR_NAME, 1), F.lit("error")), F.lit(": "), compact)
+
+
+def _short_errors(lines: Column) -> Column:
+    """A short log with several errors as its error signatures; null for others, and where that is no shorter."""
+    errors = F.filter(lines, lambda x: x["level"] == "error")
+
+    def shown(signed: Column) -> Column:
+        kinds = F.array_distinct(signed)
+        counted = F.transform(kinds, lambda k, i: F.struct((-F.size(F.filter(signed, lambda x: x == k))).alias("n"), i.alias("i"), k.alias("k")))
+        top = F.transform(F.slice(F.array_sort(counted), 1, SIGNATURES), lambda g: F.format_string("- %s x%d", g["k"], -g["n"]))
+        ids = F.array_distinct(F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x["line"], F.lit(r"\brequestId=([\w-]+)"), F.lit(1)))))
+        head = F.format_string("log error signatures: %d error lines across %d patterns", F.size(signed), F.size(kinds))
+        asked = let(ids, lambda r: F.when(F.size(r) > 0, F.array(F.concat(F.lit("requestIds: "), F.array_join(F.slice(r, 1, REQUESTS), ", ")))).otherwise(F.array().cast("array<string>")))
+        last = F.format_string("summary: %d lines compacted; retrieve full log with memory_retrieve", F.size(lines))
+        return F.array_join(F.concat(F.array(head), top, asked, F.array(last)), "\n")
+
+    whole = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    short = F.size(lines).between(1, SHORT_LINES) & (F.size(errors) >= SHORT_ERRORS)
+    return F.when(short, let(let(F.transform(errors, _signed), shown), lambda t: F.when(F.length(t) < F.length(whole), t)))
+
 
-    groups = log_groups(lines_of(rows)).where("level <> 'debug'")
-    shown = F.concat(F.lit("["), "level", F.lit("] x"), "n", F.lit(" "), "pattern")
-    entry = F.struct(lookup(LEVEL_RANK, F.col("level")).alias("k"), (-F.col("n")).alias("m"), shown.alias("s"))
-    return groups.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("es")).select("id", F.array_join(F.transform("es", lambda e: e["s"]), "\n").alias("text"))
+def _grouped(lines: Column) -> Column:
+    """A log as its patterns, worst level first: three examples of errors, warnings and other lines, one of information, none below."""
+    key = lambda x: F.concat(x["level"], F.lit(":"), x["pattern"])
+    keyed = F.transform(lines, lambda x: F.struct(key(x).alias("key"), x["line"].alias("line"), x["level"].alias("level")))
+
+    def groups(rows: Column) -> Column:
+        def one(k: Column) -> Column:
+            own = F.filter(rows, lambda x: x["key"] == k)
+            return let(own, lambda g: F.struct(g[0]["level"].alias("level"), F.size(g).alias("n"), F.transform(F.slice(g, 1, 3), lambda x: x["line"]).alias("some")))
+
+        return F.transform(F.array_distinct(F.transform(rows, lambda x: x["key"])), one)
+
+    def shown(g: Column) -> Column:
+        bare = lambda x: F.regexp_replace(x, LEADING_STAMP, "")
+        loud = F.transform(g["some"], lambda x: F.concat(F.when(g["level"] == "error", LOG_MARKS["error"]).otherwise(LOG_MARKS["warn"]), bare(x)))
+        more = F.when(g["n"] > 3, F.array(F.format_string(MORE, g["n"] - 3, g["level"]))).otherwise(F.array().cast("array<string>"))
+        told = F.concat(F.lit(LOG_MARKS["info"]), T.truncate_words(bare(g["some"][0]), 25, HYGIENE), F.when(g["n"] > 1, F.format_string(" [\u00d7%d]", g["n"])).otherwise(""))
+        return (
+            F.when(g["level"].isin("error", "warn"), F.concat(loud, more))
+            .when(g["level"] == "info", F.array(told))
+            .when(g["level"] == "other", F.transform(g["some"], lambda x: T.truncate_words(x, 20, HYGIENE)))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    def whole(gs: Column) -> Column:
+        def of_level(k: str) -> Column:
+            return F.filter(gs, lambda g: g["level"] == k)
+
+        def told(n: Column, words: str) -> Column:
+            return let(n, lambda v: F.when(v > 0, F.format_string(words, v)))
+
+        ordered = F.flatten(F.array(*[of_level(k) for k in LEVEL_RANK]))
+        count = lambda f: F.aggregate(gs, F.lit(0), lambda a, g: a + f(g))
+        over = lambda level, keep: count(lambda g: F.when(g["level"] == level, F.greatest(g["n"] - keep, F.lit(0))).otherwise(0))
+        left = ((over("error", 3), "%d similar errors collapsed"), (over("warn", 3), "%d similar warnings collapsed"), (over("info", 1), "%d repeated INFO collapsed"),
+                (over("debug", 0) + over("other", 3), "%d DEBUG/TRACE/other lines skipped"))
+        parts = F.array_compact(F.array(*[told(n, words) for n, words in left]))
+        last = let(parts, lambda p: F.when(F.size(p) > 0, F.array(F.format_string(SUMMARY, F.array_join(p, ", "), F.size(lines)))).otherwise(F.array().cast("array<string>")))
+        return F.array_join(F.concat(F.flatten(F.transform(ordered, shown)), last), "\n")
+
+    return let(let(keyed, groups), whole)
+
+
+def compress_log(text: Column) -> Column:
+    """A short log with several errors as its error signatures, any other as its patterns with counts."""
+    return let(_log_lines(text), lambda ls: F.coalesce(_short_errors(ls), _grouped(ls)))
+
+
+def compress_logs(rows: DataFrame) -> DataFrame:
+    """id, text: each log (id, text) compressed."""
+    return rows.select("id", compress_log(F.col("text")).alias("text"))
 
 
 ERROR_SIGNATURE = r"(\w*(?:Error|Exception)\b[^\n]*)"
@@ -160,21 +365,44 @@ def compress_config(text: Column) -> Column:
     return F.array_join(F.array_compact(shown), "\n")
 
 
+def diff_files(text: Column) -> Column:
+    """Array of file, added, removed of a diff; where no line names both sides, the first ``+++ b/`` names the file."""
+    new = lambda name: F.array(F.struct(name.alias("file"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("removed")))
+    sides, target = r"^diff --git a/(.*) b/(.*)", r"^\+\+\+ b/(.*)"
+
+    def step(files: Column, x: Column) -> Column:
+        last = F.element_at(files, -1)
+        more = F.struct(
+            last["file"].alias("file"),
+            (last["added"] + (x.startswith("+") & ~x.startswith("+++")).cast("long")).alias("added"),
+            (last["removed"] + (x.startswith("-") & ~x.startswith("---")).cast("long")).alias("removed"),
+        )
+        counted = F.concat(F.slice(files, 1, F.size(files) - 1), F.array(more))
+        started = F.when(x.rlike(sides), F.concat(files, new(F.regexp_extract(x, sides, 2)))).when((F.size(files) == 0) & x.rlike(target), new(F.regexp_extract(x, target, 1)))
+        return started.when((F.size(files) > 0) & x.rlike(r"^[+-]"), counted).otherwise(files)
+
+    return F.aggregate(F.split(text, "\n"), F.array().cast("array<struct<file:string,added:bigint,removed:bigint>>"), step)
+
+
 def diff_stats(rows: DataFrame) -> DataFrame:
     """id, file, added, removed of diffs (id, text)."""
-    lines = lines_of(rows)
-    name = F.when(F.col("line").rlike(r"^diff --git "), F.regexp_extract("line", r"^diff --git a/(\S+)", 1))
-    w = Window.partitionBy("id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    named = lines.withColumn("file", F.last(name, ignorenulls=True).over(w)).where("file IS NOT NULL")
-    added = F.col("line").startswith("+") & ~F.col("line").startswith("+++")
-    gone = F.col("line").startswith("-") & ~F.col("line").startswith("---")
-    return named.groupBy("id", "file").agg(F.sum(added.cast("long")).alias("added"), F.sum(gone.cast("long")).alias("removed"))
+    return rows.select("id", F.inline(diff_files(F.col("text"))))
+
+
+def compress_diff(text: Column) -> Column:
+    """Totals and one line a file; a diff that names no file stays."""
+    total = lambda fs, k: F.aggregate(fs, F.lit(0).cast("long"), lambda a, f: a + f[k])
+
+    def shown(fs: Column) -> Column:
+        head = F.format_string("diff: %d files changed, +%d -%d", F.size(fs), total(fs, "added"), total(fs, "removed"))
+        each = F.transform(fs, lambda f: F.format_string("  %s: +%d -%d", f["file"], f["added"], f["removed"]))
+        return F.when(F.size(fs) > 0, F.array_join(F.concat(F.array(head), each), "\n")).otherwise(text)
+
+    return let(diff_files(text), shown)
 
 
 def compress_code(text: Column, n: int = 30) -> Column:
     """Declarations, imports, comments and closers; the text itself if that leaves out under 30 % of the lines."""
-    from loam.functions.binding import let
-
     keep = r"^\s*(import |from |export |def |class |function |interface |type |const |let |public |private |async |@|//|#|/\*|\*|[})\]];?\s*$)"
     return let(
         F.split(text, "\n"),
@@ -187,15 +415,13 @@ def compress_code(text: Column, n: int = 30) -> Column:
 
 def compress_prose(text: Column) -> Column:
     """Under 300 words whole, up to 1000 two sentences of each end, longer the first, its entities and the last."""
-    from loam.functions.binding import let
-
-    def cut(ss: Column) -> Column:
+    def cut(ss: Column, count: Column) -> Column:
         n = F.size(ss)
         medium = F.concat_ws(" ", F.array_join(F.slice(ss, 1, 2), " "), F.lit("[...]"), F.array_join(F.slice(ss, F.greatest(n - 1, F.lit(1)), F.lit(2)), " "))
         long = F.concat_ws(" ", ss[0], F.concat(F.lit("["), F.array_join(T.key_entities(text), ", "), F.lit("]")), F.element_at(ss, -1))
-        return F.when(n <= 4, text).when(T.word_count(text) <= 1000, medium).otherwise(long)
+        return F.when(n <= 4, text).when(count <= 1000, medium).otherwise(long)
 
-    return F.when(T.word_count(text) < 300, text).otherwise(let(T.sentences(text), cut))
+    return let(T.word_count(text), lambda count: F.when(count < 300, text).otherwise(let(T.sentences(text), lambda ss: cut(ss, count))))
 
 
 def safe_display(original: Column, shown: Column) -> Column:
@@ -216,17 +442,27 @@ def library_display(path: Column, text: Column) -> Column:
 
 
 def compress(rows: DataFrame, defer_over: int = 50) -> DataFrame:
-    """``rows`` (id, kind, path, text) with type, shown, reason, saved and deferred: the whole chain of decisions."""
-    typed = rows.withColumn("type", content_type_for_kind(F.col("text"), F.col("kind")))
-    logs = compress_logs(typed.where("type = 'log'")).withColumnRenamed("text", "log_text")
+    """``rows`` (id, kind, path, text) with type, shown, reason, saved and deferred: the whole chain of decisions, row by row.
+
+    The type is found once a row and only its own compressor runs.
+    """
     t = F.col("text")
-    body = F.when(F.col("type") == "config", compress_config(t)).when(F.col("type") == "code", compress_code(t)).when(F.col("type") == "json", json_schema(t))
-    body = body.when(F.col("type") == "log", F.col("log_text")).when(F.col("type") == "prose", compress_prose(t)).otherwise(T.truncate_words(t, 220, " ..."))
-    joined = typed.join(logs, "id", "left").withColumn("_d", safe_display(t, F.coalesce(body, t)))
+
+    def body(kind: Column) -> Column:
+        made = F.when(kind == "config", compress_config(t)).when(kind == "code", compress_code(t)).when(kind == "json", json_schema(t))
+        return made.when(kind == "log", compress_log(t)).when(kind == "diff", compress_diff(t)).otherwise(compress_prose(t))
+
+    def settled(kind: Column) -> Column:
+        result = lambda d: F.struct(kind.alias("type"), d["text"].alias("shown"), d["reason"].alias("reason"))
+        return let(F.coalesce(body(kind), t), lambda shown: let(safe_display(t, shown), result))
+
     guard = library_display(F.col("path"), t)
-    out = joined.withColumn("shown", F.coalesce(guard, F.col("_d.text"))).withColumn("reason", F.when(guard.isNotNull(), "library").otherwise(F.col("_d.reason")))
+    library = lambda g, kind: F.struct(kind.alias("type"), g.alias("shown"), F.lit("library").alias("reason"))
+    both = let(content_type_for_kind(t, F.col("kind")), lambda kind: let(guard, lambda g: F.when(g.isNotNull(), library(g, kind)).otherwise(settled(kind))))
+    done = rows.withColumn("_d", both)
+    out = done.select(*rows.columns, "_d.type", "_d.shown", "_d.reason")
     saved = F.greatest(T.token_estimate(t) - T.token_estimate(F.col("shown")), F.lit(0))
-    return out.withColumn("saved", saved).withColumn("deferred", F.col("saved") > defer_over).drop("_d", "log_text")
+    return out.withColumn("saved", saved).withColumn("deferred", F.col("saved") > defer_over)
 
 
 def retrieval_table(compressed: DataFrame) -> DataFrame:

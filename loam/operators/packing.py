@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import detect, scoring
 from loam.functions import text as T
+from loam.functions.binding import let
 from loam.schemas import lookup, risk_of, risk_rank
 
 
@@ -34,26 +35,26 @@ def greedy_prefix(rows: DataFrame, group: str, order: list[Column], cost: str, m
 def fixed_chunks(rows: DataFrame, words: int = 150) -> DataFrame:
     """id, chunk, n_words, text: runs of ``words`` words."""
     w = rows.select("id", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / words).cast("int")))
-    cut = w.select("id", "w", at.alias("chunk")).withColumn("part", F.slice("w", F.col("chunk") * words + 1, F.lit(words)))
+    starts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / words).cast("int"))
+    cut = w.select("id", F.posexplode(F.transform(starts, lambda i: F.slice("w", i * words + 1, F.lit(words)))).alias("chunk", "part"))
     return cut.select("id", "chunk", F.size("part").alias("n_words"), F.array_join("part", " ").alias("text"))
 
 
 def rank_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query, id, chunk, score: term weights within each document, 3 decimals of the best. ``queries``: query, id, text."""
-    terms = queries.select("query", "id", F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 1).alias("ts"))
-    pairs = chunks.join(terms, "id")
-    low = F.lower("text")
-    tf = pairs.select("query", "id", "chunk", "n_words", F.explode("ts").alias("t"), low.alias("low"))
-    tf = tf.select("query", "id", "chunk", "n_words", "t", ((F.length("low") - F.length(F.replace("low", "t", F.lit("")))) / F.length("t")).alias("tf"))
-    tf = tf.groupBy("query", "id", "chunk", "n_words", "t").agg(F.max("tf").alias("tf"))
-    n = chunks.groupBy("id").agg(F.count("*").alias("n"), F.avg("n_words").alias("avg_words"))
-    df = tf.where("tf > 0").groupBy("query", "id", "t").agg(F.count("*").alias("df"))
+    terms = queries.select("query", "id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 1)).alias("ts"))
+    # a chunk's terms are counted beside its text, and only the counts go on; one exchange serves all steps
+    times = lambda low, t: (F.length(low) - F.length(F.replace(low, t))) / F.length(t)
+    counted = let(F.lower("text"), lambda low: F.transform("ts", lambda t: F.struct(t.alias("t"), times(low, t).alias("tf"))))
+    own = Window.partitionBy("query", "id")
+    rows = chunks.join(terms, "id").select("query", "id", "chunk", "n_words", counted.alias("c")).repartition("query", "id")
+    rows = rows.withColumn("n", F.count("*").over(own)).withColumn("avg_words", F.avg("n_words").over(own))
+    tf = rows.select("query", "id", "chunk", "n_words", "n", "avg_words", F.inline("c"))
+    tf = tf.withColumn("df", F.sum((F.col("tf") > 0).cast("long")).over(Window.partitionBy("query", "id", "t")))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n_words") / F.col("avg_words")))
-    joined = tf.join(n, "id").join(df, ["query", "id", "t"], "left")
-    scores = joined.groupBy("query", "id", "chunk", "n_words").agg(F.sum(F.when(F.col("tf") > 0, part).otherwise(0.0)).alias("raw"))
-    best = F.greatest(F.max("raw").over(Window.partitionBy("query", "id")), F.lit(0.01))
+    scores = tf.groupBy("query", "id", "chunk", "n_words").agg(F.sum(F.when(F.col("tf") > 0, part).otherwise(0.0)).alias("raw"))
+    best = F.greatest(F.max("raw").over(own), F.lit(0.01))
     return scores.withColumn("score", scoring.half_up(F.round(F.col("raw") / best, 9), 3)).drop("raw")
 
 

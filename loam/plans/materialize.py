@@ -33,6 +33,15 @@ def keep(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table in as many partitions as there are cores, where its files make fewer splits; a larger one as it is.
+
+    For work on long texts, which is bound by CPU.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Most rows of a kept table that may be broadcast; every caller's rows are a few short columns.
 BROADCAST_ROWS = 200_000
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loam.plans.materialize import spread
 from loam.schemas import records
 from loam.sources.tables import table
 
@@ -20,7 +21,10 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return records(self.documents) if name == "records" else table(self.spark, self.sf_dir, name)
+        if name == "records":
+            return records(self.documents)
+        df = table(self.spark, self.sf_dir, name)
+        return spread(df) if name == "documents" else df
 
 
 def query(sql: str | None = None):
