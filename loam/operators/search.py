@@ -98,20 +98,36 @@ def hash_embedding(rows: DataFrame, dims: int = 384, id_: str = "id", text: str
 
 
 def mentions(rows: DataFrame, phrases: DataFrame, row_id: str, phrase_id: str) -> DataFrame:
-    """(row, phrase) where a row's text contains a phrase.
+    """(row, phrase) where a row's text contains a phrase; an empty phrase is in none.
 
-    A row must hold the phrase's longest word; that word's equi-join finds the candidates, ``contains`` decides.
+    A row must hold the phrase's longest inner word; that word's equi-join finds the candidates,
+    ``contains`` decides. A phrase of one or two words has no inner word: its last three characters
+    (all of a shorter one) take the word's place, and only the pieces that some phrase asks for are sent.
     """
     inner = lambda p: F.split(p, r"[^\p{L}\p{N}]+")
     cut = F.when(F.size(inner(F.col("phrase"))) > 2, F.slice(inner(F.col("phrase")), 2, F.size(inner(F.col("phrase"))) - 2)).otherwise(F.array().cast("array<string>"))
-    key = F.element_at(F.array_sort(F.transform(cut, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    keyed = phrases.withColumn("key", key)
-    words = rows.select(row_id, F.explode(F.array_distinct(inner(F.col("text")))).alias("key"))
-    pairs = words.join(small_side(keyed.where("key <> ''").select(phrase_id, "key")), "key").select(row_id, phrase_id)
-    found = pairs.join(rows, row_id).join(phrases, phrase_id).where(F.contains("text", "phrase")).select(row_id, phrase_id)
-    short = keep(keyed.where("key IS NULL OR key = ''").select(phrase_id, "phrase"), "short-phrases")  # one or two words: tried on every row
-    rest = rows.join(small_side(short), F.contains("text", "phrase")).select(row_id, phrase_id)
-    return found.unionAll(rest)
+    key = F.try_element_at(F.array_sort(F.transform(cut, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
+    piece = F.substring("phrase", F.greatest(F.length("phrase") - 2, F.lit(1)), F.lit(3))
+    keyed = phrases.where("phrase <> ''").withColumn("key", F.nullif(key, F.lit(""))).withColumn("size", F.when(F.col("key").isNull(), F.length(piece)).otherwise(0))
+    keyed = keep(keyed.select(phrase_id, F.coalesce("key", piece).alias("key"), "size"), "phrase-keys")
+    pairs = None
+    for size in sorted(r["size"] for r in keyed.select("size").distinct().collect()):  # 0 to 3
+        own = small_side(keyed.where(F.col("size") == size).select(phrase_id, "key"))
+        words = rows.select(row_id, F.explode(F.array_distinct(inner(F.col("text")) if not size else _pieces(F.col("text"), size))).alias("key"))
+        found = words.join(own, "key").select(row_id, phrase_id)
+        pairs = found if pairs is None else pairs.unionAll(found)
+    if pairs is None:
+        return rows.select(row_id).crossJoin(F.broadcast(phrases.select(phrase_id).limit(0)))  # nothing on one side
+    return pairs.join(rows, row_id).join(phrases, phrase_id).where(F.contains("text", "phrase")).select(row_id, phrase_id)
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All pieces of ``size`` characters."""
+
+    def of(chars: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.concat(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, size)]))
+
+    return let(F.split(text, ""), of)
 
 
 def boost_linked(hits: DataFrame, linked: DataFrame) -> DataFrame:
@@ -189,17 +205,31 @@ def explain(factors: dict[str, Column], n: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(F.filter(each, lambda x: x["v"] < 0)), 1, n), lambda x: x["k"])
 
 
+# Words that negate, and what counts as a conflict.
 NEGATION = r"(?i)\b(not|never|no|don't|without|avoid)\b"
+OVERLAP, CONFLICTS = 0.35, 5
 
 
-def conflicts(rows: DataFrame, threshold: float = 0.35, per_record: int = 20) -> DataFrame:
-    """id, other, overlap, negation: active records (id, kind, text) of one kind whose words overlap, negated or not.
+def conflicts(asked: DataFrame, rows: DataFrame, most: int = CONFLICTS) -> DataFrame:
+    """id, other, score, overlap, negation, retrieved: up to ``most`` active records (id, kind, text) that may contradict each asked one.
 
-    Candidates come from a lexical self-query, as a search would find them.
+    Found by a search with the record's text, three times as many hits as are reported and 15 at
+    least. A hit of the same kind counts if its words overlap, if only one of the two is negated,
+    or if the search scored a different text; the best by search score or overlap come first.
     """
-    found = bm25(rows.select(F.col("id").alias("query"), "text"), rows, per_record + 1).where("query <> id").select("query", "id")
-    a = rows.select(F.col("id").alias("query"), F.col("kind").alias("ka"), F.col("text").alias("ta"))
+    found = bm25(asked.select(F.col("id").alias("query"), "text"), rows, max(3 * most, 15) + 1).where("query <> id").select("query", "id", "score")
+    a = asked.select(F.col("id").alias("query"), F.col("kind").alias("ka"), F.col("text").alias("ta"))
     pairs = found.join(a, "query").join(rows.select("id", F.col("kind").alias("kb"), F.col("text").alias("tb")), "id").where("ka = kb")
     overlap = scoring.overlap_coefficient(T.overlap_tokens(F.col("ta")), T.overlap_tokens(F.col("tb")))
     differs = F.col("ta").rlike(NEGATION) != F.col("tb").rlike(NEGATION)
-    return pairs.select(F.col("query").alias("id"), F.col("id").alias("other"), overlap.alias("overlap"), differs.alias("negation")).where(F.col("overlap") >= threshold)
+    retrieved = (F.col("ta") != F.col("tb")) & (F.col("score") > 0)
+    told = pairs.select(F.col("query").alias("of"), F.col("id").alias("other"), "score", overlap.alias("overlap"), differs.alias("negation"), retrieved.alias("retrieved"))
+    told = told.where((F.col("overlap") >= OVERLAP) | F.col("negation") | F.col("retrieved"))
+    w = Window.partitionBy("of").orderBy(F.round(F.greatest("score", "overlap"), 9).desc(), "other")
+    return told.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r").withColumnRenamed("of", "id")
+
+
+def dense(embedding: DataFrame, dims: int = 384) -> DataFrame:
+    """id, vec of a sparse embedding (id, bucket, weight)."""
+    filled = let(F.map_from_entries("es"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(m[i.cast("bigint")], F.lit(0.0))))
+    return embedding.groupBy("id").agg(F.collect_list(F.struct("bucket", "weight")).alias("es")).select("id", filled.alias("vec"))

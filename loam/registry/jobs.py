@@ -386,6 +386,18 @@ def cmp14_compression_report(t):
     return t.documents.groupBy(size.alias("scenario")).agg(F.count("*").alias("records"), F.sum(T.token_estimate(F.col("text"))).alias("raw_tokens"))
 
 
+@query()
+def cmp14_token_reduction(t):
+    """Tokens before and after the whole chain, by type of content, and the percentage that goes."""
+    pages = t.pages.select((-1 - F.col("page_id")).alias("id"), F.lit("fact").alias("kind"), F.lit(None).cast("string").alias("path"), F.col("html").alias("text"))
+    lines = log_lines(t).groupBy(F.col("user_id").alias("u")).agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("ls"))
+    logs = lines.select((-1_000_000_000 - F.col("u")).alias("id"), F.lit("fact").alias("kind"), F.lit(None).cast("string").alias("path"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
+    rows = t.records.select("id", "kind", F.lit(None).cast("string").alias("path"), "text").unionByName(pages).unionByName(logs)
+    sized = content.compress(rows).select("type", T.token_estimate(F.col("text")).alias("raw"), T.token_estimate(F.col("shown")).alias("shown"))
+    sums = sized.groupBy("type").agg(F.count("*").alias("records"), F.sum("raw").alias("raw_tokens"), F.sum("shown").alias("shown_tokens"))
+    return sums.withColumn("percent", S.half_up(100.0 * (F.col("raw_tokens") - F.col("shown_tokens")) / F.col("raw_tokens"), 1))
+
+
 FAIL_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, '(?i){esc(p)}') THEN '{n}' END" for n, _, p in D.FAILURES) + "], lambda v: v IS NOT NULL)"
 
 

@@ -81,6 +81,17 @@ def src11_transcript_lines(t):
     return t.conversations.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line"))
 
 
+@query("SELECT item_id % 10 AS file, item_id::VARCHAR AS id, text AS query, 'src' || item_id % 20 AS path FROM benchmark")
+def src14_eval_cases(t):
+    from loam.sources.cases import eval_cases
+
+    case = F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.array(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("open_paths")))
+    files = t.benchmark.groupBy((F.col("item_id") % 10).alias("file")).agg(F.array_join(F.collect_list(case), ",").alias("l"))
+    listed = F.concat(F.lit("["), "l", F.lit("]"))
+    value = F.when(F.col("file") % 2 == 0, listed).otherwise(F.concat(F.lit('{"cases": '), listed, F.lit("}")))
+    return eval_cases(files.select("file", value.alias("value"))).select("file", "id", "query", F.get("open_paths", F.lit(0)).alias("path"))
+
+
 @query("""WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 4),
 b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 10 = 7 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 3)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'modified' ELSE 'same' END AS change
@@ -509,6 +520,15 @@ def set5_except_both_ways(t):
     return new.exceptAll(old).select(F.lit("added").alias("side"), "p_partkey").unionAll(old.exceptAll(new).select(F.lit("removed"), "p_partkey"))
 
 
+@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)) AS ts FROM benchmark)
+SELECT doc_id, item_id, CASE WHEN len(ts) > 0 THEN floor(len(list_filter(ts, lambda x: contains(lower(text), x))) / len(ts)::DOUBLE * 1e6 + 0.5) / 1e6 ELSE 0 END AS share
+FROM documents JOIN b ON item_id = doc_id // 25""")
+def mth6_term_overlap(t):
+    terms = t.benchmark.select("item_id", text.overlap_tokens(F.col("text")).alias("ts"))
+    pairs = t.documents.select("doc_id", "text", F.floor(F.col("doc_id") / 25).alias("item_id")).join(terms, "item_id")
+    return pairs.select("doc_id", "item_id", scoring.half_up(scoring.term_overlap(F.col("text"), F.col("ts")), 6).alias("share"))
+
+
 TOK = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: length(x) > 2))"
 
 

@@ -70,13 +70,19 @@ def ret2_embedding_expansion(t):
     return q.join(search.expand_queries(q), "query").select("query", F.concat_ws(" ", "text", F.array_join(F.slice("terms", 1, 5), " ")).alias("embed_text"))
 
 
-@query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 1) AS w FROM documents),
-f AS (SELECT DISTINCT id, 'w:' || x AS f, 1.0 AS v FROM (SELECT id, unnest(w) AS x FROM w)
-UNION SELECT DISTINCT id, 't:' || substr(x, i, 3), 0.45 FROM (SELECT id, x, unnest(range(1, length(x) - 1)) AS i FROM (SELECT id, unnest(w) AS x FROM w) WHERE length(x) >= 4)
-UNION SELECT DISTINCT id, 'b:' || w[i] || ' ' || w[i + 1], 1.35 FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)),
-s AS (SELECT id, ('0x' || sha256(f)[1:8])::BIGINT % 384 AS bucket, sum(CASE WHEN ('0x' || sha256(f)[9:10])::BIGINT % 2 = 0 THEN v ELSE -v END)::DOUBLE AS v FROM f GROUP BY ALL),
-n AS (SELECT id, sqrt(sum(v * v)) AS n FROM s GROUP BY id)
-SELECT id, bucket, floor(CASE WHEN n > 0 THEN v / n ELSE 0 END * 1e5 + 0.5) / 1e5 AS weight FROM s JOIN n USING (id)""")
+def embedded_sql(name: str, rows: str) -> str:
+    """CTEs that end in ``name`` (id, bucket, weight): hashed features of ``rows`` (id, text)."""
+    n = name
+    return f"""{n}_w AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1) AS w FROM ({rows})),
+{n}_f AS (SELECT DISTINCT id, 'w:' || x AS f, 1.0 AS v FROM (SELECT id, unnest(w) AS x FROM {n}_w)
+UNION SELECT DISTINCT id, 't:' || substr(x, i, 3), 0.45 FROM (SELECT id, x, unnest(range(1, length(x) - 1)) AS i FROM (SELECT id, unnest(w) AS x FROM {n}_w) WHERE length(x) >= 4)
+UNION SELECT DISTINCT id, 'b:' || w[i] || ' ' || w[i + 1], 1.35 FROM (SELECT id, w, unnest(range(1, len(w))) AS i FROM {n}_w)),
+{n}_s AS (SELECT id, ('0x' || sha256(f)[1:8])::BIGINT % 384 AS bucket, sum(CASE WHEN ('0x' || sha256(f)[9:10])::BIGINT % 2 = 0 THEN v ELSE -v END)::DOUBLE AS v FROM {n}_f GROUP BY ALL),
+{n}_n AS (SELECT id, sqrt(sum(v * v)) AS n FROM {n}_s GROUP BY id),
+{n} AS (SELECT id, bucket, CASE WHEN n > 0 THEN v / n ELSE 0 END AS weight FROM {n}_s JOIN {n}_n USING (id))"""
+
+
+@query(f"WITH {embedded_sql('e', 'SELECT doc_id AS id, text FROM documents')} SELECT id, bucket, floor(weight * 1e5 + 0.5) / 1e5 AS weight FROM e")
 def ret4_hash_embedding(t):
     out = search.hash_embedding(t.documents, id_="doc_id")
     return out.select("id", "bucket", S.half_up(F.col("weight"), 5).alias("weight"))
@@ -105,13 +111,16 @@ def win1_semantic_rank(t):
     return knn(t, 3).select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"""WITH {BM25_SQL}, {bm25_sql('left(text, 300)', 'h')},
+@query(f"""WITH {BM25_SQL}, {embedded_sql('dv', 'SELECT doc_id AS id, text FROM documents')}, {embedded_sql('qv', 'SELECT item_id AS id, text FROM benchmark')},
+cv AS (SELECT qv.id AS query, dv.id AS id, least(1, greatest(-1, sum(qv.weight * dv.weight))) AS s FROM qv JOIN dv USING (bucket) GROUP BY ALL),
+vectors AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, id) AS rank FROM cv),
 f AS (SELECT coalesce(l.query, s.query) AS query, coalesce(l.id, s.id) AS id, round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) AS score
-FROM (SELECT * FROM lexical WHERE rank <= 50) l FULL JOIN (SELECT * FROM hlexical WHERE rank <= 50) s ON l.query = s.query AND l.id = s.id)
+FROM (SELECT * FROM lexical WHERE rank <= 50) l FULL JOIN (SELECT * FROM vectors WHERE rank <= 50) s ON l.query = s.query AND l.id = s.id)
 SELECT query, id, rank FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10""")
 def ret6_rank_fusion(t):
-    heads = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 300).alias("text"))
-    second = search.bm25(t.benchmark.select(F.col("item_id").alias("query"), "text"), heads, 50)
+    vectors = lambda rows, id_: search.dense(search.hash_embedding(rows, id_=id_))
+    asked = vectors(t.benchmark, "item_id").select(F.col("id").alias("query"), "vec")
+    second = search.knn(asked, vectors(t.documents, "doc_id"), 50)
     return search.fuse(bm25(t, 50), second, 10).select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -124,7 +133,9 @@ def ret7_rerank(t):
 
 @query()
 def ret13_conflicts(t):
-    return search.conflicts(t.records.where("status = 'active' AND id % 20 = 0").select("id", "kind", "text"))
+    rows = t.records.where("status = 'active'").select("id", "kind", "text")
+    found = search.conflicts(rows.where("id % 100 = 0"), rows)  # a search: every hundredth record asks, all are searched
+    return found.withColumn("score", S.half_up(F.col("score"), 4)).withColumn("overlap", S.half_up(F.col("overlap"), 4))
 
 
 @query(f"WITH {BM25_SQL} SELECT query, id, lang, rank FROM lexical JOIN documents ON doc_id = id WHERE rank <= 3")
