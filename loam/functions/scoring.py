@@ -60,10 +60,11 @@ def feedback_norm(score: Column) -> Column:
 
 
 def risk_boost(risk: Column, operational: Column) -> Column:
+    """Nothing for a kind without a risk."""
     from loam.schemas import lookup
 
-    base = lookup(RISK_BOOST, risk)
-    return F.when(operational & risk.isin("critical", "high"), F.least(F.lit(1.0), base * 1.5)).otherwise(base)
+    base = F.coalesce(lookup(RISK_BOOST, risk), F.lit(0.0))
+    return F.when(F.coalesce(operational, F.lit(False)) & risk.isin("critical", "high"), F.least(F.lit(1.0), base * 1.5)).otherwise(base)
 
 
 def composite(factors: dict[str, Column], profile: str = "default") -> Column:

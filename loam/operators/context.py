@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import detect, scoring
@@ -12,22 +14,43 @@ from loam.plans.materialize import keep, small_side
 from loam.schemas import risk_of, risk_rank
 
 
-def recall(queries: DataFrame, records: DataFrame, now: Column, k: int = 10, linked: DataFrame | None = None) -> DataFrame:
+def candidates(asked: DataFrame, records: DataFrame, n: int, mode: str) -> DataFrame:
+    """query, id, score, rank: the first stage by words (``fts``), hashed features of whole texts (``vector``) or both fused (``hybrid``).
+
+    ``asked``: query, text (with synonyms) for the words, query_text for the features.
+    """
+    if mode not in ("fts", "vector", "hybrid"):
+        raise ValueError(f"unknown mode {mode}")
+    deep = n if mode == "fts" else max(50, 2 * n)
+    lexical = None if mode == "vector" else search.bm25(asked.select("query", "text"), records, deep)
+    if mode == "fts":
+        return lexical
+    vectors = lambda rows, id_, text: search.dense(search.hash_embedding(rows, id_=id_, text=text))
+    near = search.knn(vectors(asked, "query", "query_text").select(F.col("id").alias("query"), "vec"), vectors(records, "id", "text"), deep)
+    none = near.select("query", "id", "rank").limit(0)
+    return search.fuse(none if lexical is None else lexical, near, n).select("query", "id", "score", "rank")
+
+
+def recall(queries: DataFrame, records: DataFrame, now: Column, k: int = 10, linked: DataFrame | None = None, mode: str = "fts") -> DataFrame:
     """query, id, score, rank, reasons: expand, search, rerank, score by all factors, boost linked records.
 
-    ``queries``: query, text; ``records``: id, kind, text, confidence, created_at. First stage keeps
-    max(4 k, 40) candidates, the reranker max(k, 20).
+    ``queries``: query, text; ``records``: id, kind, text, confidence, created_at and, where known,
+    accesses, feedback (-1 to 1) and degree; without these one access, no feedback and no edges count.
+    First stage keeps max(4 k, 40) candidates, the reranker max(k, 20).
     """
+    for name, usual in (("accesses", 1), ("feedback", 0.0), ("degree", 0)):
+        value = F.coalesce(F.col(name), F.lit(usual)) if name in records.columns else F.lit(usual)
+        records = records.withColumn(name, value)
     expanded = search.expand_queries(queries).select("query", F.array_join("terms", " ").alias("more"))
     asked = queries.join(expanded, "query").select("query", F.concat_ws(" ", "text", "more").alias("text"), F.col("text").alias("query_text"))
-    hits = search.bm25(asked.select("query", "text"), records, max(4 * k, 40))
+    hits = candidates(asked, records, max(4 * k, 40), mode)
     hits = hits.join(asked.select("query", "query_text"), "query").join(records, "id")
     ranked = search.rerank(hits, max(k, 20), 0.0)
     operational = F.col("query_text").rlike(detect.OPERATIONAL)
     factors = {
         "similarity": F.least(F.lit(1.0), F.col("final")), "recency": scoring.recency(F.unix_timestamp("created_at"), now), "confidence": F.col("confidence"),
-        "access": F.lit(0.0), "feedback": F.lit(0.5), "fts": scoring.rank_boost(F.col("rank")), "risk": scoring.risk_boost(risk_of(F.col("kind")), operational),
-        "graph": F.lit(0.0), "path": F.lit(0.0), "specificity": F.when(T.word_count(F.col("text")) <= 18, 0.4).otherwise(0.0),
+        "access": scoring.access_boost(F.col("accesses")), "feedback": scoring.feedback_norm(F.col("feedback")), "fts": scoring.rank_boost(F.col("rank")), "risk": scoring.risk_boost(risk_of(F.col("kind")), operational),
+        "graph": scoring.graph_boost(F.col("degree")), "path": F.lit(0.0), "specificity": F.when(T.word_count(F.col("text")) <= 18, 0.4).otherwise(0.0),
     }
     reasons = F.array_join(search.explain({c: v.cast("double") for c, v in factors.items() if c != "specificity"}), ",")
     scored = ranked.withColumn("reasons", reasons).withColumn("total", scoring.composite(factors)).select("query", "id", F.col("total").alias("score"), "reasons")
@@ -99,10 +122,35 @@ def operational_details(records: DataFrame, n: int = 5) -> DataFrame:
     return risky.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("kind", "id", "r")
 
 
-def tune(cases: DataFrame, policies: DataFrame) -> DataFrame:
-    """policy, value of the best of a policy grid (policy, k) over cases (query, rank, hit, tokens): mean recall less token and overflow costs."""
-    pairs = cases.crossJoin(small_side(policies, 1000))  # a grid of settings
-    used = pairs.where(F.col("rank") <= F.col("k")).groupBy("policy", "query").agg(F.max("hit").alias("hit"), F.sum("tokens").alias("tokens"))
-    value = F.avg("hit") - 0.0005 * F.avg("tokens") - 0.2 * F.avg((F.col("tokens") > 1000).cast("double"))
-    scored = used.groupBy("policy").agg(value.alias("value"))
-    return scored.agg(F.max_by(F.struct("policy", "value"), F.struct(F.round("value", 9), -F.col("policy"))).alias("b")).select("b.*")
+# Settings of the policy grid.
+LEAST_SCORES, MOST_SPANS, TERM_WEIGHTS = (0.1, 0.2, 0.35), (4, 6, 8), (0.2, 0.3, 0.5)
+
+
+def policy_grid(spark: SparkSession) -> DataFrame:
+    """policy, least, most, weight: least score, number of spans and weight of query terms, in every combination."""
+    grid = enumerate(itertools.product(LEAST_SCORES, MOST_SPANS, TERM_WEIGHTS), 1)
+    return spark.createDataFrame([(i, *p) for i, p in grid], "policy int, least double, most int, weight double")
+
+
+def tune(chosen: DataFrame, span_rows: DataFrame, expected: DataFrame, packed: DataFrame, policies: DataFrame, budget: int) -> DataFrame:
+    """policy, recall, evidence_recall, tokens, over_budget, value, best: a grid of evidence policies over all cases.
+
+    ``chosen``: query, id, text of the query, a row a record packed for it; ``expected``: query, phrase;
+    ``packed``: query, recall and tokens of the packed records, one row a case. The value is both
+    recalls less 0.0005 a token of the mean and 0.2 a case over ``budget``; the first policy wins ties.
+    """
+    grid = small_side(policies, 1000)
+    scored = packing.evidence_candidates(chosen, span_rows).crossJoin(grid)  # a grid of settings
+    scored = scored.withColumn("score", packing.evidence_score(F.col("weight"))).where(F.col("score") >= F.col("least"))
+    w = Window.partitionBy("policy", "query").orderBy(F.col("score").desc(), "id", "place")
+    best = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("most")).select("policy", "query", "span")
+    used = best.groupBy("policy", "query").agg(F.sum(T.token_estimate(F.col("span"))).alias("spent"))
+    found = best.join(expected, "query").where(F.contains("span", "phrase")).groupBy("policy", "query").agg(F.countDistinct("phrase").alias("found"))
+    wanted = expected.groupBy("query").agg(F.countDistinct("phrase").alias("wanted"))
+    cases = packed.join(wanted, "query", "left").crossJoin(grid.select("policy")).join(used, ["policy", "query"], "left").join(found, ["policy", "query"], "left")
+    share = F.when(F.col("wanted") > 0, F.coalesce("found", F.lit(0)) / F.col("wanted")).otherwise(1.0)
+    cases = cases.select("policy", "recall", share.alias("evidence"), (F.col("tokens") + F.coalesce("spent", F.lit(0))).alias("tokens"))
+    out = cases.groupBy("policy").agg(F.avg("recall").alias("recall"), F.avg("evidence").alias("evidence_recall"), F.avg("tokens").alias("tokens"), F.count_if(F.col("tokens") > budget).alias("over_budget"))
+    out = out.withColumn("value", F.col("recall") + F.col("evidence_recall") - 0.0005 * F.col("tokens") - 0.2 * F.col("over_budget"))
+    top = out.agg(F.max_by("policy", F.struct(F.round("value", 9), -F.col("policy"))).alias("top"))
+    return policies.join(out, "policy").crossJoin(F.broadcast(top)).withColumn("best", F.col("policy") == F.col("top")).drop("top")  # a single row

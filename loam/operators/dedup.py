@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.functions import scoring
 from loam.functions import text as T
 from loam.operators.records import first_per_key
 
@@ -24,8 +23,8 @@ def first_by_hash(rows: DataFrame, digest: str, order: str) -> DataFrame:
 def vector_pairs(rows: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
     """a < b and similarity of all pairs at or above the threshold, exactly.
 
-    Vectors meet in blocks: every unordered pair of blocks is one task that multiplies two bounded
-    matrices, so no row is paired in Python and no task holds more than two blocks.
+    Vectors meet in blocks of cells around fitted centres, and only where the angles between vector
+    and centre allow a pair; no task holds more than two blocks.
     """
     from loam.plans.blocks import similar_pairs
 
@@ -37,19 +36,3 @@ def best_match(pairs: DataFrame, need: Column) -> DataFrame:
     ok = pairs.where(F.col("similarity") >= need)
     best = F.max_by(F.struct(F.col("old").alias("into"), "similarity"), F.struct(F.round("similarity", 9), -F.col("old")))
     return ok.groupBy("new").agg(best.alias("m")).select("new", "m.*")
-
-
-def lsh_buckets(rows: DataFrame, bits: int = 12, tables: int = 8, dims: int = 64, seed: int = 7) -> DataFrame:
-    """id, bucket: random-hyperplane buckets of unit vectors, for candidate search at scale."""
-    import random
-
-    rng = random.Random(seed)
-    out = None
-    for t in range(tables):
-        signs = []
-        for _ in range(bits):
-            plane = F.array(*[F.lit(rng.gauss(0, 1)) for _ in range(dims)])
-            signs.append(F.when(scoring.dot(F.col("vec"), plane) >= 0, "1").otherwise("0"))
-        part = rows.select("id", F.concat(F.lit(f"{t}:"), *signs).alias("bucket"))
-        out = part if out is None else out.unionAll(part)
-    return out

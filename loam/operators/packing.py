@@ -76,12 +76,19 @@ def spans(rows: DataFrame, most: int = 12, least: int = 18, longest: int = 420)
     return cut.withColumn("label", label).select("id", "place", "label", "span", lookup(BASE_SCORE, F.col("label")).alias("base"))
 
 
-def select_evidence(queries: DataFrame, span_rows: DataFrame, most: int = 6, least: float = 0.2) -> DataFrame:
-    """query, id, place, score: spans by base score, overlap with the query's terms and length."""
+def evidence_candidates(queries: DataFrame, span_rows: DataFrame) -> DataFrame:
+    """``span_rows`` of the records (query, id, text) asked for, with the share of the query's terms and the tokens of each."""
     asked = queries.select("query", "id", T.query_terms(F.col("text")).alias("terms"))
-    pairs = span_rows.join(asked, "id")
-    score = F.col("base") + 0.3 * scoring.term_overlap(F.col("span"), F.col("terms")) - 0.002 * T.token_estimate(F.col("span"))
-    scored = pairs.withColumn("score", scoring.half_up(score, 3)).where(F.col("score") >= least)
+    return span_rows.join(asked, "id").withColumn("overlap", scoring.term_overlap(F.col("span"), F.col("terms"))).drop("terms")
+
+
+def evidence_score(weight: Column) -> Column:
+    return scoring.half_up(F.col("base") + weight * F.col("overlap") - 0.002 * T.token_estimate(F.col("span")), 3)
+
+
+def select_evidence(queries: DataFrame, span_rows: DataFrame, most: int = 6, least: float = 0.2, weight: float = 0.3) -> DataFrame:
+    """query, id, place, score: spans by base score, overlap with the query's terms and length."""
+    scored = evidence_candidates(queries, span_rows).withColumn("score", evidence_score(F.lit(weight))).where(F.col("score") >= least)
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id", "place")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query", "id", "place", "label", "score", "rank")
 

@@ -7,38 +7,117 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows the cell centres are fitted on, rows a cell should hold, and most cells. Every row is assigned and compared.
+SAMPLE, CELL_ROWS, MOST_CELLS = 8192, 512, 256
+#: Angles are widened by this, as the arc cosine loses digits near 0.
+SLACK = 1e-6
+
+
+def _unit(vectors: list) -> np.ndarray:
+    m = np.stack(vectors).astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _centres(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Centres by vector length, fitted by a few rounds of spherical k-means on a sample by digest of at most ``SAMPLE`` rows."""
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"]
+    wanted, out = min(MOST_CELLS, max(1, n // CELL_ROWS)), {}
+    for dims in sorted({len(v) for v in sample}):
+        own = [v for v in sample if len(v) == dims and np.any(v)]
+        if not dims or not own:
+            continue
+        u = _unit(own)
+        c = u[: max(1, wanted * len(own) // len(sample))]
+        for _ in range(8):
+            nearest_one = np.argmax(u @ c.T, axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, nearest_one, u)
+            length = np.linalg.norm(sums, axis=1, keepdims=True)
+            c = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), c)
+        out[dims] = c
+    return out
+
 
 def similar_pairs(rows: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """rows: id, vec and optionally agent. One group for each unordered pair of blocks."""
+    """a < b of all pairs of rows (id, vec, optionally agent) at or above the threshold, exactly.
+
+    Vectors fall into cells around fitted centres. Two unit vectors at most an angle t apart lie, by
+    the triangle inequality, within t plus the cell's radius of each other's centre, so a vector is
+    sent only to the cells it can have a partner in; a cell of more than ``block`` rows is split, and
+    each unordered pair of blocks is one group that multiplies two bounded matrices. Vectors without
+    direction, and lengths the sample doesn't hold, form cells that meet every cell. Ids are distinct.
+    """
     if "agent" not in rows.columns:
         rows = rows.withColumn("agent", F.lit(0))
-    n = max(1, -(-rows.count() // block))
-    own = rows.select("id", "agent", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("blk"))
-    partner = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sent = own.withColumn("other", partner).select(
-        F.least("blk", "other").alias("x"), F.greatest("blk", "other").alias("y"), "blk", "id", "agent", "vec"
-    )
+    own = rows.where(F.size("vec") > 0).select("id", "agent", F.col("vec").cast("array<double>").alias("vec"))
+    centres = _centres(own, own.count())
+    widest = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = int(pdf["x"].iloc[0]), int(pdf["y"].iloc[0])
-        found = []
-        a, b = pdf[pdf["blk"] == x], pdf[pdf["blk"] == y]
-        for dims in sorted({len(v) for v in pdf["vec"]}):
-            p, q = a[a["vec"].map(len) == dims], b[b["vec"].map(len) == dims]
-            if not len(p) or not len(q) or not dims:
+    def angles(vectors: pd.Series):
+        """Positions, angles to all centres of their length (none for vectors without direction) by vector length."""
+        for dims in sorted({len(v) for v in vectors}):
+            at = np.flatnonzero((vectors.map(len) == dims).to_numpy())
+            u = _unit([vectors.iloc[i] for i in at])
+            blind = ~u.any(axis=1) | (dims not in centres)
+            if blind.any():
+                yield dims, at[blind], None
+            if not blind.all():
+                yield dims, at[~blind], np.arccos(np.clip(u[~blind] @ centres[dims].T, -1, 1))
+
+    def assign(batches):
+        for pdf in batches:
+            cell, far, dims_of = np.full(len(pdf), -1), np.full(len(pdf), np.pi), np.zeros(len(pdf), dtype=int)
+            for dims, at, ang in angles(pdf["vec"]):
+                dims_of[at] = dims
+                if ang is not None:
+                    cell[at], far[at] = np.argmin(ang, axis=1), ang.min(axis=1)
+            yield pdf.assign(dims=dims_of, cell=cell, far=far)
+
+    kind = dict(rows.dtypes)["agent"]
+    homed = own.mapInPandas(assign, f"id long, agent {kind}, vec array<double>, dims int, cell int, far double")
+    # A row a cell: at most MOST_CELLS + 1 for each vector length.
+    cells: dict[int, dict[int, tuple[float, int]]] = {}
+    for r in homed.groupBy("dims", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
+        cells.setdefault(r["dims"], {})[r["cell"]] = (r["far"], -(-r["n"] // block))
+
+    def send(batches):
+        for pdf in batches:
+            part = pd.util.hash_array(pdf["id"].to_numpy())
+            at_, x, p, y, q = [], [], [], [], []
+            home = pdf["cell"].to_numpy()
+            for dims, at, ang in angles(pdf["vec"]):
+                for other, (radius, parts) in cells[dims].items():
+                    near = np.ones(len(at), dtype=bool) if ang is None or other < 0 else ang[:, other] <= radius + widest
+                    to = at[near]
+                    if not len(to):
+                        continue
+                    mine = (part[to] % np.array([cells[dims][c][1] for c in home[to]], dtype=np.uint64)).astype(int)
+                    for k in range(parts):
+                        at_.append(to), x.append(home[to]), p.append(mine), y.append(np.full(len(to), other)), q.append(np.full(len(to), k))
+            if not at_:
                 continue
-            u, v = (np.stack(z["vec"].to_list()).astype(float) for z in (p, q))
-            u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
-            sims = np.clip(u @ v.T, -1, 1)
-            for i, j in zip(*np.nonzero(sims >= threshold), strict=True):
-                s, t = p.iloc[i], q.iloc[j]
-                if s["id"] < t["id"] or (x != y and s["id"] > t["id"]):
-                    lo, hi = (s, t) if s["id"] < t["id"] else (t, s)
-                    found.append((lo["id"], hi["id"], float(sims[i, j]), lo["agent"], hi["agent"]))
-        return pd.DataFrame(found, columns=["a", "b", "similarity", "agent_a", "agent_b"])
-
-    agent = dict(rows.dtypes)["agent"]
-    return sent.groupBy("x", "y").applyInPandas(compare, f"a long, b long, similarity double, agent_a {agent}, agent_b {agent}")
+            out = pdf.iloc[np.concatenate(at_)][["id", "agent", "vec", "dims"]]
+            yield out.assign(x=np.concatenate(x), p=np.concatenate(p), y=np.concatenate(y), q=np.concatenate(q))
+
+    sent = homed.drop("far").mapInPandas(send, f"id long, agent {kind}, vec array<double>, dims int, x int, p int, y int, q int")
+    here, there = F.struct("x", "p"), F.struct(F.col("y").alias("x"), F.col("q").alias("p"))
+    sent = sent.select("id", "agent", "vec", "dims", F.least(here, there).alias("low"), F.greatest(here, there).alias("high"), (here <= there).alias("first"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = pdf["low"].iloc[0] == pdf["high"].iloc[0]
+        a, b = (pdf, pdf) if same else (pdf[pdf["first"]], pdf[~pdf["first"]])
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": [], "similarity": [], "agent_a": [], "agent_b": []})
+        sims = np.clip(_unit(a["vec"].to_list()) @ _unit(b["vec"].to_list()).T, -1, 1)
+        i, j = np.nonzero(sims >= threshold)
+        ia, ib = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
+        keep = ia < ib if same else ia != ib
+        i, j, ia, ib = i[keep], j[keep], ia[keep], ib[keep]
+        ga, gb = a["agent"].to_numpy()[i], b["agent"].to_numpy()[j]
+        low = ia < ib
+        return pd.DataFrame({"a": np.where(low, ia, ib), "b": np.where(low, ib, ia), "similarity": sims[i, j], "agent_a": np.where(low, ga, gb), "agent_b": np.where(low, gb, ga)})
+
+    return sent.groupBy("dims", "low", "high").applyInPandas(compare, f"a long, b long, similarity double, agent_a {kind}, agent_b {kind}")
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int | None, threshold: float | None, block: int = 2048) -> DataFrame:

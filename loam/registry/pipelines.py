@@ -11,6 +11,7 @@ from loam.functions import text as T
 from loam.functions import udfs
 from loam.operators import content, context, dedup, evaluate, governance, graph, lifecycle, mining, packing, search
 from loam.operators import records as R
+from loam.plans.materialize import keep
 from loam.registry.base import query
 from loam.registry.search import BM25_SQL, KNN_SQL, PAIR_SQL, bm25, knn
 from loam.registry.text import P, PHRASES, W, phrased
@@ -36,6 +37,13 @@ def ret10_recall_pipeline(t):
     return context.recall(asked(t), t.records.where("status = 'active'"), now(), 5).select("query", "id", "score", "rank", "reasons")
 
 
+@query()
+def ret10_hybrid_recall(t):
+    degree = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("degree"))
+    known = t.records.where("status = 'active'").join(degree, "id", "left")
+    return context.recall(asked(t), known, now(), 5, mode="hybrid").select("query", "id", "score", "rank", "reasons")
+
+
 @query()
 def ret11_recall_with_links(t):
     linked = t.lineitem.where("l_partkey < 50").select(F.col("l_orderkey").alias("id"))
@@ -178,10 +186,14 @@ def ctx13_packed_context(t):
 
 @query()
 def ctx14_policy_tuning(t):
-    hits = bm25(t, 12).join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id").join(t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("p")), "query")
-    cases = hits.select("query", "rank", F.contains("text", "p").cast("double").alias("hit"), T.token_estimate(F.col("text")).alias("tokens"))
-    policies = t.spark.range(1, 13).select(F.col("id").alias("policy"), F.col("id").alias("k"))
-    return context.tune(cases, policies)
+    hits = keep(bm25(t, 5).select("query", "id"), "tuning-hits")
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text").join(hits.select("id").distinct(), "id", "left_semi")
+    expected = t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("phrase"))
+    shown = hits.join(docs, "id").join(expected, "query")
+    packed = shown.groupBy("query").agg(F.max(F.contains("text", "phrase").cast("double")).alias("recall"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
+    chosen = hits.join(asked(t), "query")
+    out = context.tune(chosen, packing.spans(docs), expected, packed, context.policy_grid(t.spark), 1000)
+    return out.select("policy", S.half_up(F.col("value"), 6).alias("value"), "over_budget", "best")
 
 
 @query()

@@ -290,3 +290,55 @@ def test_search_scores_order(spark):
     rows = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha alpha beta"), (3, "delta")], "id long, text string")
     got = [(r.id, r["rank"]) for r in search.bm25(spark.createDataFrame([(9, "alpha beta")], "query long, text string"), rows, 2).orderBy("rank").collect()]
     assert got == [(2, 1), (1, 2)]
+
+
+def test_vector_pairs_are_exact_across_cells(spark, monkeypatch):
+    import numpy as np
+
+    from loam.plans import blocks
+
+    monkeypatch.setattr(blocks, "CELL_ROWS", 40)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(7, 12))
+    vectors = {i: middle[i % 7] + 0.4 * rng.normal(size=12) for i in range(400)}
+    vectors |= {500 + i: np.zeros(12) for i in range(3)} | {600 + i: np.array([1.0, 2.0, i]) for i in range(4)} | {700 + i: np.ones(12) for i in range(60)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()] + [(800, []), (801, None)], "id long, vec array<double>")
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-300)
+    for least, block in ((0.9, 16), (0.5, 100), (0.0, 4096)):
+        want = {(a, b) for a in vectors for b in vectors if a < b and len(vectors[a]) == len(vectors[b]) and unit(vectors[a]) @ unit(vectors[b]) >= least}
+        got = [(r.a, r.b) for r in blocks.similar_pairs(rows, least, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert not blocks.similar_pairs(rows.limit(0), 0.5).count()
+
+
+def test_recall_modes(spark):
+    from pyspark.sql import functions as F
+
+    from loam.operators import context
+
+    rows = spark.createDataFrame([(1, "note", "rotate the signing key every month"), (2, "note", "lunch menu of the canteen"), (3, "note", "signing keys are rotated monthly")], "id long, kind string, text string")
+    rows = rows.withColumn("confidence", F.lit(0.5)).withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+    asked = spark.createDataFrame([(9, "rotated signing keys")], "query long, text string")
+    first = asked.withColumn("query_text", F.col("text"))
+    ids = lambda mode: [r.id for r in context.candidates(first, rows, 40, mode).orderBy("rank").collect()]
+    assert [ids(m) for m in ("fts", "vector", "hybrid")] == [[3, 1], [3, 1, 2], [3, 1, 2]]
+    assert [r.id for r in context.recall(asked, rows, F.lit(3600), 3, mode="hybrid").orderBy("rank").collect()][0] == 3
+    known = rows.withColumn("accesses", F.when(F.col("id") == 1, 50)).withColumn("feedback", F.when(F.col("id") == 1, 1.0)).withColumn("degree", F.lit(1))
+    score = lambda df: {r.id: r.score for r in context.recall(asked, df, F.lit(3600), 3).collect()}
+    plain, told = score(rows), score(known)
+    assert told[1] - plain[1] > told[3] - plain[3] > 0
+
+
+def test_policy_grid(spark):
+    from loam.operators import context
+
+    chosen = spark.createDataFrame([(1, 7, "index rebuild"), (2, 8, "other words")], "query long, id long, text string")
+    spans = spark.createDataFrame([(7, 0, "note", "index rebuild takes long", 0.15), (7, 1, "note", "nothing of interest", 0.05), (8, 0, "note", "unrelated remark", 0.5)], "id long, place int, label string, span string, base double")
+    expected = spark.createDataFrame([(1, "rebuild takes"), (2, "absent")], "query long, phrase string")
+    packed = spark.createDataFrame([(1, 1.0, 10), (2, 0.0, 2000)], "query long, recall double, tokens int")
+    grid = context.policy_grid(spark)
+    got = {r.policy: r for r in context.tune(chosen, spans, expected, packed, grid, 1000).collect()}
+    assert len(got) == 27 and all(r.over_budget == 1 and r.recall == 0.5 for r in got.values())
+    least = {r.policy: (r.least, r.weight) for r in grid.collect()}
+    assert {p for p, r in got.items() if r.evidence_recall == 0.5} == {p for p, (a, w) in least.items() if 0.15 + w - 0.012 >= a}
+    assert [p for p, r in got.items() if r.best] == [min(p for p, r in got.items() if r.value == max(x.value for x in got.values()))]
