@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import detect
 from loam.functions import text as T
 from loam.functions.binding import let
+from loam.plans.materialize import keep
 
 MIN_TYPE_SCORE = 0.35
 
@@ -349,11 +352,16 @@ def json_schema(text: Column) -> Column:
 
 def is_record_array(text: Column, least: int = 3, share: float = 0.8) -> Column:
     """Whether a text is an array of objects that mostly have the first one's keys."""
-    items = F.filter(F.from_json(text, "array<string>"), lambda x: x.startswith("{"))
-    keys = F.transform(items, F.json_object_keys)
-    alike = F.filter(keys, lambda k: F.size(F.array_intersect(k, keys[0])) >= share * F.greatest(F.size(keys[0]), F.lit(1)))
-    total = F.size(F.from_json(text, "array<string>"))
-    return F.coalesce((F.size(items) >= least) & (F.size(items) >= share * total) & (F.size(alike) >= share * F.size(items)), F.lit(False))
+
+    def alike(keys: Column) -> Column:
+        near = F.filter(F.slice(keys, 2, F.size(keys)), lambda k: F.size(F.array_intersect(k, keys[0])) >= share * F.greatest(F.size(keys[0]), F.size(k)))
+        return F.size(near) >= share * (F.size(keys) - 1)
+
+    def of(items: Column) -> Column:
+        objects = F.forall(items, lambda x: F.coalesce(x.startswith("{"), F.lit(False)))
+        return F.when((F.size(items) >= least) & objects, let(F.transform(items, F.json_object_keys), alike)).otherwise(False)
+
+    return F.coalesce(F.when(F.ltrim(text).startswith("["), let(F.from_json(text, "array<string>"), of)), F.lit(False))
 
 
 def compress_config(text: Column) -> Column:
@@ -474,3 +482,96 @@ def retrieval_waste(fetches: DataFrame, compressed: DataFrame) -> DataFrame:
     """id, fetches, wasted: compressed records that were fetched in full again (id, tokens), and the tokens of it."""
     n = fetches.groupBy("id").agg(F.count("*").alias("fetches"))
     return n.join(compressed, "id").select("id", "fetches", (F.col("fetches") * F.col("tokens")).alias("wasted"))
+
+
+# Keys and values that tell of errors, keys that hold a status, and sizes of the summary of a record array.
+ERROR_KEY, ERROR_VALUE = r"(?i)error|warning|exception|fail|alert", r"(?i)error|fail|critical|exception|timeout|denied|rejected"
+STATUS_KEYS = ("status", "state", "result", "level")
+SHOWN_KEYS, SHOWN_VALUES, SHOWN_ANOMALIES, LONG_VALUE = 5, 6, 5, 60
+
+
+def json_records(rows: DataFrame) -> DataFrame:
+    """id, field, n, i, pos, key, kind, json, value: a row a value of each JSON text (id, text) that is an array of records.
+
+    Of an object the largest such array is taken, the first of equals, and ``field`` names it (empty for
+    the text itself). ``kind`` is null, string, number, boolean, array or object.
+    """
+    entry = lambda pos, field, body: F.struct((-F.size(F.from_json(body, "array<string>"))).alias("n"), pos.alias("pos"), field.alias("field"), body.alias("body"))
+    inside = F.filter(F.map_entries(F.from_json("text", "map<string,string>")), lambda e: is_record_array(e["value"]))
+    found = F.when(is_record_array(F.col("text")), F.array(entry(F.lit(0), F.lit(""), F.col("text")))).otherwise(F.transform(inside, lambda e, i: entry(i, e["key"], e["value"])))
+    arrays = rows.select("id", F.try_element_at(F.array_sort(found), F.lit(1)).alias("a")).where("a IS NOT NULL")
+    items = arrays.select("id", "a.field", (-F.col("a.n")).alias("n"), F.posexplode(F.from_json("a.body", "array<string>")).alias("i", "item"))
+    values = items.select("id", "field", "n", "i", F.posexplode(F.map_entries(F.from_json("item", "map<string,variant>"))).alias("pos", "e")).select("id", "field", "n", "i", "pos", "e.key", F.col("e.value").alias("v"))
+    told = F.schema_of_variant("v")
+    kind = F.when(F.col("v").isNull() | (told == "VOID"), "null").when(told == "STRING", "string").when(told == "BOOLEAN", "boolean")
+    kind = kind.when(told.startswith("ARRAY"), "array").when(told.startswith("OBJECT"), "object").otherwise("number")
+    text = lambda c: F.coalesce(c, F.lit("null"))
+    return values.select("id", "field", "n", "i", "pos", "key", kind.alias("kind"), text(F.to_json("v")).alias("json"), text(F.try_variant_get("v", "$", "string")).alias("value"))
+
+
+def _anomalies(records: DataFrame) -> DataFrame:
+    """id, i, reason, r: the first rows with a filled error field or a failing status, then numbers beyond two deviations."""
+    filled = ~F.col("kind").isin("null") & ~F.col("json").isin("false", "0", "0.0", '""')
+    status = F.when(F.col("kind") == "string", F.array_position(F.array(*[F.lit(k) for k in STATUS_KEYS]), F.col("key"))).otherwise(0)
+    error = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("of"), F.lit(0).alias("rule"), F.col("pos").cast("int").alias("at"), F.concat("key", F.lit(" is non-empty: "), F.substring("value", 1, 80)).alias("reason"))
+    bad = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("of"), F.lit(1).alias("rule"), status.cast("int").alias("at"), F.concat_ws("=", "key", "value").alias("reason"))
+    marked = F.when(F.col("key").rlike(ERROR_KEY) & filled, error).when((status > 0) & F.col("value").rlike(ERROR_VALUE), bad)
+    first = records.where("i = 0").select("id", "key", F.col("pos").alias("place"))
+    nums = records.where("kind = 'number'").select("id", "i", "key", "value", F.col("value").try_cast("double").alias("x"))
+    stats = nums.groupBy("id", "key").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("x").alias("m")).where("m >= 5 AND sd > 0").join(first, ["id", "key"])
+    far = nums.join(stats, ["id", "key"]).where("abs(x - mean) > 2 * sd")
+    told = F.format_string("%s=%s is outlier (mean=%.1f, σ=%.1f)", "key", "value", "mean", "sd")
+    outlier = F.struct(F.lit(1).alias("phase"), F.col("place").cast("int").alias("of"), F.lit(0).alias("rule"), F.lit(0).alias("at"), told.alias("reason"))
+    every = records.select("id", "i", marked.alias("m")).where("m IS NOT NULL").unionByName(far.select("id", "i", outlier.alias("m")))
+    one = every.groupBy("id", "i").agg(F.min("m").alias("m"))
+    w = Window.partitionBy("id").orderBy("m.phase", "m.of", "i")
+    return one.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SHOWN_ANOMALIES).select("id", "i", "m.reason", "r")
+
+
+def summarize_json(rows: DataFrame) -> DataFrame:
+    """id, text: JSON texts (id, text) that are or hold an array of records as a summary of it; other texts give no row.
+
+    Schema, constants, distributions of keys with few values (absent ones count as undefined, last among
+    equals), anomalies with their reasons, the first and the last other row. Every line is cut from
+    grouped rows, so only these lines of a text come together.
+    """
+    records = keep(json_records(rows), "json-records")
+    first = records.where("i = 0").select("id", "key", F.col("pos").alias("place"), F.col("kind").alias("first_kind"))
+    plain = ~F.col("kind").isin("array", "object")
+    counted = records.groupBy("id", "key", "json").agg(F.first("value").alias("value"), F.first("n").alias("n"), F.count("*").alias("times"), F.min("i").alias("at"), F.max((~plain).cast("int")).alias("deep"))
+    per = counted.groupBy("id", "key").agg(F.first("n").alias("n"), F.sum("times").alias("held"), F.count("*").alias("d"), F.max("deep").alias("deep"), F.min("json").alias("json"))
+    per = per.join(first, ["id", "key"]).where("deep = 0")
+    constant = (F.col("d") == 1) & (F.col("held") == F.col("n"))
+    absent = (F.col("held") < F.col("n")).cast("int")
+    few = per.where(~constant).withColumn("d", F.col("d") + absent).where("d > 1 AND d < 0.5 * n")
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("d", "place"))).where(F.col("k") <= SHOWN_KEYS)
+    some = counted.select("id", "key", "value", "times", "at").join(few.select("id", "key", "k"), ["id", "key"])
+    some = some.unionByName(few.where("held < n").select("id", "key", F.lit("undefined").alias("value"), (F.col("n") - F.col("held")).alias("times"), F.col("n").alias("at"), "k"))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.col("times").desc(), "at"))).where(F.col("r") <= SHOWN_VALUES)
+    joined = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"]), ", ")
+    line = lambda df, section, place, text: df.select("id", F.lit(section).alias("section"), place.cast("int").alias("place"), text.alias("line"))
+
+    schema = records.where("i = 0").groupBy("id").agg(F.first("n").alias("n"), joined("pos", F.concat_ws(": ", "key", "kind")).alias("s"))
+    same = per.where(constant).groupBy("id").agg(joined("place", F.concat_ws(": ", "key", "json")).alias("s"))
+    spread_ = some.groupBy("id", "key", "k").agg(joined("r", F.format_string('"%s"×%d', "value", "times")).alias("s"))
+    odd = keep(_anomalies(records), "json-anomalies")
+    rest = records.select("id", "i").distinct().join(odd.select("id", "i"), ["id", "i"], "left_anti").groupBy("id").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    ends = rest.select("id", F.explode(F.array_distinct(F.array(F.struct(F.col("a").alias("i")), F.struct(F.col("b").alias("i"))))).alias("e"), "a").select("id", "e.i", (F.col("e.i") == F.col("a")).alias("head"))
+    wanted = odd.select("id", "i").unionByName(ends.select("id", "i"))
+    cut = F.when((F.col("kind") == "string") & (F.length("value") > LONG_VALUE), F.concat(F.lit('"'), F.substring("value", 1, LONG_VALUE - 3), F.lit('..."'))).otherwise(F.col("json"))
+    shown = records.join(wanted, ["id", "i"], "left_semi").groupBy("id", "i").agg(joined("pos", F.concat_ws(": ", F.col("key"), cut)).alias("s"))
+    bad, rows_ = odd.join(shown, ["id", "i"]), ends.join(shown, ["id", "i"])
+    lines = [
+        line(schema, 0, F.lit(0), F.format_string("array[%d] of { %s }", "n", "s")),
+        line(same, 1, F.lit(0), F.format_string("  constants: { %s }", "s")),
+        line(spread_, 2, F.col("k"), F.format_string("  distribution: { %s: %s }", "key", "s")),
+        line(odd.select("id").distinct(), 3, F.lit(0), F.lit("  anomalies:")),
+        line(bad, 3, F.col("r"), F.format_string("    row[%d]: { %s }\n      reason: %s", "i", "s", "reason")),
+        line(rows_, 4, (~F.col("head")).cast("int"), F.concat(F.when(F.col("head"), "  head[").otherwise("  tail["), F.col("i"), F.lit("]: { "), F.col("s"), F.lit(" }"))),
+    ]
+    body = reduce(DataFrame.unionByName, lines).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "place", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    named = body.join(records.where("i = 0 AND pos = 0").select("id", "field"), "id").join(rows.select("id", "text"), "id")
+    others = F.filter(F.map_entries(F.from_json("text", "map<string,string>")), lambda e: e["key"] != F.col("field"))
+    around = F.transform(others, lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), F.coalesce(json_schema(e["value"]), F.lit("STRING"))))
+    whole = F.array_join(F.concat(F.array(F.lit("object {")), around, F.array(F.concat(F.lit("  "), F.col("field"), F.lit(": "), F.col("body")), F.lit("}"))), "\n")
+    return named.select("id", F.when(F.col("field") == "", F.col("body")).otherwise(whole).alias("text"))

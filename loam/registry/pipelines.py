@@ -313,6 +313,13 @@ def cmp5_record_summary(t):
     return out.join(part(errors, "errors"), "id", "left").join(part(far, "outliers"), "id", "left").join(part(kept, "sampled"), "id", "left")
 
 
+@query()
+def cmp5_json_summary(t):
+    record = F.struct("event_id", F.col("event_type").alias("status"), F.col("value"), (F.col("user_id") % 3).alias("tier"))
+    texts = t.events.groupBy(F.col("user_id").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(record))).alias("text"))
+    return content.summarize_json(texts)
+
+
 @query()
 def min6_sentence_picks(t):
     s = T.sentences(F.col("y"))

@@ -342,3 +342,34 @@ def test_policy_grid(spark):
     least = {r.policy: (r.least, r.weight) for r in grid.collect()}
     assert {p for p, r in got.items() if r.evidence_recall == 0.5} == {p for p, (a, w) in least.items() if 0.15 + w - 0.012 >= a}
     assert [p for p, r in got.items() if r.best] == [min(p for p, r in got.items() if r.value == max(x.value for x in got.values()))]
+
+
+def test_json_summary(spark):
+    import json
+
+    from loam.operators import content
+
+    records = [{"id": i, "region": "eu", "tier": "gold" if i % 3 else "free", "ms": 10, "status": "ok"} for i in range(12)]
+    records[4]["status"], records[7]["ms"], records[9]["last_error"] = "timeout", 900, "disk full"
+    body = json.dumps(records)
+    held = json.dumps({"page": 1, "few": records[:3], "items": records, "note": "x"})
+    rows = spark.createDataFrame([(1, body), (2, held), (3, "[1, 2, 3]"), (4, "no json"), (5, None), (6, "[]"), (7, '[{"a": 1}, {"b": 1}, {"c": 1}]')], "id long, text string")
+    got = {r.id: r.text for r in content.summarize_json(rows).collect()}
+    assert set(got) == {1, 2}
+    assert got[1].split("\n") == [
+        "array[12] of { id: number, region: string, tier: string, ms: number, status: string }",
+        '  constants: { region: "eu" }',
+        '  distribution: { tier: "gold"×8, "free"×4 }',
+        '  distribution: { ms: "10"×11, "900"×1 }',
+        '  distribution: { status: "ok"×11, "timeout"×1 }',
+        "  anomalies:",
+        '    row[4]: { id: 4, region: "eu", tier: "gold", ms: 10, status: "timeout" }',
+        "      reason: status=timeout",
+        '    row[9]: { id: 9, region: "eu", tier: "free", ms: 10, status: "ok", last_error: "disk full" }',
+        "      reason: last_error is non-empty: disk full",
+        '    row[7]: { id: 7, region: "eu", tier: "gold", ms: 900, status: "ok" }',
+        "      reason: ms=900 is outlier (mean=84.2, σ=246.0)",
+        '  head[0]: { id: 0, region: "eu", tier: "free", ms: 10, status: "ok" }',
+        '  tail[11]: { id: 11, region: "eu", tier: "gold", ms: 10, status: "ok" }',
+    ]
+    assert got[2].startswith("object {\n  page: BIGINT\n") and "\n  items: array[12] of {" in got[2] and got[2].endswith("\n}")
