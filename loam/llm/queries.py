@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.llm import chat, decontam, jaccard, langid, mixing, pii, quality, repeats, secrets, topk, urlfilter
+from loam.functions.binding import let
+from loam.llm import chat, decontam, jaccard, langid, mixing, periods, pii, quality, repeats, secrets, topk, urlfilter
+from loam.plans.materialize import spread
 from loam.sources.tables import table
 
 
@@ -96,6 +98,35 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
 
 
+def _cycled(text: Column, doc_id: Column) -> Column:
+    """The contract's planted texts: of every tenth document by checksum the words from a on repeat with period p."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(words, " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, let(quality.words_of(text), repeated)).otherwise(text)
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.periodic_runs(docs.select("doc_id", _cycled(F.col("text"), F.col("doc_id")).alias("text")))
+    best = periods.longest(F.col("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(periods.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
@@ -108,6 +139,7 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_jaccard": op10_jaccard,
     "op11_topk": op11_topk,
+    "op12_periods": op12_periods,
 }
 
 ORACLE = {

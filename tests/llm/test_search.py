@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loam.llm import topk
+from loam.llm import periods, queries, topk
 from test_llm import clashing
 
 VECTORS = "vec_id long, embedding array<double>"
@@ -76,3 +76,101 @@ def test_top_k_bounds_prune():
     i, j = topk.survivors(r, r, floor, np.ones((300, 300), dtype=bool))
     assert {*zip(*np.nonzero(products >= floor[:, None]), strict=True)} <= {*zip(i, j, strict=True)}
     assert len(i) < 0.05 * 300 * 300
+
+
+def brute_runs(words):
+    """Every maximal stretch of every period, those of a smaller period of the same stretch taken out."""
+    n, by = len(words), {}
+    for q in range(1, n // 2 + 1):
+        i = q
+        while i < n:
+            if words[i] != words[i - q]:
+                i += 1
+                continue
+            b = i
+            while i < n and words[i] == words[i - q]:
+                i += 1
+            if i - b >= q and i - b + q >= 12:
+                by.setdefault((b - q, i), q)
+    return sorted(((s, e - s, q) for (s, e), q in by.items()), key=lambda r: (r[0], r[2]))
+
+
+def period_words(rng):
+    """Texts of few words, of nested periods, of common lines with a number before each, and of prose with a repeated passage."""
+    kind = rng.randrange(5)
+    if kind == 0:
+        return rng.choices("ab", k=rng.randrange(0, 120))
+    if kind == 1:
+        unit = rng.choices("abc", k=rng.randrange(1, 20))
+        return rng.choices("abcd", k=rng.randrange(9)) + unit * rng.randrange(1, 9) + unit[: rng.randrange(len(unit))] + rng.choices("abcd", k=rng.randrange(9))
+    if kind == 2:
+        inner = (["a"] * rng.randrange(1, 14) + ["b"]) * rng.randrange(1, 5) + ["c"]
+        return inner * rng.randrange(1, 6)
+    if kind == 3:
+        line = [f"l{k}" for k in range(rng.randrange(3, 9))]
+        return [w for k in range(rng.randrange(2, 12)) for w in (f"n{rng.randrange(3)}", *line)]
+    words = [f"w{rng.randrange(40)}" for _ in range(150)]
+    a = rng.randrange(100)
+    return words[:a] + words[a : a + 20] * rng.randrange(1, 4) + words[a + 20 :]
+
+
+def test_periods_brute_force():
+    rng = random.Random(5)
+    for _ in range(150):
+        many = [period_words(rng) for _ in range(rng.randrange(1, 8))]
+        runs, collapsed = periods._texts([" ".join(w).encode() for w in many])
+        for words, got, text in zip(many, runs, collapsed, strict=True):
+            want = brute_runs(words)
+            assert got == want, (words, got, want)
+            gone = {i for s, n, q in want for i in range(s + q, s + n)}
+            assert text.decode().split() == [w for i, w in enumerate(words) if i not in gone]
+
+
+def test_periods_stay_sparse():
+    """One word, a line behind ever new numbers, and nested periods: openings and diagonals don't grow with the square."""
+    for words in (["a"] * 60_000, [w for k in range(6000) for w in (f"n{k}", *"abcdefghi")], (["a"] * 50 + ["b"]) * 1200):
+        _, numbers = np.unique(words, return_inverse=True)
+        place, _ = periods.openings(numbers)
+        assert len(place) < 20 * len(words)
+        assert len(periods._texts([" ".join(words).encode()])[0][0]) in (0, 1, 1201)
+
+
+def test_periods_edges(spark):
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "word " * 20_000), (4, "word " * 20_000), (None, "a b c d e f " * 2), (6, "é\u00a0x \x0b" * 12), (7, "a b c d e " * 2)]
+    for some in (rows, []):
+        docs = clashing(spark.createDataFrame(some, "doc_id long, text string")).withColumn("runs", F.lit(1)).withColumn("Collapsed", F.lit("x"))
+        out = periods.periodic_runs(docs)
+        assert set(out.columns) == {c for c in docs.columns if c not in ("runs", "Collapsed")} | {"runs_input", "Collapsed_input", "runs", "collapsed"}
+        got = sorted(((r.doc_id or 0, [tuple(x) for x in r.runs], r.collapsed) for r in out.collect()), key=repr)
+        long = (4, [(0, 20_000, 1)], "word")
+        assert got == ([] if not some else sorted([(1, [], ""), (2, [], ""), (3, [], ""), long, long, (0, [(0, 12, 6)], "a b c d e f"), (6, [(0, 12, 1)], "é\u00a0x"), (7, [], "a b c d e a b c d e")], key=repr))
+
+
+def test_periods_query(spark):
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    rows = {r["doc_id"]: r["text"] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    planted = 0
+    got = queries.QUERIES["op12_periods"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words = re.findall(r"[^\x20\x09-\x0D]+", rows[r.doc_id] or "")
+        h, n = zlib.crc32(str(r.doc_id).encode()), len(words)
+        g = h // 10
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+            planted += 1
+        want = brute_runs(words) if n < 4000 else None
+        if want is None:
+            continue
+        gone = {i for s, m, q in want for i in range(s + q, s + m)}
+        best = min(want, key=lambda x: (-x[1], x[0], x[2]), default=(None,) * 3)
+        assert (r.n_runs, r.start, r.length, r.period) == (len(want), *best)
+        assert r.exponent_milli == (1000 * best[1] // best[2] if want else None)
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{m},{q}\n" for s, m, q in want).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest()
+    assert planted > 5
