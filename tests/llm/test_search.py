@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loam.llm import periods, queries, topk
+from loam.llm import periods, queries, ranked, topk
 from test_llm import clashing
 
 VECTORS = "vec_id long, embedding array<double>"
@@ -174,3 +174,64 @@ def test_periods_query(spark):
         assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{m},{q}\n" for s, m, q in want).encode()).hexdigest()
         assert r.collapsed_sha256 == hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest()
     assert planted > 5
+
+
+def brute_search(items, docs, k):
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    have = [(i, Counter(find(t))) for i, t in docs if find(t)]
+    n_docs, n_terms = len(have), sum(sum(c.values()) for _, c in have)
+    df = Counter(t for _, c in have for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c in have:
+            m = 10 + 90 * sum(c.values()) * n_docs // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in set(find(text)) if t in c)
+            if s > 0:
+                scores.append((-s, i is None, i or 0))
+        out += [(item, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=repr)
+
+
+def searched(spark, items, docs, k, **given):
+    item_df = clashing(spark.createDataFrame(items, "item_id long, text string"))
+    df = ranked.ranked_search(item_df, clashing(spark.createDataFrame(docs, "doc_id long, text string")), k, **given)
+    assert df.dtypes == [("item_id", "bigint"), ("rank", "int"), ("doc_id", "bigint"), ("score", "bigint")]
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("short", [1, 16, 10**9])
+def test_search_brute_force(spark, monkeypatch, short):
+    monkeypatch.setattr(ranked, "SEGMENT_BYTES", 4000)
+    monkeypatch.setattr(ranked, "SHORT_SHARE", short)
+    monkeypatch.setattr(ranked, "BLOCK_DOCS", 4)
+    rng = random.Random(short)
+    vocabulary = [f"{'Tß'[k % 2]}{k}" for k in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+    docs = [(i, "-".join(rng.choices(vocabulary, weights, k=rng.choice([3, 40, 200])))) for i in range(300)]
+    docs += [(1000 + i, docs[7][1]) for i in range(150)]  # a third of all rows are copies
+    items = [(i, " ".join(rng.choices(vocabulary, k=12)) + " common T0 t2") for i in range(12)] + [(99, docs[7][1])]
+    assert searched(spark, items, docs, 10) == brute_search(items, docs, 10)
+
+
+def test_search_edges(spark):
+    docs = [(1, None), (2, ""), (3, " -- "), (4, "Alpha beta"), (4, "alpha BETA"), (None, "alpha"), (5, "gamma " * 20_000), (6, "ÀLPHA alpha_beta")]
+    items = [(1, "alpha beta"), (1, "gamma"), (2, None), (3, "nowhere"), (4, "\u00c0lpha"), (5, "!"), (None, "beta")]
+    assert searched(spark, items, docs, 3) == brute_search(items, docs, 3)
+    assert searched(spark, [], docs, 3) == [] and searched(spark, items, [], 3) == []
+    assert searched(spark, items, docs[:3], 3) == []
+    one = [(7, "only one document")]
+    assert searched(spark, [(1, "document")], one, 3) == brute_search([(1, "document")], one, 3)
+
+
+def test_search_skips_blocks():
+    """Blocks that can't reach the k-th best score are not looked into; an index can be searched again."""
+    rng = random.Random(2)
+    own = ranked.Writer()
+    for i in range(3000):
+        own.add(i, f"common {'rare' if i < 12 else ''} {rng.randrange(10**6)}".encode())
+    n_terms = sum(own.sizes)
+    segment = ranked.Segment(own.row().to_pylist()[0], {b"common": 0, b"rare": 1}, 3000, n_terms)
+    hits = ranked.Hits(10)
+    assert ranked.evaluate(segment, [(0, 1), (1, 5000)], hits) == 1
+    assert hits.ids.tolist() == list(range(10))
