@@ -107,6 +107,16 @@ def _context_terms(text: Column, span: Column) -> Column:
     return F.array_distinct(F.filter(runs, lambda w: F.length(w) >= 3))
 
 
+def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, n_t: how many documents hold each of the terms (distinct).
+
+    Counted before the join: tasks combine their own counts, and the join makes a row a term. It is an inner
+    join, because the optimizer would move a semi join below the count, where it meets every word.
+    """
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_LETTER))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+
+
 def revealing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
     """entity, term, share (of the entity's information), from all documents.
 
@@ -119,9 +129,7 @@ def revealing_terms(docs: DataFrame, held: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("doc_id", "th").alias("n_et"), F.countDistinct("ctx").alias("contexts"))
     pairs = keep(pairs.where(F.col("contexts") >= SUPPORT), "pii-pairs")
     terms = small_side(keep(pairs.select("term").distinct(), "pii-terms"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_LETTER))).alias("term"))
-    # counted before the join: tasks combine their own counts, and the join makes a row a term
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
+    n_t = term_counts(docs, terms)
     n = docs.agg(F.count("*").alias("n"))
     scored = pairs.join(n_t, "term").join(n_e, "entity").crossJoin(F.broadcast(n))  # n is a single row
     ic = F.log2(F.col("n") / F.col("n_e"))

@@ -348,6 +348,15 @@ def test_pii_terms_brute_force(spark):
         assert {(s.start, s.stop) for s in r.pii.terms} == want, r
 
 
+def test_pii_terms_are_counted_before_the_join(spark):
+    docs = spark.createDataFrame([(i, "some words here") for i in range(50)], "doc_id long, text string")
+    for terms in (F.broadcast(spark.createDataFrame([("some",)], "term string")), spark.createDataFrame([("some",)], "term string").hint("merge")):
+        counted = pii.term_counts(docs, terms)
+        assert [tuple(r) for r in counted.collect()] == [("some", 50)]
+        plan = counted._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join") < plan.index("Aggregate") < plan.index("Generate")
+
+
 def test_sanitise_leaves_nothing_of_overlapping_spans(spark):
     rows = [(1, "call +49 30 1234 5678 9bob@x.com now"), (2, "4111 1111 1111 1111@x.com"), (3, "+1 4111 1111 1111 1111 4111@y.org 1.2.3.4@z.net end")]
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
