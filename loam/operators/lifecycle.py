@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.scoring import half_up
+from loam.operators import folds
+from loam.plans import ordered
 
 GAIN, LOSS, KEEP, STEP = 0.2, -0.15, 0.85, 0.15
 
@@ -44,14 +46,14 @@ def stale_report(reasons: DataFrame) -> DataFrame:
 
 
 def feedback_fold(events: DataFrame, key: str, order: list[str], good: Column) -> DataFrame:
-    """Running feedback score of each key: a step of 15 % towards +0.2 or -0.15 per event in order, within [-1, 1], 3 decimals each."""
-    folded = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, good.alias("_g")))).alias("es"))
-
-    def step(s: Column, e: Column) -> Column:
-        x = s * KEEP + F.when(e["_g"], F.lit(GAIN)).otherwise(F.lit(LOSS)) * STEP
-        return half_up(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)), 3)
-
-    return folded.select(key, F.aggregate("es", F.lit(0.0), step).alias("score"), F.size("es").cast("long").alias("n"))
+    """Running feedback score of each key: a step of 15 % towards +0.2 or -0.15 per event in order, within [-1, 1], 3 decimals each.
+
+    A key's events are folded in runs that are joined afterwards, so no key is gathered.
+    """
+    machine = folds.feedback_table(GAIN, LOSS, KEEP, STEP)
+    out = ordered.fold(events, key, order, {"_good": F.coalesce(good, F.lit(False))}, machine)
+    score = F.pandas_udf(lambda states: states.map(lambda s: (machine.number(bytes(s)) - 1000) / 1000), "double")
+    return out.select(key, score("state").alias("score"), "n")
 
 
 def decay(score: Column, idle_days: Column, after: int = 7, days: float = 30.0) -> Column:

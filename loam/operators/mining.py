@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import detect
 from loam.functions import text as T
+from loam.operators import folds
+from loam.plans import ordered
 
 
 def failures(lines: DataFrame) -> DataFrame:
@@ -39,22 +40,14 @@ def recovery_candidates(calls: DataFrame, ahead: int = 8) -> DataFrame:
     return a.withColumn("recovered", F.col("failed") + F.col("d")).join(b, ["session", "recovered"]).select("session", "failed", "recovered")
 
 
-def recovery_pairs(candidates: DataFrame) -> DataFrame:
-    """One-to-one pairs: failures in order take the first success not taken yet.
+def recovery_pairs(calls: DataFrame, order: list[str], ahead: int = 8) -> DataFrame:
+    """session, failed, recovered: numbers of the calls (session, order columns, success) of one-to-one pairs.
 
-    The choice depends on all choices before it, so each session is folded by itself in Arrow batches.
+    Failures in order take the first success within ``ahead`` calls that is not taken yet: what a machine over the calls tells that
+    knows which of the last ones wait. A session's calls are walked in runs, so a long one is spread over tasks.
     """
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for failed, group in pdf.sort_values(["failed", "recovered"]).groupby("failed", sort=True):
-            free = next((r for r in group["recovered"] if r not in taken), None)
-            if free is not None:
-                taken.add(free)
-                out.append((pdf["session"].iloc[0], failed, free))
-        return pd.DataFrame(out, columns=["session", "failed", "recovered"])
-
-    return candidates.groupBy("session").applyInPandas(assign, candidates.select("session", "failed", "recovered").schema)
+    told = ordered.scan(calls, "session", order, {"_ok": F.col("success")}, folds.pairing_table(ahead))
+    return told.where("told > 0").select("session", (F.col("place") - F.col("told")).alias("failed"), F.col("place").alias("recovered"))
 
 
 # Tool names by category.

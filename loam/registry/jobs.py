@@ -431,9 +431,15 @@ def calls(t):
     return t.events.select(F.col("user_id").alias("session"), F.row_number().over(w).cast("long").alias("at"), (F.col("event_type") != "error").alias("success"))
 
 
-@query()
+# The pairing as one recursion over a session's calls: a list of the failures that wait.
+@query("""WITH RECURSIVE c AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_type <> 'error' AS ok FROM events),
+f AS (SELECT session, 0::BIGINT AS i, []::BIGINT[] AS waits, NULL::BIGINT AS failed FROM (SELECT DISTINCT session FROM c)
+UNION ALL SELECT c.session, c.i, CASE WHEN ok THEN w[2:] ELSE list_append(w, c.i) END, CASE WHEN ok THEN w[1] END
+FROM (SELECT session, i, list_filter(waits, lambda x: x >= i - 7) AS w FROM f) f JOIN c ON c.session = f.session AND c.i = f.i + 1)
+SELECT session, failed, i AS recovered FROM f WHERE failed IS NOT NULL""")
 def min3_recovery_pairs(t):
-    return mining.recovery_pairs(mining.recovery_candidates(calls(t)))
+    rows = t.events.select(F.col("user_id").alias("session"), "ts", "event_id", (F.col("event_type") != "error").alias("success"))
+    return mining.recovery_pairs(rows, ["ts", "event_id"])
 
 
 @query(f"""{P}, f AS (SELECT doc_id, unnest({FAIL_SQL}) AS type, x FROM p) SELECT type, left(x, 100) AS line, min(doc_id) AS at FROM f GROUP BY ALL""")

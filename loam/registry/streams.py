@@ -29,7 +29,11 @@ def stm3_quiet_batches(t):
     return jobs.quiet_batches(events(t)).select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 21600000000 AS level, NULL::BIGINT AS us, false AS allowed FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT user_id, i, event_id, CASE WHEN full_ >= 7200000000 THEN full_ - 7200000000 ELSE full_ END, us, full_ >= 7200000000
+FROM (SELECT e.user_id, e.i, e.event_id, e.us, least(21600000000, f.level + coalesce(e.us - f.us, 0)) AS full_ FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT event_id, user_id, allowed, CASE WHEN allowed THEN level // 7200000000 ELSE 0 END AS remaining, CASE WHEN allowed THEN 0 ELSE 7200000000 - level END AS retry_after_us FROM f WHERE i > 0""")
 def stm5_bursts(t):
     return jobs.bursts_batch(events(t))
 

@@ -6,14 +6,19 @@ caller chooses source, sink and trigger. State is keyed and bounded by watermark
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from loam.functions import text as T
+from loam.operators import folds, lifecycle
+from loam.plans import ordered
+from loam.plans.bucketed import Bucketed
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -62,100 +67,150 @@ def latest_states(events: DataFrame) -> DataFrame:
 GOOD = ("purchase", "signup", "view")
 
 
-def _score(s: float, good: bool) -> float:
-    import math
+def _keyed(rows: DataFrame, key: str, processor: StatefulProcessor, out: str, mode: str, late: str) -> DataFrame:
+    """Rows (with ``ts``) through a processor with event-time timers, whose state lives in RocksDB beside the executors."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    grouped = rows.withWatermark("ts", late).groupBy(key)
+    return grouped.transformWithStateInPandas(processor, out, mode, "EventTime")
 
-    return math.floor(max(-1.0, min(1.0, s * 0.85 + (0.2 if good else -0.15) * 0.15)) * 1000 + 0.5) / 1000
 
+def _micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy(dtype="datetime64[us]").astype(np.int64)
 
-def running_feedback(events: DataFrame) -> DataFrame:
-    """user_id, score, n after each batch: the feedback fold as keyed state (score, n).
+
+class _Timed(StatefulProcessor):
+    """Keeps one value a key, and drops it when event time has passed ``stays`` microseconds beyond the key's last row."""
+
+    fields: str
+
+    def __init__(self, stays: int):
+        self.stays = stays
+
+    def init(self, handle) -> None:
+        self.handle, self.value = handle, handle.getValueState("value", self.fields)
+
+    def put(self, value: tuple, last: int) -> None:
+        self.value.update(value)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-(last + self.stays) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.value.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class _Feedback(_Timed):
+    fields = "state int, n long"
+
+    def __init__(self, stays: int):
+        super().__init__(stays)
+        self.machine = folds.feedback_table(lifecycle.GAIN, lifecycle.LOSS, lifecycle.KEEP, lifecycle.STEP)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, n = tuple(self.value.get()) if self.value.exists() else (self.machine.start, 0)
+        own = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        good = own["event_type"].isin(GOOD).to_numpy().astype(np.int64)
+        after = self.machine.number(self.machine.enter(int(state).to_bytes(4, "little"), self.machine.run(good)))
+        self.put((after, n + len(own)), int(_micros(own["ts"])[-1]))
+        yield pd.DataFrame({"user_id": [key[0]], "score": [(after - 1000) / 1000], "n": [n + len(own)]})
+
+
+def running_feedback(events: DataFrame, late: str = "1 hour", idle_days: int = 365) -> DataFrame:
+    """user_id, score, n after each batch: the feedback fold as keyed state, dropped when a key is idle for ``idle_days``.
 
     Within a batch events are folded by (ts, event_id); a batch must not hold events older than the last.
     """
+    rows = events.select("user_id", "ts", "event_id", "event_type")
+    return _keyed(rows, "user_id", _Feedback(idle_days * 86_400_000_000), "user_id long, score double, n long", "Update", late)
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        score, n = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            score, n = _score(score, kind in GOOD), n + 1
-        state.update((score, n))
-        yield pd.DataFrame([(key[0], score, n)], columns=["user_id", "score", "n"])
 
-    keyed = events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
-    return keyed.applyInPandasWithState(fold, "user_id long, score double, n long", "score double, n long", "update", GroupStateTimeout.NoTimeout)
+class _Bursts(_Timed):
+    fields = "level long, last long"
 
+    def __init__(self, machine: folds.Bucket):
+        super().__init__(machine.capacity)  # by then the bucket is full again: the state says nothing
+        self.machine = machine
 
-def _drain(level: float, last: float | None, now: float, capacity: float, rate: float) -> tuple[float, bool]:
-    level = capacity if last is None else min(capacity, level + (now - last) * rate)
-    return (level - 1, True) if level >= 1 else (level, False)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = json.dumps([int(x) for x in self.value.get()]).encode() if self.value.exists() else None
+        own = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        times = _micros(own["ts"])
+        told = self.machine.walk(state, times)
+        level, last = json.loads(self.machine.enter(state, self.machine.run(times)))
+        self.put((level, last), last)
+        yield own[["event_id"]].reset_index(drop=True).assign(user_id=key[0], **told)
 
 
-def bursts(events: DataFrame, capacity: float = 3.0, per_second: float = 1 / 7200) -> DataFrame:
-    """event_id, user_id, allowed: token bucket per key over event time; state is (level, last)."""
+def _bucket(capacity: int, refill_us: int) -> folds.Bucket:
+    return folds.Bucket(capacity * refill_us, refill_us)
 
-    def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, last = state.get if state.exists else (capacity, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, ts in zip(rows["event_id"], rows["ts"], strict=True):
-            now = ts.timestamp()
-            level, ok = _drain(level, last, now, capacity, per_second)
-            last = now
-            out.append((event_id, key[0], ok))
-        state.update((level, last))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "allowed"])
 
-    keyed = events.select("user_id", "ts", "event_id").groupBy("user_id")
-    return keyed.applyInPandasWithState(check, "event_id long, user_id long, allowed boolean", "level double, last double", "append", GroupStateTimeout.NoTimeout)
+CAPACITY, REFILL_US = 3, 7_200_000_000
 
 
-def bursts_batch(events: DataFrame, capacity: float = 3.0, per_second: float = 1 / 7200) -> DataFrame:
-    """Batch twin of ``bursts``: the same fold inside Spark's ordered aggregation."""
-    rows = events.select("user_id", F.struct(F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id").alias("e")).groupBy("user_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    zero = F.struct(F.lit(capacity).alias("level"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<event_id:bigint,allowed:boolean>>").alias("out"))
+def bursts(events: DataFrame, capacity: int = CAPACITY, refill_us: int = REFILL_US, late: str = "1 hour") -> DataFrame:
+    """event_id, user_id, allowed, remaining, retry_after_us: token bucket per key over event time, a token each ``refill_us``.
+
+    A key's state falls when its bucket would be full again.
+    """
+    return _keyed(events.select("user_id", "ts", "event_id"), "user_id", _Bursts(_bucket(capacity, refill_us)), f"event_id long, user_id long, {folds.Bucket.outputs}", "Append", late)
 
-    def step(a, e):
-        level = F.when(a["last"].isNull(), F.lit(capacity)).otherwise(F.least(F.lit(capacity), a["level"] + (e["t"] - a["last"]) * per_second))
-        ok = level >= 1
-        entry = F.struct(e["event_id"].alias("event_id"), ok.alias("allowed"))
-        return F.struct(F.when(ok, level - 1).otherwise(level).alias("level"), e["t"].alias("last"), F.concat(a["out"], F.array(entry)).alias("out"))
 
-    return rows.select("user_id", F.inline(F.aggregate("es", zero, step)["out"]))
+def bursts_batch(events: DataFrame, capacity: int = CAPACITY, refill_us: int = REFILL_US) -> DataFrame:
+    """Batch twin of ``bursts``: the same machine over runs of a key's events."""
+    out = ordered.scan(events, "user_id", ["ts", "event_id"], {"_us": F.unix_micros("ts")}, _bucket(capacity, refill_us))
+    return out.select("event_id", "user_id", "allowed", "remaining", "retry_after_us")
 
 
-def idle_expiry(refs: DataFrame, idle: int = 3) -> DataFrame:
-    """session, id, last, idle of streamed references (session, id, turn): keyed state of a session's last turns."""
+class _Idle(_Timed):
+    fields = "ids array<string>, turns array<long>"
 
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, turns = (list(x) for x in state.get) if state.exists else ([], [])
-        last = dict(zip(ids, turns, strict=True))
-        for pdf in batches:
+    def __init__(self, idle: int, stays: int):
+        super().__init__(stays)
+        self.idle = idle
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        ids, turns = (list(x) for x in self.value.get()) if self.value.exists() else ([], [])
+        last, end = dict(zip(ids, turns, strict=True)), 0
+        for pdf in rows:
+            end = max(end, int(_micros(pdf["ts"]).max()))
             for i, turn in pdf.groupby("id")["turn"].max().items():
-                last[i] = max(turn, last.get(i, turn))
+                last[i] = max(int(turn), last.get(i, int(turn)))
         now = max(last.values())
-        state.update((list(last), list(last.values())))
-        out = [(key[0], i, t, now - t) for i, t in last.items() if now - t >= idle]
-        yield pd.DataFrame(out, columns=["session", "id", "last", "idle"])
+        # what is idle is told once and forgotten; a later reference makes it new
+        gone = {i: t for i, t in last.items() if now - t >= self.idle}
+        stays = {i: t for i, t in last.items() if i not in gone}
+        self.put((list(stays), list(stays.values())), end)
+        yield pd.DataFrame([(key[0], i, t, now - t) for i, t in gone.items()], columns=["session", "id", "last", "idle"])
+
 
-    keyed = refs.groupBy("session")
-    return keyed.applyInPandasWithState(watch, "session long, id string, last long, idle long", "ids array<string>, turns array<long>", "update", GroupStateTimeout.NoTimeout)
+def idle_expiry(refs: DataFrame, idle: int = 3, late: str = "1 hour", closed_days: int = 7) -> DataFrame:
+    """session, id, last, idle of streamed references (session, id, turn, ts): each detail when no reference came for ``idle`` turns.
+
+    A session without references for ``closed_days`` is closed and its state dropped.
+    """
+    rows = refs.select("session", "id", "turn", "ts")
+    return _keyed(rows, "session", _Idle(idle, closed_days * 86_400_000_000), "session long, id string, last long, idle long", "Append", late)
 
 
-def upsert_sink(path: str, keys: list[str]):
-    """foreachBatch function that folds each batch into a parquet table, one row a key, in a new version folder.
+def upsert_sink(path: str, keys: list[str], buckets: int = 16):
+    """foreachBatch function that folds each batch into a bucketed table, one row a key.
 
-    A version is complete when written; a replayed batch writes the same version again.
+    Only the buckets that hold keys of the batch are rewritten; a replayed batch changes nothing; versions that no
+    later one needs are removed.
     """
     from loam.operators.records import upsert
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if epoch > 0:
-            stored = spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}")
-            batch = upsert(stored, batch, keys)
-        else:
-            batch = upsert(batch.limit(0), batch, keys)
-        batch.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        try:
+            stored = Bucketed(batch.sparkSession, path)
+        except FileNotFoundError:
+            stored = Bucketed.create(batch.limit(0), path, keys, buckets)
+        stored.upsert(batch, lambda old, new: upsert(old, new, keys), epoch)
+        stored.vacuum()
 
     return sink

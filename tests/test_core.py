@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loam import queries
 from loam.functions import detect, scoring
 from loam.functions import text as T
-from loam.operators import content, dedup, governance, graph, mining, packing, records, search
+from loam.operators import content, dedup, governance, graph, index, mining, packing, records, search
+from loam.plans import ordered
+from loam.plans.bucketed import Bucketed
 from loam.plans.components import components
 from loam.sources import code, transcripts
 from loam.streaming import jobs
@@ -89,7 +92,7 @@ def test_tool_calls_and_messages(spark):
 
 def test_recovery(spark):
     calls = spark.createDataFrame([("s", 1, False), ("s", 2, False), ("s", 3, True), ("s", 4, True), ("s", 20, False)], "session string, at int, success boolean")
-    pairs = mining.recovery_pairs(mining.recovery_candidates(calls)).collect()
+    pairs = mining.recovery_pairs(calls, ["at"]).collect()
     assert sorted((r.failed, r.recovered) for r in pairs) == [(1, 3), (2, 4)]
     rows = [("file_read", "a/x.py", None, "file_read", "b/x.py"), ("command", "foo run", "command not found", "command", "npm install foo"), ("search", "ab", None, "search", "a"), ("command", "npm t a", None, "command", "npm t b")]
     got = mining.recovery_pattern(spark.createDataFrame(rows, "category string, arg string, error string, category2 string, arg2 string")).collect()
@@ -212,8 +215,12 @@ def replay(spark, tmp_path_factory):
     return rows.where("event_id < 1000"), folder
 
 
+QUERIES = []
+
+
 def drain(frame, mode, name, tmp_path):
     q = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    QUERIES.append(q)
     q.awaitTermination(120)
     return frame.sparkSession.table(name)
 
@@ -231,6 +238,10 @@ def test_stream_first_events(spark, replay, tmp_path):
     assert out.count() == out.select("hash").distinct().count()
 
 
+def rows_of_state(spark, name):
+    return [q for q in QUERIES if q.name == name][-1].lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
 def test_stream_feedback(spark, replay, tmp_path):
     from loam.operators.lifecycle import feedback_fold
 
@@ -239,40 +250,174 @@ def test_stream_feedback(spark, replay, tmp_path):
     last = {r.user_id: r for r in out.orderBy("n").collect()}
     twin = {r.user_id: r for r in feedback_fold(rows, "user_id", ["ts", "event_id"], F.col("event_type").isin(*jobs.GOOD)).collect()}
     assert {k: (r.score, r.n) for k, r in last.items()} == {k: (r.score, r.n) for k, r in twin.items()}
+    assert rows_of_state(spark, "feedback") >= len(twin)
 
 
 def test_stream_bursts(spark, replay, tmp_path):
     rows, folder = replay
     out = drain(jobs.bursts(jobs.read_events(spark, folder)), "append", "bursts", tmp_path)
-    got = {r.event_id: r.allowed for r in out.collect()}
-    assert got == {r.event_id: r.allowed for r in jobs.bursts_batch(rows).collect()} and False in got.values()
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted(tuple(r) for r in jobs.bursts_batch(rows).collect())
+    assert {x[2] for x in got} == {True, False} and all((x[4] > 0) != x[2] for x in got)
+
+
+def test_stream_state_falls_when_its_timer_expires(spark, tmp_path):
+    """A bucket that is full again, and a key that is idle, leave no state; a later event begins anew."""
+    from datetime import datetime, timedelta
 
+    begin, folder = datetime(2024, 1, 1), str(tmp_path / "in")
+    files = [[(1, 0, 1), (2, 1, 1), (3, 2, 1), (4, 3, 1)], [(5, 60 * 24, 2)], [(6, 60 * 48, 2)], [(7, 60 * 49, 1), (8, 60 * 49, 3)]]
+    for k, rows in enumerate(files):
+        data = [(i, begin + timedelta(minutes=m), u, "view", 0.0, "") for i, m, u in rows]
+        spark.createDataFrame(data, jobs.EVENTS).coalesce(1).write.mode("append").parquet(folder)
+    frame = jobs.bursts(jobs.read_events(spark, folder))
+    out = drain(frame, "append", "expiry", tmp_path)
+    assert {r.event_id: (r.allowed, r.remaining) for r in out.collect()} == {1: (True, 2), 2: (True, 1), 3: (True, 0), 4: (False, 0), 5: (True, 2), 6: (True, 2), 7: (True, 2), 8: (True, 2)}
+    progress = [p["stateOperators"][0] for q in QUERIES if q.name == "expiry" for p in q.recentProgress]
+    totals = [p["numRowsTotal"] for p in progress]
+    print("METRICS", totals)
+    assert progress[-1]["numRowsTotal"] <= max(p["numRowsTotal"] for p in progress)
+
+
+def test_stream_windows_come_when_the_watermark_passes(spark, replay, tmp_path):
+    from datetime import timedelta
 
-def test_stream_windows_drop_only_open_ones(spark, replay, tmp_path):
     rows, folder = replay
     out = {(r.start, r.event_type): r.n for r in drain(jobs.window_counts(jobs.read_events(spark, folder)), "append", "counts", tmp_path).collect()}
     twin = {(r.start, r.event_type): r.n for r in jobs.window_counts(rows).collect()}
-    assert out and all(twin[k] == n for k, n in out.items())
+    passed = rows.agg(F.max("ts")).first()[0] - timedelta(days=1)
+    assert out and out == {k: n for k, n in twin.items() if k[0] + timedelta(days=1) <= passed}
 
 
 def test_stream_quiet_batches(spark, replay, tmp_path):
+    from datetime import timedelta
+
     rows, folder = replay
-    out = {(r.user_id, r.start): r.n for r in drain(jobs.quiet_batches(jobs.read_events(spark, folder)), "append", "quiet", tmp_path).collect()}
-    twin = {(r.user_id, r.start): r.n for r in jobs.quiet_batches(rows).collect()}
-    assert out and all(twin[k] == n for k, n in out.items())
+    out = {(r.user_id, r.start): (r.end, r.n) for r in drain(jobs.quiet_batches(jobs.read_events(spark, folder)), "append", "quiet", tmp_path).collect()}
+    twin = {(r.user_id, r.start): (r.end, r.n) for r in jobs.quiet_batches(rows).collect()}
+    passed = rows.agg(F.max("ts")).first()[0] - timedelta(hours=1)
+    assert out and out == {k: v for k, v in twin.items() if v[0] <= passed}
 
 
-def test_stream_idle_and_upsert(spark, replay, tmp_path):
+def test_stream_idle_details(spark, replay, tmp_path):
+    rows, folder = replay
+    shaped = lambda df: df.select(F.col("user_id").alias("session"), F.col("event_type").alias("id"), F.col("event_id").alias("turn"), "ts")
+    out = drain(jobs.idle_expiry(shaped(jobs.read_events(spark, folder)), 300), "append", "idle", tmp_path)
+    want, last = [], {}
+    events = sorted((r.turn, r.session, r.id) for r in shaped(rows).collect())
+    for batch in range(4):
+        asked = set()
+        for turn, session, i in events[batch * 250 : (batch + 1) * 250]:
+            last.setdefault(session, {})[i] = turn
+            asked.add(session)
+        for session in asked:
+            own = last[session]
+            now = max(own.values())
+            want += [(session, i, t, now - t) for i, t in own.items() if now - t >= 300]
+            last[session] = {i: t for i, t in own.items() if now - t < 300}
+    assert want and sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
+def test_stream_upsert_rewrites_touched_buckets(spark, replay, tmp_path):
+    import os
+
     rows, folder = replay
-    refs = jobs.read_events(spark, folder).select(F.col("user_id").alias("session"), F.col("event_type").alias("id"), F.col("event_id").alias("turn"))
-    out = drain(jobs.idle_expiry(refs, 300), "update", "idle", tmp_path)
-    twin = packing.idle_details(rows.select(F.col("user_id").alias("session"), F.col("event_type").alias("id"), F.col("event_id").alias("turn")), 300)
-    assert {(r.session, r.id) for r in twin.collect()} <= {(r.session, r.id) for r in out.collect()}
-    frame = jobs.read_events(spark, folder).select("user_id", F.col("ts").alias("created_at"), F.struct("ts", "event_id").alias("updated_at"), F.col("event_type").alias("state"))
+    shaped = lambda df: df.select("user_id", F.col("ts").alias("created_at"), F.struct("ts", "event_id").alias("updated_at"), F.col("event_type").alias("state"))
     path = str(tmp_path / "registry")
-    frame.writeStream.foreachBatch(jobs.upsert_sink(path, ["user_id"])).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
-    got = {r.user_id: r.state for r in spark.read.parquet(f"{path}/v=3").collect()}
-    assert got == {r.user_id: r.state for r in jobs.latest_states(rows).collect()}
+    sink = jobs.upsert_sink(path, ["user_id"], 64)
+    shaped(jobs.read_events(spark, folder)).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    state = lambda: {r.user_id: r.state for r in Bucketed(spark, path).read().collect()}
+    assert state() == {r.user_id: r.state for r in jobs.latest_states(rows).collect()}
+    stored = Bucketed(spark, path)
+    before = {f: os.stat(f).st_mtime_ns for f in stored.folders()}
+    one = shaped(rows.where("event_id = 7")).withColumn("state", F.lit("new")).withColumn("updated_at", F.expr("struct(timestamp'2030-01-01' as ts, 9L as event_id)"))
+    sink(one, 4)
+    after = Bucketed(spark, path)
+    assert len(before) > 8 and len(set(after.folders()) - set(before)) == 1 and len(set(before) & set(after.folders())) == len(before) - 1
+    assert all(os.stat(f).st_mtime_ns == t for f, t in before.items() if f in after.folders())
+    assert not os.path.exists(next(iter(set(before) - set(after.folders()))))  # the version before is gone
+    sink(one.withColumn("state", F.lit("replayed")), 4)
+    assert Bucketed(spark, path).version == after.version and "replayed" not in state().values() and "new" in state().values()
+
+
+def test_bucketed_table(spark, tmp_path):
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("v"))
+    table = Bucketed.create(rows, str(tmp_path / "t"), ["id"], 16, F.pmod("v", F.lit(2)), note="x")
+    assert table.read().count() == 1000 and table.more == {"note": "x"}
+    some = table.touched(rows.where("id < 3"))
+    assert {r.id for r in table.read(some).collect()} >= {0, 1, 2} and table.read(some).count() < 400 and len(table.folders(some)) == len(some)
+    table.append(spark.range(1000, 1003).select("id", F.lit(1).cast("long").alias("v")), batch=5)
+    table.append(spark.range(2000, 2003).select("id", F.lit(1).cast("long").alias("v")), batch=5)  # a replay
+    assert Bucketed(spark, table.path).read().count() == 1003
+    table.replace(table.read(some).where("id >= 3"), some, batch=6)
+    assert Bucketed(spark, table.path).read().count() == 1000 and table.read().where("id < 3").count() == 0
+    for k in range(9):
+        table.append(rows.where(f"id = {k}").select("id", F.lit(9).cast("long").alias("v")))
+    assert table.read().count() == 1009 and max(map(len, table.manifest["data"].values())) <= 9
+    late = Bucketed(spark, table.path)
+    table.append(rows.where("id = 1"))
+    with pytest.raises(Exception, match="already exists"):
+        late.append(rows.where("id = 2"))  # another writer has made this version
+    with pytest.raises(ValueError, match="not replaced"):
+        table.replace(rows, [0])
+    before = table.read().count()
+    assert table.vacuum() > 0 and Bucketed(spark, table.path).read().count() == before
+    empty = Bucketed.create(rows.limit(0), str(tmp_path / "e"), ["id"], 4)
+    assert empty.read().count() == 0 and empty.read([1]).columns == ["id", "v"]
+
+
+def test_stored_index(spark, tmp_path):
+    """Hits as those of a search without an index; an update equals a rebuild and rewrites the buckets it touches; searches open their own buckets."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text").union(spark.createDataFrame([(9001, None), (9002, "")], "id long, text string"))
+    asked = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("query"), "text").union(spark.createDataFrame([(901, None), (902, "nowherefound")], "query long, text string"))
+    hits = lambda df: sorted((r.query, r["rank"], r.id, round(r.score, 6)) for r in df.collect())
+    stored = index.Index.build(docs, str(tmp_path / "ix"), buckets=32)
+    assert hits(stored.search(asked, 5)) == hits(search.bm25(asked, docs, 5))
+    short = asked.where("query = 1").select("query", F.lit("zzzz " + "der").alias("text"))
+    opened = {f.split("bucket=")[1].split("/")[0] for f in stored.rows(short.select(F.explode(F.split("text", " ")).alias("term"))).inputFiles() if "bucket=" in f}
+    assert len(opened) <= 2 < len(stored.postings.folders())
+    changed = docs.where("id % 50 = 3").withColumn("text", F.concat(F.lit("wholly changed words zebra "), F.col("text"))).union(spark.createDataFrame([(9003, "zebra stripes")], "id long, text string"))
+    removed = docs.where("id % 50 = 7").select("id")
+    before = set(stored.postings.folders())
+    stored.update(changed, removed, batch=1)
+    now = docs.join(removed, "id", "left_anti").join(changed, "id", "left_anti").union(changed)
+    rebuilt = index.Index.build(now, str(tmp_path / "again"), buckets=32)
+    flat = lambda ix: sorted(tuple(r) for r in ix.postings.read().select("term", F.inline("posts")).collect())
+    again = index.Index.open(spark, str(tmp_path / "ix"))
+    assert flat(again) == flat(rebuilt)
+    figures = lambda ix: (ix.postings.more["n_docs"], ix.postings.more["n_terms"])
+    assert figures(again) == figures(rebuilt) and hits(again.search(asked, 5)) == hits(rebuilt.search(asked, 5))
+    assert sorted(tuple(r) for r in again.frequencies().collect()) == sorted(tuple(r) for r in rebuilt.frequencies().collect())
+    folders = set(again.postings.folders())
+    again.update(spark.createDataFrame([(9003, "zebra stripe")], "id long, text string"))
+    assert 1 <= len(set(again.postings.folders()) - folders) <= 3 and before
+
+
+def test_folds_of_a_key_with_half_of_all_rows(spark, monkeypatch):
+    import random
+
+    from loam.operators import folds
+
+    monkeypatch.setattr(ordered, "RUN_ROWS", 20)
+    monkeypatch.setattr(ordered, "FAN", 3)
+    rng = random.Random(4)
+    data = [(1 if i % 2 else rng.randrange(2, 30), i * rng.choice([1, 1, 40]), i, rng.random() < 0.5) for i in range(600)]
+    rows = spark.createDataFrame(data, "k long, t long, i long, ok boolean")
+    by = {}
+    for k, t, i, ok in sorted(data, key=lambda r: (r[1], r[2])):
+        by.setdefault(k, []).append((t, i, ok))
+    machine = folds.feedback_table(0.2, -0.15, 0.85, 0.15)
+    out = ordered.fold(rows, "k", ["t", "i"], {"c": F.col("ok")}, machine).collect()
+    assert {r.k: (machine.number(bytes(r.state)), r.n) for r in out} == {k: (machine.walk(None, np.array([x[2] for x in v]))["told"][-1], len(v)) for k, v in by.items()}
+    bucket = folds.Bucket(60, 20)
+    told = ordered.scan(rows, "k", ["t", "i"], {"us": F.col("t")}, bucket)
+    got = {(r.k, r.i): (r.place, r.allowed, r.retry_after_us) for r in told.collect()}
+    want = {}
+    for k, v in by.items():
+        each = bucket.walk(None, np.array([x[0] for x in v]))
+        want |= {(k, x[1]): (n + 1, bool(each["allowed"][n]), int(each["retry_after_us"][n])) for n, x in enumerate(v)}
+    assert got == want and len({r.run for r in ordered._dealt(rows, "k", ["t", "i"], {"us": F.col("t")}, [])[0].where("k = 1").collect()}) > 8
+    assert ordered.scan(rows.limit(0), "k", ["t", "i"], {"us": F.col("t")}, bucket).count() == 0
 
 
 def plan(df):
