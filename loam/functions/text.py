@@ -191,9 +191,10 @@ ENTITIES = (r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", r"\b[a-z]+(?:[A-Z][a-z]+)+\b", r
             r"[\w./-]+\.(?:ts|tsx|js|jsx|py|go|rs|sql|yaml|yml|toml|json)\b", r"\bv?\d+\.\d+\.\d+\b")
 
 
-def key_entities(text: Column, n: int = 10) -> Column:
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in ENTITIES])
-    return F.slice(F.array_distinct(found), 1, n)
+def key_entities(text: Column, n: int | None = 10) -> Column:
+    """Identifiers, constants, paths and versions of a text: the first ``n``, or all."""
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in ENTITIES]))
+    return found if n is None else F.slice(found, 1, n)
 
 
 def path_terms(path: Column, n: int = 10) -> Column:

@@ -44,8 +44,8 @@ def recall(queries: DataFrame, records: DataFrame, now: Column, k: int = 10, lin
     expanded = search.expand_queries(queries).select("query", F.array_join("terms", " ").alias("more"))
     asked = queries.join(expanded, "query").select("query", F.concat_ws(" ", "text", "more").alias("text"), F.col("text").alias("query_text"))
     hits = candidates(asked, records, max(4 * k, 40), mode)
-    hits = hits.join(asked.select("query", "query_text"), "query").join(records, "id")
-    ranked = search.rerank(hits, max(k, 20), 0.0)
+    ranked = search.rerank(hits, queries.select("query", "text"), records, max(k, 20), 0.0)
+    ranked = ranked.join(asked.select("query", "query_text"), "query").join(records, "id")
     operational = F.col("query_text").rlike(detect.OPERATIONAL)
     factors = {
         "similarity": F.least(F.lit(1.0), F.col("final")), "recency": scoring.recency(F.unix_timestamp("created_at"), now), "confidence": F.col("confidence"),

@@ -136,41 +136,62 @@ def boost_linked(hits: DataFrame, linked: DataFrame) -> DataFrame:
     return hits.join(mark, "id", "left").select("query", "id", F.when(F.col("linked"), F.col("rank") - 100).otherwise(F.col("rank")).alias("rank"))
 
 
-def pair_score(query: Column, text: Column) -> Column:
-    """Reranking score of a pair: keyword places, phrase, shared identifiers, length."""
+# Weights of a pair's parts, and the places over which a word's weight falls.
+KEYWORD, PHRASE, NAMED, LENGTH = 0.4, 0.3, 0.25, 0.05
+FALL, FULL_LENGTH = 50.0, 20.0
+WHOLE_PHRASE, ITS_WORDS, ITS_PAIRS = 0.3, 0.2, 0.15
 
-    def keyword(q: Column, c: Column) -> Column:
-        places = F.transform(q, lambda w: F.array_position(c, w))
-        total = F.aggregate(places, F.lit(0.0), lambda a, p: a + F.when(p > 0, F.exp(-(p - 1) / 50.0)).otherwise(0.0))
-        found = F.when(F.size(q) > 0, F.least(F.lit(1.0), total / F.size(q))).otherwise(0.0)
-        return found * 0.4 + F.least(F.lit(1.0), F.size(c) / 20.0) * 0.05
 
-    def phrase(low: Column, asked: Column) -> Column:
-        long = F.filter(F.split(asked, r"\s+"), lambda w: F.length(w) > 2)
+def _names(text: Column) -> Column:
+    return F.array_distinct(F.transform(T.key_entities(text, None), F.lower))
 
-        def of(ws: Column) -> Column:
-            n = F.size(ws) - 1
-            pairs = F.zip_with(F.slice(ws, 1, F.greatest(n, F.lit(0))), F.slice(ws, 2, F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-            share = F.size(F.filter(pairs, lambda p: F.contains(low, p))) / F.greatest(n, F.lit(1))
-            whole = F.when(F.contains(low, asked), 0.3).when((n >= 2) & F.contains(low, F.array_join(ws, " ")), 0.2)
-            return whole.when((n >= 2) & (share > 0.5), 0.15 * share).otherwise(0.0)
 
-        return let(long, of)
+def query_side(text: Column) -> Column:
+    """What a pair's score needs of the query: words, names, the phrase and its neighbouring words."""
 
-    def entities(a: Column, b: Column) -> Column:
-        return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_distinct(a)) * 0.25).otherwise(0.0)
+    def of(asked: Column, ws: Column) -> Column:
+        n = F.size(ws) - 1
+        part = lambda a: F.slice(ws, a, F.greatest(n, F.lit(0)))
+        pairs = F.zip_with(part(1), part(2), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.struct(
+            T.rerank_tokens(text).alias("words"), _names(text).alias("names"), asked.alias("asked"), n.alias("n"), pairs.alias("pairs"), F.array_join(ws, " ").alias("joined")
+        )
 
-    names = lambda t: F.transform(T.key_entities(t, 1000), F.lower)
-    words = let(T.rerank_tokens(query), lambda q: let(T.rerank_tokens(text), lambda c: keyword(q, c)))
-    said = let(F.lower(text), lambda low: let(F.lower(F.trim(query)), lambda asked: phrase(low, asked)))
-    named = let(names(query), lambda a: let(names(text), lambda b: entities(a, b)))
-    return F.least(F.lit(1.0), words + said * 0.3 + named * 0.25)
+    return let(F.lower(F.trim(text)), lambda asked: let(F.filter(F.split(asked, r"\s+"), lambda w: F.length(w) > 2), lambda ws: of(asked, ws)))
 
 
-def rerank(hits: DataFrame, k: int = 5, at_least: float = 0.05) -> DataFrame:
-    """Hits (query, id, score, query_text, text) by 0.3 first-stage score and 0.7 pair score."""
-    scored = hits.withColumn("final", 0.3 * F.col("score") + 0.7 * pair_score(F.col("query_text"), F.col("text"))).where(F.col("final") >= at_least)
-    return top_k(scored.drop("rank"), k, "final")
+def text_side(text: Column) -> Column:
+    """What a pair's score needs of the text: words at their first places, how many words, names, lower case."""
+    words = let(T.rerank_tokens(text), lambda w: F.struct(F.size(w).alias("n"), F.array_distinct(w).alias("words"), w.alias("all")))
+    return F.struct(words.alias("w"), _names(text).alias("names"), F.lower(text).alias("low"))
+
+
+def pair_score(q: Column, t: Column) -> Column:
+    """Reranking score of a query side and a text side: keyword places, phrase, shared names, length."""
+    held = F.array_intersect(q["words"], t["w"]["words"])  # hashed; places are looked up for these only
+    places = F.transform(F.filter(q["words"], lambda w: F.array_contains(held, w)), lambda w: F.exp(-(F.array_position(t["w"]["all"], w) - 1) / FALL))
+    total = F.aggregate(places, F.lit(0.0), lambda a, p: a + p)
+    keyword = F.when(F.size(q["words"]) > 0, F.least(F.lit(1.0), total / F.size(q["words"]))).otherwise(0.0)
+    low, n = t["low"], q["n"]
+    share = F.size(F.filter(q["pairs"], lambda p: F.contains(low, p))) / F.greatest(n, F.lit(1))
+    whole = F.when(F.contains(low, q["asked"]), WHOLE_PHRASE).when((n >= 2) & F.contains(low, q["joined"]), ITS_WORDS)
+    phrase = whole.when((n >= 2) & (share > 0.5), ITS_PAIRS * share).otherwise(0.0)
+    named = F.when(F.size(q["names"]) > 0, F.size(F.array_intersect(q["names"], t["names"])) / F.size(q["names"]) * NAMED).otherwise(0.0)
+    return F.least(F.lit(1.0), keyword * KEYWORD + F.least(F.lit(1.0), t["w"]["n"] / FULL_LENGTH) * LENGTH + phrase * PHRASE + named * NAMED)
+
+
+def rerank(hits: DataFrame, queries: DataFrame, rows: DataFrame, k: int = 5, at_least: float = 0.05) -> DataFrame:
+    """Hits (query, id, score) by 0.3 first-stage score and 0.7 pair score, of queries (query, text) and rows (id, text).
+
+    Each text that is a hit is taken apart once, however many queries found it.
+    """
+    hits = keep(hits.drop("rank"), "hits")
+    texts = rows.select("id", "text").join(hits.select("id").distinct(), "id", "left_semi").repartition("id")
+    sides = texts.select("id", text_side(F.col("text")).alias("_t"))
+    asked = queries.select("query", query_side(F.col("text")).alias("_q"))
+    paired = hits.join(sides, "id").join(asked, "query")
+    scored = paired.withColumn("final", 0.3 * F.col("score") + 0.7 * pair_score(F.col("_q"), F.col("_t"))).where(F.col("final") >= at_least)
+    return top_k(scored.drop("_q", "_t"), k, "final")
 
 
 # Synonyms of query terms.

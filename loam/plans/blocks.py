@@ -1,148 +1,115 @@
-"""Exact all-pairs similarity in blocks of vectors."""
+"""Exact similarity of vectors in blocks of bounded matrices, between cells whose angles allow it."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows the cell centres are fitted on, rows a cell should hold, and most cells. Every row is assigned and compared.
-SAMPLE, CELL_ROWS, MOST_CELLS = 8192, 512, 256
-#: Angles are widened by this, as the arc cosine loses digits near 0.
-SLACK = 1e-6
-
-
-def _unit(vectors: list) -> np.ndarray:
-    m = np.stack(vectors).astype(float)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-
-def _centres(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centres by vector length, fitted by a few rounds of spherical k-means on a sample by digest of at most ``SAMPLE`` rows."""
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toPandas()["vec"]
-    wanted, out = min(MOST_CELLS, max(1, n // CELL_ROWS)), {}
-    for dims in sorted({len(v) for v in sample}):
-        own = [v for v in sample if len(v) == dims and np.any(v)]
-        if not dims or not own:
-            continue
-        u = _unit(own)
-        c = u[: max(1, wanted * len(own) // len(sample))]
-        for _ in range(8):
-            nearest_one = np.argmax(u @ c.T, axis=1)
-            sums = np.zeros_like(c)
-            np.add.at(sums, nearest_one, u)
-            length = np.linalg.norm(sums, axis=1, keepdims=True)
-            c = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), c)
-        out[dims] = c
-    return out
-
-
-def similar_pairs(rows: DataFrame, threshold: float, block: int = 2048) -> DataFrame:
-    """a < b of all pairs of rows (id, vec, optionally agent) at or above the threshold, exactly.
-
-    Vectors fall into cells around fitted centres. Two unit vectors at most an angle t apart lie, by
-    the triangle inequality, within t plus the cell's radius of each other's centre, so a vector is
-    sent only to the cells it can have a partner in; a cell of more than ``block`` rows is split, and
-    each unordered pair of blocks is one group that multiplies two bounded matrices. Vectors without
-    direction, and lengths the sample doesn't hold, form cells that meet every cell. Ids are distinct.
+from loam.plans.cells import Cells, unit
+from loam.plans.materialize import keep
+
+BLOCK = 2048
+#: Coarse cells a query looks into first, to learn what its k-th best similarity is at least.
+FIRST_CELLS = 1
+
+
+def _angle(similarity: float) -> float:
+    return float(np.arccos(np.clip(similarity, -1, 1)))
+
+
+def similar_pairs(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """a < b of all pairs of rows (id, vec, optionally agent) at or above the threshold, exactly. Ids are distinct.
+
+    A vector goes to the cells that may hold a partner. A cell of more than ``block`` rows is split, and each
+    unordered pair of blocks is one group that multiplies two bounded matrices.
     """
     if "agent" not in rows.columns:
         rows = rows.withColumn("agent", F.lit(0))
-    own = rows.where(F.size("vec") > 0).select("id", "agent", F.col("vec").cast("array<double>").alias("vec"))
-    centres = _centres(own, own.count())
-    widest = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
-
-    def angles(vectors: pd.Series):
-        """Positions, angles to all centres of their length (none for vectors without direction) by vector length."""
-        for dims in sorted({len(v) for v in vectors}):
-            at = np.flatnonzero((vectors.map(len) == dims).to_numpy())
-            u = _unit([vectors.iloc[i] for i in at])
-            blind = ~u.any(axis=1) | (dims not in centres)
-            if blind.any():
-                yield dims, at[blind], None
-            if not blind.all():
-                yield dims, at[~blind], np.arccos(np.clip(u[~blind] @ centres[dims].T, -1, 1))
-
-    def assign(batches):
-        for pdf in batches:
-            cell, far, dims_of = np.full(len(pdf), -1), np.full(len(pdf), np.pi), np.zeros(len(pdf), dtype=int)
-            for dims, at, ang in angles(pdf["vec"]):
-                dims_of[at] = dims
-                if ang is not None:
-                    cell[at], far[at] = np.argmin(ang, axis=1), ang.min(axis=1)
-            yield pdf.assign(dims=dims_of, cell=cell, far=far)
-
-    kind = dict(rows.dtypes)["agent"]
-    homed = own.mapInPandas(assign, f"id long, agent {kind}, vec array<double>, dims int, cell int, far double")
-    # A row a cell: at most MOST_CELLS + 1 for each vector length.
-    cells: dict[int, dict[int, tuple[float, int]]] = {}
-    for r in homed.groupBy("dims", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
-        cells.setdefault(r["dims"], {})[r["cell"]] = (r["far"], -(-r["n"] // block))
-
-    def send(batches):
-        for pdf in batches:
-            part = pd.util.hash_array(pdf["id"].to_numpy())
-            at_, x, p, y, q = [], [], [], [], []
-            home = pdf["cell"].to_numpy()
-            for dims, at, ang in angles(pdf["vec"]):
-                for other, (radius, parts) in cells[dims].items():
-                    near = np.ones(len(at), dtype=bool) if ang is None or other < 0 else ang[:, other] <= radius + widest
-                    to = at[near]
-                    if not len(to):
-                        continue
-                    mine = (part[to] % np.array([cells[dims][c][1] for c in home[to]], dtype=np.uint64)).astype(int)
-                    for k in range(parts):
-                        at_.append(to), x.append(home[to]), p.append(mine), y.append(np.full(len(to), other)), q.append(np.full(len(to), k))
-            if not at_:
-                continue
-            out = pdf.iloc[np.concatenate(at_)][["id", "agent", "vec", "dims"]]
-            yield out.assign(x=np.concatenate(x), p=np.concatenate(p), y=np.concatenate(y), q=np.concatenate(q))
-
-    sent = homed.drop("far").mapInPandas(send, f"id long, agent {kind}, vec array<double>, dims int, x int, p int, y int, q int")
-    here, there = F.struct("x", "p"), F.struct(F.col("y").alias("x"), F.col("q").alias("p"))
-    sent = sent.select("id", "agent", "vec", "dims", F.least(here, there).alias("low"), F.greatest(here, there).alias("high"), (here <= there).alias("first"))
+    cells = Cells.fit(rows.select("id", "agent", F.col("vec").cast("array<double>").alias("vec")))
+    cut = lambda n: F.ceil(F.col(n) / block).cast("int")
+    home = F.struct("coarse", "fine", F.pmod(F.xxhash64("id"), cut("held")).cast("int").alias("part"))
+    asked = cells.rows.select("id", "agent", "vec", home.alias("home"), F.lit(_angle(threshold)).alias("widest"))
+    sent = cells.reach(asked).withColumn("part", F.explode(F.sequence(F.lit(0), cut("n") - 1)))
+    there = F.struct("coarse", "fine", "part")
+    sent = sent.select("id", "agent", "vec", "dims", F.least("home", there).alias("low"), F.greatest("home", there).alias("high"), (F.col("home") <= there).alias("first"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         same = pdf["low"].iloc[0] == pdf["high"].iloc[0]
         a, b = (pdf, pdf) if same else (pdf[pdf["first"]], pdf[~pdf["first"]])
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": [], "similarity": [], "agent_a": [], "agent_b": []})
-        sims = np.clip(_unit(a["vec"].to_list()) @ _unit(b["vec"].to_list()).T, -1, 1)
+        sims = np.clip(unit(a["vec"]) @ unit(b["vec"]).T, -1, 1)
         i, j = np.nonzero(sims >= threshold)
         ia, ib = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-        keep = ia < ib if same else ia != ib
-        i, j, ia, ib = i[keep], j[keep], ia[keep], ib[keep]
+        keep_ = ia < ib if same else ia != ib
+        i, j, ia, ib = i[keep_], j[keep_], ia[keep_], ib[keep_]
         ga, gb = a["agent"].to_numpy()[i], b["agent"].to_numpy()[j]
         low = ia < ib
         return pd.DataFrame({"a": np.where(low, ia, ib), "b": np.where(low, ib, ia), "similarity": sims[i, j], "agent_a": np.where(low, ga, gb), "agent_b": np.where(low, gb, ga)})
 
+    kind = dict(rows.dtypes)["agent"]
     return sent.groupBy("dims", "low", "high").applyInPandas(compare, f"a long, b long, similarity double, agent_a {kind}, agent_b {kind}")
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int | None, threshold: float | None, block: int = 2048) -> DataFrame:
-    """query, id, similarity: of every pair of a block of queries and a block of rows the best ``k`` hits of each query."""
-    nq, nr = (max(1, -(-df.count() // block)) for df in (queries, rows))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    ask = queries.select(part("query", nq).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("y"), F.col("query").alias("key"), F.col("vec").cast("array<double>").alias("vec"), F.lit(True).alias("asks"))
-    have = rows.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("x"), part("id", nr).alias("y"), F.col("id").alias("key"), F.col("vec").cast("array<double>").alias("vec"), F.lit(False).alias("asks"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        q, r = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        for dims in sorted({len(v) for v in q["vec"]}):
-            a, b = q[q["vec"].map(len) == dims], r[r["vec"].map(len) == dims]
-            if not dims or not len(b):
-                continue
-            u, v = (np.stack(z["vec"].to_list()).astype(float) for z in (a, b))
-            u, v = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0) for m in (u, v))
-            sims, ids = np.clip(u @ v.T, -1, 1), b["key"].to_numpy()
-            for i, key in enumerate(a["key"]):
-                row = sims[i]
-                at = np.flatnonzero(row >= threshold) if threshold is not None else np.arange(len(row))
-                if k is not None and len(at) > k:
-                    at = at[np.lexsort((ids[at], -np.round(row[at], 9)))[:k]]
-                out.append(pd.DataFrame({"query": key, "id": ids[at], "similarity": row[at]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query": [], "id": [], "similarity": []}).astype({"query": "int64", "id": "int64"})
-
-    return ask.unionByName(have).groupBy("x", "y").applyInPandas(compare, "query long, id long, similarity double")
+class VectorIndex:
+    """An inverted file over rows (id, vec): cells as many as the rows ask for, searched by probing or exactly."""
+
+    def __init__(self, rows: DataFrame, cell_rows: int | None = None):
+        self.cells = Cells.fit(rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")), cell_rows)
+
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        own = queries.select(F.col("query").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+        return keep(own.where(F.size("vec") > 0), "asked")
+
+    def _hits(self, found: DataFrame, k: int | None, threshold: float | None) -> DataFrame:
+        """query, id, similarity of queries (id, vec) with the rows of their cells: the best ``k`` of each block of a cell."""
+        cut = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        ask = found.select(F.col("id").alias("query"), "vec", "dims", "coarse", "fine", F.explode(F.sequence(F.lit(0), cut("n") - 1)).alias("part"))
+        have = self.cells.rows.withColumn("part", F.pmod(F.xxhash64("id"), cut("held")).cast("int"))
+        cell = ["dims", "coarse", "fine", "part"]
+
+        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(left) and len(right):
+                v, ids = unit(right["vec"]), right["id"].to_numpy()
+                for at in range(0, len(left), BLOCK):
+                    sims = np.clip(unit(left["vec"].iloc[at : at + BLOCK]) @ v.T, -1, 1)
+                    for query, row in zip(left["query"].iloc[at : at + BLOCK], sims, strict=True):
+                        best = np.flatnonzero(row >= threshold) if threshold is not None else np.arange(len(row))
+                        if k is not None and len(best) > k:
+                            best = best[np.lexsort((ids[best], -np.round(row[best], 9)))[:k]]
+                        out.append(pd.DataFrame({"query": query, "id": ids[best], "similarity": row[best]}))
+            return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query": [], "id": [], "similarity": []})
+
+        grouped = ask.groupBy(*cell).cogroup(have.groupBy(*cell))
+        return grouped.applyInPandas(compare, "query long, id long, similarity double")
+
+    def probe(self, queries: DataFrame, k: int, cells: int, coarse: int = FIRST_CELLS) -> tuple[DataFrame, DataFrame]:
+        """Hits from the ``cells`` nearest fine cells among those of the ``coarse`` nearest coarse ones; and the cells looked into (id, cell, n)."""
+        near = self.cells.reach(self._asked(queries).withColumn("widest", F.lit(np.pi)), coarse)
+        nearest_first = Window.partitionBy("id").orderBy("ang", "coarse", "fine")
+        found = keep(near.withColumn("_r", F.row_number().over(nearest_first)).where(F.col("_r") <= cells).drop("_r"), "probed")
+        return self._hits(found, k, None), found
+
+    def within(self, queries: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
+        """All hits at or above a similarity, or the best ``k`` of them in each block."""
+        return self._hits(self.cells.reach(self._asked(queries).withColumn("widest", F.lit(_angle(threshold)))), k, threshold)
+
+    def exact(self, queries: DataFrame, k: int, cells: int = 8) -> DataFrame:
+        """The best ``k`` hits of every query, exactly: those of the nearest cells, then of every other cell that can reach the k-th best so far."""
+        first, found = self.probe(queries, k, cells)
+        first = keep(first, "first")
+        best = Window.partitionBy("query").orderBy(F.round("similarity", 9).desc(), "id")
+        kth = first.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == k).select(F.col("query").alias("id"), F.acos(F.greatest(F.lit(-1.0), F.col("similarity") - 1e-9)).alias("widest"))
+        asked = self._asked(queries).join(kth, "id", "left").fillna(np.pi, ["widest"])
+        cell = ["id", "dims", "coarse", "fine"]
+        rest = self.cells.reach(asked.select("id", "vec", "widest")).join(found.select(*cell).distinct(), cell, "left_anti")
+        return first.unionByName(self._hits(rest, k, None))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int | None, threshold: float | None) -> DataFrame:
+    """query, id, similarity: among them the best ``k`` hits of every query, or all at or above the threshold."""
+    index = VectorIndex(rows)
+    return index.exact(queries, k) if threshold is None else index.within(queries, threshold, k)

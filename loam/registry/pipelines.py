@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from loam.functions import detect as D
 from loam.functions import scoring as S
 from loam.functions import text as T
 from loam.functions import udfs
-from loam.operators import content, context, dedup, evaluate, governance, graph, lifecycle, mining, packing, search
+from loam.operators import content, context, dedup, evaluate, governance, graph, index, lifecycle, mining, packing, search
 from loam.operators import records as R
-from loam.plans.materialize import keep
+from loam.plans.materialize import keep, shared_dir
 from loam.registry.base import query
 from loam.registry.search import BM25_SQL, KNN_SQL, PAIR_SQL, bm25, knn
 from loam.registry.text import P, PHRASES, W, phrased
@@ -353,11 +355,10 @@ def snk6_remember_many(t):
 @query("""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(lower(CASE WHEN doc_id % 10 = 7 THEN 'changed text' ELSE text END), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 1)) AS term FROM documents WHERE doc_id % 10 <> 3)
 SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term HAVING count(DISTINCT doc_id) > 10""")
 def snk7_index_upkeep(t):
-    old = search.postings(t.documents, "doc_id")
-    changed = t.documents.where("doc_id % 10 IN (3, 7)").select(F.col("doc_id").alias("id"))
-    new = search.postings(t.documents.where("doc_id % 10 = 7").select("doc_id", F.lit("changed text").alias("text")), "doc_id")
-    kept = R.not_stored(old, changed, ["id"]).select("term", "id", "tf", "len").unionByName(new)
-    return kept.groupBy("term").agg(F.count("*").alias("df")).where("df > 10")
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    own = index.Index.build(docs, f"{shared_dir(t.spark)}/upkeep-{uuid.uuid4().hex}")
+    own.update(docs.where("id % 10 = 7").withColumn("text", F.lit("changed text")), docs.where("id % 10 = 3"), batch=0)
+    return own.frequencies().select("term", "df").where("df > 10")
 
 
 @query("SELECT event_type, '{\"event_type\":\"' || event_type || '\",\"n\":' || count(*) || '}' AS line FROM events GROUP BY event_type")
