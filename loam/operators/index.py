@@ -9,53 +9,83 @@ has many rows, none longer than a block.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
-from loam.functions.binding import let
 from loam.operators.search import B, K1, top_k
 from loam.plans.bucketed import Bucketed
 from loam.plans.materialize import keep, small_side
 
-BLOCK_DOCS = 128
+BLOCK_DOCS = 256
 #: Terms (with repeats) that a bucket should hold, and most buckets; one of more terms is written as several files.
 BUCKET_TERMS, MOST_BUCKETS = 1_000_000, 4096
 #: Blocks of a query, highest bound first, that are scored to learn what its k-th best score is at least.
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 2
 SLACK = 1e-9
 
 
-def _counted(terms: Column) -> Column:
-    """(term, tf) of a document's terms."""
-
-    def of(s: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        pairs = let(begins, lambda b: F.transform(b, lambda i, j: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(b, j + 1), F.size(s)) - i).alias("tf"))))
-        return F.when(F.size(s) > 0, pairs).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
-
-    return let(F.array_sort(terms), of)
+ROW = "term string, block int, n int, max_tf int, min_len int, posts array<struct<id:long,tf:int,len:int>>"
 
 
 def _documents(rows: DataFrame, blocks: int, id_: str, text: str) -> DataFrame:
-    """id, block, len, counts of every document; a null text has no terms and no length."""
-    terms = T.search_terms(F.coalesce(F.col(text), F.lit("")))
+    """id, block, len, terms (with repeats) of every document; a null text has no terms and no length."""
+    docs = rows.select(F.col(id_).cast("long").alias("id"), T.search_terms(F.col(text)).alias("terms"))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    docs = rows.select(F.col(id_).cast("long").alias("id"), F.col(text).isNotNull().alias("known"), let(terms, lambda t: F.struct(F.size(t).alias("len"), _counted(t).alias("counts"))).alias("d"))
-    return docs.select("id", block.alias("block"), F.when(F.col("known"), F.col("d.len")).alias("len"), F.col("d.counts").alias("counts"))
+    return docs.select("id", block.alias("block"), F.when(F.col("terms").isNotNull(), F.size("terms")).alias("len"), F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """Index rows of documents: a block's documents come together, and their terms are sorted into postings there."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            blocks = batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if held and held[0].column(1)[0].as_py() != part.column(1)[0].as_py():
+                    yield from _block_rows(pa.Table.from_batches(held))
+                    held = []
+                if len(part):
+                    held.append(part)
+        if held:
+            yield from _block_rows(pa.Table.from_batches(held))
+
+    return docs.repartition("block").sortWithinPartitions("block").select("id", "block", "len", "terms").mapInArrow(pack, ROW)
+
+
+def _block_rows(docs: pa.Table) -> list[pa.RecordBatch]:
+    docs = docs.combine_chunks()
+    lists = docs["terms"].chunk(0)
+    coded = lists.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    keys, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(lists) + doc, return_counts=True)
+    if not len(keys):
+        return []
+    term, doc = np.divmod(keys, len(lists))
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    n = np.diff(np.append(first, len(term)))
+    length = docs["len"].to_numpy()[doc].astype(np.int32)
+    posts = pa.StructArray.from_arrays([pa.array(docs["id"].to_numpy()[doc]), pa.array(tf.astype(np.int32)), pa.array(length)], names=["id", "tf", "len"])
+    columns = [
+        coded.dictionary.take(pa.array(term[first])), pa.array(np.full(len(first), docs["block"][0].as_py(), dtype=np.int32)), pa.array(n.astype(np.int32)), pa.array(np.maximum.reduceat(tf, first).astype(np.int32)),
+        pa.array(np.minimum.reduceat(length, first)), pa.ListArray.from_arrays(pa.array(np.append(first, len(term)).astype(np.int32)), posts),
+    ]
+    return [pa.RecordBatch.from_arrays(columns, names=["term", "block", "n", "max_tf", "min_len", "posts"])]
 
 
 def _rows(postings: DataFrame) -> DataFrame:
     """Index rows of postings (term, block, id, tf, len)."""
-    post = F.array_sort(F.collect_list(F.struct("id", "tf", "len")))
+    post = F.collect_list(F.struct("id", "tf", "len"))
     return postings.groupBy("term", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), post.alias("posts"))
 
 
-def _postings(docs: DataFrame) -> DataFrame:
-    return docs.select("block", "id", "len", F.inline("counts")).select("term", "block", "id", "tf", "len")
-
-
-
 def _figures(docs: DataFrame) -> tuple[int, int, int]:
     """Documents, those with a text, their terms."""
     return tuple(docs.agg(F.count("*"), F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first())
@@ -78,8 +108,8 @@ class Index:
         docs = keep(_documents(rows, blocks, id_, text), "index-docs")
         n, texts, total = _figures(docs)
         buckets = buckets or min(MOST_BUCKETS, max(4, total // BUCKET_TERMS))
-        forward = docs.select("id", "block", "len", F.col("counts.term").alias("terms"))
-        postings = Bucketed.create(_rows(_postings(docs)), f"{path}/postings", ["term"], buckets, _spread(buckets, total), blocks=blocks, n_docs=n, n_texts=texts, n_terms=total)
+        forward = docs.select("id", "block", "len", F.array_distinct("terms").alias("terms"))
+        postings = Bucketed.create(_packed(docs), f"{path}/postings", ["term"], buckets, _spread(buckets, total), blocks=blocks, n_docs=n, n_texts=texts, n_terms=total)
         return Index(postings, Bucketed.create(forward, f"{path}/documents", ["id"], buckets))
 
     @staticmethod
@@ -95,14 +125,14 @@ class Index:
         homes = self.documents.touched(gone)
         stored = self.documents.read(homes)
         old = keep(stored.join(gone, "id", "left_semi"), "index-old")
-        cells = keep(old.select(F.explode("terms").alias("term"), "block").union(new.select(F.explode("counts.term"), "block")).distinct(), "index-cells")
+        cells = keep(old.select(F.explode("terms").alias("term"), "block").union(new.select(F.explode("terms"), "block")).distinct(), "index-cells")
         buckets = self.postings.touched(cells)
         there = self.postings.read(buckets)
         changed_rows = there.join(cells, ["term", "block"], "left_semi").select("term", "block", F.inline("posts"))
-        rebuilt = _rows(changed_rows.join(gone, "id", "left_anti").select("term", "block", "id", "tf", "len").unionByName(_postings(new)))
+        rebuilt = _rows(changed_rows.join(gone, "id", "left_anti").select("term", "block", "id", "tf", "len").unionByName(_packed(new).select("term", "block", F.inline("posts"))))
         figures = {k: more[k] - less + plus for k, less, plus in zip(("n_docs", "n_texts", "n_terms"), _figures(old), _figures(new), strict=True)}
         self.postings.replace(there.join(cells, ["term", "block"], "left_anti").unionByName(rebuilt), buckets, batch, _spread(self.postings.manifest["buckets"], figures["n_terms"]), **figures)
-        forward = new.select("id", "block", "len", F.col("counts.term").alias("terms"))
+        forward = new.select("id", "block", "len", F.array_distinct("terms").alias("terms"))
         self.documents.replace(stored.join(gone, "id", "left_anti").unionByName(forward), homes, batch)
 
     def rows(self, terms: DataFrame) -> DataFrame:
@@ -133,7 +163,7 @@ class Index:
 
         def scored(chosen: DataFrame) -> DataFrame:
             terms = weighed.join(chosen, "query").select("query", "term", "block", "idf")
-            posts = rows.join(small_side(keep(terms, "chosen")), ["term", "block"]).select("query", "idf", F.inline("posts"))
+            posts = rows.join(terms, ["term", "block"]).select("query", "idf", F.inline("posts"))
             return posts.groupBy("query", "id").agg(F.sum(F.col("idf") * part(F.col("tf"), F.col("len"))).alias("score"))
 
         first = keep(top_k(scored(bounds.where(F.col("place") <= FIRST_BLOCKS).select("query", "block")), k), "first")
