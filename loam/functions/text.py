@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from loam.functions.binding import let
 
-SPACE = r"[ \t\n\x0B\f\r\x{A0}\x{FEFF}\x{2028}\x{2029}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+# The characters that count as outer white space.
+SPACE = " \t\n\x0b\f\r\xa0\ufeff\u2028\u2029\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def normalize(text: Column) -> Column:
     """Line ends to LF, three or more of them to two, outer white space off."""
     lf = F.regexp_replace(text, r"\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(lf, r"\n{3,}", "\n\n"), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(F.regexp_replace(lf, r"\n{3,}", "\n\n"), F.lit(SPACE))
 
 
 def content_hash(text: Column) -> Column:
@@ -63,6 +64,7 @@ SECRETS = (
     ("database_url", r"""(?i)\b(?:postgres|postgresql|mysql|mongodb)://[^\s"'<>]+""", "[REDACTED_DATABASE_URL]"),
     ("bearer_token", r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{20,}\b", "Bearer [REDACTED_TOKEN]"),
 )
+# What is redacted in events.
 HOOK_SECRET = r"""(?i)\b(api[_-]?key|token|secret|password|authorization|bearer|private[_-]?key)\b(\s*[:=])\s*["']?[^"',\s}]+"""
 PRIVATE_BLOCK = r"(?is)<private>.*?</private>"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.plans.materialize import keep
 from loam.schemas import EDGE_RELATIONS, NEEDS_RATIONALE
 
 
@@ -24,16 +25,43 @@ def doubled(edges: DataFrame) -> DataFrame:
     return out.unionAll(edges.select(F.col("target"), F.col("source"), F.lit("in")))
 
 
+#: A node is heavy if one edge in so many touches it; there are twice as many at most. Its edges are dealt over ``SALTS`` groups.
+HEAVY_SHARE, SALTS = 1000, 32
+
+
+def _salted(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with ``salt``, and the heavy nodes: a step from one of them is dealt over all its salts."""
+    both = keep(both, "edges")
+    degree = both.groupBy("node").agg(F.count("*").alias("degree"))
+    heavy = keep(degree.where(F.col("degree") * HEAVY_SHARE > 2 * both.count()).select("node", F.lit(True).alias("heavy")), "heavy")
+    marked = both.join(F.broadcast(heavy), "node", "left")  # HEAVY_SHARE nodes at most
+    return marked.select("node", "next", "direction", F.when(F.col("heavy"), F.pmod(F.xxhash64("next"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")), heavy
+
+
+def _step(level: DataFrame, edges: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``level`` (node, ...) with ``next`` and ``direction`` of every edge of its nodes."""
+    salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = level.join(F.broadcast(heavy), "node", "left").withColumn("salt", F.explode(salts)).drop("heavy")
+    return dealt.join(edges, ["node", "salt"]).drop("salt")
+
+
 def reach(starts: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
-    """start, node, depth, direction: nodes within ``depth`` undirected hops, by simple paths, once per depth."""
-    both = doubled(edges)
-    level = starts.select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.lit(None).cast("string").alias("direction"))
-    out = None
+    """start, node, depth, direction: nodes within ``depth`` undirected hops, by simple paths, once per depth.
+
+    Two hops are simple if they don't return, so the frontier is a set of (start, node). Longer ones carry
+    their inner nodes. Edges of heavy nodes are split, so a hub's neighbours don't come from one task.
+    """
+    both, heavy = _salted(doubled(edges).where("node <> next"))
+    level, out = starts.select("start", F.col("start").alias("node")).distinct(), None
     for d in range(1, depth + 1):
-        step = level.drop("direction").join(both, "node").where(~F.array_contains("path", F.col("next")))
-        level = step.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), "direction")
-        rows = level.select("start", "node", F.lit(d).alias("depth"), "direction").distinct()
+        inner = [c for c in level.columns if c not in ("start", "node")]
+        step = _step(level, both, heavy).where(F.col("next") != F.col("start"))
+        for c in inner:
+            step = step.where(F.col("next") != F.col(c))
+        rows = step.select("start", F.col("next").alias("node"), F.lit(d).alias("depth"), "direction").distinct()
         out = rows if out is None else out.unionAll(rows)
+        passed = [F.col("node").alias(f"p{d}")] if 1 < d < depth else []
+        level = step.select("start", F.col("next").alias("node"), *inner, *passed).distinct()
     return out
 
 
@@ -60,9 +88,10 @@ def impact(paths: DataFrame, entities: DataFrame, links: DataFrame, edges: DataF
     ``entities``: entity, path; ``links``: record, entity; ``edges``: source, target of records.
     """
     own = paths.join(entities, "path")
-    hit = own.join(links, "entity").select("path", "record").distinct()
+    hit = keep(own.join(links, "entity").select("path", "record").distinct(), "hit")
     near = reach(hit.select(F.col("record").alias("start")).distinct(), edges, 2).select(F.col("start").alias("record"), F.col("node").alias("related")).distinct()
     related = hit.join(near, "record").select("path", "related").distinct().join(hit.select("path", F.col("record").alias("related")), ["path", "related"], "left_anti")
+    related = keep(related, "related")
     every = hit.select("path", "record").unionAll(related.select("path", F.col("related").alias("record")))
     touched = every.join(links, "record").join(entities.select("entity", F.col("path").alias("other")), "entity").groupBy("path").agg(F.countDistinct("other").alias("paths"))
     counts = lambda rows, c: rows.groupBy("path").agg(F.countDistinct(c).alias(n))

@@ -106,6 +106,14 @@ def corrections(rows: DataFrame) -> DataFrame:
     return rows.select("session", "type", text.alias("text"), detect.infer_kind(F.col("context")).alias("kind"), detect.infer_risk(F.col("context")).alias("risk"), "confidence")
 
 
+def apply_learnings(rows: DataFrame, confidence: float = 0.4) -> DataFrame:
+    """Corrections (session, text, kind, risk), the first of each text and kind: those of low risk as records, the rest as proposals."""
+    first = Window.partitionBy("text", "kind").orderBy("session")
+    once = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    low = F.col("risk") == "low"
+    return once.select("session", "kind", "text", F.when(low, "record").otherwise("proposal").alias("target"), F.when(low, F.lit(confidence)).alias("confidence"))
+
+
 def mine(lines: DataFrame, least: float = 0.5, most: int = 10) -> DataFrame:
     """session, failures, automatic, pending: hits per session, and how many of its first corrections need no review."""
     hits = distinct_failures(failures(lines)).where(F.col("confidence") >= least)

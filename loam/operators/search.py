@@ -212,12 +212,37 @@ SYNONYMS = {
 }
 
 
-def expand_queries(queries: DataFrame, per_term: int = 2, most: int = 30) -> DataFrame:
-    """query, terms: each query's own terms, then up to ``per_term`` synonyms of those not negated."""
+#: Terms taken from the paths of a query, for a search and for an embedding.
+SEARCH_PATH_TERMS, EMBED_PATH_TERMS = 10, 5
+
+
+def _path_terms(queries: DataFrame, n: int) -> Column:
+    """The first different terms of a query's paths (a column ``paths``, where there is one)."""
+    if "paths" not in queries.columns:
+        return F.array().cast("array<string>")
+    every = F.flatten(F.transform(F.coalesce("paths", F.array().cast("array<string>")), lambda p: F.coalesce(T.path_terms(p), F.array().cast("array<string>"))))
+    return F.slice(F.array_distinct(every), 1, n)
+
+
+def _synonyms(terms: Column, text: Column, per_term: int) -> Column:
+    """Up to ``per_term`` synonyms of every term that the text doesn't negate."""
     table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v[:per_term]]))])
-    own = T.query_terms(F.col("text"))
-    more = F.flatten(F.transform(F.array_except(own, T.negated_terms(F.col("text"))), lambda w: F.coalesce(table[w], F.array().cast("array<string>"))))
-    return queries.select("query", F.slice(F.array_distinct(F.concat(own, more)), 1, most).alias("terms"))
+    own = F.array_except(terms, F.coalesce(T.negated_terms(text), F.array().cast("array<string>")))
+    return F.flatten(F.transform(own, lambda w: F.coalesce(table[w], F.array().cast("array<string>"))))
+
+
+def expand_queries(queries: DataFrame, per_term: int = 2, most: int = 30) -> DataFrame:
+    """query, terms: each query's own terms (query, text, optionally paths), synonyms of those not negated, then terms of its paths."""
+    own = F.coalesce(T.query_terms(F.col("text")), F.array().cast("array<string>"))
+    terms = let(own, lambda ts: F.array_distinct(F.concat(ts, _synonyms(ts, F.col("text"), per_term), _path_terms(queries, SEARCH_PATH_TERMS))))
+    return queries.select("query", F.slice(terms, 1, most).alias("terms"))
+
+
+def embedding_text(queries: DataFrame, per_term: int = 2, most: int = 5) -> DataFrame:
+    """query, embed_text: the text with the first ``most`` synonyms of its terms and terms of its paths behind it."""
+    own = F.coalesce(T.query_terms(F.col("text")), F.array().cast("array<string>"))
+    more = let(own, lambda ts: F.slice(F.array_distinct(F.array_except(_synonyms(ts, F.col("text"), per_term), ts)), 1, most))
+    return queries.select("query", F.concat_ws(" ", "text", F.array_join(more, " "), F.array_join(_path_terms(queries, EMBED_PATH_TERMS), " ")).alias("embed_text"))
 
 
 def explain(factors: dict[str, Column], n: int = 3) -> Column:

@@ -215,16 +215,17 @@ def grf4_records_for_code(t):
     return t.lineitem.join(entities, "l_partkey").select("path", F.col("l_orderkey").alias("record")).distinct()
 
 
-@query("""WITH ent AS (SELECT p_partkey AS entity, p_type || p_size AS path FROM part), lk AS (SELECT DISTINCT l_orderkey AS record, l_partkey AS entity FROM lineitem), ed AS (SELECT o_orderkey AS s, o_orderkey + 1 AS t FROM orders WHERE o_orderkey % 3 = 0),
-p AS (SELECT DISTINCT path FROM ent WHERE entity % 40 = 0), own AS (SELECT path, entity FROM p JOIN ent USING (path)), hit AS (SELECT DISTINCT path, record FROM own JOIN lk USING (entity)),
+@query("""WITH ent AS (SELECT p_partkey AS entity, p_type || p_size AS path FROM part), lk AS (SELECT DISTINCT l_orderkey AS record, l_partkey AS entity FROM lineitem), ed AS (SELECT o_orderkey AS s, o_orderkey + 1 AS t FROM orders),
+p AS (SELECT DISTINCT path FROM ent), own AS (SELECT path, entity FROM p JOIN ent USING (path)), hit AS (SELECT DISTINCT path, record FROM own JOIN lk USING (entity)),
 b AS (SELECT s AS a, t AS b FROM ed UNION ALL SELECT t, s FROM ed), near AS (SELECT DISTINCT h.path, b.b AS r FROM hit h JOIN b ON b.a = h.record UNION SELECT h.path, c.b FROM hit h JOIN b ON b.a = h.record JOIN b c ON c.a = b.b AND c.b <> h.record),
 rel AS (SELECT path, r FROM near EXCEPT SELECT path, record FROM hit), ev AS (SELECT path, record FROM hit UNION ALL SELECT path, r FROM rel), tp AS (SELECT ev.path, count(DISTINCT e.path) AS paths FROM ev JOIN lk USING (record) JOIN ent e USING (entity) GROUP BY ev.path)
-SELECT p.path, (SELECT count(*) FROM own WHERE own.path = p.path) AS entities, (SELECT count(*) FROM hit WHERE hit.path = p.path) AS records, (SELECT count(*) FROM rel WHERE rel.path = p.path) AS related, coalesce(tp.paths, 0) AS paths FROM p LEFT JOIN tp ON tp.path = p.path""")
+SELECT p.path, coalesce(o.n, 0) AS entities, coalesce(h.n, 0) AS records, coalesce(r.n, 0) AS related, coalesce(tp.paths, 0) AS paths FROM p LEFT JOIN tp ON tp.path = p.path LEFT JOIN (SELECT path, count(*) AS n FROM own GROUP BY path) o ON o.path = p.path
+LEFT JOIN (SELECT path, count(*) AS n FROM hit GROUP BY path) h ON h.path = p.path LEFT JOIN (SELECT path, count(*) AS n FROM rel GROUP BY path) r ON r.path = p.path""")
 def grf5_impact(t):
     entities = t.part.select(F.col("p_partkey").alias("entity"), F.concat("p_type", F.col("p_size")).alias("path"))
     links = t.lineitem.select(F.col("l_orderkey").alias("record"), F.col("l_partkey").alias("entity")).distinct()
-    edges = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("source"), (F.col("o_orderkey") + 1).alias("target"))
-    return graph.impact(entities.where("entity % 40 = 0").select("path").distinct(), entities, links, edges)
+    edges = t.orders.select(F.col("o_orderkey").alias("source"), (F.col("o_orderkey") + 1).alias("target"))
+    return graph.impact(entities.select("path").distinct(), entities, links, edges)
 
 
 @query("""WITH n AS (SELECT 'r' || o_orderkey AS node FROM orders WHERE o_orderkey % 5 = 0 UNION SELECT 'e' || p_partkey FROM part WHERE p_size < 25),

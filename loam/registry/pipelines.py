@@ -16,7 +16,8 @@ from loam.operators import records as R
 from loam.plans.materialize import keep, shared_dir
 from loam.registry.base import query
 from loam.registry.search import BM25_SQL, KNN_SQL, PAIR_SQL, bm25, knn
-from loam.registry.text import P, PHRASES, W, phrased
+from loam.registry.jobs import FAIL_SQL
+from loam.registry.text import P, PHRASES, W, first_sql, phrased
 from loam.schemas import EPOCH, KIND_RISK, RISK_ORDER, case_sql, pick
 from loam.sources import code, transcripts
 
@@ -246,31 +247,46 @@ def lif4_history(t):
     return rows.select("entity", F.array_join(F.transform("es", lambda e: e["event_type"]), ">").alias("history"))
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 4 <> 0")
+@query("""SELECT 'record' AS what, o_orderkey AS id, NULL::BIGINT AS target FROM orders WHERE o_orderkey % 4 <> 0
+UNION ALL SELECT 'edge', l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 4 <> 0 AND NOT (l_partkey % 4 = 0 AND l_partkey IN (SELECT o_orderkey FROM orders))""")
 def lif6_forget(t):
     ids = t.orders.select(F.col("o_orderkey").alias("id"))
     edges = t.lineitem.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
-    return R.delete_cascade(ids, edges, ids.where("id % 4 = 0"))[0]
+    left, kept = R.delete_cascade(ids, edges, ids.where("id % 4 = 0"))
+    left = left.select(F.lit("record").alias("what"), "id", F.lit(None).cast("long").alias("target"))
+    return left.unionByName(kept.select(F.lit("edge").alias("what"), F.col("source").alias("id"), "target"))
+
+
+# Source text derived from parts: one file a type, in a language by the type's length, a class and functions in it.
+FILES = (("py", "class A:", "def f{}():"), ("ts", "export class A {", "export function f{}() {"), ("go", "type A struct {", "func f{}() {"), ("rs", "pub struct A {", "fn f{}() {"))
+PATH_SQL = "'src/' || replace(lower(p_type), ' ', '_') || '.' || ['py', 'ts', 'go', 'rs'][length(p_type) % 4 + 1]"
 
 
-# Source text derived from parts: one file a type, a class and functions in it.
 def part_sources(t):
-    line = F.concat(F.lit("def f"), F.col("p_partkey"), F.lit("():"))
-    rows = t.part.groupBy(F.concat(F.lit("src/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")), F.lit(".py")).alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))).alias("ls"))
-    return rows.select("path", F.concat(F.lit("class A:\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("text"))
+    which = F.length("p_type") % 4
+    of = lambda i: pick(tuple(f[i] for f in FILES), which)
+    path = F.concat(F.lit("src/"), F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")), F.lit("."), of(0))
+    line = F.replace(of(2), F.lit("{}"), F.col("p_partkey").cast("string"))
+    rows = t.part.groupBy(path.alias("path"), of(1).alias("head")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))).alias("ls"))
+    return rows.select("path", F.concat("head", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("text"))
 
 
-@query("SELECT 'src/' || replace(lower(p_type), ' ', '_') || '.py' AS path, least(count(*) + 1, 200) + 1 AS entities FROM part GROUP BY 1")
+@query(f"SELECT {PATH_SQL} AS path, least(count(*) + 1, 200) + 1 AS entities FROM part GROUP BY 1")
 def grf7_entities(t):
     return code.entities(part_sources(t)).groupBy("path").agg(F.count("*").alias("entities"))
 
 
-@query("SELECT sum(least(c + 1, 200) + 1)::BIGINT AS n FROM (SELECT count(*) AS c FROM part GROUP BY p_type)")
+@query(f"""WITH f AS (SELECT p_type, {PATH_SQL} AS path FROM part GROUP BY ALL), l AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part)
+SELECT path, 'file' AS type, NULL AS symbol FROM f WHERE length(p_type) % 3 <> 0 UNION ALL SELECT path, 'class', 'A' FROM f WHERE length(p_type) % 3 <> 0
+UNION ALL SELECT path, 'function', 'f' || p_partkey FROM l JOIN f USING (p_type) WHERE i < 200 AND length(p_type) % 3 <> 0""")
 def grf8_index_project(t):
-    return code.new_entities(code.entities(part_sources(t)), t.spark.createDataFrame([], "key string")).agg(F.count("*").alias("n"))
+    found = code.entities(part_sources(t))
+    stem = F.regexp_extract("path", r"src/(.*)\.", 1)
+    known = found.where(F.length(stem) % 3 == 0).select(T.entity_key(F.col("path"), F.col("type"), F.col("symbol"), F.col("line_no"), F.lit(None)).alias("key"))
+    return code.new_entities(found, known).select("path", "type", "symbol")
 
 
-@query("SELECT 'python' AS language, count(DISTINCT p_type) AS files FROM part")
+@query("SELECT ['python', 'typescript', 'go', 'rust'][length(p_type) % 4 + 1] AS language, count(DISTINCT p_type) AS files FROM part GROUP BY 1")
 def agg20_languages(t):
     return part_sources(t).groupBy(T.language_of(F.col("path")).alias("language")).agg(F.count("*").alias("files"))
 
@@ -329,10 +345,12 @@ def min6_sentence_picks(t):
     return phrased(t).select("doc_id", F.array_join(F.slice(hit, 1, 3), " ").alias("picked"))
 
 
-@query()
+@query(f"""{P}, k AS (SELECT doc_id, unnest({FAIL_SQL}) AS type, x FROM p), c AS (SELECT doc_id, type, type || ': ' || left(x, 200) AS text, {first_sql('x', D.KIND_RULES, 'fact')} AS kind, {first_sql('x', D.RISK_RULES, 'low')} AS risk FROM k),
+u AS (SELECT *, row_number() OVER (PARTITION BY text, kind ORDER BY doc_id) AS r FROM c)
+SELECT doc_id, kind, text, CASE WHEN risk = 'low' THEN 'record' ELSE 'proposal' END AS target, CASE WHEN risk = 'low' THEN 0.4::DOUBLE END AS confidence FROM u WHERE r = 1""")
 def min8_apply_learnings(t):
     rows = phrased(t).select(F.col("doc_id").alias("session"), F.col("x").alias("line"), F.col("x").alias("context"), F.inline(D.failure_hits(F.col("x"))))
-    return mining.corrections(rows).groupBy(F.when(F.col("risk") == "low", "record").otherwise("proposal").alias("target"), "kind").agg(F.count("*").alias("n"))
+    return mining.apply_learnings(mining.corrections(rows)).select(F.col("session").alias("doc_id"), "kind", "text", "target", "confidence")
 
 
 @query("""SELECT user_id AS session, count(*) AS calls, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id""")

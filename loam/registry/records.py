@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loam.functions import scoring, text
 from loam.operators import records as R
+from loam.plans.bucketed import Bucketed
+from loam.plans.materialize import shared_dir
 from loam.registry.base import query
 from loam.schemas import KIND_RISK, KINDS, RECORDS_SQL, RISK_ORDER, ROLE_PERMISSIONS, case_sql, lookup, pick, risk_of, risk_rank
 
@@ -135,9 +139,14 @@ def snk4_session_upsert(t):
     return out.select("user_id", F.unix_timestamp("created_at").alias("created_s"), F.unix_timestamp("updated_at.ts").alias("updated_s"), "state")
 
 
-@query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS rows FROM events GROUP BY ALL")
-def snk5_append_by_day(t):
-    return t.events.groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("rows"))
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 5 <> 4")
+def snk5_append(t):
+    """Events appended in four batches, of which the third comes twice, to a table in buckets by user; the last is never sent."""
+    rows = t.events.select("event_id", "user_id", "event_type")
+    log = Bucketed.create(rows.where("event_id % 5 = 0"), f"{shared_dir(t.spark)}/log-{uuid.uuid4().hex}", ["user_id"], 8)
+    for batch in (1, 2, 3, 3):
+        log.append(rows.where(f"event_id % 5 = {batch}"), batch)
+    return Bucketed(t.spark, log.path).read()
 
 
 @query("""SELECT l_orderkey, l_partkey, count(*) AS copies, bool_or(p_partkey IS NULL) AS missing FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10

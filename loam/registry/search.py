@@ -12,7 +12,8 @@ from loam.functions import text as T
 from loam.operators import dedup, evaluate, index, packing, search
 from loam.plans.materialize import shared_dir
 from loam.registry.base import query
-from loam.schemas import KIND_RISK, KINDS, RECORDS_SQL, RISK_ORDER, case_sql, pick
+from loam.registry.text import P, phrased
+from loam.schemas import KIND_RISK, KINDS, RECORDS_SQL, RISK_ORDER, case_sql
 from loam.sources.tables import table
 
 W = f"WITH {RECORDS_SQL}"
@@ -66,26 +67,33 @@ def agg22_term_stats(t):
 
 
 SYN_SQL = "MAP {" + ", ".join(f"'{k}': [{', '.join(repr(x) for x in v[:2])}]" for k, v in search.SYNONYMS.items()) + "}"
-WORDS = ("fix", "the", "bug", "login", "slow", "deploy", "not", "secret", "query", "index", "memory", "search", "update", "plain")
-WORD_SQL = "[" + ", ".join(repr(w) for w in WORDS) + "]"
 
+# Queries with files open: the phrased texts, and two paths of each.
+PHRASED_SQL = """q AS (SELECT doc_id AS query, y AS text, ['src/' || source || '/lib/' || lang || 'TokenParser.ts', 'docs/' || lang || '/guide.md'] AS paths FROM p JOIN documents USING (doc_id)),
+o AS (SELECT *, list_filter(string_split_regex(lower(text), '[^a-z0-9_-]+'), lambda w: length(w) >= 3 AND NOT list_contains(STOPS, w)) AS l FROM q),
+d AS (SELECT query, text, paths, list_filter(l, lambda w, i: list_position(l, w) = i)[1:20] AS own, list_transform(regexp_extract_all(text, 'NEG', 1), lambda w: lower(w)) AS neg FROM o),
+e AS (SELECT *, flatten(list_transform(list_filter(own, lambda w: length(w) <= 1 OR NOT list_contains(neg, w)), lambda w: coalesce(SYN[w], []))) AS syn,
+flatten(list_transform(paths, lambda p: list_filter(string_split_regex(lower(regexp_replace(p, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: length(x) > 2))) AS pt FROM d)""".replace(
+    "STOPS", "[" + ", ".join(repr(w) for w in T.STOP_WORDS) + "]").replace("NEG", T.NEGATED.replace("'", "''")).replace("SYN", SYN_SQL)
 
-@query(f"""WITH q AS (SELECT item_id AS query, {WORD_SQL}[(item_id % 14 + 1)::INT] AS a, {WORD_SQL}[(item_id // 3 % 14 + 1)::INT] AS b FROM benchmark),
-s AS (SELECT query, list_filter([a, b], lambda x: x NOT IN ('the')) AS own, CASE WHEN a = 'not' THEN b END AS neg FROM q),
-d AS (SELECT query, CASE WHEN len(own) = 2 AND own[1] = own[2] THEN own[1:1] ELSE own END AS own, neg FROM s),
-e AS (SELECT query, list_concat(own, flatten(list_transform(list_filter(own, lambda x: neg IS NULL OR x <> neg), lambda w: coalesce({SYN_SQL}[w], [])))) AS terms FROM d)
-SELECT query, array_to_string(list_sort(list_distinct(terms)), ',') AS terms FROM e""")
+
+def open_queries(t):
+    doc = t.documents.select("doc_id", "source", "lang")
+    paths = F.array(F.concat(F.lit("src/"), "source", F.lit("/lib/"), "lang", F.lit("TokenParser.ts")), F.concat(F.lit("docs/"), "lang", F.lit("/guide.md")))
+    return phrased(t).join(doc, "doc_id").select(F.col("doc_id").alias("query"), F.col("y").alias("text"), paths.alias("paths"))
+
+
+@query(f"""{P}, {PHRASED_SQL}, u AS (SELECT query, list_filter(pt, lambda w, i: list_position(pt, w) = i)[1:10] AS pt, own, syn FROM e),
+a AS (SELECT query, list_concat(own, syn, pt) AS l FROM u)
+SELECT query, array_to_string(list_sort(list_filter(l, lambda w, i: list_position(l, w) = i)[1:30]), ',') AS terms FROM a""")
 def ret1_query_expansion(t):
-    words = F.concat_ws(" ", pick(WORDS, F.col("item_id") % 14), pick(WORDS, F.floor(F.col("item_id") / 3) % 14))
-    out = search.expand_queries(t.benchmark.select(F.col("item_id").alias("query"), words.alias("text")))
-    return out.select("query", F.array_join(F.array_sort("terms"), ",").alias("terms"))
+    return search.expand_queries(open_queries(t)).select("query", F.array_join(F.array_sort("terms"), ",").alias("terms"))
 
 
-@query(f"""WITH q AS (SELECT item_id AS query, {WORD_SQL}[(item_id % 14 + 1)::INT] AS a FROM benchmark)
-SELECT query, a || ' ' || array_to_string(list_concat(CASE WHEN a = 'the' THEN [] ELSE [a] END, CASE WHEN a = 'the' THEN [] ELSE coalesce({SYN_SQL}[a], []) END)[1:5], ' ') AS embed_text FROM q""")
+@query(f"""{P}, {PHRASED_SQL}, u AS (SELECT query, text, list_filter(pt, lambda w, i: list_position(pt, w) = i)[1:5] AS pt, list_filter(syn, lambda w: NOT list_contains(own, w)) AS more FROM e)
+SELECT query, text || ' ' || array_to_string(list_filter(more, lambda w, i: list_position(more, w) = i)[1:5], ' ') || ' ' || array_to_string(pt, ' ') AS embed_text FROM u""")
 def ret2_embedding_expansion(t):
-    q = t.benchmark.select(F.col("item_id").alias("query"), pick(WORDS, F.col("item_id") % 14).alias("text"))
-    return q.join(search.expand_queries(q), "query").select("query", F.concat_ws(" ", "text", F.array_join(F.slice("terms", 1, 5), " ")).alias("embed_text"))
+    return search.embedding_text(open_queries(t))
 
 
 def embedded_sql(name: str, rows: str) -> str:

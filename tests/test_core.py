@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -193,6 +195,72 @@ def test_edges_and_reach(spark):
     assert {(r.node, r.depth) for r in got} == {(2, 1), (3, 1), (3, 2), (2, 2)}
 
 
+def test_reach_by_simple_paths(spark, monkeypatch):
+    """Against brute force to three hops, with a hub that is heavy, double edges and self loops."""
+    import random
+
+    monkeypatch.setattr(graph, "HEAVY_SHARE", 8)
+    rng = random.Random(6)
+    edges = [(0, k) for k in range(1, 30)] + [(rng.randrange(1, 30), rng.randrange(1, 30)) for _ in range(12)] + [(3, 3), (0, 4)]
+    both = [(a, b, "out") for a, b in edges] + [(b, a, "in") for a, b in edges]
+    want = set()
+
+    def walk(path, depth):
+        for a, b, d in both:
+            if a == path[-1] and b not in path:
+                want.add((path[0], b, depth, d))
+                if depth < 3:
+                    walk([*path, b], depth + 1)
+
+    for s in (2, 7):
+        walk([s], 1)
+    df = graph.reach(spark.createDataFrame([(2,), (7,), (2,)], "start long"), spark.createDataFrame(edges, "source long, target long"), 3)
+    got = [tuple(r) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want)
+    two = graph.reach(spark.createDataFrame([(2,)], "start long"), spark.createDataFrame(edges, "source long, target long"), 2)
+    assert {tuple(r) for r in two.collect()} == {x for x in want if x[0] == 2 and x[2] < 3}
+    assert graph._salted(graph.doubled(spark.createDataFrame(edges, "source long, target long")))[1].collect()[0].node == 0
+
+
+def test_similar_pending_copies_stay_linear(spark):
+    rows = [(i, "task", "one two three four words here") for i in range(300)] + [(400, "task", "one two three four words"), (401, "bug", "one two three four words"), (402, "task", ""), (403, "task", None)]
+    df = governance.similar_pending(spark.createDataFrame(rows, "id long, kind string, text string"))
+    got = {r.id: (r.into, round(r.similarity, 3)) for r in df.collect()}
+    assert got == {i: (0, 1.0) for i in range(1, 300)} | {400: (0, 0.833)}
+
+
+def test_normalize_is_linear_and_null_text_is_prose(spark):
+    import time
+
+    long = "a" + " \u00a0" * 200_000 + "b" + "\u2003 " * 1000
+    began = time.perf_counter()
+    assert len(one(spark, T.normalize, long)) == 400_002 and time.perf_counter() - began < 5
+    rows = spark.createDataFrame([(1, None), (2, "")], "id long, text string")
+    assert [r.t for r in rows.select(content.content_type(F.col("text")).alias("t")).collect()] == ["prose", "prose"]
+
+
+def test_rerank_reads_whole_texts(spark):
+    """Names behind the first thousand count, and a pair's score is that of its own texts."""
+    names = " ".join(f"Name{chr(65 + k % 26)}{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}Part" for k in range(1500))
+    rows = spark.createDataFrame([(1, names + " VeryLastName"), (2, "where is it"), (3, None)], "id long, text string")
+    asked = spark.createDataFrame([(1, "where is VeryLastName"), (2, None)], "query long, text string")
+    hits = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.5), (2, 1, 0.5), (1, 3, 0.5)], "query long, id long, score double")
+    got = {(r.query, r.id): r.final for r in search.rerank(hits, asked, rows, 5, 0.0).collect()}
+    words = 1501
+    keyword = math.exp(-(words - 1) / 50) / 3 * 0.4 + 0.05
+    assert abs(got[1, 1] - (0.15 + 0.7 * (keyword + 0.25 * 0.25))) < 1e-9
+    keyword = (1 + math.exp(-1 / 50)) / 3 * 0.4 + 3 / 20 * 0.05
+    assert abs(got[1, 2] - (0.15 + 0.7 * keyword)) < 1e-9
+
+
+def test_expansion_takes_paths(spark):
+    q = spark.createDataFrame([(1, "fix the login bug, not slow", ["src/authFlow/TokenParser.ts", None]), (2, None, None)], "query long, text string, paths array<string>")
+    got = {r.query: r.terms for r in search.expand_queries(q).collect()}
+    assert got[1][:4] == ["fix", "login", "bug", "not"] and {"resolve", "auth", "error", "token", "parser", "flow"} <= set(got[1]) and not {"performance", "latency"} & set(got[1]) and got[2] == []
+    text = {r.query: r.embed_text for r in search.embedding_text(q).collect()}
+    assert text[1].startswith("fix the login bug, not slow resolve patch auth") and text[1].endswith("src auth flow token parser")
+
+
 def test_prefix_resolution(spark):
     ids = spark.createDataFrame([("abc",), ("abd",), ("xyz",)], "id string")
     got = records.resolve_prefixes(spark.createDataFrame([("ab",), ("x",), ("q",)], "prefix string"), ids).collect()
