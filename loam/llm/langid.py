@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from loam.functions.binding import aside
 
+#: Languages that are learned at most: the ones with most rows.
+MOST_LANGS = 128
 SAMPLE_DOCS = 6_000
 BUCKETS = 1 << 17
 SWITCH = 12.0
@@ -210,11 +212,12 @@ def fair_share(sizes: list[int], total: int) -> int:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """Fit on the sampled rows of ``docs``; the caller has left out what must not be learned from."""
-    # over all columns: copies of one text are sampled each by itself, so the sample stays near its bound
-    digest = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]).bitwiseAND(F.lit((1 << 30) - 1))
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    # by the text alone: copies of one are sampled together, then counted as one row with its number
+    digest = F.xxhash64(text).bitwiseAND(F.lit((1 << 30) - 1))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), digest.alias("digest"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("digest").alias("least")).collect()
+    sizes = rows.groupBy("lang", "digest").agg(F.count("*").alias("copies")).groupBy("lang").agg(F.sum("copies").alias("rows"), F.count("*").alias("n"), F.min("digest").alias("least"))
+    sizes = sizes.orderBy(F.desc("rows"), "lang").limit(MOST_LANGS).collect()
     langs = sorted(r["lang"] for r in sizes)
     seen = np.zeros((BUCKETS + len(NAMES), len(langs)), dtype=np.int64)
     if not langs:
@@ -226,13 +229,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {}
         for pdf in batches:
-            for name, own in pdf.groupby("lang")["text"]:
-                sums[name] = sums.get(name, 0) + counted(own)
+            for (name, copies), own in pdf.groupby(["lang", "copies"])["text"]:
+                sums[name] = sums.get(name, 0) + copies * counted(own)
         for name, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"lang": name, "bucket": at, "n": counts[at]})
 
-    sample = rows.where(F.col("digest") <= bound[F.col("lang")]).select("lang", "text")
+    sample = rows.where(F.col("digest") <= bound[F.col("lang")]).groupBy("lang", "text").agg(F.count("*").alias("copies"))
     sums = sample.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     column = {name: i for i, name in enumerate(langs)}
     at = np.fromiter((column[x] for x in sums["lang"].to_pylist()), dtype=np.int64, count=sums.num_rows)
