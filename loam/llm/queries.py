@@ -200,15 +200,17 @@ a AS (SELECT *, ('0x' || md5(name)[1:2])::BIGINT AS a FROM n WHERE name <> ''),
 entries AS (
   SELECT 'd:' || name AS key, a % 90 AS day, 'add' AS action, 'spam' AS category FROM a WHERE kind = 'h' AND a % 4 = 0
   UNION ALL SELECT 'd:' || name, a % 60 + 120, 'remove', 'spam' FROM a WHERE kind = 'h' AND a % 4 = 0
-  UNION ALL SELECT 'd:' || name, 240, 'add', 'malware' FROM a WHERE kind = 'h' AND a % 8 = 0
+  UNION ALL SELECT 'd:' || name, a % 60 + 40, 'add', 'malware' FROM a WHERE kind = 'h' AND a % 8 = 0
+  UNION ALL SELECT 'd:' || name, a % 90, 'add', 'fraud' FROM a WHERE kind = 'h' AND a % 8 = 0
+  UNION ALL SELECT 'd:' || name, 300, 'remove', 'malware' FROM a WHERE kind = 'h' AND a % 8 = 0
   UNION ALL SELECT 'd:' || name, 30, 'add', 'adult' FROM a WHERE kind = 's' AND a % 16 = 1
   UNION ALL SELECT 'd:' || name, 200, 'remove', 'adult' FROM a WHERE kind = 's' AND a % 16 = 1
   UNION ALL SELECT 'p:' || name, a, 'add', 'tracker' FROM a WHERE kind = 'p' AND a % 8 = 2),
 best AS (
-  SELECT key, day, max((action, category)) AS e FROM entries GROUP BY key, day),
+  SELECT key, category, day, max(action) AS action FROM entries GROUP BY key, category, day),
 iv AS (
   SELECT * FROM (
-    SELECT key, day AS from_day, lead(day) OVER (PARTITION BY key ORDER BY day) AS to_day, e[1] AS action, e[2] AS category FROM best)
+    SELECT key, category, day AS from_day, lead(day) OVER (PARTITION BY key, category ORDER BY day) AS to_day, action FROM best)
   WHERE action = 'add'),
 k AS (
   SELECT page_id, fetch_day, host, 'd:' || array_to_string(l[i:], '.') AS key, len(l) - i + 1 AS depth

@@ -69,7 +69,10 @@ def url_filter(captures: DataFrame, entries: DataFrame, url: str = "url", day: s
 
 
 def entries_from_pages(pages: DataFrame) -> DataFrame:
-    """A dated list derived from the hosts of the pages themselves: which keys are listed when follows from digests of the keys."""
+    """A dated list derived from the hosts of the pages themselves: which keys are listed when follows from digests of the keys.
+
+    Categories of a key overlap, and some begin on one day.
+    """
     byte = lambda c: F.conv(F.substring(F.md5(c), 1, 2), 16, 10).cast("long")
     named = pages.select(host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("seg")).where("host <> ''")
     entry = lambda key, day, action, category: F.struct(
@@ -82,7 +85,7 @@ def entries_from_pages(pages: DataFrame) -> DataFrame:
         F.inline(
             F.concat(
                 F.array(entry(key, a % 90, "add", "spam"), entry(key, a % 60 + 120, "remove", "spam")),
-                F.when(a % 8 == 0, F.array(entry(key, F.lit(240), "add", "malware"))).otherwise(none),
+                F.when(a % 8 == 0, F.array(entry(key, a % 60 + 40, "add", "malware"), entry(key, a % 90, "add", "fraud"), entry(key, F.lit(300), "remove", "malware"))).otherwise(none),
             )
         )
     )
