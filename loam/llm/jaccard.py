@@ -77,6 +77,12 @@ def shingle_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return k[new], o[new]
 
 
+def single_shingle(text: bytes) -> int:
+    """A second hash of the shingle of a text that has one: its first words, up to five."""
+    words = text.translate(LOWER.tobytes()).split(None, WORDS)[:WORDS]
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
+
+
 def _need(n: Column) -> Column:
     """ceil(0.8 n)"""
     return F.floor((4 * n + 4) / 5).cast("long")
@@ -89,6 +95,9 @@ def _fingerprint(keys: pd.Series) -> pd.Series:
 def _linked(na: pd.Series, nb: pd.Series, ka: pd.Series, kb: pd.Series) -> pd.Series:
     out = []
     for x, y, a, b in zip(na, nb, ka, kb, strict=True):
+        if x == y == 1:  # equal sets are one class; two classes of one key each differ by their second hash
+            out.append(False)
+            continue
         a, b = np.sort(a), np.sort(b)
         # suffix filter: what the halves around a's middle key can share at most
         cut = len(a) // 2
@@ -114,12 +123,12 @@ def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document with an id."""
     sets = keep(
-        shared_keys(docs, shingle_keys).select(
-            "doc_id", "n", F.size("keys").cast("long").alias("n_shared"), F.when(F.size("keys") >= F.greatest(_need(F.col("n")), F.lit(1)), F.col("keys")).alias("keys")
+        shared_keys(docs, shingle_keys, checker=single_shingle).select(
+            "doc_id", "n", "second", F.size("keys").cast("long").alias("n_shared"), F.when(F.size("keys") >= F.greatest(_need(F.col("n")), F.lit(1)), F.col("keys")).alias("keys")
         ),
         "jaccard-sets",
     )
-    whole = sets.where("keys IS NOT NULL AND n_shared = n").select("doc_id", F.pandas_udf(_fingerprint, "binary")("keys").alias("fp"))
+    whole = sets.where("keys IS NOT NULL AND n_shared = n").select("doc_id", F.concat(F.hex(F.pandas_udf(_fingerprint, "binary")("keys")), F.when(F.col("n") == 1, F.hex("second")).otherwise("")).alias("fp"))
     # equal sets share all their keys; the others of a class are named by a join, so that none is gathered
     whole = keep(whole, "jaccard-whole")
     firsts = whole.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("fp", "rep")

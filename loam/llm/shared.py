@@ -7,6 +7,8 @@ documents of a stretch is shared and common whatever the rest of the corpus says
 per stretch without owners, so a key that a third of all documents hold costs each stretch one entry.
 A key that ``MANY`` documents of the whole corpus hold is common as well, however thinly it is spread.
 
+Documents of a single key, which one clash of two keys would make equal, carry a second hash of what the key stands for.
+
 ``shared_keys`` returns a row per document: its number of keys and its shared keys in a global order,
 rare first: by the number of documents that hold the key, common keys last
 (from place ``n_rare`` on), ties by key. Keys that no other document holds come before all of them and are not returned.
@@ -37,6 +39,8 @@ COMMON = np.uint32(0xFFFFFFFF)
 
 #: Takes UTF-8 texts, returns (keys, document index of each), grouped by document, no key twice in one.
 Keyer = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+#: Takes the text of a document with a single key, returns a second hash of it.
+Checker = Callable[[bytes], int]
 
 
 def give_back() -> None:
@@ -81,8 +85,8 @@ def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
-STAGE = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("at", pa.binary()), ("docs", pa.binary())])
-ANSWER = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("df", pa.binary())])
+STAGE = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("at", pa.binary()), ("docs", pa.binary()), ("second", pa.int64())])
+ANSWER = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("df", pa.binary()), ("second", pa.int64())])
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -104,14 +108,14 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
         yield np.array(ids, dtype=np.int64), texts
 
 
-def _stretch(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, shift: int) -> pa.RecordBatch:
+def _stretch(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, second: np.ndarray, shift: int) -> pa.RecordBatch:
     """Packed rows of one stretch: a row per document with its common keys, a row per key range with the rest."""
     order = np.argsort(keys, kind="stable")
     sorted_keys, sorted_owner = keys[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
     times = np.diff(np.concatenate([first, [len(keys)]]))
     hot = np.repeat(times >= HOT, times)
-    common = _documents(ids, np.bincount(owner, minlength=len(ids)), sorted_owner[hot], sorted_keys[hot], shift)
+    common = _documents(ids, np.bincount(owner, minlength=len(ids)), sorted_owner[hot], sorted_keys[hot], second, shift)
     rows: dict[str, list] = {name: [] for name in STAGE.names}
 
     send = np.concatenate([np.flatnonzero(~hot), first[times >= HOT]])
@@ -122,35 +126,39 @@ def _stretch(ids: np.ndarray, keys: np.ndarray, owner: np.ndarray, shift: int) -
     for a, b in runs(ranges):
         used, at = np.unique(owners[a:b], return_inverse=True)
         docs = ids[used[used < len(ids)]]
-        for name, v in zip(STAGE.names, (int(ranges[a]), None, None, squeeze(pack(sent[a:b])), squeeze(at.astype("<u2")), squeeze(docs)), strict=True):
+        for name, v in zip(STAGE.names, (int(ranges[a]), None, None, squeeze(pack(sent[a:b])), squeeze(at.astype("<u2")), squeeze(docs), None), strict=True):
             rows[name].append(v)
     return pa.Table.from_batches([common, pa.RecordBatch.from_pydict(rows, schema=STAGE)]).combine_chunks().to_batches()[0]
 
 
-def _documents(ids: np.ndarray, n: np.ndarray, owner: np.ndarray, keys: np.ndarray, shift: int) -> pa.RecordBatch:
+def _documents(ids: np.ndarray, n: np.ndarray, owner: np.ndarray, keys: np.ndarray, second: np.ndarray, shift: int) -> pa.RecordBatch:
     """A row per document with its own common keys."""
     order = np.argsort(owner, kind="stable")
     blobs = binary(keys[order], np.bincount(owner, minlength=len(ids)))
     none = pa.nulls(len(ids), pa.binary())
     slots = pa.array(ids % (1 << (BITS - shift)))
-    return pa.RecordBatch.from_arrays([slots, pa.array(ids), pa.array(n.astype(np.int64)), blobs, none, none], schema=STAGE)
+    return pa.RecordBatch.from_arrays([slots, pa.array(ids), pa.array(n.astype(np.int64)), blobs, none, none, pa.array(second)], schema=STAGE)
 
 
-def _emit(keyer: Keyer, shift: int):
+def _emit(keyer: Keyer, checker: Checker | None, shift: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, owner, count, docs = [], [], [], 0, 0
+        ids, keys, owner, second, count, docs = [], [], [], [], 0, 0
         for own, texts in chunks(batches):
             k, o = keyer(texts)
+            check = np.zeros(len(own), dtype=np.int64)
+            for d in np.flatnonzero(np.bincount(o, minlength=len(own)) == 1).tolist() if checker else ():
+                check[d] = checker(texts[d])
+            second.append(check)
             ids.append(own)
             keys.append(k)
             owner.append(o + docs)
             docs += len(own)
             count += len(k)
             if count >= STRETCH_KEYS or docs >= 60_000:
-                yield _stretch(np.concatenate(ids), np.concatenate(keys), np.concatenate(owner), shift)
-                ids, keys, owner, count, docs = [], [], [], 0, 0
+                yield _stretch(np.concatenate(ids), np.concatenate(keys), np.concatenate(owner), np.concatenate(second), shift)
+                ids, keys, owner, second, count, docs = [], [], [], [], 0, 0
         if ids:
-            yield _stretch(np.concatenate(ids), np.concatenate(keys), np.concatenate(owner), shift)
+            yield _stretch(np.concatenate(ids), np.concatenate(keys), np.concatenate(owner), np.concatenate(second), shift)
         ids, keys, owner = [], [], []
         give_back()
 
@@ -159,9 +167,9 @@ def _emit(keyer: Keyer, shift: int):
 
 def _resolve(group: pa.Table) -> pa.Table:
     """All packed rows of one slot: documents pass with their common keys; keys held twice go back to their owners."""
-    plain = group.filter(pc.is_null(group["at"])).select(["doc_id", "n", "keys"]).combine_chunks()
+    plain = group.filter(pc.is_null(group["at"])).select(["doc_id", "n", "keys", "second"]).combine_chunks()
     sizes = pc.binary_length(plain["keys"]).to_numpy(zero_copy_only=False) // 8
-    parts = [pa.Table.from_arrays([*plain.columns, binary(np.full(sizes.sum(), COMMON, dtype="<u4"), sizes)], schema=ANSWER)]
+    parts = [pa.Table.from_arrays([*plain.columns[:3], binary(np.full(sizes.sum(), COMMON, dtype="<u4"), sizes), plain["second"]], schema=ANSWER)]
     keys, owners, owned = [], [], []
     packed = group.filter(pc.is_valid(group["at"]))
     for blob, at, docs in zip(*(packed.column(c).to_pylist() for c in ("keys", "at", "docs")), strict=True):
@@ -185,7 +193,7 @@ def _resolve(group: pa.Table) -> pa.Table:
             cuts = np.array(runs(o))
             counts = cuts[:, 1] - cuts[:, 0]
             ids = pa.array(o[cuts[:, 0]])
-            parts.append(pa.Table.from_arrays([ids, pa.nulls(len(ids), pa.int64()), binary(k.astype("<u8"), counts), binary(df.astype("<u4"), counts)], schema=ANSWER))
+            parts.append(pa.Table.from_arrays([ids, pa.nulls(len(ids), pa.int64()), binary(k.astype("<u8"), counts), binary(df.astype("<u4"), counts), pa.nulls(len(ids), pa.int64())], schema=ANSWER))
     keys = owners = owned = None
     give_back()
     return pa.concat_tables(parts).combine_chunks()
@@ -214,8 +222,8 @@ def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rare = np.bincount(row[new & (df < COMMON)], minlength=batch.num_rows)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(keys[new].astype(np.int64)))
-            columns = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int64)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "n_rare", "keys"])
+            columns = [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(rare.astype(np.int64)), lists, batch.column("second")]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "n_rare", "keys", "second"])
     give_back()
 
 
@@ -225,10 +233,10 @@ def key_ranges(docs: DataFrame) -> int:
     return BITS - max(6, int(np.ceil(np.log2(max(1, size / RANGE_BYTES)))))
 
 
-def shared_keys(docs: DataFrame, keyer: Keyer, shift: int | None = None) -> DataFrame:
-    """doc_id, n (its keys), n_rare, keys (those shared, in global order) of every document (doc_id, text) with an id."""
-    packed = docs.select("doc_id", "text").mapInArrow(_emit(keyer, key_ranges(docs) if shift is None else shift), "slot long, doc_id long, n long, keys binary, at binary, docs binary")
+def shared_keys(docs: DataFrame, keyer: Keyer, shift: int | None = None, checker: Checker | None = None) -> DataFrame:
+    """doc_id, n (its keys), n_rare, keys (those shared, in global order), second of every document (doc_id, text) with an id."""
+    packed = docs.select("doc_id", "text").mapInArrow(_emit(keyer, checker, key_ranges(docs) if shift is None else shift), "slot long, doc_id long, n long, keys binary, at binary, docs binary, second long")
     # documents and key ranges meet in the same exchange; a slot of either kind is small
-    answers = packed.groupBy("slot").applyInArrow(_resolve, "doc_id long, n long, keys binary, df binary")
-    per_doc = answers.groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list("keys").alias("keys"), F.collect_list("df").alias("df"))
-    return per_doc.mapInArrow(_ordered, "doc_id long, n long, n_rare long, keys array<long>")
+    answers = packed.groupBy("slot").applyInArrow(_resolve, "doc_id long, n long, keys binary, df binary, second long")
+    per_doc = answers.groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list("keys").alias("keys"), F.collect_list("df").alias("df"), F.max("second").alias("second"))
+    return per_doc.mapInArrow(_ordered, "doc_id long, n long, n_rare long, keys array<long>, second long")

@@ -396,6 +396,8 @@ def test_secret_candidates():
     assert found("plain Words arestill nothing") == []
     assert found("ab12cd camelCase 123456 sixteenletterword key: hidden x='unquoted'") == ["ab12cd", "camelCase", "123456", "sixteenletterword", "hidden", "unquoted"]
     assert found("ab1 x=ab") == [] and found("") == []
+    assert found("pwd=hunterxyz key=hiddenword end key:  hiddenagain auth: hunterxyz 'k' = \"letters\"") == ["hunterxyz", "hiddenword", "hiddenagain", "hunterxyz", "letters"]
+    assert found("a==hunterxyz QUJDREVGR1==") == ["hunterxyz", "QUJDREVGR1"]
 
 
 def test_secret_network(spark):
@@ -560,6 +562,26 @@ def test_language_sample_keeps_rare_labels(spark, monkeypatch):
     assert [langid.fair_share(s, 60) for s in ([5, 1000, 200], [10, 20], [70] * 100)] == [27, 50, 1]
 
 
+def test_language_model_depends_on_texts_alone(spark, monkeypatch):
+    """More rows than the sample takes: other ids, another order and another column leave the model as it is; languages beyond the bound aren't learned."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 30)
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    rows = [(i, f"the house number {i * 7919} near the river", "en") for i in range(300)] + [(1000 + i, f"das Haus Nummer {i * 7919} am Fluss", "de") for i in range(90)]
+    rows += [(2000 + i, "an equal text", "en") for i in range(200)] + [(3000, "la maison", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = langid.train(docs)
+    other = langid.train(docs.select((F.col("doc_id") * 31 + 5).alias("doc_id"), "text", "lang", F.rand(3).alias("noise")).orderBy("noise"))
+    assert one.langs == other.langs == ["de", "en"] and (one.table == other.table).all()
+
+
+def test_jaccard_short_texts_need_a_second_hash(spark, monkeypatch):
+    """Where the keys of short texts clash, only equal texts link."""
+    monkeypatch.setattr(jaccard, "MASK56", jaccard.np.uint64(0))
+    rows = [(1, "alpha"), (2, "beta"), (3, "ALPHA "), (4, "alpha beta"), (5, "beta"), (6, "a b c d e"), (7, "A b c d e"), (5, "beta")]
+    near = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near == {1: 1, 2: 2, 3: 1, 4: 4, 5: 2, 6: 6, 7: 6}
+
+
 def test_url_intervals(spark):
     log = [("d:x.example", 10, "add", "spam"), ("d:x.example", 20, "remove", "spam"), ("d:x.example", 30, "add", "adult"), (None, 1, "add", "z")]
     entries = spark.createDataFrame(log, "key string, day long, action string, category string")
