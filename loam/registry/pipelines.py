@@ -258,7 +258,7 @@ def lif6_forget(t):
 
 
 # Source text derived from parts: one file a type, in a language by the type's length, a class and functions in it.
-FILES = (("py", "class A:", "def f{}():"), ("ts", "export class A {", "export function f{}() {"), ("go", "type A struct {", "func f{}() {"), ("rs", "pub struct A {", "fn f{}() {"))
+FILES = (("py", "class A:", "def f{}(): # {"), ("ts", "class A { x = '}' }", "function f{}() { return 1 }"), ("go", "type A struct { }", "func f{}() { }"), ("rs", "pub struct A { }", "fn f{}() { }"))
 PATH_SQL = "'src/' || replace(lower(p_type), ' ', '_') || '.' || ['py', 'ts', 'go', 'rs'][length(p_type) % 4 + 1]"
 
 
@@ -271,9 +271,12 @@ def part_sources(t):
     return rows.select("path", F.concat("head", F.lit("\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("text"))
 
 
-@query(f"SELECT {PATH_SQL} AS path, least(count(*) + 1, 200) + 1 AS entities FROM part GROUP BY 1")
+# In Python the class has the functions below it on its own level, so each entity is one line.
+@query(f"""WITH f AS (SELECT p_type, {PATH_SQL} AS path, count(*) + 1 AS lines FROM part GROUP BY ALL), l AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part)
+SELECT path, 'file' AS type, NULL AS symbol, NULL AS line_no, lines AS line_end FROM f UNION ALL SELECT path, 'class', 'A', 1, 1 FROM f
+UNION ALL SELECT path, 'function', 'f' || p_partkey, i + 1, i + 1 FROM l JOIN f USING (p_type) WHERE i < 200""")
 def grf7_entities(t):
-    return code.entities(part_sources(t)).groupBy("path").agg(F.count("*").alias("entities"))
+    return code.entities(part_sources(t)).select("path", "type", "symbol", F.col("line_no").cast("long").alias("line_no"), F.col("line_end").cast("long").alias("line_end"))
 
 
 @query(f"""WITH f AS (SELECT p_type, {PATH_SQL} AS path FROM part GROUP BY ALL), l AS (SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS i FROM part)

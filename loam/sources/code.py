@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.functions import structure
 from loam.functions import text as T
 
 SKIPPED = ("node_modules", "dist", "build", "vendor", "target", "coverage", "__pycache__")
-# Declarations by language family (language, entity type, pattern with the name in group 1).
-DECLARATIONS = (
-    ("typescript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(\w+)"),
-    ("typescript", "function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\("),
-    ("typescript", "class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"),
-    ("javascript", "function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"),
-    ("javascript", "class", r"^\s*(?:export\s+)?class\s+(\w+)"),
-    ("python", "function", r"^\s*(?:async\s+)?def\s+(\w+)"),
-    ("python", "class", r"^\s*class\s+(\w+)"),
-    ("go", "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"),
-    ("go", "class", r"^type\s+(\w+)\s+struct"),
-    ("rust", "function", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"),
-    ("rust", "class", r"^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)"),
-)
-
-
 def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...], most_bytes: int = 512_000) -> DataFrame:
     """path, text of the files below ``root`` by extension and size; hidden and skipped folders are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -32,18 +20,27 @@ def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...], mo
     return kept.select("path", F.decode("content", "utf-8").alias("text"))
 
 
-def entities(files: DataFrame, most: int = 200) -> DataFrame:
-    """path, type, symbol, line, fingerprint: each file, and what it declares, once per type and symbol."""
-    typed = files.withColumn("language", T.language_of(F.col("path")))
-    lines = typed.select("path", "language", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    found = [
-        F.when((F.col("language") == lang) & F.col("line").rlike(p), F.struct(F.lit(kind).alias("type"), F.regexp_extract("line", p, 1).alias("symbol"))) for lang, kind, p in DECLARATIONS
-    ]
-    hits = lines.select("path", "at", "line", F.explode(F.array_compact(F.array(*found))).alias("e")).select("path", "e.type", "e.symbol", (F.col("at") + 1).alias("line_no"), T.djb2(F.col("line")).alias("fingerprint"))
-    once = hits.withColumn("r", F.row_number().over(Window.partitionBy("path", "type", "symbol").orderBy("line_no"))).where("r = 1").drop("r")
-    first = once.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("line_no", "type", "symbol"))).where(F.col("r") <= most).drop("r")
-    whole = files.select("path", F.lit("file").alias("type"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("int").alias("line_no"), T.djb2(F.col("text")).alias("fingerprint"))
-    return whole.unionByName(first)
+def entities(files: DataFrame, most: int = structure.MOST) -> DataFrame:
+    """path, type, symbol, line_no, line_end, parent, fingerprint: each file, and what it declares, once per type and symbol."""
+    typed = files.select("path", "text", T.language_of(F.col("path")).alias("language"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, text, language in pdf.itertuples(index=False):
+                lines = (text or "").split("\n")
+                rows += [(path, *e, lines[e[2] - 1]) for e in structure.entities_of(text or "", language, most)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "type", "symbol", "line_no", "line_end", "parent", "line"])
+
+    found = typed.mapInPandas(scan, "path string, type string, symbol string, line_no int, line_end int, parent string, line string")
+    found = found.withColumn("fingerprint", T.djb2(F.col("line"))).drop("line")
+    none = lambda kind: F.lit(None).cast(kind)
+    text = F.coalesce("text", F.lit(""))
+    whole = files.select(
+        "path", F.lit("file").alias("type"), none("string").alias("symbol"), none("int").alias("line_no"), F.size(F.split(text, "\n")).alias("line_end"), none("string").alias("parent"), T.djb2(text).alias("fingerprint")
+    )
+    return whole.unionByName(found)
 
 
 def new_entities(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -256,6 +256,108 @@ def test_source_tree(spark, tmp_path):
     assert code.new_entities(found, code.new_entities(found, spark.createDataFrame([], "key string"))).count() == 0
 
 
+TS = """import { x } from "./y";
+// class Commented { }
+export class Service extends Base {
+  private name = "} not a brace {";
+  async load({ id, deep = { a: 1 } }: Args): Promise<void> {
+    if (id) {
+      await this.go(`${id} }`);
+    }
+  }
+  get size() { return 1; }
+}
+export const add = (a: number, b: number): number => a + b;
+const wide = async (a) => {
+  return a;
+};
+export default function main() {
+}
+export { wide };
+export interface Shape { }
+"""
+PY = '''import os
+
+class Outer(Base):
+    """def not_one(): """
+
+    def run(
+        self,
+        x=(1, 2),
+    ):
+        # def comment():
+        return x
+
+    class Inner:
+        pass
+
+async def later():
+    text = \'\'\'
+def quoted():
+\'\'\'
+    return text
+
+def _private():
+    pass
+'''
+GO = """package main
+
+type Store struct {
+	items map[string]int
+}
+
+func (s *Store) Get(k string) (int, error) {
+	if v, ok := s.items[k]; ok { // }
+		return v, nil
+	}
+	return 0, errors.New("{")
+}
+
+type Reader interface { Read() }
+func Map[T any](x T) T { return x }
+"""
+RUST = """pub struct Point<'a> {
+    name: &'a str,
+}
+
+impl<'a> Point<'a> {
+    pub fn new(name: &'a str) -> Self {
+        let c = '{';
+        Point { name }
+    }
+}
+
+pub trait Show {
+    fn show(&self);
+}
+fn main() {
+}
+pub(crate) async fn fetch() -> u8 { 1 }
+"""
+
+
+def test_source_structure(spark):
+    from loam.functions import structure
+
+    assert structure.entities_of(TS, "typescript") == [
+        ("class", "Service", 3, 11, None), ("module", "Service", 3, 11, None), ("function", "load", 5, 9, "Service"), ("function", "size", 10, 10, "Service"),
+        ("function", "add", 12, 12, None), ("module", "add", 12, 12, None), ("function", "wide", 13, 15, None), ("function", "main", 16, 17, None), ("module", "main", 16, 17, None),
+        ("module", "wide", 18, 18, None), ("module", "Shape", 19, 19, None),
+    ]
+    assert structure.entities_of(PY, "python") == [
+        ("class", "Outer", 3, 14, None), ("function", "run", 6, 11, "Outer"), ("class", "Inner", 13, 14, "Outer"), ("function", "later", 16, 20, None),
+    ]
+    assert structure.entities_of(GO, "go") == [("class", "Store", 3, 5, None), ("function", "Get", 7, 12, None), ("class", "Reader", 14, 14, None), ("function", "Map", 15, 15, None)]
+    assert structure.entities_of(RUST, "rust") == [
+        ("class", "Point", 1, 3, None), ("function", "new", 6, 9, None), ("class", "Show", 12, 14, None), ("function", "show", 13, 13, "Show"), ("function", "fetch", 17, 17, None),
+    ]
+    assert structure.entities_of("", "go") == [] and structure.entities_of("class X {", "yaml") == []
+    files = spark.createDataFrame([("/a/app.ts", TS), ("/b/x.yaml", "key: value\n"), ("/c/none.py", None)], "path string, text string")
+    rows = code.entities(files).collect()
+    assert {(r.path, r.line_end) for r in rows if r.type == "file"} == {("/a/app.ts", 20), ("/b/x.yaml", 2), ("/c/none.py", 1)}
+    assert len([r for r in rows if r.type != "file"]) == 11 and all(len(r.fingerprint) == 8 for r in rows)
+
+
 def test_edges_and_reach(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "source long, target long")
     got = graph.reach(spark.createDataFrame([(1,)], "start long"), edges, 2).collect()
