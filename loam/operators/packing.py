@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from loam.functions import chunking, detect, scoring
 from loam.functions import text as T
 from loam.functions.binding import let
+from loam.plans.materialize import keep
 from loam.schemas import lookup, risk_of, risk_rank
 
 
@@ -27,12 +29,16 @@ def merge_details(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def greedy_prefix(rows: DataFrame, group: str, order: list[Column], cost: str, most: int, budget: int) -> DataFrame:
-    """The first rows of each group that fit ``most`` rows and ``budget``; the first row always fits, the first overflow ends it."""
+    """The first rows of each group that fit ``most`` rows and ``budget``; the first row always fits, the first overflow ends it.
+
+    Only the first ``most`` rows of a group get to the running sums, and each task passes on no more than these.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    ranked = rows.withColumn("place", F.row_number().over(w)).withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    over = ((F.col("used") > budget) & (F.col("place") > 1)) | (F.col("place") > most)
-    ended = F.max(over.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("_end", ended).where("_end = 0").drop("_end")
+    first = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    run = Window.partitionBy(group).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = first.withColumn("used", F.sum(cost).over(run))
+    over = (F.col("used") > budget) & (F.col("place") > 1)
+    return ranked.withColumn("_end", F.max(over.cast("int")).over(run)).where("_end = 0").drop("_end")
 
 
 def fixed_chunks(rows: DataFrame, words: int = 150) -> DataFrame:
@@ -117,14 +123,51 @@ def token_budget(task: Column, window: Column, override: Column | None = None) -
     return F.floor(window * F.greatest(F.lit(0.01), F.least(F.lit(0.5), ratio))).cast("long")
 
 
+#: Ranges that a group's open rows are cut into, by one column after another.
+RANGES = 256
+
+
+def _narrowed(rows: DataFrame, value: str, few: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (query, tokens, _left, _budget) whose fate the sums of ranges of ``value`` settle, with ``kept``; the open rows of one value; those of several.
+
+    ``_left``: the tokens there are when the first of the rows is looked at. Of the ranges of a query one at most stays open:
+    one of the values that cut the rows into ``RANGES``, or what lies between two of them. ``few``: every value is a range.
+    """
+    shares = [k / RANGES for k in range(1, RANGES)]
+    cuts = rows.groupBy("query").agg(F.percentile_approx(value, shares).alias("_cuts"))
+    among = F.size(F.filter("_cuts", lambda x: x < F.col(value))) + F.size(F.filter("_cuts", lambda x: x <= F.col(value)))
+    placed = rows.withColumn("_range", F.col(value).cast("int")) if few else rows.join(cuts, "query").withColumn("_range", among)
+    one = F.lit(True) if few else F.array_contains("_cuts", F.col(value))
+    placed = placed.withColumn("_one", one).drop("_cuts")
+    sums = placed.groupBy("query", "_range").agg(F.sum("tokens").alias("_sum"), F.first("_left").alias("_all"), F.first("_budget").alias("_most"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("query").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    left = sums.select("query", "_range", "_sum", "_most", (F.col("_all") - before).alias("_there"))
+    kept = F.when(F.col("_there") <= F.col("_most"), True).when(F.col("_there") - F.col("_sum") > F.col("_most"), False)
+    told = keep(placed.join(left.select("query", "_range", "_there", kept.alias("kept")), ["query", "_range"]).drop("_range"), "budget")
+    open_ = told.where("kept IS NULL").drop("kept", "_left").withColumnRenamed("_there", "_left")
+    return told.where("kept IS NOT NULL").drop("_there", "_one"), open_.where("_one").drop("_one"), open_.where("NOT _one").drop("_one")
+
+
 def enforce_budget(details: DataFrame, budget: Column) -> DataFrame:
-    """``details`` (query, id, kind, confidence, tokens) with ``kept``: lowest risk and confidence go first until the rest fits; critical ones stay."""
-    risk = risk_rank(risk_of(F.col("kind")))
-    total = F.sum("tokens").over(Window.partitionBy("query"))
-    free = risk < 4
-    w = Window.partitionBy("query").orderBy((~free).cast("int"), risk, "confidence", "id").rowsBetween(Window.unboundedPreceding, -1)
+    """``details`` (query, id, kind, confidence, tokens) with ``kept``: lowest risk and confidence go first until the rest fits; critical ones stay.
+
+    What goes is a beginning of the rows by risk, confidence and id. Where it ends is narrowed down by sums over ranges of
+    one after another; only the rows of the last range are sorted and summed, whatever a query holds. Ids are numbers.
+    """
+    named = keep(details.withColumn("_risk", risk_rank(risk_of(F.col("kind")))).withColumn("_budget", budget), "details")
+    total = named.groupBy("query").agg(F.sum("tokens").alias("_left"))
+    open_ = named.where("_risk < 4").join(total, "query")
+    done = [named.where("_risk >= 4 OR _risk IS NULL").withColumn("kept", F.lit(True))]
+    last = []
+    for value in ("_risk", "confidence", "id"):
+        settled, open_, between = _narrowed(open_, value, few=value == "_risk")
+        done.append(settled)
+        last.append(between)
+    w = Window.partitionBy("query").orderBy("_risk", "confidence", "id").rowsBetween(Window.unboundedPreceding, -1)
     freed = F.coalesce(F.sum("tokens").over(w), F.lit(0))
-    return details.withColumn("kept", ~(free & (total - freed > budget)))
+    done.append(reduce(DataFrame.unionByName, last, open_).withColumn("kept", ~(F.col("_left") - freed > F.col("_budget"))))
+    columns = [*details.columns, "kept"]
+    return reduce(DataFrame.unionByName, [d.select(*columns) for d in done])
 
 
 def record_index(rows: DataFrame, expanded: int = 20, compact_over: int = 100) -> DataFrame:

@@ -149,6 +149,33 @@ def test_mentions_of_short_phrases(spark):
     assert "NestedLoop" not in plan(search.mentions(rows, asked, "id", "p"))
 
 
+def test_budget_is_cut_by_ranges(spark, monkeypatch):
+    """As by sorting each query's records whole: ties in risk and confidence, critical records, budgets that nothing or all fits; the last window sees few rows."""
+    import random
+
+    from loam.schemas import KIND_RISK, KINDS, RISK_ORDER
+
+    monkeypatch.setattr(packing, "RANGES", 8)
+    rng = random.Random(3)
+    kinds = sorted(KINDS)
+    rows = [(q, 1000 * q + i, rng.choice(kinds), rng.choice([0.5, 0.5, rng.random()]), rng.randrange(1, 50)) for q, n in ((1, 400), (2, 30), (3, 1), (4, 200)) for i in range(n)]
+    budgets = {1: 6000, 2: 10**6, 3: 0, 4: 0}
+    df = spark.createDataFrame(rows, "query long, id long, kind string, confidence double, tokens long")
+    out = packing.enforce_budget(df, F.when(F.col("query") == 1, 6000).when(F.col("query") == 2, 10**6).otherwise(0))
+    got = {r.id: r.kept for r in out.collect()}
+    want = {}
+    for q, most in budgets.items():
+        own = [(RISK_ORDER[KIND_RISK[r[2]]], r[3], r[1], r[4]) for r in rows if r[0] == q]
+        left = sum(r[3] for r in own)
+        for risk, _, i, tokens in sorted(own):
+            gone = risk < 4 and left > most
+            want[i] = not gone
+            left -= tokens if gone else 0
+    assert got == want and len(got) == len(rows) and {True, False} == set(got.values())
+    lead = packing.greedy_prefix(df, "query", [F.col("confidence").desc(), F.col("id")], "tokens", 3, 60)
+    assert "WindowGroupLimit" in plan(lead)
+
+
 def test_mentions_in_blocks(spark, monkeypatch):
     """Many phrases that overlap, end alike or repeat, in several blocks: all hits, and no row beyond them is made."""
     import random
