@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.binding import aside, spare
 from loam.llm.bytehash import M1, Prefix, mix, powers, runs
+from loam.llm.shared import give_back
 from loam.plans.materialize import keep
 
 SEED = 5
@@ -248,6 +249,7 @@ def _leaks(sent, cover: float):
                     part, size = [], 0
             found += block.tilings(part, cover)
             yield pd.Series([[{"item_id": a, "coverage": b, "n_tiles": c} for a, b, c in own] for own in found])
+        give_back()
 
     leaks.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return leaks

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.bytehash import MASK56, Prefix, M1, mix
-from loam.llm.shared import shared_keys
+from loam.llm.shared import give_back, shared_keys
 from loam.plans.components import components
 from loam.plans.materialize import keep, small_side
 
@@ -109,6 +109,7 @@ def _linked(na: pd.Series, nb: pd.Series, ka: pd.Series, kb: pd.Series) -> pd.Se
                 continue
         shared = len(np.intersect1d(a, b, assume_unique=True))
         out.append(bool(100 * shared >= 80 * (x + y - shared)))
+    give_back()
     return pd.Series(out, dtype=bool)
 
 
