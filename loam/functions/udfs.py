@@ -48,6 +48,16 @@ def register_embedder(name: str, dims: int, embed: Callable[[pd.Series], pd.Seri
     EMBEDDERS[name] = (dims, embed)
 
 
+def healthy(name: str) -> bool:
+    """Whether an embedder is registered and answers a probe with a vector of its length."""
+    try:
+        dims, f = EMBEDDERS[name]
+        out = f(pd.Series(["health check"]))
+        return len(out) == 1 and len(out.iloc[0]) == dims
+    except Exception:  # whatever an embedder may raise
+        return False
+
+
 def embed(rows: DataFrame, name: str, text: str = "text", out: str = "vec") -> DataFrame:
     """``rows`` with vectors by a registered embedder; wrong or missing vectors become null."""
     dims, f = EMBEDDERS[name]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -351,6 +354,47 @@ def json_schema(text: Column) -> Column:
     return F.schema_of_variant(F.try_parse_json(text))
 
 
+#: Keys of an object that are described.
+MOST_KEYS = 20
+
+
+def _described(value, indent: str = "") -> str:
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, str):
+        return f"string ({len(value)} chars)"
+    if isinstance(value, (int, float)):
+        return "number"
+    if isinstance(value, list):
+        first = _described(value[0], indent + "  ") if value else "unknown"
+        return f"array[{len(value)}] of {first}"
+    names = list(value)
+    if not names:
+        return "{}"
+    if len(names) > MOST_KEYS:
+        return f"object with {len(names)} keys: {', '.join(names[:MOST_KEYS])}, ..."
+    inner = "".join(f"{indent}  {k}: {_described(value[k], indent + '  ')}\n" for k in names)
+    return f"object {{\n{inner}{indent}}}"
+
+
+def describe_json(text: Column) -> Column:
+    """What a JSON text holds: keys in their order and up to ``MOST_KEYS``, arrays by length and first element; null where it is none."""
+
+    def describe(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            try:
+                out.append(None if t is None else _described(json.loads(t)))
+            except (ValueError, RecursionError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    describe.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(describe, "string")(text)
+
+
 def is_record_array(text: Column, least: int = 3, share: float = 0.8) -> Column:
     """Whether a text is an array of objects that mostly have the first one's keys."""
 

@@ -343,9 +343,13 @@ def jsn4_record_arrays(t):
     return docs.select("user_id", content.is_record_array(doc).alias("is_records"), F.json_array_length(doc).cast("long").alias("n"))
 
 
-@query()
+# Texts of an array of a user's events, the first of which shows what is in it.
+@query("""WITH f AS (SELECT user_id, count(*) AS n, min_by(event_type, event_id) AS k, min_by(props, event_id) AS p FROM events GROUP BY user_id)
+SELECT user_id, 'array[' || n || '] of object {' || chr(10) || '    event_id: number' || chr(10) || '    kind: string (' || length(k) || ' chars)' || chr(10) || '    props: string (' || length(p) || ' chars)' || chr(10) || '  }' AS shown FROM f""")
 def jsn3_json_schema(t):
-    return t.events.select("event_id", content.json_schema(F.col("props")).alias("schema"))
+    record = F.struct("event_id", F.col("event_type").alias("kind"), "props")
+    texts = t.events.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(record))).alias("text"))
+    return texts.select("user_id", content.describe_json(F.col("text")).alias("shown"))
 
 
 @query()
@@ -470,5 +474,3 @@ def min4_corrections(t):
     rows = phrased(t).select(F.col("doc_id").alias("session"), F.col("x").alias("line"), F.col("x").alias("context"), F.inline(D.failure_hits(F.col("x"))))
     return mining.corrections(rows).select(F.col("session").alias("doc_id"), "type", "kind", "risk")
 
-
-_ = (S, PHRASES)

@@ -176,6 +176,23 @@ def test_budget_is_cut_by_ranges(spark, monkeypatch):
     assert "WindowGroupLimit" in plan(lead)
 
 
+def test_json_description_and_embedder_health(spark):
+    import json
+
+    from loam.functions import udfs
+
+    many = json.dumps({f"k{i}": i for i in range(23)})
+    texts = ['{"b": [1, 2], "a": {"x": null, "y": true}, "e": []}', many, '"four"', "[[], 1]", "{}", "no json", None, "[" * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [r.shown for r in rows.select("id", content.describe_json(F.col("text")).alias("shown")).orderBy("id").collect()]
+    assert got[0] == "object {\n  b: array[2] of number\n  a: object {\n    x: null\n    y: boolean\n  }\n  e: array[0] of unknown\n}"
+    assert got[1] == "object with 23 keys: " + ", ".join(f"k{i}" for i in range(20)) + ", ..."
+    assert got[2:] == ["string (4 chars)", "array[2] of array[0] of unknown", "{}", None, None, None]
+    udfs.register_embedder("short", 3, lambda s: [[0.0]] * len(s))
+    udfs.register_embedder("broken", 3, lambda s: 1 / 0)
+    assert [udfs.healthy(n) for n in ("letters", "short", "broken", "absent")] == [True, False, False, False]
+
+
 def test_mentions_in_blocks(spark, monkeypatch):
     """Many phrases that overlap, end alike or repeat, in several blocks: all hits, and no row beyond them is made."""
     import random
