@@ -11,7 +11,7 @@ from loam.functions import text as T
 from loam.operators import content, governance, graph, lifecycle, mining
 from loam.operators import records as R
 from loam.registry.base import query
-from loam.registry.text import LINE_SQL, MINIFIED, P, PATTERN_SQL, PHRASES, W, esc, first_sql, log_lines, phrased
+from loam.registry.text import LINE_SQL, MINIFIED, P, PATTERN_SQL, W, esc, first_sql, log_lines, phrased
 from loam.schemas import EDGE_RELATIONS, KIND_RISK, RISK_ORDER, ROLE_PERMISSIONS, case_sql, pick
 
 RISK = case_sql(KIND_RISK, "kind")

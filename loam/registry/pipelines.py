@@ -11,13 +11,13 @@ from loam.functions import detect as D
 from loam.functions import scoring as S
 from loam.functions import text as T
 from loam.functions import udfs
-from loam.operators import content, context, dedup, evaluate, governance, graph, index, lifecycle, mining, packing, search
+from loam.operators import content, context, dedup, evaluate, governance, index, lifecycle, mining, packing, search
 from loam.operators import records as R
 from loam.plans.materialize import keep, shared_dir
 from loam.registry.base import query
 from loam.registry.search import BM25_SQL, KNN_SQL, PAIR_SQL, bm25, knn
 from loam.registry.jobs import FAIL_SQL
-from loam.registry.text import P, PHRASES, W, first_sql, phrased
+from loam.registry.text import P, W, first_sql, phrased
 from loam.schemas import EPOCH, KIND_RISK, RISK_ORDER, case_sql, pick
 from loam.sources import code, transcripts
 
@@ -436,6 +436,3 @@ def win12_previous_call(t):
 def udaf1_ordered_fold(t):
     rows = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("es"), F.max("value").alias("top"))
     return rows.select("user_id", F.aggregate("es", F.lit(""), lambda a, e: F.concat(a, e["event_type"])).alias("fold"), "top")
-
-
-_ = (PHRASES, RISK, graph)

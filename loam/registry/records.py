@@ -12,7 +12,7 @@ from loam.operators import records as R
 from loam.plans.bucketed import Bucketed
 from loam.plans.materialize import shared_dir
 from loam.registry.base import query
-from loam.schemas import KIND_RISK, KINDS, RECORDS_SQL, RISK_ORDER, ROLE_PERMISSIONS, case_sql, lookup, pick, risk_of, risk_rank
+from loam.schemas import KIND_RISK, RECORDS_SQL, RISK_ORDER, ROLE_PERMISSIONS, case_sql, pick, risk_of, risk_rank
 
 W = f"WITH {RECORDS_SQL}"
 RISK = case_sql(KIND_RISK, "kind")
@@ -561,6 +561,3 @@ def set7_missing_roles(t):
     seen = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
     every = F.array(*[F.lit(x) for x in ("click", "purchase", "signup", "error", "view")])
     return seen.select("user_id", F.array_join(F.array_sort(F.array_except(every, "s")), ",").alias("missing"))
-
-
-_ = (KINDS, lookup)

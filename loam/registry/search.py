@@ -13,7 +13,7 @@ from loam.operators import dedup, evaluate, index, packing, search
 from loam.plans.materialize import shared_dir
 from loam.registry.base import query
 from loam.registry.text import P, phrased
-from loam.schemas import KIND_RISK, KINDS, RECORDS_SQL, RISK_ORDER, case_sql
+from loam.schemas import KIND_RISK, RECORDS_SQL, RISK_ORDER, case_sql
 from loam.sources.tables import table
 
 W = f"WITH {RECORDS_SQL}"
@@ -43,11 +43,15 @@ def document_index(t) -> index.Index:
     """The stored index of ``documents``: built by the first query that asks for it, opened by the others."""
     rows = table(t.spark, t.sf_dir, "documents")
     key = (t.spark.sparkContext.applicationId, *sorted(rows.inputFiles()), str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if key not in INDEXED:
-        path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
-        index.Index.build(t.documents.select(F.col("doc_id").alias("id"), "text"), path)
-        INDEXED[key] = path
-    return index.Index.open(t.spark, INDEXED[key])
+    if key in INDEXED:
+        try:
+            return index.Index.open(t.spark, INDEXED[key])
+        except FileNotFoundError:  # the shared folder has been cleaned
+            del INDEXED[key]
+    path = f"{shared_dir(t.spark)}/index-{uuid.uuid4().hex}"
+    built = index.Index.build(t.documents.select(F.col("doc_id").alias("id"), "text"), path)
+    INDEXED[key] = path
+    return built
 
 
 def bm25(t, k):
@@ -360,6 +364,3 @@ def evl5_hit_at_5(t):
 @query("SELECT event_type, median(value) AS median, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def evl6_median_p95(t):
     return evaluate.percentiles(t.events, "event_type", "value")
-
-
-_ = (KINDS, W)
