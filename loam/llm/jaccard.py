@@ -21,7 +21,6 @@ ignored, whatever they are called.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
