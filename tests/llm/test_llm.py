@@ -615,6 +615,24 @@ def test_cascade_order_changes_no_verdict(spark):
     assert kept[0] == kept[1] == {r.doc_id for r in quality.quality_filter(docs).collect()}
 
 
+def test_cascade_stops_at_the_first_rejection(spark):
+    """A row that one rule rejects has no later rule looked at, in the report as in the filter; order follows rejection per cost."""
+    looked = quality.Rule("looked", lambda f: F.when(f("n_bangs") >= 0, F.raise_error(F.lit("looked"))).otherwise(F.lit(False)).cast("boolean"))
+    rules = (quality.RULES[0], looked)
+    short = spark.createDataFrame([(i, "too few words!") for i in range(40)], "doc_id long, text string")
+    lazy = quality.lazy_features(F.col("text"))
+    chained = short.select(quality.first_failed(lazy, list(rules)).alias("r"))
+    assert {r.r for r in chained.collect()} == {"short"}
+    with pytest.raises(Exception, match="looked"):
+        short.union(spark.createDataFrame([(99, "word " * 60)], "doc_id long, text string")).select(quality.first_failed(lazy, list(rules))).collect()
+    rows = [(1, "- item of a list here\n" * 20), (2, "and so it goes on...\n" * 20), (3, "12345 678 9 " * 30), (4, "a clean text of many words " * 12 + "\n- one item"), (5, "* point\n" * 9 + "plain line with words " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = [r for r in quality.RULES if r.name != "repeats"]
+    assert {r.doc_id: r.failed_rule for r in quality.quality_report(docs, wide).collect()} == {1: "bullets", 2: "cut_lines", 3: "numbers", 4: None, 5: None}
+    many = spark.createDataFrame([(i, f"{i} words " + "1234567 " * 60) for i in range(400)], "doc_id long, text string")
+    assert quality.order_rules(many, wide)[0].name == "numbers"
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
     from loam.plans.materialize import keep
