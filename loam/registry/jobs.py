@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import detect as D
@@ -393,13 +395,31 @@ def cmp14_compression_report(t):
 
 @query()
 def cmp14_token_reduction(t):
-    """Tokens before and after the whole chain, by type of content, and the percentage that goes."""
-    pages = t.pages.select((-1 - F.col("page_id")).alias("id"), F.lit("fact").alias("kind"), F.lit(None).cast("string").alias("path"), F.col("html").alias("text"))
-    lines = log_lines(t).groupBy(F.col("user_id").alias("u")).agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("ls"))
-    logs = lines.select((-1_000_000_000 - F.col("u")).alias("id"), F.lit("fact").alias("kind"), F.lit(None).cast("string").alias("path"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
-    rows = t.records.select("id", "kind", F.lit(None).cast("string").alias("path"), "text").unionByName(pages).unionByName(logs)
-    sized = content.compress(rows).select("type", T.token_estimate(F.col("text")).alias("raw"), T.token_estimate(F.col("shown")).alias("shown"))
-    sums = sized.groupBy("type").agg(F.count("*").alias("records"), F.sum("raw").alias("raw_tokens"), F.sum("shown").alias("shown_tokens"))
+    """Tokens before and after the whole chain, by scenario and by type of content found, and the percentage that goes.
+
+    Scenarios: prose, pages, a user's log, a user's events as JSON, a supplier's changes as a diff, a nation's suppliers as settings.
+    """
+
+    def shaped(rows, scenario, id_, text):
+        return rows.select(id_.cast("long").alias("id"), F.lit("fact").alias("kind"), F.lit(None).cast("string").alias("path"), text.alias("text"), F.lit(scenario).alias("scenario"))
+
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["l"]), "\n")
+    gathered = lambda rows, key, order, line: rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("l")))).alias("ls"))
+    logs = gathered(log_lines(t), "user_id", ["event_id"], F.col("line"))
+    events = t.events.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("status"), "value", "user_id")))).alias("text"))
+    changed = F.concat(F.when(F.col("l_linenumber") % 2 == 0, "+").when(F.col("l_linenumber") % 5 == 0, "-").otherwise(" "), F.lit("part "), F.col("l_partkey"))
+    diffs = gathered(t.lineitem, "l_suppkey", ["l_orderkey", "l_linenumber"], changed)
+    head = F.format_string("diff --git a/s%1$d.txt b/s%1$d.txt\n--- a/s%1$d.txt\n+++ b/s%1$d.txt\n@@ -1,9 +1,9 @@\n", F.col("l_suppkey"))
+    setting = F.concat(F.lit("["), F.replace("s_name", F.lit("#"), F.lit("_")), F.lit("]\nbalance = "), F.col("s_acctbal").cast("string"), F.lit("\nnation = "), F.col("s_nationkey"))
+    settings = gathered(t.supplier, "s_nationkey", ["s_suppkey"], setting)
+    parts = [
+        t.records.select("id", "kind", F.lit(None).cast("string").alias("path"), "text", F.lit("prose").alias("scenario")), shaped(t.pages, "pages", F.col("page_id"), F.col("html")),
+        shaped(logs, "log", F.col("user_id"), joined("ls")), shaped(events, "json", F.col("user_id"), F.col("text")), shaped(diffs, "diff", F.col("l_suppkey"), F.concat(head, joined("ls"))),
+        shaped(settings, "config", F.col("s_nationkey"), joined("ls")),
+    ]
+    packed = content.compress(reduce(DataFrame.unionByName, parts))
+    sized = packed.select("scenario", "type", T.token_estimate(F.col("text")).alias("raw"), T.token_estimate(F.col("shown")).alias("shown"))
+    sums = sized.groupBy("scenario", "type").agg(F.count("*").alias("records"), F.sum("raw").alias("raw_tokens"), F.sum("shown").alias("shown_tokens"))
     return sums.withColumn("percent", S.half_up(100.0 * (F.col("raw_tokens") - F.col("shown_tokens")) / F.col("raw_tokens"), 1))
 
 
