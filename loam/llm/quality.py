@@ -86,9 +86,6 @@ def _made(text: Column, words: Column) -> dict[str, Column]:
         "n_repeat_words": _repeat_words(words),
         "n_bangs": F.length(text) - _without(text, "!"),
         "n_digits": F.length(text) - _without(text, "0123456789"),
-        "n_lines": F.size(lines),
-        "n_bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*\x{2022}][\x20\x09]"))),
-        "n_cut_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*$"))),
     }
     return {k: v.cast("long") for k, v in made.items()}
 
@@ -128,8 +125,6 @@ RULES = (
     Rule("shouting", lambda f: 100 * f("n_bangs") > 60 * f("n_words")),
     Rule("long_words", lambda f: f("word_chars") > 40 * f("n_words")),
     Rule("numbers", lambda f: 100 * f("n_digits") > 50 * f("word_chars")),
-    Rule("bullets", lambda f: (f("n_bullets") >= 10) & (100 * f("n_bullets") > 90 * f("n_lines"))),
-    Rule("cut_lines", lambda f: (f("n_cut_lines") >= 10) & (100 * f("n_cut_lines") > 50 * f("n_lines"))),
 )
 #: Rows on which costs and selectivities are estimated, one of ``SAMPLE_EVERY`` by digest, and runs of which the
 #: fastest counts; they decide the order of tests only.

@@ -283,14 +283,11 @@ m AS (
          (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
          (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines,
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-         (length(t) - length(replace(t, '!', '')))::BIGINT AS bangs, (length(t) - length(translate(t, '0123456789', '')))::BIGINT AS digits,
-         len(ln) AS n_lines, len(list_filter(ln, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}][\x20\x09]'))) AS bullets,
-         len(list_filter(ln, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) AS cuts
+         (length(t) - length(replace(t, '!', '')))::BIGINT AS bangs, (length(t) - length(translate(t, '0123456789', '')))::BIGINT AS digits
   FROM d LEFT JOIN rep USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 20 * n_words
-            OR 100 * bangs > 60 * n_words OR word_chars > 40 * n_words OR 100 * digits > 50 * word_chars
-            OR (bullets >= 10 AND 100 * bullets > 90 * n_lines) OR (cuts >= 10 AND 100 * cuts > 50 * n_lines)) AS kept
+            OR 100 * bangs > 60 * n_words OR word_chars > 40 * n_words OR 100 * digits > 50 * word_chars) AS kept
 FROM m"""
 }
