@@ -746,6 +746,38 @@ def test_vector_pairs_are_exact_across_cells(spark, monkeypatch):
     assert not search.knn(queries_, rows.limit(0), 3).count() and not search.knn(queries_.limit(0), rows, 3).count()
 
 
+def test_vector_pairs_send_rows_by_block(spark, monkeypatch):
+    """A row goes to the blocks it may meet, not to every small cell; copies are compared once and come back as pairs, links, counts and matches."""
+    from loam.plans import blocks
+
+    rng = np.random.default_rng(5)
+    distinct = rng.normal(size=(300, 16))
+    vectors = np.concatenate([distinct, distinct[:40], distinct[:40], np.zeros((3, 16))])
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)], "id long, vec array<double>, agent int")
+    u = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    sims = u @ u.T
+    want = {(a, b) for a in range(len(u)) for b in range(a + 1, len(u)) if sims[a, b] >= 0.5}
+    got = [(r.a, r.b, r.agent_a, r.agent_b) for r in dedup.vector_pairs(rows, 0.5, 64).collect()]
+    assert len(got) == len(want) and {g[:2] for g in got} == want and all((g[2], g[3]) == (g[0] % 3, g[1] % 3) for g in got)
+    pairs, members = blocks.similar_classes(rows, 0.5, 64)
+    assert members.agg(F.countDistinct("rep")).first()[0] == 301
+    assert dedup.cross_pairs(pairs, members, 0.5).first().n == sum(a % 3 != b % 3 for a, b in want)
+    got = {r.node: r.component for r in components(dedup.class_links(pairs, members, 0.5)).collect()}
+    assert got == {r.node: r.component for r in components(spark.createDataFrame(sorted(want), "a long, b long")).collect()}
+    best = {}
+    for a, b in sorted(want):
+        if a % 2 == 0 and b % 2 == 1:
+            best[b] = max(best.get(b, (-1.0, 0)), (round(sims[a, b], 9), -a))
+    found = dedup.best_match(dedup.earlier_candidates(pairs, members, 0.5, F.col("id") % 2 == 0, F.col("id") % 2 == 1), F.lit(0.5))
+    assert {r.new: r.into for r in found.collect()} == {b: -a for b, (_, a) in best.items()}
+    sent = []
+    kept = blocks.keep
+    monkeypatch.setattr(blocks, "keep", lambda df, label="step": sent.append((label, kept(df, label))) or sent[-1][1])
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 16)))], "id long, vec array<double>")
+    blocks.similar_classes(plain, 0.5)
+    assert dict(sent)["block-pairs"].count() == 1  # cells of 512 rows met in 28 pairs and more
+
+
 def test_vector_index_probes_few_cells(spark):
     """Recall of 0.9 at least on every hundredth row, with candidates that grow slower than the rows; the exact way looks into more cells, yet not all."""
     from loam.plans.blocks import VectorIndex
