@@ -778,6 +778,21 @@ def test_vector_pairs_send_rows_by_block(spark, monkeypatch):
     assert dict(sent)["block-pairs"].count() == 1  # cells of 512 rows met in 28 pairs and more
 
 
+def test_rules_take_ascii_words(spark, tmp_path):
+    """Words beside letters of other scripts, line ends other than LF and letters of another case count as in SQL."""
+    import __spark_entry__ as entry
+    from parity import TABLES, compare
+
+    texts = ["éorder", "orderé", "tabü", "日本order日本", "aſtep ſtep", "worKflow", "secret\u0301", "also\rneed", "also\u0085must", "also\u2028must", "also\nmust", "also\x0bmust", "that's wrongé", "mıstake", "bug٠", "as I aſked before", None]
+    for name in TABLES:
+        rows = spark.read.parquet(f"{SF}/{name}.parquet").limit(1)
+        if name == "documents":
+            rows = spark.createDataFrame([(31 + 32 * i, x, "en", "web", 1) for i, x in enumerate(texts)], rows.schema)
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("min4_corrections", "min5_kind_and_risk", "min8_apply_learnings", "ctx9_token_budget"):
+        assert compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
+
+
 def test_vector_index_probes_few_cells(spark):
     """Recall of 0.9 at least on every hundredth row, with candidates that grow slower than the rows; the exact way looks into more cells, yet not all."""
     from loam.plans.blocks import VectorIndex
