@@ -125,8 +125,9 @@ def snk2_update_by_id(t):
 @query("""WITH e AS (SELECT DISTINCT l_orderkey AS source, l_partkey + 1000000 AS target FROM lineitem)
 SELECT source, count(*) AS edges FROM e WHERE source % 3 <> 0 AND (target - 1000000) % 7 <> 0 GROUP BY source""")
 def snk3_delete_cascade(t):
-    edges = t.lineitem.select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target")).distinct()
-    gone = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")).union(t.part.where("p_partkey % 7 = 0").select(F.col("p_partkey") + 1000000))
+    part = lambda key: -1 - F.col(key)  # noqa: E731  # orders have the ids from 0 on, however many there are
+    edges = t.lineitem.select(F.col("l_orderkey").alias("source"), part("l_partkey").alias("target")).distinct()
+    gone = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")).union(t.part.where("p_partkey % 7 = 0").select(part("p_partkey")))
     _, left = R.delete_cascade(t.orders.select(F.col("o_orderkey").alias("id")), edges, gone)
     return left.groupBy("source").agg(F.count("*").alias("edges"))
 
