@@ -802,9 +802,9 @@ def test_ids_of_two_tables_may_meet(spark, tmp_path):
         rows = spark.read.parquet(f"{SF}/{name}.parquet")
         if name == "lineitem":
             more = rows.where("l_orderkey < 60").withColumn("l_orderkey", F.col("l_orderkey") + 1000000).unionAll(rows.where("l_orderkey < 60").withColumn("l_orderkey", F.col("l_suppkey") + 5000000))
-            rows = rows.limit(500).unionAll(more)
+            rows = rows.unionAll(more)
         if name == "orders":
-            rows = rows.limit(100).unionAll(rows.limit(100).withColumn("o_orderkey", F.col("o_orderkey") + 1000000))
+            rows = rows.unionAll(rows.withColumn("o_orderkey", F.col("o_orderkey") + 1000000)).unionAll(rows.withColumn("o_orderkey", F.col("o_orderkey") + 5000000))
         rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     for name in ("snk3_delete_cascade", "grf1_reach"):
         assert compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
