@@ -810,6 +810,19 @@ def test_ids_of_two_tables_may_meet(spark, tmp_path):
         assert compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
 
 
+def test_cells_sample_is_bounded_for_the_driver(spark, monkeypatch):
+    """The rows that coarse centres are fitted on are drawn, not sorted out of every partition, and long vectors give fewer."""
+    from loam.plans import cells
+
+    monkeypatch.setattr(cells, "SAMPLE", 400)
+    monkeypatch.setattr(cells, "SAMPLE_VALUES", 400 * 64)
+    fitted, centres = [], cells.centres_of
+    monkeypatch.setattr(cells, "centres_of", lambda u, wanted: fitted.append(u.shape) or centres(u, wanted))
+    rows = spark.range(2000).select("id", F.transform(F.sequence(F.lit(1), F.lit(256)), lambda i: F.sin(i * F.col("id") + i)).alias("vec"))
+    assert cells.Cells.fit(rows).rows.count() == 2000
+    assert 50 < fitted[0][0] < 200
+
+
 def test_vector_index_probes_few_cells(spark):
     """Recall of 0.9 at least on every hundredth row, with candidates that grow slower than the rows; the exact way looks into more cells, yet not all."""
     from loam.plans.blocks import VectorIndex
