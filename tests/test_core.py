@@ -717,6 +717,44 @@ def test_search_scores_order(spark):
     assert got == [(2, 1), (1, 2)]
 
 
+def shuffled_records(spark):
+    """Rows that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_search_shuffles_best_hits_only(spark, monkeypatch):
+    """Hits as by brute force over small chunks and blocks; texts that share their words with every query send no row per query and text."""
+    import random
+
+    from loam.plans import scores
+
+    for name, value in (("CHUNK_TERMS", 200), ("TOGETHER", 7), ("SENT_TERMS", 60), ("DENSE", 3)):
+        monkeypatch.setattr(scores, name, value)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(12)] + [f"rare{i}" for i in range(60)], k=rng.randrange(0, 30))) for _ in range(400)]
+    texts[7] = texts[9] = texts[11] = texts[3]
+    docs = spark.createDataFrame([*enumerate(texts), (900, None)], "id long, text string").repartition(4)
+    asked = [(q, " ".join(rng.choices([f"w{i}" for i in range(12)] + [f"rare{i}" for i in range(60)], k=12))) for q in range(40)] + [(70, None), (71, "nowhere")]
+    before = shuffled_records(spark)
+    got = {(r.query, r["rank"]): (r.id, round(r.score, 6)) for r in search.bm25(spark.createDataFrame(asked, "query long, text string"), docs, 3).collect()}
+    assert shuffled_records(spark) - before < 8_000
+    n, mean = 401, sum(len(t.split()) for t in texts) / 400
+    want = {}
+    for q, text in asked:
+        found = []
+        for i, t in enumerate(texts):
+            ws, total = t.split(), 0.0
+            for w in {*(text or "").split()} & {*ws}:
+                df, tf = sum(w in x.split() for x in texts), ws.count(w)
+                total += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+            if total:
+                found.append((-round(total, 9), i))
+        want |= {(q, k + 1): (i, round(-s, 6)) for k, (s, i) in enumerate(sorted(found)[:3])}
+    assert got == want
+
+
 def test_vector_pairs_are_exact_across_cells(spark, monkeypatch):
     from loam.plans import blocks, cells
 
