@@ -442,6 +442,28 @@ def test_similar_pending_copies_stay_linear(spark):
     assert got == {i: (0, 1.0) for i in range(1, 300)} | {400: (0, 0.833)}
 
 
+def test_similar_pending_shuffles_no_pairs(spark, monkeypatch):
+    """Matches as by brute force over small blocks; sets that share words with all others send no row per pair."""
+    import random
+
+    from loam.plans import sets
+
+    for name, value in (("BLOCK_WORDS", 900), ("TILE", 7), ("LEAST_BITS", 8), ("MOST_BITS", 16)):
+        monkeypatch.setattr(sets, name, value)
+    rng = random.Random(5)
+    words = [f"w{i:02d}" for i in range(30)]
+    rows = [(i, ("fact", "task")[i % 2], " ".join(rng.sample(words, rng.randrange(1, 26)))) for i in range(600)] + [(700, None, "w01 w02"), (701, "fact", None)]
+    before = shuffled_records(spark)
+    got = {r.id: (r.into, r.similarity) for r in governance.similar_pending(spark.createDataFrame(rows, "id long, kind string, text string")).collect()}
+    assert shuffled_records(spark) - before < 20_000
+    held, want = {i: (k, {*(t or "").split()}) for i, k, t in rows if k}, {}
+    for i, (k, a) in held.items():
+        found = [(-len(a & b) / len(a | b), j) for j, (o, b) in held.items() if j < i and o == k and a and b]
+        if found and min(found)[0] <= -0.55:
+            want[i] = (min(found)[1], -min(found)[0])
+    assert got == want and 100 < len(want) < 599
+
+
 def test_normalize_is_linear_and_null_text_is_prose(spark):
     import time
 
