@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.plans.materialize import keep
+from loam.plans.materialize import keep, small_side
 
 #: Rows of a run, about, and runs or joined runs that are joined at once.
 RUN_ROWS, FAN = 100_000, 64
@@ -100,16 +100,26 @@ def _joined(runs: DataFrame, key: str, machine: Machine) -> DataFrame:
     return up.withColumnRenamed("k", key)
 
 
+def _spanning(runs: DataFrame, key: str) -> DataFrame:
+    """The keys (``_span``) of several runs: two neighbouring ranges share one key at most, so there are fewer than ranges."""
+    several = runs.groupBy(key).agg(F.count("*").alias("_m")).where("_m > 1").select(F.col(key).alias("_span"))
+    return small_side(keep(several, "spanning"))
+
+
 def fold(rows: DataFrame, key: str, order: list[str], inputs: dict[str, Column], machine: Machine) -> DataFrame:
-    """key, state (bytes), n: what the ordered rows of each key leave."""
+    """key, state (bytes), n: what the ordered rows of each key leave. Only keys of several runs are joined."""
     dealt, parts = _dealt(rows, key, order, inputs, [])
-    runs = _transitions(dealt, key, list(inputs), machine)
+    every = keep(_transitions(dealt, key, list(inputs), machine), "runs")
+    spanning = _spanning(every, key)
+    same = F.col(key).eqNullSafe(F.col("_span"))
+    runs = every.join(spanning, same, "left_semi")
     while True:
         runs, parts = _joined(runs, key, machine), -(-parts // FAN)
         if parts == 1:
             break
     enter = F.pandas_udf(lambda ts: ts.map(lambda t: machine.enter(None, bytes(t))), "binary")
-    return runs.select(key, enter("t").alias("state"), "n")
+    whole = every.join(spanning, same, "left_anti").select(key, "t", "n").unionByName(runs.select(key, "t", "n"))
+    return whole.select(key, enter("t").alias("state"), "n")
 
 
 def _entries(runs: DataFrame, key: str, machine: Machine, parts: int) -> DataFrame:
@@ -137,23 +147,59 @@ def _entries(runs: DataFrame, key: str, machine: Machine, parts: int) -> DataFra
 
 
 def scan(rows: DataFrame, key: str, order: list[str], inputs: dict[str, Column], machine: Machine) -> DataFrame:
-    """key, order columns, ``place`` (number of the row in its key, from 1) and the machine's outputs for every row."""
+    """key, order columns, ``place`` (number of the row in its key, from 1) and the machine's outputs for every row.
+
+    Transitions are made of the few keys that lie in several ranges; all others start from nothing. Runs are walked one
+    after another in a task, not as groups of their own, so many short keys cost little more than their rows.
+    """
     dealt, parts = _dealt(rows, key, order, inputs, [])
     dealt = keep(dealt, "dealt")
     names, kinds = list(inputs), dict(dealt.dtypes)
     others = [c for c in dict.fromkeys(order) if c != key]
-    runs = keep(_runs_of_groups(dealt, key, order, names, machine), "runs")
-    entries = _entries(runs, key, machine, parts)
+    spanning = _spanning(dealt.select(key, "run").distinct(), key)
+    runs = keep(_runs_of_groups(dealt.join(spanning, F.col(key).eqNullSafe(F.col("_span")), "left_semi"), key, order, names, machine), "runs")
+    entries = _entries(runs, key, machine, parts).select(F.col(key).alias("_span"), F.col("run").alias("_at"), "state", "before")
+    entries = small_side(keep(entries, "entries"))
+    met = dealt.join(entries, F.col(key).eqNullSafe(F.col("_span")) & (F.col("run") == F.col("_at")), "left")
     ddl = ", ".join([f"`{c}` {kinds[c]}" for c in (key, *others)] + ["place long", machine.outputs])
+    width = len(others) + 1
 
-    def walk(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(others)
-        state = right["state"].iloc[0]
-        out = left[[key, *others]].reset_index(drop=True)
-        got = machine.walk(None if state is None else bytes(state), *[left[c].to_numpy() for c in names])
-        return out.assign(place=np.arange(1, len(left) + 1) + int(right["before"].iloc[0]), **got)
+    def walked(pieces: list[pa.RecordBatch]) -> list[pa.Array]:
+        """Columns of one key's rows in one run."""
+        joined = lambda i: pa.concat_arrays([p.column(i) for p in pieces])
+        state, before = pieces[0].column(width + 1)[0].as_py(), pieces[0].column(width + 2)[0].as_py() or 0
+        got = machine.walk(state, *[joined(width + 3 + i).to_numpy(zero_copy_only=False) for i in range(len(names))])
+        n = sum(p.num_rows for p in pieces)
+        return [*map(joined, range(width)), pa.array(np.arange(before + 1, before + n + 1)), *map(pa.array, got.values())]
+
+    def packed(done: list[list[pa.Array]], got: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*done, strict=True)], names=got)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple = ()
+        held: list[pa.RecordBatch] = []
+        done: list[list[pa.Array]] = []
+        got = [key, *others, "place", *told]
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            at = batch.column(width).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (at[1:] != at[:-1])) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                this = (batch.column(0)[a].as_py(), int(at[a]))
+                if held and this != own:
+                    done.append(walked(held))
+                    held = []
+                own = this
+                held.append(batch.slice(a, b - a))
+            if done:
+                yield packed(done, got)
+                done = []
+        if held:
+            yield packed([walked(held)], got)
 
-    return dealt.groupBy(key, "run").cogroup(entries.groupBy(key, "run")).applyInPandas(walk, ddl)
+    told = [c.split()[0] for c in machine.outputs.split(", ")]
+    rows_ = met.select(key, *others, "run", "state", "before", *names).repartition(parts, "run").sortWithinPartitions("run", key, *others)
+    return rows_.mapInArrow(walk, ddl)
 
 
 def _runs_of_groups(dealt: DataFrame, key: str, order: list[str], names: list[str], machine: Machine) -> DataFrame:

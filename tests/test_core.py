@@ -722,6 +722,22 @@ def test_folds_of_a_key_with_half_of_all_rows(spark, monkeypatch):
     assert ordered.scan(rows.limit(0), "k", ["t", "i"], {"us": F.col("t")}, bucket).count() == 0
 
 
+def test_short_keys_are_walked_without_a_group_each(spark, monkeypatch):
+    from loam.operators import folds
+
+    seen, runs_of = [], ordered._runs_of_groups
+    monkeypatch.setattr(ordered, "_runs_of_groups", lambda dealt, *a: seen.append(dealt.select("k", "run").distinct().count()) or runs_of(dealt, *a))
+    data = [(None if k == 7 else k, k * 10 + i, (k + i) % 3 == 0) for k in range(500) for i in range(4)]
+    told = ordered.scan(spark.createDataFrame(data, "k long, i long, ok boolean"), "k", ["i"], {"c": F.col("ok")}, folds.pairing_table(8))
+    assert seen[0] <= 2 * spark.sparkContext.defaultParallelism
+    want = []
+    for k in range(500):
+        own = [r for r in data if r[1] // 10 == k]
+        each = folds.pairing_table(8).walk(None, np.array([int(r[2]) for r in own]))["told"]
+        want += [(r[0], r[1], n + 1, int(each[n])) for n, r in enumerate(own)]
+    assert sorted(map(tuple, told.collect()), key=str) == sorted(want, key=str)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
