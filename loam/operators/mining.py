@@ -114,11 +114,31 @@ def apply_learnings(rows: DataFrame, confidence: float = 0.4) -> DataFrame:
     return once.select("session", "kind", "text", F.when(low, "record").otherwise("proposal").alias("target"), F.when(low, F.lit(confidence)).alias("confidence"))
 
 
+#: Characters of both ends of a line that a correction may reach over into the next one.
+ENDS = 20
+
+
 def mine(lines: DataFrame, least: float = 0.5, most: int = 10) -> DataFrame:
-    """session, failures, automatic, pending: hits per session, and how many of its first corrections need no review."""
-    hits = distinct_failures(failures(lines)).where(F.col("confidence") >= least)
-    w = Window.partitionBy("session").orderBy(F.col("confidence").desc(), "at", "type")
-    first = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
-    risk = corrections(first)
-    counts = risk.groupBy("session").agg(F.sum((F.col("risk") == "low").cast("long")).alias("automatic"), F.sum((F.col("risk") != "low").cast("long")).alias("pending"))
-    return hits.groupBy("session").agg(F.count("*").alias("failures")).join(counts, "session")
+    """session, failures, automatic, pending: hits per session, and how many of its first corrections need no review.
+
+    Hits, corrections and risks are those of ``failures`` and ``corrections``. Every line is searched once: words of risk lie within
+    a line, so a context has those of its lines, and a correction lies in one line or where two of them meet.
+    """
+    line = F.col("line")
+    ends = F.when(F.length(line) <= 2 * ENDS, line).otherwise(F.concat(F.substring(line, 1, ENDS), F.lit("_"), F.substring(line, -ENDS, ENDS)))
+    marks = lines.select(
+        "session", "at", F.substring(line, 1, 100).alias("_line"), ends.alias("_ends"), detect.failure_hits(line).alias("_hits"), line.rlike(detect.CORRECTION).alias("_corrected"), (detect.infer_risk(line) != "low").alias("_risky")
+    )
+    w = Window.partitionBy("session").orderBy("at")
+    near = w.rowsBetween(0, 2)
+    corrected = F.coalesce(F.max("_corrected").over(near), F.lit(False)) | F.concat_ws(" ", F.collect_list("_ends").over(near)).rlike(detect.CORRECTION)
+    risky = F.coalesce(F.max("_risky").over(w.rowsBetween(-5, 5)), F.lit(False))
+    rows = marks.withColumn("_near", corrected).withColumn("_pending", risky)
+    more = F.when(~F.exists("_hits", lambda h: h["type"] == "wrong_memory") & F.col("_near"), F.array(F.struct(F.lit("wrong_memory").alias("type"), F.lit(0.8).alias("confidence"))))
+    every = rows.select("session", "at", F.col("_line").alias("line"), "_pending", F.inline(F.concat("_hits", F.coalesce(more, F.array().cast("array<struct<type:string,confidence:double>>")))))
+    hits = distinct_failures(every).where(F.col("confidence") >= least)
+    first = Window.partitionBy("session").orderBy(F.col("confidence").desc(), "at", "type")
+    among = (F.col("_r") <= most).cast("long")
+    ranked = hits.withColumn("_r", F.row_number().over(first))
+    pending = among * F.col("_pending").cast("long")
+    return ranked.groupBy("session").agg(F.count("*").alias("failures"), F.sum(among - pending).alias("automatic"), F.sum(pending).alias("pending"))

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loam import queries
@@ -742,6 +743,20 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_mining_searches_every_line_once(spark):
+    from loam.functions import detect
+
+    said = ["That is wrong", "we should", "be careful", None, "use the token", "I don't know", "", "x" * 50 + " should", "be " + "y" * 50, "z" * 30 + " instead " + "z" * 30, "that's outdated", "an\nerror", "rather" + "q" * 60]
+    lines = spark.createDataFrame([(k // 40, k, said[k * 7 % 13 if k % 3 else k % 13]) for k in range(200)], "session long, at long, line string")
+    hits = mining.distinct_failures(mining.failures(lines)).where(F.col("confidence") >= 0.5)
+    w = Window.partitionBy("session").orderBy(F.col("confidence").desc(), "at", "type")
+    risks = mining.corrections(hits.withColumn("_r", F.row_number().over(w)).where("_r <= 10")).groupBy("session").agg(F.count_if(F.col("risk") == "low").alias("a"), F.count_if(F.col("risk") != "low").alias("p"))
+    want = hits.groupBy("session").agg(F.count("*").alias("failures")).join(risks, "session").select("session", "failures", "a", "p")
+    got = mining.mine(lines)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3
+    assert "collect_list(line" not in plan(got) and detect.CORRECTION in plan(got)
+
+
 def test_plans_push_filters_and_prune(spark):
     p = plan(queries.QUERIES["prj1_pruned_vectors"](spark, SF))
     assert "embedding:" not in p and "LessThan(label,5)" in p
