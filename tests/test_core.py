@@ -757,6 +757,13 @@ def test_mining_searches_every_line_once(spark):
     assert "collect_list(line" not in plan(got) and detect.CORRECTION in plan(got)
 
 
+def test_chunks_are_ranked_without_a_row_a_term(spark):
+    ranked = queries.QUERIES["ctx3_rank_chunks"](spark, SF)
+    assert "Window" not in plan(ranked) and "Generate inline" not in plan(ranked)
+    out = packing.rank_chunks(spark.createDataFrame([(1, 0, 2, "Aa aa"), (1, 1, 1, "b"), (2, 0, 1, "c")], "id long, chunk int, n_words int, text string"), spark.createDataFrame([(9, 1, "aa B"), (9, 2, "x"), (8, 1, "zz")], "query long, id long, text string"))
+    assert sorted((r.query, r.id, r.chunk, r.score) for r in out.collect()) == [(8, 1, 0, 0.0), (8, 1, 1, 0.0), (9, 1, 0, 1.0), (9, 1, 1, 0.0)]
+
+
 def test_plans_push_filters_and_prune(spark):
     p = plan(queries.QUERIES["prj1_pruned_vectors"](spark, SF))
     assert "embedding:" not in p and "LessThan(label,5)" in p
