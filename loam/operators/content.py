@@ -49,10 +49,10 @@ LEVEL_WORD = r"(?i)\b(ERROR|WARN|INFO|DEBUG|TRACE|FATAL|CRITICAL)\b"
 DOCKER = r"(?m)^(FROM|RUN|COPY|ENV|EXPOSE|CMD|ENTRYPOINT|WORKDIR|ADD|VOLUME|USER|ARG|LABEL)\s"
 SETTING = r"^[A-Za-z_][\w.-]*\s*[=:]\s*"
 FIRST_LINES = ((r"^\[.*\]\s*$", 0.5), (r"^[A-Z_][A-Z0-9_]*=", 0.4))
-PROSE_WORDS = (
-    r"(?i)\b(the|a|an|is|was|are|were|been|have|has|had|will|would|should|could|may|might|can|shall|we|our|us|they|their|them|I|you|he|she|it|this|that"
-    r"|these|those|and|or|but|because|however|therefore|although|while|since|also|just|very|really|quite|maybe|perhaps|actually|basically|probably)\b"
-)
+PROSE_WORDS = r"(?i)\b" + T.one_of(
+    "the a an is was are were been have has had will would should could may might can shall we our us they their them I you he she it this that "
+    "these those and or but because however therefore although while since also just very really quite maybe perhaps actually basically probably".split()
+) + r"\b"
 CODE_WORDS = r"\b(function|const|let|var|import|export|class|interface|type|enum|return|await|async|throw|catch|try|yield)\b"
 BULLET, HEADER = r"(?m)^(\s*[-*+\u2022]|\s*\d+[.)]\s)", r"(?m)^#{1,4}\s+\w+"
 TYPES = ("diff", "code", "log", "json", "config")
@@ -145,7 +145,7 @@ def type_scores(text: Column) -> Column:
         )
 
     text = F.coalesce(text, F.lit(""))
-    words = F.size(T.words(text)).cast("double")
+    words = T.word_count(text).cast("double")
     return let(F.split(text, "\n"), lambda ls: let(F.struct(F.regexp_count(text, F.lit(SENTENCE)).alias("s"), words.alias("w")), lambda x: of(ls, x["s"], x["w"])))
 
 
@@ -484,8 +484,8 @@ def safe_display(original: Column, shown: Column) -> Column:
         .when(T.token_estimate(shown) > 1.05 * T.token_estimate(original), "inflated")
         .when(detect.loses_markers(original, shown), "marker_loss")
     )
-    text = F.when(reason.isNotNull(), T.truncate_words(original, 220, " ... [EXCERPT]")).otherwise(shown)
-    return F.struct(text.alias("text"), reason.alias("reason"))
+    # without the binding the markers of both texts would be sought once for each use of the reason
+    return let(reason, lambda r: F.struct(F.when(r.isNotNull(), T.truncate_words(original, 220, " ... [EXCERPT]")).otherwise(shown).alias("text"), r.alias("reason")))
 
 
 def library_display(path: Column, text: Column) -> Column:

@@ -776,6 +776,17 @@ def test_impact_gathers_a_records_paths_once(spark):
     assert "explode(os" in plan(out)
 
 
+def test_markers_are_sought_once_and_words_letter_by_letter(spark):
+    import re
+
+    words = "the a an this that these I it is".split()
+    own = T.one_of(words)
+    assert all(bool(re.fullmatch(own, w)) == (w in words) for w in [*words, "t", "th", "thes", "ani", "", "tha"]) and own.count("t") < 6
+    shown = spark.createDataFrame([("at a.ts:12 x " * 3, "x"), ("TRACEBACK here", "y"), ("caused By it", "caused by"), ("b.Py:9", "b.py:1")], "a string, b string").select(content.safe_display(F.col("a"), F.col("b"))["reason"].alias("r"))
+    assert [r.r for r in shown.collect()] == ["marker_loss", "marker_loss", None, None]
+    assert plan(shown).count(detect.COMMAND_MARK) <= 4
+
+
 def test_plans_push_filters_and_prune(spark):
     p = plan(queries.QUERIES["prj1_pruned_vectors"](spark, SF))
     assert "embedding:" not in p and "LessThan(label,5)" in p
