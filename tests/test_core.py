@@ -931,6 +931,17 @@ def test_ids_of_two_tables_may_meet(spark, tmp_path):
         assert compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
 
 
+def test_related_lines_do_not_follow_the_order_of_rows(spark, tmp_path):
+    """Lines of one order, price and number, which the SQL leaves open, rank alike however the rows lie."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").limit(200)
+    lines = lines.unionAll(lines.withColumn("l_partkey", F.col("l_partkey") + 1000)).coalesce(1)
+    out = []
+    for name, order in (("a", F.col("l_partkey")), ("b", F.col("l_partkey").desc())):
+        lines.sortWithinPartitions(order).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        out.append(sorted(queries.QUERIES["win8_top_related"](spark, str(tmp_path / name)).collect()))
+    assert out[0] == out[1]
+
+
 def test_cells_sample_is_bounded_for_the_driver(spark, monkeypatch):
     """The rows that coarse centres are fitted on are drawn, not sorted out of every partition, and long vectors give fewer."""
     from loam.plans import cells
