@@ -426,6 +426,21 @@ def test_secrets_learn_from_rare_findings(spark):
     assert sum(k != "" for _, k in found) == 60 and len({v for v, _ in found}) == len(found)
 
 
+def test_secrets_learn_from_all_findings(spark, monkeypatch):
+    """No label is cut, and blocks that learn by themselves make one good network, whatever the order of rows."""
+    rng = random.Random(8)
+    words = [f"see mail{i}.example{i % 7}.com/page{i}index or item{rng.randrange(10**6)}abc" for i in range(2000)]
+    keys = [f"password={rng.getrandbits(72):018x} end" for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(words + keys)), "doc_id long, text string")
+    found = secrets.labelled_findings(docs)
+    assert sum(k != "" for _, k in found) == 300 and sum(k == "" for _, k in found) == len({v for t in words for a, b in secrets.candidates(t) for v in secrets.windows(t, a, b)}) > 4000
+    monkeypatch.setattr(secrets, "BLOCK_VIEWS", 900)
+    monkeypatch.setattr(secrets, "ROUNDS", 2)
+    first, second = secrets.train(docs), secrets.train(docs.repartition(3).orderBy(F.desc("doc_id")))
+    assert first.report["recall"] >= 0.8 and first.report["precision"] >= 0.8
+    assert first.report == second.report and all((first.p[k] == second.p[k]).all() for k in first.p)
+
+
 def test_secrets_threshold_keeps_recall():
     rng = random.Random(7)
     x = secrets.codes(["".join(rng.choices("abcdef0123", k=88)) for _ in range(600)])
