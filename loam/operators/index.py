@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ BLOCK_DOCS = 256
 BUCKET_TERMS, MOST_BUCKETS = 1_000_000, 4096
 #: Blocks of a query, highest bound first, that are scored to learn what its k-th best score is at least.
 FIRST_BLOCKS = 2
+#: Blocks whose changed ids are sent to all tasks, some 40 MB; beyond that stored rows are shuffled by block.
+GONE_BLOCKS = 20_000
 SLACK = 1e-9
 
 
@@ -57,12 +60,14 @@ def _packed(docs: DataFrame) -> DataFrame:
         if held:
             yield from _block_rows(pa.Table.from_batches(held))
 
-    return docs.repartition("block").sortWithinPartitions("block").select("id", "block", "len", "terms").mapInArrow(pack, ROW)
+    # terms have no blanks, and a text takes less in a shuffle than an array
+    worded = docs.where("len > 0").select("id", "block", "len", F.array_join("terms", " ").alias("terms"))
+    return worded.repartition("block").sortWithinPartitions("block").mapInArrow(pack, ROW)
 
 
 def _block_rows(docs: pa.Table) -> list[pa.RecordBatch]:
     docs = docs.combine_chunks()
-    lists = docs["terms"].chunk(0)
+    lists = pc.split_pattern(docs["terms"].chunk(0), " ")
     coded = lists.flatten().dictionary_encode()
     doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
     keys, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(lists) + doc, return_counts=True)
@@ -121,19 +126,26 @@ class Index:
         more = self.postings.more
         new = keep(_documents(changed, more["blocks"], id_, text), "index-new")
         gone = new.select("id") if removed is None else new.select("id").union(removed.select(F.col(id_).cast("long"))).distinct()
-        gone = keep(gone, "index-gone")
-        homes = self.documents.touched(gone)
-        stored = self.documents.read(homes)
-        old = keep(stored.join(gone, "id", "left_semi"), "index-old")
-        cells = keep(old.select(F.explode("terms").alias("term"), "block").union(new.select(F.explode("terms"), "block")).distinct(), "index-cells")
-        buckets = self.postings.touched(cells)
-        there = self.postings.read(buckets)
-        changed_rows = there.join(cells, ["term", "block"], "left_semi").select("term", "block", F.inline("posts"))
-        rebuilt = _rows(changed_rows.join(gone, "id", "left_anti").select("term", "block", "id", "tf", "len").unionByName(_packed(new).select("term", "block", F.inline("posts"))))
+        block = F.pmod(F.xxhash64("id"), F.lit(more["blocks"])).cast("int")
+        # a block's ids in one row, as short as blocks are
+        gone = keep(gone.groupBy(block.alias("block")).agg(F.collect_list("id").alias("gone")), "index-gone")
+        marked = lambda rows: rows.join(small_side(gone, GONE_BLOCKS), "block", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
+        homes = self.documents.touched(gone.select(F.explode("gone").alias("id")))
+        stored = marked(self.documents.read(homes))
+        is_gone = F.array_contains("gone", F.col("id"))
+        old = keep(stored.where(is_gone).select("id", "block", "len", "terms"), "index-old")
+        buckets = self.postings.touched(old.select(F.explode("terms").alias("term")).union(new.select(F.explode("terms"))))
+        packed = keep(_packed(new), "index-packed")
+        posts = F.filter("posts", lambda p: ~F.array_contains(F.col("gone"), p["id"]))
+        there = marked(self.postings.read(buckets)).select("term", "block", posts.alias("posts")).where(F.size("posts") > 0)
+        met = small_side(packed.select("term", "block"))
+        rebuilt = _rows(there.join(met, ["term", "block"], "left_semi").select("term", "block", F.inline("posts")).unionByName(packed.select("term", "block", F.inline("posts"))))
+        stay = there.join(met, ["term", "block"], "left_anti")
+        stay = stay.select("term", "block", F.size("posts").alias("n"), F.array_max(F.col("posts")["tf"]).alias("max_tf"), F.array_min(F.col("posts")["len"]).alias("min_len"), "posts")
         figures = {k: more[k] - less + plus for k, less, plus in zip(("n_docs", "n_texts", "n_terms"), _figures(old), _figures(new), strict=True)}
-        self.postings.replace(there.join(cells, ["term", "block"], "left_anti").unionByName(rebuilt), buckets, batch, _spread(self.postings.manifest["buckets"], figures["n_terms"]), **figures)
+        self.postings.replace(rebuilt, buckets, batch, _spread(self.postings.manifest["buckets"], figures["n_terms"]), stay, **figures)
         forward = new.select("id", "block", "len", F.array_distinct("terms").alias("terms"))
-        self.documents.replace(stored.join(gone, "id", "left_anti").unionByName(forward), homes, batch)
+        self.documents.replace(forward, homes, batch, stay=stored.where(~is_gone))
 
     def rows(self, terms: DataFrame) -> DataFrame:
         """Index rows of the terms (a column ``term``), from their buckets only."""

@@ -75,10 +75,10 @@ class Bucketed:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*folders)
 
-    def replace(self, rows: DataFrame, buckets: list[int], batch: int | None = None, spread: Column | None = None, **more) -> None:
-        """``rows`` become the whole content of ``buckets``."""
+    def replace(self, rows: DataFrame, buckets: list[int], batch: int | None = None, spread: Column | None = None, stay: DataFrame | None = None, **more) -> None:
+        """``rows`` and ``stay`` become the whole content of ``buckets``; ``stay`` is what is left of ``read(buckets)``, which lies by bucket and is not shuffled."""
         if not self._replayed(batch):
-            self._put(rows, buckets, True, batch, spread, more)
+            self._put(rows, buckets, True, batch, spread, more, stay)
 
     def append(self, rows: DataFrame, batch: int | None = None, spread: Column | None = None) -> None:
         """Adds rows beside those there; a bucket of many pieces is rewritten as one."""
@@ -110,12 +110,14 @@ class Bucketed:
     def _replayed(self, batch: int | None) -> bool:
         return batch is not None and batch <= self.manifest["batch"]
 
-    def _put(self, rows: DataFrame, buckets: list[int] | None, whole: bool, batch: int | None, spread: Column | None, more: dict) -> None:
+    def _put(self, rows: DataFrame, buckets: list[int] | None, whole: bool, batch: int | None, spread: Column | None, more: dict, stay: DataFrame | None = None) -> None:
         version = self.version + 1
         names = [c for c in self.schema.names]
         out = rows.select(*names).withColumn("bucket", self.bucket())
         # all files of a bucket lie in few tasks: one, or one for each value of ``spread``
         out = out.repartition(*[c for c in (F.col("bucket"), spread) if c is not None])
+        if stay is not None:
+            out = out.unionByName(stay.select(*names).withColumn("bucket", self.bucket()))
         write = f"{version}-{uuid.uuid4().hex[:12]}"  # its own, whoever else writes this version
         folder = f"{self.path}/data/{write}"
         out.write.partitionBy("bucket").parquet(folder)

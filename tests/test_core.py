@@ -931,6 +931,16 @@ def test_ids_of_two_tables_may_meet(spark, tmp_path):
         assert compare(spark, name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
 
 
+def test_rows_that_stay_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """A change of an index shuffles what is new only: rows that stay in their buckets are handed on as they lie."""
+    docs = spark.range(600).select("id", F.concat(F.lit("common word"), F.col("id")).alias("text"))
+    stored, plans, put = index.Index.build(docs, str(tmp_path / "ix"), buckets=4), [], Bucketed._put
+    monkeypatch.setattr(Bucketed, "_put", lambda self, rows, buckets, whole, batch, spread, more, stay=None: (plans.append(stay), put(self, rows, buckets, whole, batch, spread, more, stay))[1])
+    stored.update(docs.where("id % 10 = 7").withColumn("text", F.lit("changed")), docs.where("id % 10 = 3"))
+    assert len(plans) == 2 and not any(" Exchange" in x._jdf.queryExecution().executedPlan().toString() for x in plans)
+    assert {r.term: r.df for r in stored.frequencies().where("term in ('common', 'changed', 'word3', 'word5')").collect()} == {"common": 480, "changed": 60, "word5": 1}
+
+
 def test_related_lines_do_not_follow_the_order_of_rows(spark, tmp_path):
     """Lines of one order, price and number, which the SQL leaves open, rank alike however the rows lie."""
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").limit(200)
