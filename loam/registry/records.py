@@ -450,8 +450,8 @@ def win3_stale_pending(t):
 
 @query("""SELECT l_orderkey, l_partkey, r FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r <= 3""")
 def win8_top_related(t):
-    # the SQL leaves lines of one price and number open; settled by part, so that reruns agree
-    w = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), "l_linenumber", "l_partkey")
+    # the SQL leaves lines of one price and number open; settled by part, so that reruns agree. Its nulls come last
+    w = Window.partitionBy("l_orderkey").orderBy(F.col("l_extendedprice").desc(), F.col("l_linenumber").asc_nulls_last(), "l_partkey")
     return t.lineitem.select("l_orderkey", "l_partkey", F.row_number().over(w).cast("long").alias("r")).where("r <= 3")
 
 

@@ -952,6 +952,20 @@ def test_related_lines_do_not_follow_the_order_of_rows(spark, tmp_path):
     assert out[0] == out[1]
 
 
+def test_related_lines_without_a_number_come_last(spark, tmp_path):
+    """Lines of one price that have no number rank behind those that have one, as in the SQL; so do lines without a price."""
+    from parity import TABLES
+
+    for name in TABLES:
+        rows = spark.read.parquet(f"{SF}/{name}.parquet").limit(200)
+        if name == "lineitem":
+            rows = rows.unionAll(rows.withColumn("l_partkey", F.col("l_partkey") + 1000).withColumn("l_linenumber", F.lit(None).cast("int")))
+            rows = rows.withColumn("l_orderkey", F.col("l_orderkey") % 40).withColumn("l_extendedprice", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_extendedprice")))
+            rows = rows.dropDuplicates(["l_orderkey", "l_extendedprice", "l_linenumber"])
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert compare(spark, "win8_top_related", queries.QUERIES["win8_top_related"], queries.ORACLE["win8_top_related"], str(tmp_path))
+
+
 def test_cells_sample_is_bounded_for_the_driver(spark, monkeypatch):
     """The rows that coarse centres are fitted on are drawn, not sorted out of every partition, and long vectors give fewer."""
     from loam.plans import cells
