@@ -1077,6 +1077,18 @@ def test_fusion_of_few_and_empty_texts(spark, tmp_path):
         assert compare(spark, name, queries.QUERIES[name], queries.ORACLE[name], str(tmp_path))
 
 
+def test_recall_looks_up_edges_of_hits_only(spark):
+    """Degrees from a table of edges score like a column of degrees; only what is found is looked up, without a shuffle of records or edges."""
+    rows = spark.createDataFrame([(i, "note", f"signing key {i} rotated" if i % 2 else f"menu {i}", 0.5) for i in range(60)], "id long, kind string, text string, confidence double").withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+    edges = spark.range(300).select(F.floor(F.sqrt("id")).cast("long").alias("id"))
+    asked = spark.createDataFrame([(9, "rotated signing key"), (10, "menu")], "query long, text string")
+    counted = rows.join(edges.groupBy("id").agg(F.count("*").alias("degree")), "id", "left")
+    for mode in ("fts", "hybrid"):
+        ours = context.recall(asked, rows, F.lit(3600), 5, mode=mode, edges=edges)
+        assert sorted(ours.collect()) == sorted(context.recall(asked, counted, F.lit(3600), 5, mode=mode).collect())
+        assert ours.count() == 10
+
+
 def test_policy_grid(spark):
     from loam.operators import context
 
