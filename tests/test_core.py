@@ -465,6 +465,22 @@ def test_similar_pending_shuffles_no_pairs(spark, monkeypatch):
     assert got == want and 100 < len(want) < 599
 
 
+def test_similar_pending_shuffles_no_blocks(spark, monkeypatch):
+    """Sets of a kind of many blocks aren't sent to every other block: a set is written once, and what is shuffled doesn't grow with the blocks."""
+    import random
+
+    from loam.plans import sets
+
+    monkeypatch.setattr(sets, "BLOCK_WORDS", 300)
+    rng = random.Random(8)
+    own = [rng.sample(range(9973), 10) for _ in range(600)]
+    rows = [(i, "fact", " ".join(f"w{k}w" for k in ks)) for i, ks in enumerate([*own, own[3][:9]])] + [(601, "task", "one two three"), (602, "task", "one two three four")]
+    before = shuffled_records(spark)
+    got = {r.id: r.into for r in governance.similar_pending(spark.createDataFrame(rows, "id long, kind string, text string")).collect()}
+    assert got == {600: 3, 602: 601}
+    assert shuffled_records(spark) - before < 3_000
+
+
 def test_normalize_is_linear_and_null_text_is_prose(spark):
     import time
 
